@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.llm.recompress import op8_passage_dedup
 from strandlake.llm.suffix_dedup import op1_suffix_dedup
 
 
@@ -16,6 +17,7 @@ def _over(table: str, operator: Callable[[DataFrame], DataFrame]):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": _over("documents", op1_suffix_dedup),
+        "op8_passage_dedup": _over("documents", op8_passage_dedup),
     }
 
 

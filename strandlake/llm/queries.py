@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm.recompress import op8_passage_dedup
 from strandlake.llm.language_model import op3_language_model
 from strandlake.llm.bpe import op2_bpe
+from strandlake.llm.packing import op6_packing
 from strandlake.llm.suffix_dedup import op1_suffix_dedup
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_passage_dedup": _over("documents", op8_passage_dedup),
         "op3_language_model": _over("documents", op3_language_model),
         "op2_bpe": _over("documents", op2_bpe),
+        "op6_packing": _over("documents", op6_packing),
     }
 
 

@@ -10,6 +10,7 @@ from strandlake.llm.recompress import op8_passage_dedup
 from strandlake.llm.language_model import op3_language_model
 from strandlake.llm.bpe import op2_bpe
 from strandlake.llm.packing import op6_packing
+from strandlake.llm.near_dedup import op9_near_dedup
 from strandlake.llm.suffix_dedup import op1_suffix_dedup
 
 
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_model": _over("documents", op3_language_model),
         "op2_bpe": _over("documents", op2_bpe),
         "op6_packing": _over("documents", op6_packing),
+        "op9_near_dedup": _over("documents", op9_near_dedup),
     }
 
 

@@ -141,7 +141,7 @@ class ByteWindows(Rule):
         hit[runs(out_at[which], count[which])] = family.add(suffixes)
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", characters: bool = False) -> DataFrame:
     """Removes every byte that a ``width``-byte string covers which also starts earlier.
 
     Earlier: in a document with a smaller id, or before in the same document;
@@ -150,7 +150,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
     removed byte runs) and ``kept`` (binary: the rest).  Null and empty texts and
     texts under ``width`` bytes lose nothing.  A null id is the smallest id; rows
     that share an id count as one document.  Rows repeated in full keep or lose
-    the same bytes, as none of them is earlier.
+    the same bytes, as none of them is earlier.  With ``characters``, a character
+    that is removed in part stays whole in ``kept``.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from strandlake.llm.exchange import fresh
@@ -164,6 +165,10 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
         per = np.searchsorted(row, np.arange(batch.n + 1))
         keep = np.ones(len(batch.data), bool)
         keep[runs(batch.ends[row] + start, end - start)] = False
+        if characters and len(keep):
+            lead = np.flatnonzero(batch.data & 0xC0 != 0x80)
+            lead = lead if len(lead) and lead[0] == 0 else np.concatenate([[0], lead])
+            keep = np.repeat(np.logical_or.reduceat(keep, lead), np.diff(np.append(lead, len(keep))))
         left = batch.data[keep]
         sizes = np.diff(np.concatenate([[0], np.cumsum(keep)])[batch.ends]) if len(keep) else np.zeros(batch.n, np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -175,6 +180,16 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
     return repeats(docs, ByteWindows(width), finish, extra, id_col, text_col)
 
 
+def without_repeats(docs: DataFrame, width: int = 100) -> DataFrame:
+    """A documents table whose texts lack their repeated bytes (whole characters), with n_chars anew."""
+    from strandlake.llm.exchange import fresh
+
+    done = suffix_dedup(docs, width, characters=True)
+    text = F.when(F.col("text").isNotNull(), F.col(fresh(docs, "kept")).cast("string"))
+    new = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_suffix_dedup(docs: DataFrame) -> DataFrame:
     """The digests of ``suffix_dedup`` over strings of 100 bytes."""
     done = suffix_dedup(docs.select("doc_id", "text"), 100)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 #: Unicode white space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Texts that a worker remembers the tokens of, at most.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -149,17 +149,20 @@ class Tokenizer:
             unit = unit.lower() if "Σ" not in unit else "".join(c.lower() for c in unit)
             if unit.isalpha():
                 return [unit.encode()]
-        elif unit.isalpha() or unit[0] == " " and unit[1:].isalpha():
-            return [unit.encode()]
         return [w.encode() for w in self.words.findall(unit)]
 
     def learn(self, units: set, form) -> None:
         """Encodes the units that are not yet known; ``form`` makes what is remembered from their ids' bytes."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.encoded) > REMEMBERED:
+        if len(self.encoded) > REMEMBERED // 4:
             self.encoded.clear()
         units = units - self.known.keys()
+        if not self.lowers:
+            # Units of letters alone are words themselves.
+            plain = [u for u in units if u.isalpha() or u[0] == " " and u[1:].isalpha()]
+            self.known.update(zip(plain, map(form, self.word_ids([u.encode() for u in plain]))))
+            units.difference_update(plain)
         split = {u: self._split(u) for u in units}
         new = list(set(chain.from_iterable(split.values())) - self.encoded.keys())
         self.encoded.update(zip(new, self.word_ids(new)))

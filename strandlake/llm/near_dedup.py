@@ -15,6 +15,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 32 bands of 5 coordinates miss a pair of similarity 0.8 three times in a million.
 BANDS, ROWS = 32, 5
+#: Bytes of a text's sketch. A pair of similarity 0.8 agrees on less than SURE of it three times in a million.
+SKETCH, SURE = 512, 0.72
+#: Members of a bucket that one task compares with as many others.
+BUCKET_BLOCK = 2048
+#: Ways to choose a bucket's head: by how many texts it meets, else by a hash.
+HEADS = 3
 #: Widths of the rank cells below rank 1; cells above are of width 1.
 FINE = 6
 
@@ -153,24 +159,50 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 
 
 def _shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """set_id and the set's shingles, in order, 5 bytes each."""
+    """set_id, the set's shingles (in order, 5 bytes each) and its sketch: one byte of each of SKETCH dart coordinates."""
 
     def run(batches):
         for record in batches:
             batch = Batch(pa.Table.from_batches([record]), id_col, text_col)
             words = Words(batch, places=False)
             for row, to in _chunks(words):
-                owner, value, _ = shingles(words, row, to)
+                owner, value, count = shingles(words, row, to)
+                sketch = (dart_signatures(owner, value, np.ones(len(count), np.int64), to - row, SKETCH) & U(255)).astype(np.uint8)
                 cut = np.searchsorted(owner, np.arange(to - row + 1))
                 short = (value >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                 blobs = [short[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([_signed(_set_ids(owner, value, to - row)), pa.array(blobs, pa.binary())], names=["set_id", "shingles"])
+                columns = [_signed(_set_ids(owner, value, to - row)), pa.array(blobs, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["set_id", "shingles", "sketch"])
+
+    return docs.mapInArrow(run, "set_id long, shingles binary, sketch binary")
+
 
-    return docs.mapInArrow(run, "set_id long, shingles binary")
+def _across(table: pa.Table, similarity: float) -> pa.Table:
+    """Pairs of a block of a bucket's strays and a block of its members that may be similar.
+
+    Only pairs of different labels whose sketches agree enough, and only in the
+    first band in which the two meet.
+    """
+    side = table.column("side").to_numpy()
+    ids, label, size = (table.column(c).to_numpy() for c in ("set_id", "label", "size"))
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+    key, out = table.column("key")[0].as_py(), []
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        j = right[(label[right] != label[i]) & (np.minimum(size[right], size[i]) >= similarity * np.maximum(size[right], size[i]))]
+        if len(j):
+            band = int(np.flatnonzero(keys[i] == key)[0])
+            j = j[~(keys[j, :band] == keys[i, :band]).any(1)]
+            j = j[(sketch[j] == sketch[i]).mean(1) >= SURE - 0.8 + similarity]
+            out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
+    a, b = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _similar(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets' Jaccard similarity is at least ``least``."""
+    table = table.select("set_id", "shingles")
     right = table.withColumnRenamed("set_id", "b").withColumnRenamed("shingles", "sb")
     left = table.withColumnRenamed("set_id", "a").withColumnRenamed("shingles", "sa")
 
@@ -221,31 +253,41 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     ``weighted`` draws candidates by shingle counts instead of presence.
 
     Null, empty and blank texts have no words and form one class.  Rows repeated in
-    full are in one class.  A bucket links its members to its least one; buckets
+    full are in one class.  A bucket compares its members to one of them, its head;
+    heads are chosen in several ways, so large groups get several.  Buckets
     whose members are then in different components have the pairs across
     components checked as well, so no pair of a bucket is left undecided.
     """
     signed = checkpointed(signatures(docs, id_col, text_col, bands, rows, weighted))
     sets = signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.any_value("keys").alias("keys"))
     members = sets.select("set_id", "size", "rep", F.explode("keys").alias("key"))
-    heads = members.groupBy("key").agg(F.count("*").alias("n"), F.min("set_id").alias("head")).filter("n > 1").drop("n")
-    hits = checkpointed(members.join(heads, "key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    found = checkpointed(members.join(shared, "key"))
+    # The text that meets the most others is likely the one the others were made from.
+    met = found.groupBy("set_id").agg(F.sum("n").alias("met"))
+    turn = F.pmod(F.col("key"), F.lit(HEADS))
+    rank = F.struct(F.when(turn == 0, F.col("met")).otherwise(F.xxhash64("set_id", turn)).alias("rank"), "set_id")
+    hits = checkpointed(found.join(met, "set_id").withColumn("rank", rank))
+    heads = hits.groupBy("key").agg(F.max("rank").getField("set_id").alias("head"))
+    hits = checkpointed(hits.join(heads, "key").select("key", "set_id", "size", "rep", "head"))
     wanted = hits.select(F.col("rep").alias("_rep")).distinct()
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     table = checkpointed(_shingle_table(texts.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi"), "_id", "_text").dropDuplicates(["set_id"]))
-    stars = hits.filter("set_id <> head").select(F.col("head").alias("a"), F.col("set_id").alias("b")).distinct()
+    stars = hits.filter("set_id <> head").select(F.least("head", "set_id").alias("a"), F.greatest("head", "set_id").alias("b")).distinct()
     links = checkpointed(_similar(stars, table, similarity))
     labels = components(links)
     labelled = checkpointed(hits.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", "size", F.coalesce("label", "set_id").alias("label")))
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    within = labelled.join(mixed, "key")
-    stray = within.filter("label <> main").select("key", *[F.col(c).alias(f"s_{c}") for c in ("set_id", "size", "label")])
-    near = (F.least("size", "s_size") >= similarity * F.greatest("size", "s_size")) & (F.col("label") != F.col("s_label"))
-    once = (F.col("label") == F.col("main")) | (F.col("s_set_id") < F.col("set_id"))
-    across = within.join(stray, "key").filter(near & once)
-    pairs = across.select(F.least("set_id", "s_set_id").alias("a"), F.greatest("set_id", "s_set_id").alias("b")).distinct()
-    more = checkpointed(_similar(pairs.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), table, similarity))
+    mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n")).filter("labels > 1").drop("labels")
+    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    within = labelled.join(mixed, "key").join(sets.select("set_id", "keys"), "set_id").join(table.select("set_id", "sketch"), "set_id")
+    within = within.withColumn("own", F.pmod(F.xxhash64("set_id"), blocks).cast("int")).withColumn("other", every)
+    columns = ["key", "set_id", "label", "size", "keys", "sketch"]
+    strays = within.filter("label <> main").select(F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *columns)
+    others = within.select(F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *columns)
+    pairs = strays.unionByName(others).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, similarity), "a long, b long").distinct()
+    more = checkpointed(_similar(pairs.join(stars, ["a", "b"], "left_anti"), table, similarity))
     if more.limit(1).count():
         labels = components(links.union(more))
     named = sets.select("set_id", "rep").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))

@@ -1,11 +1,51 @@
-"""All queries of the engine: name -> (Spark plan, DuckDB twin)."""
+"""All queries of the engine: one SQL text each, for Spark and for its DuckDB twin."""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandlake.functions.dialect import render
+from strandlake.functions.fixtures import VIEWS
+from strandlake.operators import fitting, intervals, resample, sites, spectra, theory, trees
+
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
+QUERIES = {k: v for module in (sites, spectra, intervals, resample, trees, theory, fitting) for k, v in module.QUERIES.items()}
+
+
+def _names(sql: str, among) -> list[str]:
+    return [n for n in among if re.search(rf"\b{n}\b", sql)]
+
+
+def complete(sql: str) -> str:
+    """The query with the views that it needs, each after those it uses."""
+    order: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in _names(text, VIEWS):
+            if name not in order:
+                visit(VIEWS[name])
+                order.append(name)
+
+    visit(sql)
+    return f"WITH {', '.join(f'{n} AS ({VIEWS[n]})' for n in order)} {sql}" if order else sql
+
+
+def _query(sql: str):
+    text = render(complete(sql), 0)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for table in _names(text, TABLES):
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        return spark.sql(text)
+
+    return run
+
 
 def queries() -> dict:
-    return {}
+    return {name: _query(sql) for name, sql in QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: render(complete(sql), 1) for name, sql in QUERIES.items()}

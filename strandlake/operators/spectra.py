@@ -14,8 +14,8 @@ QUERIES = {
     "sfs2d_summary": """SELECT sum(v) AS total, sum(CASE WHEN i BETWEEN 1 AND 12 AND j BETWEEN 1 AND 11 THEN v ELSE 0 END) AS shared, sum(CASE WHEN i > 0 AND j = 0 THEN v ELSE 0 END) AS private_a, sum(CASE WHEN i = 0 AND j > 0 THEN v ELSE 0 END) AS private_b,
   sum(CASE WHEN (i = 0 AND j = 12) OR (i = 13 AND j = 0) THEN v ELSE 0 END) AS fixed_sites, round(sum(abs(v - coalesce(w, 0))) * 1.0e0 / sum(v), 6) AS asym FROM (SELECT k_a AS i, k_b AS j, count(*) AS v FROM v_hsite GROUP BY k_a, k_b) a LEFT JOIN (SELECT k_a AS i2, k_b AS j2, count(*) AS w FROM v_hsite GROUP BY k_a, k_b) b ON i2 = 13 - i AND j2 = 12 - j""",
     "spectrum_mean": "SELECT k, round(avg(f), 6) AS f FROM (SELECT r, k, c * 1.0e0 / sum(c) OVER (PARTITION BY r) AS f FROM (SELECT site % 4 AS r, k, count(*) AS c FROM v_hsite GROUP BY site % 4, k)) GROUP BY k",
-    "ld_decay": """SELECT bin, count(*) AS pairs, round(avg(d * d / den), 6) AS r2 FROM (SELECT CAST(floor((y.site - x.site) / 2) AS BIGINT) AS bin, avg(x.allele * y.allele * 1.0e0) - avg(x.allele * 1.0e0) * avg(y.allele * 1.0e0) AS d,
-  avg(x.allele * 1.0e0) * (1 - avg(x.allele * 1.0e0)) * avg(y.allele * 1.0e0) * (1 - avg(y.allele * 1.0e0)) AS den FROM v_hap x JOIN (SEQ(1;9)) o ON 1 = 1 JOIN v_hap y ON y.site = x.site + o.i AND y.hap = x.hap GROUP BY x.site, y.site) WHERE den > 1.0e-12 GROUP BY bin""",
+    "ld_decay": """SELECT bin, count(*) AS pairs, round(avg(d * d / den), 6) AS r2 FROM (SELECT CAST(floor(o.i / 2.0e0) AS BIGINT) AS bin, bit_count(x.m & y.m) / 25.0e0 - (x.k / 25.0e0) * (y.k / 25.0e0) AS d,
+  (x.k / 25.0e0) * (1 - x.k / 25.0e0) * (y.k / 25.0e0) * (1 - y.k / 25.0e0) AS den FROM v_bits x CROSS JOIN (SEQ(1;9)) o JOIN v_bits y ON y.site = x.site + o.i) WHERE den > 1.0e-12 GROUP BY bin""",
     "h_stats": """SELECT win, round(sum(f * f), 6) AS h1, round(sum(f * f) + 2 * sum(CASE WHEN rn = 1 THEN f ELSE 0 END) * sum(CASE WHEN rn = 2 THEN f ELSE 0 END), 6) AS h12, round(sum(CASE WHEN rn > 1 THEN f * f ELSE 0 END), 6) AS h2, round(sum(CASE WHEN rn > 1 THEN f * f ELSE 0 END) / sum(f * f), 6) AS h2_h1 FROM (
   SELECT win, c / 25.0e0 AS f, row_number() OVER (PARTITION BY win ORDER BY c DESC, h) AS rn FROM (SELECT win, h, count(*) AS c FROM (SELECT CAST(floor(site / 5) AS BIGINT) AS win, hap, JOINED(a;site) AS h FROM (SELECT site, hap, CAST(allele AS VARCHAR(1)) AS a FROM v_hap) GROUP BY CAST(floor(site / 5) AS BIGINT), hap) GROUP BY win, h)) GROUP BY win""",
 }

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 MESSAGE = "shard int, batch int, kind int, payload binary"
 _ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-BATCHES_PER_PARTITION = 2
+BATCHES_PER_PARTITION = 1
 SHARDS_PER_PARTITION = 1
 
 

@@ -243,6 +243,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) after further edges: only components that an edge joins are looked at again."""
+    # A node that had no edge yet is a component of its own.
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).join(labels, "node", "left_anti").distinct()
+    every = checkpointed(labels.select("node", "label").unionByName(nodes.withColumn("label", F.col("node"))))
+    ends = edges.join(every.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(every.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    apart = ends.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    names = components(apart).select(F.col("node").alias("label"), F.col("label").alias("name"))
+    return every.join(names, "label", "left").select("node", F.coalesce("name", "label").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``set_id``, ``class_id``: one row for each row of ``docs``.
 
@@ -289,7 +300,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     pairs = strays.unionByName(others).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, similarity), "a long, b long").distinct()
     more = checkpointed(_similar(pairs.join(stars, ["a", "b"], "left_anti"), table, similarity))
     if more.limit(1).count():
-        labels = components(links.union(more))
+        labels = joined(labels, more)
     named = sets.select("set_id", "rep").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     names = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     classes = named.join(names, "label").select("set_id", "class_id")

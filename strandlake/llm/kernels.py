@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 #: Arithmetic modulo 2**64 wraps on purpose.
@@ -18,6 +19,8 @@ _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 #: Bytes worked on at once, so that intermediate arrays stay in the cache.
 CHUNK = 1 << 18
+#: Bytes of text whose counts are held at once.
+PORTION = 1 << 22
 #: A null doc_id sorts before every other.
 NULL_ID = np.iinfo(np.int64).min
 LONE = U(0xFFFFFFFFFFFFFFFF)
@@ -65,6 +68,16 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+def portions(record: pa.RecordBatch, text_col: str):
+    """Slices of a record batch with about PORTION bytes of text; a longer text stands alone."""
+    size = pc.fill_null(pc.binary_length(record.column(text_col)), 0).to_numpy(zero_copy_only=False)
+    ends, row = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+    while row < record.num_rows:
+        to = max(int(np.searchsorted(ends, ends[row] + PORTION, side="right")) - 1, row + 1)
+        yield record.slice(row, to - row)
+        row = to
+
+
 class Batch:
     """Rows of a table with their whole texts; null texts are empty.
 

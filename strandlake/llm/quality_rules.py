@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandlake.llm.exchange import fresh
-from strandlake.llm.kernels import _SPACE, Batch, Words, mix, U
+from strandlake.llm.kernels import _SPACE, Batch, Words, mix, portions, U
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -68,7 +68,7 @@ def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for record in batches:
+        for record in (part for whole in batches for part in portions(whole, text_col)):
             table = pa.Table.from_batches([record])
             batch = Batch(table, id_col, text_col)
             counts = text_counts(batch)

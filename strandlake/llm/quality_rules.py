@@ -59,12 +59,13 @@ def text_counts(batch: Batch) -> dict[str, np.ndarray]:
     return out
 
 
-def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """The rows with their counts, and the counts' column names."""
+def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with their counts, and the counts' column names; the text comes back if ``with_text``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = {c: fresh(docs, c) for c in COUNTS}
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in names.values()]])
+    carried = [f for f in docs.schema.fields if with_text or f.name != text_col]
+    schema = T.StructType([*carried, *[T.StructField(n, T.LongType()) for n in names.values()]])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -72,7 +73,7 @@ def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             table = pa.Table.from_batches([record])
             batch = Batch(table, id_col, text_col)
             counts = text_counts(batch)
-            ordered = table.take(pa.array(batch.order, pa.int64()))
+            ordered = (table if with_text else table.drop_columns([text_col])).take(pa.array(batch.order, pa.int64()))
             columns = [*ordered.columns, *[pa.array(counts[c], pa.int64()) for c in COUNTS]]
             yield from pa.Table.from_arrays(columns, names=arrow.names).cast(arrow).to_batches()
 
@@ -107,9 +108,9 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     The holdout is every document whose labels all say quality 1.  The chance of
     error is divided by the number of strata and rules (Bonferroni).
     """
-    counted, names = with_counts(docs.select("doc_id", "text", F.col(stratum).alias("_stratum")))
+    counted, names = with_counts(docs.select("doc_id", "text", F.col(stratum).alias("_stratum")), with_text=False)
     clean = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
-    held = counted.drop("text").join(clean, "doc_id", "left_semi")
+    held = counted.join(clean, "doc_id", "left_semi")
     steps = []
     for rule, (top, bottom) in RULES.items():
         value = F.col(names[top]) / F.greatest(F.col(names[bottom]), F.lit(1))
@@ -130,8 +131,8 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     return chosen.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """Adds the counts, ``base_failed`` and ``kept`` to each row.
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, with_text: bool = True) -> DataFrame:
+    """Adds the counts, ``base_failed`` and ``kept`` to each row, which loses its text unless ``with_text``.
 
     A row is kept if it passes the base rule (50 words or more, and not over half
     of them in repeated three-word windows) and is over no cutoff of its stratum.
@@ -142,7 +143,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     from strandlake.llm.exchange import checkpointed
 
     cut = checkpointed(thresholds(docs, labels, stratum, risk, error))
-    counted, names = with_counts(docs)
+    counted, names = with_counts(docs, with_text=with_text)
     few = cut.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
     joined = counted.join(F.broadcast(cut) if few else cut, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     n, repeats = F.col(names["n_words"]), F.col(names["n_repeat_words"])
@@ -154,5 +155,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 def op4_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts and verdicts of all documents."""
-    done = quality_rules(docs.select("doc_id", "text", "lang"), labels)
+    done = quality_rules(docs.select("doc_id", "text", "lang"), labels, with_text=False)
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -14,6 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from strandlake.llm.kernels import portions
+
 #: Unicode white space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Texts that a worker remembers the tokens of, at most.
@@ -206,15 +208,12 @@ def load(data: bytes, use: str) -> Tokenizer:
     return _loaded[key]
 
 
-def _parts(table_batch: pa.RecordBatch, text_col: str, most: int = 1 << 23):
-    """Rows of a batch in parts of about ``most`` characters; null texts are empty."""
-    texts = [t or "" for t in table_batch.column(text_col).to_pylist()]
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most or i + 1 == len(texts):
-            yield at, i + 1, texts[at : i + 1]
-            at, size = i + 1, 0
+def _parts(table_batch: pa.RecordBatch, text_col: str, most: int = 1 << 21):
+    """Rows of a batch in parts of about ``most`` bytes of text; null texts are empty."""
+    at = 0
+    for part in portions(table_batch, text_col, most):
+        yield at, at + part.num_rows, [t or "" for t in part.column(text_col).to_pylist()]
+        at += part.num_rows
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

@@ -68,12 +68,12 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def portions(record: pa.RecordBatch, text_col: str):
-    """Slices of a record batch with about PORTION bytes of text; a longer text stands alone."""
+def portions(record: pa.RecordBatch, text_col: str, most: int = PORTION):
+    """Slices of a record batch with about ``most`` bytes of text; a longer text stands alone."""
     size = pc.fill_null(pc.binary_length(record.column(text_col)), 0).to_numpy(zero_copy_only=False)
     ends, row = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
     while row < record.num_rows:
-        to = max(int(np.searchsorted(ends, ends[row] + PORTION, side="right")) - 1, row + 1)
+        to = max(int(np.searchsorted(ends, ends[row] + most, side="right")) - 1, row + 1)
         yield record.slice(row, to - row)
         row = to
 

@@ -79,7 +79,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 1024, eos: int = EOS, i
         tokenizer, end = load(data.value, "pack"), np.int32(eos).tobytes()
         special = {t: np.int32(i).tobytes() for t, i in tokenizer.special.items()}
         for batch in batches:
-            for begin, stop, texts in _parts(batch, text_col):
+            for begin, stop, texts in _parts(batch, text_col, 1 << 23):
                 owner, rows, arrays = [], [], []
                 for k, units in enumerate(tokenizer.encode_batch(texts, lambda b: b, special)):
                     every = b"".join(units) + end

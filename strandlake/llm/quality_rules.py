@@ -59,25 +59,22 @@ def text_counts(batch: Batch) -> dict[str, np.ndarray]:
     return out
 
 
-def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> tuple[DataFrame, dict[str, str]]:
-    """The rows with their counts, and the counts' column names; the text comes back if ``with_text``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+@F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
+def _counted(texts: pa.Array) -> pa.Array:
+    record = pa.record_batch({"row": pa.array(np.arange(len(texts))), "text": texts})
+    found = [text_counts(Batch(pa.Table.from_batches([part]), "row", "text")) for part in portions(record, "text")]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[f[c] for f in found]]), pa.int64()) for c in COUNTS], list(COUNTS))
 
-    names = {c: fresh(docs, c) for c in COUNTS}
-    carried = [f for f in docs.schema.fields if with_text or f.name != text_col]
-    schema = T.StructType([*carried, *[T.StructField(n, T.LongType()) for n in names.values()]])
-    arrow = to_arrow_schema(schema)
 
-    def run(batches):
-        for record in (part for whole in batches for part in portions(whole, text_col)):
-            table = pa.Table.from_batches([record])
-            batch = Batch(table, id_col, text_col)
-            counts = text_counts(batch)
-            ordered = (table if with_text else table.drop_columns([text_col])).take(pa.array(batch.order, pa.int64()))
-            columns = [*ordered.columns, *[pa.array(counts[c], pa.int64()) for c in COUNTS]]
-            yield from pa.Table.from_arrays(columns, names=arrow.names).cast(arrow).to_batches()
+#: Else a filter on the counts would be pushed below them and count every text again.
+_counted = _counted.asNondeterministic()
 
-    return docs.mapInArrow(run, schema), names
+
+def with_counts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
+    """The rows with their counts, and the counts' column names.  Only counts come back from Python."""
+    names, holder = {c: fresh(docs, c) for c in COUNTS}, fresh(docs, "_counts")
+    counted = docs.withColumn(holder, _counted(F.col(f"`{text_col}`")))
+    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{holder}.{c}").alias(n) for c, n in names.items()]), names
 
 
 def tail(k: int, n: int, p: float) -> float:
@@ -108,7 +105,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     The holdout is every document whose labels all say quality 1.  The chance of
     error is divided by the number of strata and rules (Bonferroni).
     """
-    counted, names = with_counts(docs.select("doc_id", "text", F.col(stratum).alias("_stratum")), with_text=False)
+    counted, names = with_counts(docs.select("doc_id", "text", F.col(stratum).alias("_stratum")))
     clean = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
     held = counted.join(clean, "doc_id", "left_semi")
     steps = []
@@ -131,8 +128,8 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     return chosen.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR, with_text: bool = True) -> DataFrame:
-    """Adds the counts, ``base_failed`` and ``kept`` to each row, which loses its text unless ``with_text``.
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """Adds the counts, ``base_failed`` and ``kept`` to each row.
 
     A row is kept if it passes the base rule (50 words or more, and not over half
     of them in repeated three-word windows) and is over no cutoff of its stratum.
@@ -143,7 +140,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     from strandlake.llm.exchange import checkpointed
 
     cut = checkpointed(thresholds(docs, labels, stratum, risk, error))
-    counted, names = with_counts(docs, with_text=with_text)
+    counted, names = with_counts(docs)
     few = cut.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
     joined = counted.join(F.broadcast(cut) if few else cut, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
     n, repeats = F.col(names["n_words"]), F.col(names["n_repeat_words"])
@@ -155,5 +152,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 def op4_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts and verdicts of all documents."""
-    done = quality_rules(docs.select("doc_id", "text", "lang"), labels, with_text=False)
+    done = quality_rules(docs.select("doc_id", "text", "lang"), labels)
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

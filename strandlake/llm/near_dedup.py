@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandlake.llm.exchange import checkpointed
-from strandlake.llm.kernels import Batch, U, Words, mix, runs
+from strandlake.llm.kernels import Batch, U, Words, mix, portions, runs
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -138,7 +138,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for record in batches:
+        for record in (part for whole in batches for part in portions(whole, text_col)):
             batch = Batch(pa.Table.from_batches([record]), id_col, text_col)
             words = Words(batch, places=False)
             for row, to in _chunks(words):
@@ -162,7 +162,7 @@ def _shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """set_id, the set's shingles (in order, 5 bytes each) and its sketch: one byte of each of SKETCH dart coordinates."""
 
     def run(batches):
-        for record in batches:
+        for record in (part for whole in batches for part in portions(whole, text_col)):
             batch = Batch(pa.Table.from_batches([record]), id_col, text_col)
             words = Words(batch, places=False)
             for row, to in _chunks(words):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.functions.dialect import render
 from strandlake.functions.fixtures import VIEWS
-from strandlake.operators import fitting, intervals, resample, sites, spectra, theory, trees
+from strandlake.operators import fitting, intervals, resample, simulate, sites, spectra, theory, trees
 
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 QUERIES = {k: v for module in (sites, spectra, intervals, resample, trees, theory, fitting) for k, v in module.QUERIES.items()}
@@ -44,7 +44,7 @@ def _query(sql: str):
 
 
 def queries() -> dict:
-    return {name: _query(sql) for name, sql in QUERIES.items()}
+    return {name: _query(sql) for name, sql in QUERIES.items()} | simulate.queries()
 
 
 def oracle_sql() -> dict[str, str]:

@@ -37,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_duplicates), ("suffix_dedup", repeated_substrings), ("packing", packing)]
-#: Signatures, cutoffs and tokens are beyond SQL; tests hold each stage against brute force.
+#: Signatures, cutoffs and tokens are beyond SQL; the operators are tested against brute force, the stages not yet.
 ORACLE_SQL = None
 
 

@@ -99,12 +99,26 @@ def strictest(over: np.ndarray, n: int, risk: float, error: float) -> float | No
     return best
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """``stratum`` and a cutoff for each rule (null: no cutoff is safe there).
+def _over(passed: pd.Series, n: pd.Series) -> tuple[np.ndarray, int]:
+    """Clean texts over each cutoff, and all; passed: how many cutoffs a text is over."""
+    by = np.bincount(passed, n, len(CUTOFFS) + 1).astype(np.int64)
+    # A text over j cutoffs is over the last j, as they run from loose to strict.
+    return np.array([by[len(CUTOFFS) - j :].sum() for j in range(len(CUTOFFS))]), int(by.sum())
+
 
-    The holdout is every document whose labels all say quality 1.  The chance of
-    error is divided by the number of strata and rules (Bonferroni).
+def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """``_stratum`` and a cutoff for each rule (null: no cutoff is safe there), for every stratum of ``docs``.
+
+    The holdout is every document whose labels all say quality 1.  A stratum that
+    could not certify a cutoff even if none of its clean texts were over it takes
+    the cutoff of the pooled holdout of all strata, which bounds the share of clean
+    texts rejected over all strata, but stops before one that rejects ``risk`` or
+    more of the stratum's own clean texts.  A stratum large enough to test doesn't
+    fall back.  The chance of error is divided by the number of rules times that
+    of strata with clean labels and the pool (Bonferroni).
     """
+    from strandlake.llm.exchange import checkpointed
+
     counted, names = with_counts(docs.select("doc_id", "text", F.col(stratum).alias("_stratum")))
     clean = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
     held = counted.join(clean, "doc_id", "left_semi")
@@ -113,19 +127,24 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
         value = F.col(names[top]) / F.greatest(F.col(names[bottom]), F.lit(1))
         passed = reduce(lambda a, b: a + b, [(value > c).cast("int") for c in CUTOFFS])
         steps.append(F.struct(F.lit(rule).alias("rule"), passed.alias("over")))
-    counts = held.select("_stratum", F.inline(F.array(*steps))).groupBy("_stratum", "rule", "over").agg(F.count("*").alias("n"))
-    strata = held.groupBy("_stratum").agg(F.lit(1).alias("_one")).agg(F.count("*").alias("_strata"))
+    counts = checkpointed(held.select("_stratum", F.inline(F.array(*steps))).groupBy("_stratum", "rule", "over").agg(F.count("*").alias("n")))
+    strata = counts.select("_stratum").distinct().count()
+    level = error / ((strata + 1) * len(RULES))
+    every = counts.groupBy("rule", "over").agg(F.sum("n").alias("n")).toPandas()
+    pooled = {r: strictest(*_over(g["over"], g["n"]), risk, level) for r, g in every.groupby("rule")}
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        by = np.bincount(group["over"], group["n"], len(CUTOFFS) + 1).astype(np.int64)
-        # A text over the strictest j cutoffs is over the last j, as they run from loose to strict.
-        over = np.array([by[len(CUTOFFS) - j :].sum() for j in range(len(CUTOFFS))])
-        level = error / (int(group["_strata"].iloc[0]) * len(RULES))
-        best = strictest(over, int(by.sum()), risk, level)
-        return pd.DataFrame({"_stratum": group["_stratum"].iloc[:1].values, "rule": group["rule"].iloc[:1].values, "cutoff": [best]})
+        over, n = _over(group["over"], group["n"])
+        rule = group["rule"].iloc[0]
+        best = strictest(over, n, risk, level)
+        if tail(0, n, risk) > level and pooled[rule] is not None:
+            best = min((c for c, k in zip(CUTOFFS, over) if c >= pooled[rule] and k < n * risk), default=None)
+        return pd.DataFrame({"_stratum": group["_stratum"].iloc[:1].values, "rule": [rule], "cutoff": [best]})
 
-    chosen = counts.crossJoin(F.broadcast(strata)).groupBy("_stratum", "rule").applyInPandas(choose, "_stratum string, rule string, cutoff double")
-    return chosen.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
+    chosen = counts.groupBy("_stratum", "rule").applyInPandas(choose, "_stratum string, rule string, cutoff double")
+    found = chosen.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
+    rest = docs.select(F.col(stratum).cast("string").alias("_stratum")).distinct().alias("d").join(found.alias("f"), F.expr("d._stratum <=> f._stratum"), "left_anti")
+    return found.unionByName(rest.select("_stratum", *[F.lit(pooled.get(r)).cast("double").alias(f"_cut_{r}") for r in RULES]))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -134,8 +153,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     A row is kept if it passes the base rule (50 words or more, and not over half
     of them in repeated three-word windows) and is over no cutoff of its stratum.
     Null, empty and blank texts have no words and fail.  A stratum (null is one)
-    without enough clean labels has no cutoffs.  Repeated labels count once, and a
-    document with any label of quality 0 isn't clean.
+    with too few clean labels takes the cutoffs of all strata together; there are
+    none if those are too few as well.  Repeated labels count once, and a document
+    with any label of quality 0 isn't clean.
     """
     from strandlake.llm.exchange import checkpointed
 

@@ -213,3 +213,23 @@ def test_clashing_columns(docs):
 
     odd = docs.limit(5).withColumn("batch", F.lit("x")).withColumn("kept", F.lit(1)).withColumn("n_words", F.lit(2))
     assert passage_dedup(odd).columns[:5] == odd.columns and passage_dedup(odd).count() == 5
+
+
+def test_small_strata_reject_junk(spark):
+    """Strata too small for a cutoff of their own take the pooled one, if their own clean texts allow it."""
+    from strandlake.llm.quality_rules import quality_rules
+
+    def text(i: int, junk: bool) -> str:
+        return " ".join(f"w{i}x{k}" for k in range(60)) + " #" * 30 * junk
+
+    # (language, clean labels, whether the clean texts have symbols, unlabelled junk); 2,540 clean texts can certify a cutoff, 3 of them over.
+    plan = [("en", 2500, False, 3), ("fr", 37, False, 3), ("hi", 3, True, 3), ("es", 0, False, 3), (None, 0, False, 3)]
+    rows, labels = [], []
+    for lang, clean, symbols, junk in plan:
+        for j in range(clean + junk):
+            rows.append((len(rows), text(len(rows), symbols or j >= clean), lang, "clean" if j < clean else "junk"))
+            if j < clean:
+                labels.append((rows[-1][0], 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")
+    kept = collections.Counter((r.lang, r.kind) for r in quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).filter("kept").collect())
+    assert kept == {("en", "clean"): 2500, ("fr", "clean"): 37, ("hi", "clean"): 3, ("hi", "junk"): 3}

@@ -27,15 +27,15 @@ VIEWS = {
     "v_mask": "SELECT o_orderkey * 37 % 200000 AS s, o_orderkey * 37 % 200000 + 50 + o_custkey % 400 AS e FROM orders",
     "v_merged": """SELECT min(s) AS s, max(e) AS e FROM (SELECT s, e, sum(new) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
   SELECT s, e, CASE WHEN s <= max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM v_mask)) GROUP BY island""",
-    "v_node": """SELECT c_custkey AS node, 0.0e0 AS time, 1 AS is_sample FROM customer WHERE c_custkey < 200
-  UNION ALL SELECT 1000000 + n_nationkey, 1.0e0 + n_nationkey, 0 FROM nation UNION ALL SELECT 2000000 + r_regionkey, 100.0e0 + 10 * r_regionkey, 0 FROM region UNION ALL SELECT 3000000, 1000.0e0, 0""",
-    "v_edge": """SELECT 0 AS l, 500000 AS r, 1000000 + CAST(c_nationkey AS BIGINT) AS parent, c_custkey AS child FROM customer WHERE c_custkey < 200
-  UNION ALL SELECT 500000, 1000000, 1000000 + (CAST(c_nationkey AS BIGINT) + 7) % 25, c_custkey FROM customer WHERE c_custkey < 200
-  UNION ALL SELECT 0, 1000000, 2000000 + CAST(n_regionkey AS BIGINT), 1000000 + CAST(n_nationkey AS BIGINT) FROM nation
-  UNION ALL SELECT 0, 1000000, CAST(3000000 AS BIGINT), 2000000 + CAST(r_regionkey AS BIGINT) FROM region""",
+    "v_node": """SELECT c_custkey AS node, 0.0e0 AS time, 1 AS is_sample FROM customer
+  UNION ALL SELECT -1000000 + n_nationkey, 1.0e0 + n_nationkey, 0 FROM nation UNION ALL SELECT -2000000 + r_regionkey, 100.0e0 + 10 * r_regionkey, 0 FROM region UNION ALL SELECT -3000000, 1000.0e0, 0""",
+    "v_edge": """SELECT 0 AS l, 500000 AS r, -1000000 + CAST(c_nationkey AS BIGINT) AS parent, c_custkey AS child FROM customer
+  UNION ALL SELECT 500000, 1000000, -1000000 + (CAST(c_nationkey AS BIGINT) + 7) % 25, c_custkey FROM customer
+  UNION ALL SELECT 0, 1000000, -2000000 + CAST(n_regionkey AS BIGINT), -1000000 + CAST(n_nationkey AS BIGINT) FROM nation
+  UNION ALL SELECT 0, 1000000, CAST(-3000000 AS BIGINT), -2000000 + CAST(r_regionkey AS BIGINT) FROM region""",
     "v_tree": "SELECT l AS tree, parent, child FROM v_edge WHERE r = l + 500000 UNION ALL SELECT t.tree, e.parent, e.child FROM v_edge e CROSS JOIN (SELECT 0 AS tree UNION ALL SELECT 500000) t WHERE e.r = e.l + 1000000",
     "v_up": """SELECT a.tree, a.child AS sample, a.parent AS n1, b.parent AS n2, c.parent AS n3 FROM v_tree a JOIN v_tree b ON a.tree = b.tree AND a.parent = b.child JOIN v_tree c ON b.tree = c.tree AND b.parent = c.child
-  WHERE a.child < 1000000""",
+  WHERE a.child >= 0""",
     "v_anc": "SELECT tree, sample, sample AS node FROM v_up UNION ALL SELECT tree, sample, n1 FROM v_up UNION ALL SELECT tree, sample, n2 FROM v_up UNION ALL SELECT tree, sample, n3 FROM v_up",
     "v_below": "SELECT tree, node, count(*) AS k, sum(CASE WHEN sample % 2 = 0 THEN 1 ELSE 0 END) AS k_a, sum(CASE WHEN sample % 2 = 1 THEN 1 ELSE 0 END) AS k_b FROM v_anc GROUP BY tree, node",
     "v_branch": "SELECT t.tree, t.child AS node, p.time - c.time AS blen, b.k, b.k_a, b.k_b FROM v_tree t JOIN v_node p ON p.node = t.parent JOIN v_node c ON c.node = t.child JOIN v_below b ON b.tree = t.tree AND b.node = t.child",

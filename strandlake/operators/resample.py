@@ -18,10 +18,9 @@ QUERIES = {
     "welch_t": f"SELECT round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 4) AS df FROM {_Z} a JOIN {_Z} b ON a.engine = 0 AND b.engine = 1",
     "ols_hc3": "SELECT round(max(b), 6) AS slope, round(sqrt(sum(power(x - mx, 2) * power((y - my - b * (x - mx)) / (1 - 1.0e0 / n - power(x - mx, 2) / sxx), 2))) / max(sxx), 6) AS se FROM (SELECT x, y, mx, my, n, sxx, sxy / sxx AS b FROM (SELECT x, y, n, mx, my, sum((x - mx) * (x - mx)) OVER () AS sxx, sum((x - mx) * (y - my)) OVER () AS sxy FROM (SELECT log10(1.0e0 + t_inv) AS x, score / 100 AS y, avg(log10(1.0e0 + t_inv)) OVER () AS mx, avg(score / 100) OVER () AS my, count(*) OVER () AS n FROM v_grid)))",
     "wls_slope": "SELECT round((sum(w * x * y) / sum(w) - sum(w * x) * sum(w * y) / power(sum(w), 2)) / (sum(w * x * x) / sum(w) - power(sum(w * x) / sum(w), 2)), 6) AS slope FROM (SELECT t_inv AS x, avg(score) AS y, count(*) * 1.0e0 AS w FROM v_grid GROUP BY t_inv)",
-    "fisher_exact": """SELECT tx, a, b, c, d, round(p, 6) AS p FROM (SELECT o.tx, o.a, o.b, o.c, o.d, sum(CASE WHEN lp <= lp0 + 1.0e-7 THEN exp(lp) ELSE 0 END) AS p FROM (SELECT x.*, s.i, f1.lf + f2.lf + f3.lf + f4.lf - f5.lf - g1.lf - g2.lf - g3.lf - g4.lf AS lp, f1.lf + f2.lf + f3.lf + f4.lf - f5.lf - h1.lf - h2.lf - h3.lf - h4.lf AS lp0 FROM (
-  SELECT p_brand AS tx, sum(CASE WHEN p_size < 25 AND p_type < 'M' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN p_size < 25 AND p_type >= 'M' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN p_size >= 25 AND p_type < 'M' THEN 1 ELSE 0 END) AS c, sum(CASE WHEN p_size >= 25 AND p_type >= 'M' THEN 1 ELSE 0 END) AS d FROM part GROUP BY p_brand) x
-  JOIN (SEQ(0;3000)) s ON s.i <= x.a + x.b AND s.i <= x.a + x.c AND x.d - x.a + s.i >= 0 JOIN v_lf f1 ON f1.n = a + b JOIN v_lf f2 ON f2.n = c + d JOIN v_lf f3 ON f3.n = a + c JOIN v_lf f4 ON f4.n = b + d JOIN v_lf f5 ON f5.n = a + b + c + d
-  JOIN v_lf g1 ON g1.n = i JOIN v_lf g2 ON g2.n = a + b - i JOIN v_lf g3 ON g3.n = a + c - i JOIN v_lf g4 ON g4.n = d - a + i JOIN v_lf h1 ON h1.n = a JOIN v_lf h2 ON h2.n = b JOIN v_lf h3 ON h3.n = c JOIN v_lf h4 ON h4.n = d) o GROUP BY o.tx, o.a, o.b, o.c, o.d)""",
+    "fisher_exact": """SELECT tx, a, b, c, d, round(p, 6) AS p FROM (SELECT tx, a, b, c, d, sum(CASE WHEN lp <= lp0 + 1.0e-7 THEN exp(lp) ELSE 0 END) AS p FROM (SELECT tx, a, b, c, d, m - LNFACT(i) - LNFACT(a + b - i) - LNFACT(a + c - i) - LNFACT(d - a + i) AS lp, m - LNFACT(a) - LNFACT(b) - LNFACT(c) - LNFACT(d) AS lp0 FROM (
+  SEQ(greatest(0, a - d);least(a + b, a + c)), tx, a, b, c, d, m FROM (SELECT tx, a, b, c, d, LNFACT(a + b) + LNFACT(c + d) + LNFACT(a + c) + LNFACT(b + d) - LNFACT(a + b + c + d) AS m FROM (
+  SELECT p_brand AS tx, count(CASE WHEN p_size < 25 AND p_type < 'M' THEN 1 END) AS a, count(CASE WHEN p_size < 25 AND p_type >= 'M' THEN 1 END) AS b, count(CASE WHEN p_size >= 25 AND p_type < 'M' THEN 1 END) AS c, count(CASE WHEN p_size >= 25 AND p_type >= 'M' THEN 1 END) AS d FROM part GROUP BY p_brand)))) GROUP BY tx, a, b, c, d)""",
     "window_null": "SELECT term, k, round(avg(CASE WHEN c >= k THEN 1.0e0 ELSE 0.0e0 END), 6) AS p FROM (SELECT t.term, t.k, w.win, coalesce(w.c, 0) AS c FROM (SELECT term, count(*) AS k FROM v_gene WHERE chrom = 0 AND s BETWEEN 80000 AND 139000 GROUP BY term) t JOIN (SELECT term, chrom * 10 + CAST(floor(s / 60000) AS BIGINT) AS win, count(*) AS c FROM v_gene GROUP BY term, chrom * 10 + CAST(floor(s / 60000) AS BIGINT)) w ON w.term = t.term) GROUP BY term, k",
     "robust_scale": "SELECT round(max(m1), 6) AS med1, round(max(d1), 6) AS mad1, round(max(m2), 6) AS med2, round(max(d2), 6) AS mad2, round(max(d3), 6) AS mad3 FROM v_mad",
     "corr_pearson": "SELECT round(corr(s1, theta), 6) AS r FROM v_sim",

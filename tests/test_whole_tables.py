@@ -50,3 +50,20 @@ def test_trees_hold_every_customer(spark, tmp_path):
     assert len(answer(spark, "edge_canonical_sort", tmp_path)) == 2 * n + 30
     assert len(answer(spark, "time_rescale", tmp_path)) == n + 31
     assert math.fsum(f for _, f in answer(spark, "afs_branch", tmp_path)) == pytest.approx(1, abs=1e-3)
+
+
+def test_fisher_exact_of_large_groups(spark, tmp_path):
+    # Over 4,000 parts of a brand, a support beyond 3,000, and a small one.
+    cells = {"hot": (4010, 1990, 1990, 1010), "long": (3050, 1500, 1400, 700), "wide": (1700, 1600, 1750, 1500), "small": (3, 1, 0, 4), "one": (1, 0, 0, 0)}
+    rows = [(tx, "A" if k % 2 == 0 else "Z", 10 if k < 2 else 30) for tx, counts in cells.items() for k, n in enumerate(counts) for _ in range(n)]
+    brand, kind, size = zip(*rows)
+    pq.write_table(pa.table({"p_brand": brand, "p_type": kind, "p_size": pa.array(size, pa.int32())}), tmp_path / "part.parquet")
+    want = {}
+    for tx, (a, b, c, d) in cells.items():
+        ways = [math.comb(a + b, i) * math.comb(c + d, a + c - i) for i in range(max(0, a - d), min(a + b, a + c) + 1)]
+        seen = math.comb(a + b, a) * math.comb(c + d, c)
+        want[tx] = (a, b, c, d, sum(w for w in ways if w <= seen) / sum(ways))
+    got = {r[0]: r[1:] for r in answer(spark, "fisher_exact", tmp_path)}
+    assert got.keys() == want.keys()
+    for tx in want:
+        assert got[tx] == pytest.approx(want[tx], abs=1e-6)

@@ -53,6 +53,7 @@ QUERIES = {
     "core_edge": "SELECT part, count(*) AS n, round(avg(dp), 6) AS dp FROM (SELECT dp, CASE WHEN abs(idx - 109.5e0) / 30 < 0.35e0 THEN 'core' WHEN abs(idx - 109.5e0) / 30 > 0.75e0 THEN 'edge' ELSE 'middle' END AS part FROM v_pair WHERE body = 1) GROUP BY part",
     "class_outliers": "SELECT chrom, win, round(z, 6) AS z, CASE WHEN abs(z) > 2 THEN 1 ELSE 0 END AS outlier FROM (SELECT chrom, win, (p - avg(p) OVER (PARTITION BY chrom)) / NULLIF(stddev_samp(p) OVER (PARTITION BY chrom), 0) AS z FROM (SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS win, avg(p_a) AS p FROM v_pair GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT)))",
     "compartments": "SELECT degen, count(*) AS n, round(10000.0e0 * sum(CASE WHEN dp >= 0.3e0 THEN 1 ELSE 0 END) / count(*), 6) AS per_10k, round(avg(dp), 6) AS dp FROM v_annot GROUP BY degen HAVING count(*) >= 50",
-    "transcript_ratio": "SELECT a.tx, round(avg(a.den) / NULLIF(max(w.den), 0), 6) AS ratio FROM v_annot a JOIN (SELECT chrom, avg(den) AS den FROM v_hudson GROUP BY chrom) w ON w.chrom = a.chrom WHERE a.chrom = 0 GROUP BY a.tx",
+    "transcript_ratio": """SELECT t.chrom, t.tx, round(t.den / NULLIF(w.den, 0), 6) AS ratio FROM (SELECT chrom, tx, avg(den) AS den, CAST(floor(median(pos) / 100000) AS BIGINT) AS win FROM v_annot GROUP BY chrom, tx) t
+  LEFT JOIN (SELECT chrom, CAST(floor(pos / 100000) AS BIGINT) AS win, avg(den) AS den FROM v_hudson GROUP BY chrom, CAST(floor(pos / 100000) AS BIGINT)) w ON w.chrom = t.chrom AND w.win = t.win""",
     "asymmetry_mafbins": "SELECT CAST(floor((p_a + p_b) / 2 * 5) AS BIGINT) AS bin, count(*) AS n, round(sum(p_a - p_b) / NULLIF(sum(dp), 0), 6) AS asym FROM v_pair GROUP BY CAST(floor((p_a + p_b) / 2 * 5) AS BIGINT)",
 }

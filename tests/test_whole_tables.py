@@ -2,6 +2,7 @@
 
 import collections
 import math
+import statistics
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -67,3 +68,30 @@ def test_fisher_exact_of_large_groups(spark, tmp_path):
     assert got.keys() == want.keys()
     for tx in want:
         assert got[tx] == pytest.approx(want[tx], abs=1e-6)
+
+
+def test_transcript_ratio_on_every_chromosome(spark):
+    sites = collections.defaultdict(lambda: collections.defaultdict(list))
+    for r in table("lineitem"):
+        chrom, idx, b = r["l_partkey"] // 200, r["l_partkey"] % 200, r["l_suppkey"] % 2
+        sites[chrom, idx][b].append(r["l_quantity"] > ((15 if b else 35) if 80 <= idx <= 139 else 25))
+    den = {}
+    for s, g in sites.items():
+        if len(g[0]) >= 2 and len(g[1]) >= 2:
+            p, q = (sum(g[k]) / len(g[k]) for k in (0, 1))
+            den[s] = p * (1 - q) + q * (1 - p)
+    brand = {r["p_partkey"]: r["p_brand"] for r in table("part")}
+    windows, own = collections.defaultdict(list), collections.defaultdict(list)
+    for (chrom, idx), x in den.items():
+        windows[chrom, (idx * 1000 + 1) // 100_000].append(x)
+        for o in (0, 1):
+            if (part := chrom * 200 + (idx + o) % 200) in brand:
+                own[chrom, brand[part]].append((idx * 1000 + 1, x))
+    want = {}
+    for (chrom, tx), found in own.items():
+        near = windows.get((chrom, int(statistics.median(at for at, _ in found) // 100_000)))
+        want[chrom, tx] = sum(x for _, x in found) / len(found) / (sum(near) / len(near)) if near and sum(near) else None
+    got = {(c, tx): ratio for c, tx, ratio in answer(spark, "transcript_ratio")}
+    assert len({c for c, _ in got}) == 10 and got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=2e-6)

@@ -8,7 +8,7 @@ QUERIES = {
     "sfs_project": """SELECT m.i AS k, round(sum(s.c * exp(a.lf - b.lf - d.lf + e.lf - f.lf - g.lf - (h.lf - o.lf - p.lf))), 6) AS n FROM (SELECT k, count(*) AS c FROM v_hsite GROUP BY k) s JOIN (SEQ(0;10)) m ON m.i <= s.k AND 10 - m.i <= 25 - s.k
   JOIN v_lf a ON a.n = s.k JOIN v_lf b ON b.n = m.i JOIN v_lf d ON d.n = s.k - m.i JOIN v_lf e ON e.n = 25 - s.k JOIN v_lf f ON f.n = 10 - m.i JOIN v_lf g ON g.n = 25 - s.k - 10 + m.i
   JOIN v_lf h ON h.n = 25 JOIN v_lf o ON o.n = 10 JOIN v_lf p ON p.n = 15 GROUP BY m.i""",
-    "sfs_l1": "SELECT round(sum(abs(a - b)), 6) AS l1 FROM (SELECT k, sum(CASE WHEN g = 0 THEN c ELSE 0 END) / 2000.0e0 AS a, sum(CASE WHEN g = 1 THEN c ELSE 0 END) / 2000.0e0 AS b FROM (SELECT k_a AS k, 0 AS g, count(*) AS c FROM v_hsite GROUP BY k_a UNION ALL SELECT k_b, 1, count(*) FROM v_hsite GROUP BY k_b) GROUP BY k)",
+    "sfs_l1": "SELECT round(sum(abs(a - b)), 6) AS l1 FROM (SELECT k, sum(CASE WHEN g = 0 THEN c ELSE 0 END) * 1.0e0 / sum(sum(CASE WHEN g = 0 THEN c ELSE 0 END)) OVER () AS a, sum(CASE WHEN g = 1 THEN c ELSE 0 END) * 1.0e0 / sum(sum(CASE WHEN g = 1 THEN c ELSE 0 END)) OVER () AS b FROM (SELECT k_a AS k, 0 AS g, count(*) AS c FROM v_hsite GROUP BY k_a UNION ALL SELECT k_b, 1, count(*) FROM v_hsite GROUP BY k_b) GROUP BY k)",
     "f1_ratio": "SELECT round(a / NULLIF(b, 0), 6) AS ratio, round(a, 6) AS f1_a, round(b, 6) AS f1_b FROM (SELECT sum(CASE WHEN k_a = 1 THEN 1.0e0 ELSE 0 END) / NULLIF(sum(CASE WHEN k_a > 0 AND k_a < n_a THEN 1 ELSE 0 END), 0) AS a, sum(CASE WHEN k_b = 1 THEN 1.0e0 ELSE 0 END) / NULLIF(sum(CASE WHEN k_b > 0 AND k_b < n_b THEN 1 ELSE 0 END), 0) AS b FROM v_hsite)",
     "multinomial_ll": "SELECT round(sum(c * ln(q)), 4) AS ll, round(2 * 1 - 2 * sum(c * ln(q)), 4) AS aic FROM (SELECT k, count(*) AS c FROM v_hsite WHERE k > 0 AND k < n GROUP BY k) JOIN (SELECT i, (1.0e0 / i) / sum(1.0e0 / i) OVER () AS q FROM (SEQ(1;24))) ON k = i",
     "sfs2d_summary": """SELECT sum(v) AS total, sum(CASE WHEN i BETWEEN 1 AND 12 AND j BETWEEN 1 AND 11 THEN v ELSE 0 END) AS shared, sum(CASE WHEN i > 0 AND j = 0 THEN v ELSE 0 END) AS private_a, sum(CASE WHEN i = 0 AND j > 0 THEN v ELSE 0 END) AS private_b,

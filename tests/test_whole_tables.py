@@ -95,3 +95,11 @@ def test_transcript_ratio_on_every_chromosome(spark):
     assert len({c for c, _ in got}) == 10 and got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=2e-6)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_spectra_sum_to_one(spark, sf):
+    parts = pq.read_table(f"{DATA}/../{sf}/part.parquet").to_pylist()
+    ends = [collections.Counter(sum((r["p_partkey"] * 7 + h * (r["p_size"] + 3)) % 11 < 4 for h in range(g, 25, 2)) for r in parts) for g in (0, 1)]
+    want = sum(abs(ends[0][k] - ends[1][k]) for k in range(26)) / len(parts)
+    assert answer(spark, "sfs_l1", f"{DATA}/../{sf}")[0][0] == pytest.approx(want, abs=1e-6)

@@ -21,7 +21,9 @@ QUERIES = {
     "fisher_exact": """SELECT tx, a, b, c, d, round(p, 6) AS p FROM (SELECT tx, a, b, c, d, sum(CASE WHEN lp <= lp0 + 1.0e-7 THEN exp(lp) ELSE 0 END) AS p FROM (SELECT tx, a, b, c, d, m - LNFACT(i) - LNFACT(a + b - i) - LNFACT(a + c - i) - LNFACT(d - a + i) AS lp, m - LNFACT(a) - LNFACT(b) - LNFACT(c) - LNFACT(d) AS lp0 FROM (
   SEQ(greatest(0, a - d);least(a + b, a + c)), tx, a, b, c, d, m FROM (SELECT tx, a, b, c, d, LNFACT(a + b) + LNFACT(c + d) + LNFACT(a + c) + LNFACT(b + d) - LNFACT(a + b + c + d) AS m FROM (
   SELECT p_brand AS tx, count(CASE WHEN p_size < 25 AND p_type < 'M' THEN 1 END) AS a, count(CASE WHEN p_size < 25 AND p_type >= 'M' THEN 1 END) AS b, count(CASE WHEN p_size >= 25 AND p_type < 'M' THEN 1 END) AS c, count(CASE WHEN p_size >= 25 AND p_type >= 'M' THEN 1 END) AS d FROM part GROUP BY p_brand)))) GROUP BY tx, a, b, c, d)""",
-    "window_null": "SELECT term, k, round(avg(CASE WHEN c >= k THEN 1.0e0 ELSE 0.0e0 END), 6) AS p FROM (SELECT t.term, t.k, w.win, coalesce(w.c, 0) AS c FROM (SELECT term, count(*) AS k FROM v_gene WHERE chrom = 0 AND s BETWEEN 80000 AND 139000 GROUP BY term) t JOIN (SELECT term, chrom * 10 + CAST(floor(s / 60000) AS BIGINT) AS win, count(*) AS c FROM v_gene GROUP BY term, chrom * 10 + CAST(floor(s / 60000) AS BIGINT)) w ON w.term = t.term) GROUP BY term, k",
+    "window_null": """SELECT t.term, t.k, round(avg(CASE WHEN coalesce(c.c, 0) >= t.k THEN 1.0e0 ELSE 0.0e0 END), 6) AS p FROM (SELECT term, count(*) AS k FROM v_gene WHERE chrom = 0 AND s BETWEEN 80000 AND 139000 GROUP BY term) t
+  CROSS JOIN (SEQ(0;last), chrom FROM (SELECT chrom, max(CAST(floor(s / 60000) AS BIGINT)) AS last FROM v_gene GROUP BY chrom)) w
+  LEFT JOIN (SELECT term, chrom, CAST(floor(s / 60000) AS BIGINT) AS win, count(*) AS c FROM v_gene GROUP BY term, chrom, CAST(floor(s / 60000) AS BIGINT)) c ON c.term = t.term AND c.chrom = w.chrom AND c.win = w.i GROUP BY t.term, t.k""",
     "robust_scale": "SELECT round(max(m1), 6) AS med1, round(max(d1), 6) AS mad1, round(max(m2), 6) AS med2, round(max(d2), 6) AS mad2, round(max(d3), 6) AS mad3 FROM v_mad",
     "corr_pearson": "SELECT round(corr(s1, theta), 6) AS r FROM v_sim",
     "corr_spearman": "SELECT round(corr(rx, ry), 6) AS rho FROM (SELECT rank() OVER (ORDER BY s1) + (count(*) OVER (PARTITION BY s1) - 1) / 2.0e0 AS rx, rank() OVER (ORDER BY s3) + (count(*) OVER (PARTITION BY s3) - 1) / 2.0e0 AS ry FROM v_sim)",

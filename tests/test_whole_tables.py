@@ -103,3 +103,33 @@ def test_spectra_sum_to_one(spark, sf):
     ends = [collections.Counter(sum((r["p_partkey"] * 7 + h * (r["p_size"] + 3)) % 11 < 4 for h in range(g, 25, 2)) for r in parts) for g in (0, 1)]
     want = sum(abs(ends[0][k] - ends[1][k]) for k in range(26)) / len(parts)
     assert answer(spark, "sfs_l1", f"{DATA}/../{sf}")[0][0] == pytest.approx(want, abs=1e-6)
+
+
+def test_complete_stats_have_all_replicates(spark):
+    reps, track = collections.defaultdict(set), collections.defaultdict(set)
+    for r in table("events"):
+        reps[r["event_type"], r["event_id"] % 2].add(r["user_id"])
+        track[r["event_id"] % 2].add(r["user_id"])
+    want = {(stat, engine, len(x)) for (stat, engine), x in reps.items() if x == track[engine]}
+    assert len(want) < len(reps)
+    assert set(answer(spark, "agg_complete_stats")) == want
+
+
+def test_window_null_counts_empty_windows(spark, tmp_path):
+    parts = [(r["p_partkey"], r["p_type"], r["p_size"]) for r in table("part")]
+    # A term that few windows hold, and a chromosome whose first three windows are empty.
+    parts += [(k, "RARE", 5) for k in (90, 100, 310)] + [(200 * 70 + 199, "LATE", 5)]
+    key, kind, size = zip(*parts)
+    pq.write_table(pa.table({"p_partkey": pa.array(key, pa.int64()), "p_type": kind, "p_brand": ["b"] * len(key), "p_size": pa.array(size, pa.int32())}), tmp_path / "part.parquet")
+    last, held, front = {}, collections.Counter(), collections.Counter()
+    for k, term, _ in parts:
+        win = k % 200 * 1000 // 60_000
+        last[k // 200] = max(win, last.get(k // 200, 0))
+        held[term, k // 200, win] += 1
+        front[term] += k // 200 == 0 and 80 <= k % 200 <= 139
+    windows = [(c, w) for c in last for w in range(last[c] + 1)]
+    want = {t: (k, sum(held[t, *w] >= k for w in windows) / len(windows)) for t, k in front.items() if k}
+    got = {t: (k, p) for t, k, p in answer(spark, "window_null", tmp_path)}
+    assert got.keys() == want.keys() and "RARE" in got
+    for t in want:
+        assert got[t] == pytest.approx(want[t], abs=1e-6)

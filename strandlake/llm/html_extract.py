@@ -18,6 +18,7 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements and words of class, id or role that never hold main text.
 OUTSIDE = frozenset("head title nav footer aside form button menu dialog label input fieldset".split())
 HINTS = frozenset(
@@ -35,8 +36,15 @@ def _outside(tag: str, attributes: str, inside_article: bool) -> bool:
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
-            if name in ("class", "id", "role") and not HINTS.isdisjoint(x.lower() for x in _NAME.findall(value)):
-                return True
+            if name in ("class", "id", "role"):
+                words = {x.lower() for x in _NAME.findall(value)}
+                if inside_article:
+                    words.discard("header")
+                    # Ids made from titles: of any heading, and of a section if they have other words too.
+                    if name == "id" and (tag in HEADINGS or tag == "section" and not words <= HINTS):
+                        continue
+                if not HINTS.isdisjoint(words):
+                    return True
     return False
 
 
@@ -103,8 +111,8 @@ def main_text(page: str | None) -> str:
     headers, footers, forms, adverts and the like, and lines outside the article
     of a page that marks one, have none.  The block length at a line is the sum of
     the weights of BLOCK lines from there on.  Text surges where the block length
-    passes the threshold and lasts until it dives to nothing; the surge with the
-    most text is kept, with every other of at least a fifth of it.  Inside a marked
+    passes the threshold and lasts until it dives to nothing.  Every surge is kept,
+    and so is any line with weight between the first and the last.  Inside a marked
     article any text is a surge, as nothing else has weight there.
     """
     lines = lines_of(page or "")
@@ -125,12 +133,15 @@ def main_text(page: str | None) -> str:
             dive = i
             while dive < len(lines) and block[dive] > 0:
                 dive += 1
-            found.append((i, dive, int(total[dive] - total[i])))
+            found.append((i, dive))
             i = dive
         i += 1
-    most = max((n for *_, n in found), default=0)
-    kept = [(a, b) for a, b, n in found if 5 * n >= most or marked]
-    return "\n".join(lines[k][0] for a, b in kept for k in range(a, b) if wanted[k])
+    keep = np.zeros(len(lines), bool)
+    for a, b in found:
+        keep[a:b] = True
+    if found:
+        keep[found[0][0] : found[-1][1]] |= weight[found[0][0] : found[-1][1]] > 0
+    return "\n".join(lines[k][0] for k in np.flatnonzero(keep & wanted))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

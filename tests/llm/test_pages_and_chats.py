@@ -33,3 +33,17 @@ def test_reply_paths(spark):
     got = reply_paths(spark.createDataFrame(rows, "tree string, node long, parent long, score double")).collect()
     assert sorted((r.depth, r.node) for r in got) == [(0, 1), (1, 3), (2, 5), (3, 6)]
     assert {r.leaf for r in got} == {6}
+
+
+def test_split_pages_and_title_ids():
+    from strandlake.llm.html_extract import main_text
+
+    long, short = "words of a long section, " * 72, "a closing section of few words, " * 6
+    links = "".join(f"<li><a href='/{k}'>link {k}</a></li>" for k in range(4))
+    adverts = "<div class=ad>buy</div>" * 4
+    opening = f"<h1>Title</h1><p>{short}</p>"
+    page = f"<div>{opening}<ul>{links}</ul><p>{long}</p>{adverts}<p>Only a line.</p>{adverts}<h2>End</h2><p>{short}</p></div>"
+    assert main_text(page) == "\n".join(["Title", short.strip(), long.strip(), "Only a line.", "End", short.strip()])
+    article = "<div class='article-header'><h1>T</h1></div><h2 id='related-work'>Related work</h2><p>x</p><section id='search-methods'><p>y</p></section>"
+    clutter = "<section id='comments'>c</section><div id='related-posts'>r</div><section class='share'>s</section>"
+    assert main_text(f"<article>{article}{clutter}</article>") == "T\nRelated work\nx\ny"

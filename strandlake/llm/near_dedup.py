@@ -269,6 +269,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     whose members are then in different components have the pairs across
     components checked as well, so no pair of a bucket is left undecided.
     """
+    return _classified(docs, similarity, bands, rows, weighted, id_col, text_col).select("doc_id", "set_id", "class_id")
+
+
+def _classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``near_duplicates`` with ``label``, which tells classes apart even where ids are repeated."""
     signed = checkpointed(signatures(docs, id_col, text_col, bands, rows, weighted))
     sets = signed.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.any_value("keys").alias("keys"))
     members = sets.select("set_id", "size", "rep", F.explode("keys").alias("key"))
@@ -303,8 +308,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         labels = joined(labels, more)
     named = sets.select("set_id", "rep").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     names = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    classes = named.join(names, "label").select("set_id", "class_id")
-    return signed.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "set_id", "class_id")
+    classes = named.join(names, "label").select("set_id", "class_id", "label")
+    return signed.select("doc_id", "set_id").join(classes, "set_id").select("doc_id", "set_id", "class_id", "label")
 
 
 def op9_near_dedup(docs: DataFrame) -> DataFrame:
@@ -312,12 +317,38 @@ def op9_near_dedup(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "class_id")
 
 
+@F.arrow_udf(T.LongType())
+def _set_of(texts: pa.Array) -> pa.Array:
+    record = pa.record_batch({"row": pa.array(np.arange(len(texts))), "text": texts})
+    found = [np.zeros(0, np.uint64)]
+    for part in portions(record, "text"):
+        words = Words(Batch(pa.Table.from_batches([part]), "row", "text"), places=False)
+        for row, to in _chunks(words):
+            owner, value, _ = shingles(words, row, to)
+            found.append(_set_ids(owner, value, to - row))
+    return _signed(np.concatenate(found))
+
+
+#: Else the join on the set would be pushed below the one on the id and hash every text again.
+_set_of = _set_of.asNondeterministic()
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (a documents table) that lead their class, each id once.
+    """One row of ``docs`` (a documents table) for each class.
 
-    Rows without an id can't lead a class that has ids; those of a class without
-    any all stay.
+    It has the least id of its class (null only if the class has no other) and,
+    where several rows of the class have that id, the least set and then the least
+    hash of its content.  Other classes' rows of the same id don't count.
     """
-    classes = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    rows = checkpointed(_classified(docs).select("doc_id", "set_id", "label"))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")).alias("_first"))
+    leaders = first.select(F.col("_first.doc_id").alias("_keep"), F.col("_first.set_id").alias("_set"))
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
+    same = F.col("_keep").eqNullSafe(F.col("_again"))
+    # The set is only needed where an id has several rows.
+    single = docs.join(leaders.join(repeated, same, "left_anti"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    several = docs.join(leaders.join(repeated, same, "left_semi").select("_keep").distinct(), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").withColumn("_own", _set_of("text"))
+    chosen = several.join(leaders, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_set")), "left_semi")
+    order = F.struct(F.sha2("text", 256), F.xxhash64(*docs.columns))
+    one = chosen.groupBy("doc_id", "_own").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+    return single.unionByName(one)

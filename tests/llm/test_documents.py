@@ -233,3 +233,18 @@ def test_small_strata_reject_junk(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")
     kept = collections.Counter((r.lang, r.kind) for r in quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).filter("kept").collect())
     assert kept == {("en", "clean"): 2500, ("fr", "clean"): 37, ("hi", "clean"): 3, ("hi", "junk"): 3}
+
+
+def test_one_of_each_class_with_repeated_ids(spark):
+    from strandlake.llm.near_dedup import one_of_each
+
+    text = lambda k, more="": " ".join(f"t{k}w{i}" for i in range(60)) + more
+    # Two classes led by 1; class 2 has a row of id 1 that leads another; ids that are null; copies of one row.
+    rows = [(1, text(0)), (1, text(1)), (2, text(1, " end")), (3, text(2)), (3, text(2)), (3, text(2) + " "), (4, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (5, text(4)), (6, text(5)), (6, text(0)), (7, None), (8, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, text(0)), (1, text(1)), (None, text(3)), (5, text(4)), (6, text(5))]
+    for parts in (1, 5):
+        got = [tuple(r) for r in one_of_each(frame.repartition(parts)).collect()]
+        assert sorted([(i, t) for i, t in got if i not in (3, 7)], key=str) == sorted(want, key=str)
+        least = min([text(2), text(2) + " "], key=lambda t: digest(t.encode()))
+        assert [t for i, t in got if i == 3] == [least] and [t for i, t in got if i == 7] == [None]

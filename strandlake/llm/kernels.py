@@ -1,15 +1,23 @@
 """Vectorised text kernels shared by the operators of this package.
 
 Everything works on one ``Batch``: the texts of some rows as one byte buffer
-with offsets, in an order that depends on the rows' content only.  Hashes are
-64-bit; none depends on the machine, the process or the order of arrival.
+with offsets, in an order that depends on the rows' content only.  No hash
+depends on the machine, the process or the order of arrival.
+
+Words are told apart by chained scrambling of their bytes, eight at a time,
+which no structure of a text can cancel; passages by 128-bit digests of their
+bytes.  The polynomial ``prefix_hash`` can be cancelled, so it only picks anchors:
+equal contents get equal anchors, and that is all an anchor has to promise.
 """
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 #: Arithmetic modulo 2**64 wraps on purpose.
@@ -39,6 +47,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The first n bytes of a little-endian 64-bit value.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -62,10 +74,56 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the spans [start, end), equal for equal values wherever they stand."""
-    _, down = powers(len(h))
-    return mix((h[end] - h[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans [start, end) of a byte buffer; lanes are independent of each other."""
+    size, odd = end - start, U(0x9FB21C651E98DF25 + 2 * lane)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix((eight[start] & _FIRST[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(lane)))
+    more = np.flatnonzero(size > 8)
+    for done in range(8, LONG_WORD, 8):
+        more = more[size[more] > done]
+        if not len(more):
+            break
+        out[more] = mix(out[more] * odd ^ (eight[start[more] + done] & _FIRST[np.minimum(size[more] - done, 8)]))
+    if len(more):
+        more = more[size[more] > LONG_WORD]
+        view = memoryview(np.ascontiguousarray(data))
+        out[more] = [xxhash.xxh3_64_intdigest(view[a:b], lane) for a, b in zip(start[more].tolist(), end[more].tolist())]
+    return out
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(n, 2) values: the 128-bit digests of the bytes of the spans [start, end)."""
+    view, one = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([one(view[a:b]) for a, b in zip(start.tolist(), end.tolist())]), np.uint64).reshape(-1, 2)
+
+
+def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of each ``width`` consecutive values, by scrambled doubling."""
+    out, at, level, span = None, 0, mix(values + U(width)), 1
+    while True:
+        if width & span:
+            part = level[at : at + len(values) - width + 1]
+            out = part if out is None else mix(out * U(0x9FB21C651E98DF25) ^ part)
+            at += span
+        if span * 2 > width:
+            return out
+        level = mix(level[: len(level) - span] * U(0x9E3779B97F4A7C15) ^ level[span:])
+        span *= 2
+
+
+def release() -> None:
+    """Gives memory that a finished group no longer needs back to the machine, which JVM and workers share."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
 
 
 def portions(record: pa.RecordBatch, text_col: str, most: int = PORTION):
@@ -101,7 +159,8 @@ class Batch:
         self.order = order
         self.ids = keys[order]
         self.null = self.null[order]
-        if len(order) and (order[1:] < order[:-1]).any():
+        self.moved = bool((order[1:] < order[:-1]).any())
+        if self.moved:
             texts = texts.take(pa.array(order))
         self.n = len(order)
         ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
@@ -112,12 +171,12 @@ class Batch:
     def text(self, row: int) -> bytes:
         return self.data[self.ends[row] : self.ends[row + 1]].tobytes()
 
-    def chunks(self):
-        """Ranges of rows of about CHUNK bytes; a longer text stands alone."""
-        row = 0
-        while row < self.n:
-            to = int(np.searchsorted(self.ends, self.ends[row] + CHUNK, side="right")) - 1
-            to = min(max(to, row + 1), self.n)
+    def chunks(self, row: int = 0, end: int | None = None, most: int = CHUNK):
+        """Ranges of rows of about ``most`` bytes; a longer text stands alone."""
+        end = self.n if end is None else end
+        while row < end:
+            to = int(np.searchsorted(self.ends, self.ends[row] + most, side="right")) - 1
+            to = min(max(to, row + 1), end)
             yield row, to
             row = to
 
@@ -126,15 +185,16 @@ class Batch:
 
 
 class Words:
-    """The words (runs of bytes other than ASCII white space) of a batch.
+    """The words (runs of bytes other than ASCII white space) of rows ``row`` to ``to`` of a batch.
 
-    ``hash`` has one value per word, ``first[row]:first[row + 1]`` the words of a
-    row, ``start`` and ``end`` their byte places in the batch's buffer.
+    ``hash`` has one value per word (``other`` a second, independent one if asked
+    for), ``first[i]:first[i + 1]`` the words of the i-th row, ``start`` and ``end``
+    their byte places in the batch's buffer.
     """
 
-    def __init__(self, batch: Batch, lower: bool = False, places: bool = True):
-        hashes, starts, ends, counts = [], [], [], [np.zeros(1, np.int64)]
-        for row, to in batch.chunks():
+    def __init__(self, batch: Batch, lower: bool = False, places: bool = True, other: bool = False, row: int = 0, to: int | None = None):
+        lanes, starts, ends, counts = ([], []), [], [], [np.zeros(1, np.int64)]
+        for row, to in batch.chunks(row, to):
             at = batch.ends[row]
             cut = batch.ends[row : to + 1] - at
             data = batch.data[at : batch.ends[to]]
@@ -151,13 +211,14 @@ class Words:
             marks = cut[1:][cut[1:] > 0]
             finish[marks] = inside[marks - 1]
             s, e = np.flatnonzero(begins), np.flatnonzero(finish)
-            h = prefix_hash(_BYTE[data])
-            hashes.append(span_hash(h, s, e))
+            for lane in range(1 + other):
+                lanes[lane].append(word_hashes(data, s, e, lane))
             counts.append(np.searchsorted(s, cut[1:], side="left") - np.searchsorted(s, cut[:-1], side="left"))
             if places:
                 starts.append(s + at)
                 ends.append(e + at)
-        self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.hash = np.concatenate(lanes[0]) if lanes[0] else np.zeros(0, np.uint64)
+        self.other = np.concatenate(lanes[1]) if lanes[1] else np.zeros(0, np.uint64)
         self.first = np.cumsum(np.concatenate(counts))
         if places:
             self.start = np.concatenate(starts) if starts else np.zeros(0, np.int64)

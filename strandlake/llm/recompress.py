@@ -6,11 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandlake.llm.kernels import LONE, Batch, U, Words, mix, prefix_hash, runs, sliding_min, span_hash
+from strandlake.llm.kernels import LONE, Batch, U, Words, digests, mix, runs, sliding_min, window_hashes
 from strandlake.llm.repeats import Rule, Segments, repeats
 
 #: Longest symbol, in words, that each round may merge.
-CAPS = (1, 1, 2)
+CAPS = (1, 2)
+#: Adjacent symbols whose names together anchor a window.
+PHRASE = 3
 
 
 def recompress(symbols: np.ndarray, row: np.ndarray, caps: tuple[int, ...] = CAPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,55 +48,54 @@ def recompress(symbols: np.ndarray, row: np.ndarray, caps: tuple[int, ...] = CAP
 
 
 class WordWindows(Rule):
-    """Windows of ``width`` words; the anchor is the least name of the symbols inside.
+    """Windows of ``width`` words; the anchor is the least name of a phrase of adjacent symbols inside.
 
     A boundary between symbols depends on ``margin`` words on either side at most:
     each of a round's two steps looks at one symbol of at most the cap and a word
     beyond it.  So symbols that stand at least that far inside a window are read
-    from the window's own words.  A window that holds no such symbol, being one
-    long run, is anchored by its own hash.
+    from the window's own words.  A window that holds no phrase of such symbols,
+    being mostly long runs, is anchored by its own hash.
     """
 
     by_place = False
 
-    def __init__(self, width: int = 50, caps: tuple[int, ...] = CAPS):
-        self.width, self.longest = width, 1
-        while caps and width - 4 * sum(c + 1 for c in caps) < 4 * max(caps):
-            caps = caps[:-1]
-        for cap in caps:
-            self.longest = max(self.longest, 2 * cap)
-        self.caps, self.margin = caps, 2 * sum(c + 1 for c in caps)
-
-    def read(self, batch: Batch) -> Words:
-        return Words(batch)
-
-    def _parts(self, words: Words, most: int = 1 << 17):
-        row, n = 0, len(words.first) - 1
-        while row < n:
-            to = int(np.searchsorted(words.first, words.first[row] + most, side="right")) - 1
-            to = min(max(to, row + 1), n)
-            yield row, to
-            row = to
-
-    def segments(self, words: Words) -> Segments:
+    def __init__(self, width: int = 50, caps: tuple[int, ...] = CAPS, phrase: int = PHRASE):
+        def fits(caps, phrase) -> bool:
+            longest = 2 * max(caps, default=1) if caps else 1
+            return width - 4 * sum(c + 1 for c in caps) - longest * phrase + 1 >= longest
+
+        while caps and not fits(caps, phrase):
+            caps, phrase = (caps, phrase - 1) if phrase > 1 else (caps[:-1], PHRASE)
+        self.width, self.caps, self.margin = width, caps, 2 * sum(c + 1 for c in caps)
+        self.longest = 2 * max(caps) if caps else 1
+        self.phrase = phrase if caps else 1
+
+    def _windows(self, batch: Batch, row: int, to: int):
+        """For chunks of rows: first row, words, and where each row's words and windows begin."""
+        for row, to in batch.chunks(row, to):
+            words = Words(batch, other=True, row=row, to=to)
+            lengths = np.diff(words.first)
+            has = lengths >= self.width
+            if has.any():
+                yield row, words, has
+
+    def segments(self, batch: Batch, row: int, to: int) -> tuple | None:
         width, margin, found = self.width, self.margin, []
-        places = width - 2 * margin - self.longest + 1
-        for row, to in self._parts(words):
-            at = words.first[row]
-            cut = words.first[row : to + 1] - at
+        places = width - 2 * margin - self.longest * self.phrase + 1
+        for row, words, has in self._windows(batch, row, to):
+            h, cut = words.hash, words.first
             lengths = np.diff(cut)
-            has = lengths >= width
-            if not has.any():
-                continue
-            h = words.hash[at : words.first[to]]
-            start, length, name = recompress(h.copy(), np.repeat(np.arange(to - row), lengths), self.caps)
+            start, length, name = recompress(h.copy(), words.row_of(), self.caps)
+            # The phrase at a symbol: its name and those of the next, if all are short.
+            many, k = len(start) - self.phrase + 1, self.phrase
             value = np.full(len(h), LONE)
-            short = length <= self.longest
-            value[start[short]] = mix(name[short])
+            if many > 0:
+                short = sliding_min((length <= self.longest).astype(np.int8), k) > 0
+                value[start[:many][short]] = window_hashes(name, k)[short]
             least = sliding_min(value[margin : len(h) - margin], places)[: len(h) - width + 1]
-            prefix = prefix_hash(h)
             bare = np.flatnonzero(least == LONE)
-            least[bare] = span_hash(prefix, bare, bare + width)
+            if len(bare):
+                least[bare] = window_hashes(h, width)[bare]
             begin, ends = cut[:-1][has], cut[1:][has] - width + 1
             new = np.ones(len(least) + 1, bool)
             new[1:-1] = least[1:] != least[:-1]
@@ -109,39 +110,50 @@ class WordWindows(Rule):
             keep = valid[s]
             s, e = s[keep], e[keep]
             owner = np.searchsorted(cut, s, side="right") - 1
-            found.append((owner + row, s - cut[owner], e - s, least[s], span_hash(prefix, s, e + width - 1)))
-        if not found:
-            z = np.zeros(0, np.int64)
-            return Segments(z, z, z, z.astype(np.uint64), z.astype(np.uint64))
-        return Segments(*(np.concatenate(x) for x in zip(*found)))
-
-    def contents(self, words: Words, s: Segments, which: np.ndarray) -> list[np.ndarray]:
-        out = np.zeros(int(s.count[which].sum()), np.uint64)
+            text, opens, closes = spaced(batch.data, words.start, words.end)
+            found.append((owner + row, s - cut[owner], e - s, least[s], digests(text, opens[s], closes[e + width - 2])))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else None
+
+    def contents(self, batch: Batch, s: Segments, which: np.ndarray) -> list[np.ndarray]:
+        n = int(s.count[which].sum())
+        out = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
         place = np.cumsum(s.count[which]) - s.count[which]
-        for row, to in self._parts(words):
-            mine = np.flatnonzero((s.row[which] >= row) & (s.row[which] < to))
-            if not len(mine):
-                continue
-            at = words.first[row]
-            prefix = prefix_hash(words.hash[at : words.first[to]])
+        by_row = np.argsort(s.row[which], kind="stable")
+        rows = s.row[which][by_row]
+        for row, words, has in self._windows(batch, 0, batch.n):
+            mine = by_row[np.searchsorted(rows, row) : np.searchsorted(rows, row + len(has))]
             count = s.count[which[mine]]
-            begin = runs(words.first[s.row[which[mine]]] - at + s.start[which[mine]], count)
-            out[runs(place[mine], count)] = span_hash(prefix, begin, begin + self.width)
-        return [out]
+            begin = runs(words.first[s.row[which[mine]] - row] + s.start[which[mine]], count)
+            for lane, values in enumerate((words.hash, words.other)):
+                out[lane][runs(place[mine], count)] = window_hashes(values, self.width)[begin]
+        return out
+
+    def sizes(self, count: np.ndarray) -> np.ndarray:
+        return count
 
     def repeated(self, anchor, doc, start, count, contents) -> np.ndarray:
-        window = np.concatenate([c[0] for c in contents])
-        key, doc = np.repeat(anchor, count), np.repeat(doc, count)
-        order = np.lexsort((doc, window, key))
-        k, w, d = key[order], window[order], doc[order]
+        window, other = (np.concatenate([c[lane] for c in contents]) for lane in (0, 1))
+        doc = np.repeat(doc, count)
+        order = np.lexsort((doc, other, window))
+        w, o, d = window[order], other[order], doc[order]
         first = np.ones(len(order), bool)
-        first[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
+        first[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
         head = np.flatnonzero(first)[np.cumsum(first) - 1]
         hit = np.empty(len(order), bool)
         hit[order] = d != d[head]
         return hit
 
 
+def spaced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of a buffer one after the other, each followed by a space; and where each begins and ends now."""
+    size = end - start + 1
+    after = np.cumsum(size)
+    index = runs(start, size)
+    out = data[np.minimum(index, max(len(data) - 1, 0))] if len(index) else np.zeros(0, np.uint8)
+    out[after - 1] = 0x20
+    return out, after - size, after - 1
+
+
 def passage_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Removes every word that a ``width``-word window covers which a smaller id also has.
 
@@ -160,29 +172,24 @@ def passage_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text
     extra = docs.select("*", *[F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds)]).schema
     arrow = to_arrow_schema(extra)
 
-    def finish(table: pa.Table, local, row, start, end) -> pa.Table:
-        batch, words = local.batch, local.units
+    def finish(table: pa.Table, batch: Batch, row: int, to: int, owner, start, end) -> pa.Table:
+        words = Words(batch, row=row, to=to)
         keep = np.ones(len(words.hash), bool)
-        keep[runs(words.first[row] + start, end - start)] = False
-        s, e = words.start[keep], words.end[keep]
-        total = np.concatenate([[0], np.cumsum(keep)])
-        per = np.diff(total[words.first])
-        # One gather of all kept bytes: each word with the place after it, which becomes a space.
-        size = e - s + 1
-        last = np.cumsum(per)[per > 0] - 1
-        size[last] -= 1
-        index = runs(s, size)
-        ends = np.cumsum(size)
-        data = np.concatenate([batch.data, [0x20]]).astype(np.uint8)[index] if len(index) else np.zeros(0, np.uint8)
-        gap = np.ones(len(size), bool)
-        gap[last] = False
-        data[ends[gap] - 1] = 0x20
-        offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])].astype(np.int32)
-        kept = pa.Array.from_buffers(pa.string(), batch.n, [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
-        bounds = np.searchsorted(row, np.arange(batch.n + 1)).astype(np.int32)
+        keep[runs(words.first[owner] + start, end - start)] = False
+        data, opens, closes = spaced(batch.data, words.start[keep], words.end[keep])
+        total = np.concatenate([[0], np.cumsum(keep)])[words.first]
+        per = np.diff(total)
+        # A row's text ends before the space after its last word, which is left out.
+        solid = np.ones(len(data), bool)
+        solid[closes[total[1:][per > 0] - 1]] = False
+        size = np.zeros(len(per), np.int64)
+        size[per > 0] = closes[total[1:][per > 0] - 1] - opens[total[:-1][per > 0]]
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        kept = pa.Array.from_buffers(pa.string(), to - row, [None, pa.py_buffer(offsets), pa.py_buffer(data[solid].tobytes())])
         pairs = pa.StructArray.from_arrays([pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
         n_words = np.diff(words.first)
-        new = [pa.array(n_words, pa.int64()), pa.array(n_words - per, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pairs), kept]
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(to - row + 1)).astype(np.int32)), pairs)
+        new = [pa.array(n_words, pa.int64()), pa.array(n_words - per, pa.int64()), lists, kept]
         return pa.Table.from_arrays([*table.columns, *new], names=[*table.column_names, *names]).cast(arrow)
 
     return repeats(docs, WordWindows(width), finish, extra, id_col, text_col)

@@ -13,6 +13,11 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 EXTRA = [(100000, "a " * 300), (100001, "a " * 200 + "b " * 70), (100002, None), (100003, ""), (100004, "x y z " * 60), (100005, "q x y z " + "y z x " * 50), (100006, "é" * 400), (100007, "-" * 5000), (100008, "One  two\n\nOne two\n One two"), (100009, "<|endoftext|> it's 12 ² x")]
 
+#: A row of symbols and its complement, which any polynomial hash modulo 2**64 takes for the same.
+MORSE = ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(4096)) for k in (0, 1)]
+SIXTY = " ".join(f"w{k}" for k in range(60))
+EXTRA += [(100010, MORSE[0]), (100011, MORSE[1]), (100012, f"{SIXTY} {MORSE[0]}"), (100013, f"{SIXTY} {MORSE[1]}"), (100014, " ".join(MORSE[0])), (100015, " ".join(MORSE[1])), (100016, f"start {' '.join(MORSE[1])}")]
+
 
 @pytest.fixture(scope="module")
 def docs(spark):
@@ -47,17 +52,21 @@ def test_suffix_dedup(docs, texts):
 def test_suffix_family_levels():
     from strandlake.llm.suffix_dedup import SuffixFamily
 
-    family, seen = SuffixFamily(3, base=4), set()
     rng = np.random.default_rng(5)
-    for _ in range(40):
-        batch = ["".join("ab\0"[k] for k in rng.integers(0, 3, 3)).encode() for _ in range(3)]
+    data = np.frombuffer("".join("ab\0"[k] for k in rng.integers(0, 3, 400)).encode(), np.uint8)
+    family, seen = SuffixFamily(data, 4, base=4), set()
+    family.BLOCK = 5
+    places = rng.permutation(len(data) - 3)
+    for k in range(0, len(places), 7):
         want = []
-        for w in batch:
+        for w in (data[p : p + 4].tobytes() for p in places[k : k + 7]):
             want.append(w in seen)
             seen.add(w)
-        padded = np.frombuffer(b"".join(batch), "V3").view("S3")
-        assert family.add(padded).tolist() == want
-    assert len(family.levels) == len(set(family.levels))
+        assert family.add(places[k : k + 7]).tolist() == want
+    assert len(family.levels) == len(set(family.levels)) and sum(map(len, family.levels.values())) == len(seen)
+    for level in family.levels.values():
+        spelt = [data[p : p + 4].tobytes() for p in level]
+        assert spelt == sorted(spelt)
 
 
 def test_passage_dedup(docs, texts):

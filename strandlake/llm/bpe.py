@@ -18,6 +18,8 @@ from strandlake.llm.kernels import portions
 
 #: Unicode white space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
+#: Frequent marks at the end of a word; none begins a contraction.
+MARKS = ".,;:!?)"
 #: Texts that a worker remembers the tokens of, at most.
 REMEMBERED = 1 << 20
 
@@ -54,11 +56,11 @@ class SegmentTreeMerger:
     def merge(self, symbols: np.ndarray) -> np.ndarray:
         """symbols: (rows, width) ids, padded with -1; width a power of two. The result is padded in between."""
         rows, width = symbols.shape
-        sym = np.full((rows, width + 1), -1, np.int64)
+        # All four tables are flat, a row of each after the other, with one place more than a row has symbols.
+        step, half = width + 1, 2 * width
+        sym = np.full((rows, step), -1, np.int64)
         sym[:, :width] = symbols
-        following = np.tile(np.minimum(np.arange(1, width + 2), width), (rows, 1))
-        before = np.tile(np.arange(-1, width), (rows, 1))
-        tree = np.full((rows, 2 * width), self.NONE)
+        tree = np.full((rows, half), self.NONE)
         rank = self.ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(rows, width)
         tree[:, width:] = np.where(rank >= 0, rank * width + np.arange(width), self.NONE)
         node = width
@@ -66,29 +68,37 @@ class SegmentTreeMerger:
             node //= 2
             tree[:, node : 2 * node] = np.minimum(tree[:, 2 * node : 4 * node : 2], tree[:, 2 * node + 1 : 4 * node : 2])
         live = np.flatnonzero(tree[:, 1] < self.NONE) if width > 1 else np.zeros(0, np.int64)
+        following = np.tile(np.minimum(np.arange(1, width + 2), width), rows)
+        before = np.tile(np.arange(-1, width), rows)
+        sym, tree = sym.ravel(), tree.ravel()
         while len(live):
-            best = tree[live, 1]
+            row, top = live * step, live * half
+            best = tree[top + 1]
             at, made = best % width, self.merged[best // width]
-            gone = following[live, at]
-            sym[live, at], sym[live, gone] = made, -1
-            then = following[live, gone]
-            following[live, at] = then
-            before[live, then] = at
-            prior = before[live, at]
-            has = prior >= 0
-            places = [gone, at, np.where(has, prior, at)]
-            tree[live, width + gone] = self.NONE
-            rank = self.ranks(made, sym[live, then])
-            tree[live, width + at] = np.where(rank >= 0, rank * width + at, self.NONE)
-            rank = self.ranks(sym[live, np.maximum(prior, 0)], made)
-            tree[live[has], width + prior[has]] = np.where(rank >= 0, rank * width + prior, self.NONE)[has]
-            for place in places:
-                node = (width + place) >> 1
-                while node[0]:
-                    tree[live, node] = np.minimum(tree[live, 2 * node], tree[live, 2 * node + 1])
-                    node = node >> 1
-            live = live[tree[live, 1] < self.NONE]
-        return sym[:, :width]
+            gone = following[row + at]
+            sym[row + at], sym[row + gone] = made, -1
+            then = following[row + gone]
+            following[row + at] = then
+            before[row + then] = at
+            prior = before[row + at]
+            # A row's first symbol has none before it: its own leaf is then set twice, to the same.
+            left = np.where(prior >= 0, sym[row + np.maximum(prior, 0)], made)
+            right = np.where(prior >= 0, made, sym[row + then])
+            prior = np.where(prior >= 0, prior, at)
+            rank = self.ranks(np.concatenate([made, left]), np.concatenate([sym[row + then], right]))
+            leaf = np.concatenate([at, prior])
+            tree[top + width + gone] = self.NONE
+            tree[np.concatenate([top, top]) + width + leaf] = np.where(rank >= 0, rank * width + leaf, self.NONE)
+            paths = np.concatenate([gone, leaf]) + width
+            tops = np.concatenate([top, top, top])
+            level = width >> 1
+            while level:
+                paths >>= 1
+                child = tops + 2 * paths
+                tree[tops + paths] = np.minimum(tree[child], tree[child + 1])
+                level >>= 1
+            live = live[tree[top + 1] < self.NONE]
+        return sym.reshape(rows, step)[:, :width]
 
 
 class Tokenizer:
@@ -119,6 +129,7 @@ class Tokenizer:
             self.units = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict = {}
+        self.older: dict = {}
         self.encoded: dict = {}
 
     def word_ids(self, words: list[bytes]) -> list[bytes]:
@@ -151,15 +162,14 @@ class Tokenizer:
             unit = unit.lower() if "Σ" not in unit else "".join(c.lower() for c in unit)
             if unit.isalpha():
                 return [unit.encode()]
+        # Letters and one run of marks are two words.
+        letters = unit.rstrip(MARKS)
+        if letters != unit and letters[letters[:1] == " " :].isalpha():
+            return [letters.encode(), unit[len(letters) :].encode()]
         return [w.encode() for w in self.words.findall(unit)]
 
     def learn(self, units: set, form) -> None:
         """Encodes the units that are not yet known; ``form`` makes what is remembered from their ids' bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.encoded) > REMEMBERED // 4:
-            self.encoded.clear()
-        units = units - self.known.keys()
         if not self.lowers:
             # Units of letters alone are words themselves.
             plain = [u for u in units if u.isalpha() or u[0] == " " and u[1:].isalpha()]
@@ -173,27 +183,41 @@ class Tokenizer:
 
     def encode_batch(self, texts: list[str], form, forms_special: dict) -> list[list]:
         """For each text the forms of its units, in order."""
-        parts, every = [], set()
+        if len(self.known) > REMEMBERED // 2:
+            # What is met again is taken over; the rest goes with the next generation.
+            self.older, self.known = self.known, {}
+        if len(self.encoded) > REMEMBERED // 4:
+            self.encoded.clear()
+        get, out, new = self.known.get, [], set()
+
+        def add(row: list, units: list[str]) -> None:
+            got = list(map(get, units))
+            if None in got:
+                unknown = [u for u, g in zip(units, got) if g is None]
+                new.update(unknown)
+                # Their places are filled in once they are learnt.
+                fill = iter(unknown)
+                got = [next(fill) if g is None else g for g in got]
+                waiting.append((row, len(row), len(row) + len(got)))
+            row += got
+
+        waiting: list = []
         for text in texts:
+            row: list = []
             if self.specials is not None and self.specials.search(text):
-                row, at = [], 0
+                at = 0
                 for m in self.specials.finditer(text):
-                    row += [self.units.findall(text[at : m.start()]), m[0]]
+                    add(row, self.units.findall(text[at : m.start()]))
+                    row.append(forms_special[m[0]])
                     at = m.end()
-                row.append(self.units.findall(text[at:]))
-            else:
-                row = [self.units.findall(text)]
-            parts.append(row)
-            for x in row[::2]:
-                every.update(x)
-        self.learn(every, form)
-        get, out = self.known.__getitem__, []
-        for row in parts:
-            got = list(map(get, row[0]))
-            for mark, units in zip(row[1::2], row[2::2]):
-                got.append(forms_special[mark])
-                got += map(get, units)
-            out.append(got)
+                text = text[at:]
+            add(row, self.units.findall(text))
+            out.append(row)
+        again = new & self.older.keys()
+        self.known.update((u, self.older[u]) for u in again)
+        self.learn(new - again, form)
+        for row, begin, end in waiting:
+            row[begin:end] = [get(x) if type(x) is str else x for x in row[begin:end]]
         return out
 
 

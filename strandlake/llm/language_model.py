@@ -7,108 +7,214 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandlake.llm.exchange import MESSAGE, SHARDS_PER_PARTITION, by_sender, fresh, in_batches, messages, number_of, partitions
-from strandlake.llm.kernels import Batch, U, Words, mix, narrow, pack
+from strandlake.llm.kernels import Batch, U, Words, mix, narrow, pack, release
 
-END, BEGIN = mix(np.array([1, 2], np.uint64))
-#: Weight of the lower order in a state, in counts.
-STRENGTH = 20.0
+#: The tokens at a text's end and before its begin, in two independent hashes.
+END, BEGIN = mix(np.array([1, 2], np.uint64)), mix(np.array([3, 4], np.uint64))
+#: Longest n-grams, and the weight of the lower order in a state, in counts.
+ORDER, STRENGTH = 3, 20.0
+#: Tokens of a text that one lane of the traversal reads, and bytes of text traversed at once.
+PIECE, PART = 512, 1 << 21
 
 
-class BackoffAutomaton:
-    """Smoothed n-grams (n up to 2) as states and arcs.
+class Automaton:
+    """The smoothed n-grams of some texts as states and arcs.
 
-    The root reads any token with log10 p1.  A word that the training text has is
-    a state; where it was followed by w it has an arc for w, weighted
-    log10((c(hw) + s * p1(w)) / (c(h) + s)).  For any other token it has a failure
-    arc to the root, weighted log10(s / (c(h) + s)).  These weights add up to one
-    over all tokens of a state.
+    The root reads any token with log10 p1.  An n-gram of up to ORDER - 1 tokens
+    that the training text has is a state.  A state h that was followed by w has an
+    arc for w, weighted log10((c(hw) + s * p(w | h')) / (c(h) + s)), where h' lacks
+    the first token of h; for any other token it has a failure arc to h', weighted
+    log10(s / (c(h) + s)).  These weights add up to one over all tokens of a state.
+
+    ``counts[n][i]`` is the training count of the n + 1 tokens that end with token
+    i, ``follow[n][i]`` that of the n + 1 tokens before it, as far as its text reaches.
     """
 
-    def __init__(self, token_count, state_count, arc_count, total: int, distinct: int, strength: float):
-        self.root = np.log10((token_count + 1.0) / (total + distinct + 1.0))
-        self.fail = np.log10(strength / (state_count + strength))
-        self.state_count, self.arc_count, self.strength = state_count, arc_count, strength
+    def __init__(self, counts: list[np.ndarray], follow: list[np.ndarray], total: int, distinct: int, strength: float):
+        probability = (counts[0] + 1.0) / (total + distinct + 1.0)
+        #: Per order, for each place: the weight of the arc for its token, whether there is one, and that of failing there.
+        self.weight, self.has, self.fail = [np.log10(probability)], [np.ones(len(probability), bool)], []
+        for seen, before in zip(counts[1:], follow):
+            probability = (seen + strength * probability) / (before + strength)
+            self.weight.append(np.log10(probability))
+            self.has.append(seen > 0)
+            self.fail.append(np.log10(strength / (before + strength)))
+        self.known = [c > 0 for c in counts[: len(follow)]]
 
-    def traverse(self, token: np.ndarray, state: np.ndarray, arc: np.ndarray) -> np.ndarray:
-        """Log-probability of each step: from ``state`` over ``token``, by ``arc`` where the automaton has it.
+    def traverse(self, first: np.ndarray) -> np.ndarray:
+        """Log-probability of each text, whose tokens are first[i] to first[i + 1]; one pass from left to right.
 
-        After a step the state is the token just read, or the root if that is no
-        state (a count of 0 makes its failure arc weigh nothing).
+        A lane carries the order of its state, the longest n-gram read so far that
+        is one.  For each token it follows failure arcs down to a state that has an
+        arc for it.  What was read ORDER - 1 tokens ago is forgotten, so a long
+        text is cut into lanes that start so many tokens early, without counting.
         """
-        below = self.root[token]
-        seen = self.arc_count[arc]
-        with np.errstate(divide="ignore"):
-            on = np.log10((seen + self.strength * 10.0**below) / (self.state_count[state] + self.strength))
-        return np.where(seen > 0, on, self.fail[state] + below)
+        lengths = np.diff(first)
+        lanes = -(-lengths // PIECE)
+        text = np.repeat(np.arange(len(lengths)), lanes)
+        turn = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin, most = first[text] + turn * PIECE, len(self.fail)
+        size = np.minimum(first[text + 1] - begin, PIECE)
+        early = np.where(turn > 0, most, 0)
+        at, steps = begin - early, size + early
+        order = np.argsort(-steps, kind="stable")
+        at, early, steps = at[order], early[order], steps[order]
+        # A text begins in the state of its begin, which is of order 1; a lane that starts early in the root.
+        state, total = np.where(early > 0, 0, min(1, most)), np.zeros(len(at))
+        for step in range(int(steps.max(initial=0))):
+            n = int(np.searchsorted(-steps, -step, side="left"))
+            place, now, cost = at[:n] + step, state[:n], np.zeros(n)
+            for level in range(most, 0, -1):
+                here = now == level
+                lost = here & ~self.has[level][place]
+                cost += np.where(lost, self.fail[level - 1][place], 0.0)
+                cost += np.where(here & ~lost, self.weight[level][place], 0.0)
+                now = np.where(lost, level - 1, np.where(here, -1, now))
+            cost += np.where(now == 0, self.weight[0][place], 0.0)
+            total[:n] += np.where(step >= early[:n], cost, 0.0)
+            reach = np.minimum(state[:n] + 1, most)
+            for level in range(most, 0, -1):
+                reach = np.where((reach == level) & ~self.known[level - 1][place], level - 1, reach)
+            state[:n] = reach
+        return np.bincount(text[order], total, len(lengths))
+
+
+class _Level:
+    """The distinct n-grams of one length in a batch, in order of shard and key."""
+
+    def __init__(self, key: np.ndarray, route: np.ndarray, train: np.ndarray, places: np.ndarray, n_shards: int):
+        """places: of the tokens whose n-gram others may have too; ``place``: their n-gram's number."""
+        order = np.argsort(key[places], kind="stable")
+        sorted_ = key[places][order]
+        new = np.ones(len(order), bool)
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        at, group = np.flatnonzero(new), (np.cumsum(new) - 1).astype(np.int32)
+        self.key, one = sorted_[at], places[order[at]]
+        taught = train[places][order]
+        self.train = np.bincount(group, taught, len(at)).astype(np.int64)
+        self.held = np.bincount(group, ~taught, len(at)).astype(np.int64)
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = group
+        shard = (route[one] % U(n_shards)).astype(np.int64)
+        self.by = np.argsort(shard, kind="stable")
+        self.cut = np.searchsorted(shard[self.by], np.arange(n_shards + 1))
+
+    def asked(self, number: int, kind: int, empty: bool) -> list[tuple[int, int, int, bytes]]:
+        rows = []
+        for k in range(len(self.cut) - 1):
+            i = self.by[self.cut[k] : self.cut[k + 1]]
+            if len(i) or empty:
+                rows.append((k, number, kind, pack(self.key[i], narrow(self.train[i]), np.minimum(self.held[i], 2).astype(np.uint8))))
+        return rows
+
+    def answered(self, got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts in all training rows, and whether an n-gram stands more than once in all rows."""
+        count, shared = np.zeros(len(self.by), np.int64), np.zeros(len(self.by), bool)
+        parts = []
+        for _, code, large, much in got:
+            value = (code >> 1).astype(np.int64)
+            value[large.astype(np.int64)] = much
+            parts.append((value, (code & 1).astype(bool)))
+        if len(self.by):
+            count[self.by], shared[self.by] = (np.concatenate(x) for x in zip(*parts))
+        return count, shared
 
 
 class _Grams:
-    """Tokens of a batch and its distinct unigrams and bigrams, in order of their keys."""
+    """Tokens of a batch and, as far as the shards' answers reach, the counts of their n-grams.
+
+    An n-gram is asked about only if both its parts of one token less stand more
+    than once in the corpus.  Else it stands nowhere but here, so its count is 1 or,
+    in a row held out, 0: asking less loses nothing.
+    """
 
-    def __init__(self, table: pa.Table, columns: tuple[str, str], train_col: str):
+    def __init__(self, table: pa.Table, columns: tuple[str, str], train_col: str, n_shards: int, levels: int, answered: int, answers: list):
+        """Builds ``levels`` lengths of n-grams, of which the shards have answered the first ``answered``."""
         self.batch = batch = Batch(table, *columns)
-        words = Words(batch, lower=True, places=False)
+        words = Words(batch, lower=True, places=False, other=True)
         lengths = np.diff(words.first) + 1
         self.first = np.concatenate([[0], np.cumsum(lengths)])
         n = int(self.first[-1])
-        token = np.full(n, END)
-        inner = np.ones(n, bool)
+        self.train = table.column(train_col).fill_null(True).to_numpy()[batch.order].astype(bool)
+        train, inner = np.repeat(self.train, lengths), np.ones(n, bool)
         inner[self.first[1:] - 1] = False
-        token[inner] = words.hash
-        before = np.empty(n, np.uint64)
-        before[1:] = token[:-1]
-        before[self.first[:-1]] = BEGIN
-        train = table.column(train_col).fill_null(True).to_numpy()[batch.order].astype(bool)
-        weight = np.repeat(train, lengths)
-        one = np.uint64(1)
-        # The last bit tells single tokens from pairs and from the beginning of a text.
-        singles, self.token = np.unique(token & ~one, return_inverse=True)
-        pairs, self.arc = np.unique(mix(before * U(0x9E3779B97F4A7C15) + token) | one, return_inverse=True)
-        self.state = np.full(n, len(singles), np.int64)
-        self.state[1:] = self.token[:-1]
-        self.state[self.first[:-1]] = len(singles)
-        self.key = np.concatenate([singles, [BEGIN | one], pairs])
-        self.n_singles = len(singles)
-        self.count = np.concatenate([np.bincount(self.token, weight, len(singles)), [train.sum()], np.bincount(self.arc, weight, len(pairs))]).astype(np.int64)
-
-    def by_shard(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        shard = ((self.key >> U(1)) % U(n)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        return order, np.searchsorted(shard[order], np.arange(n + 1))
-
-
-def _asked(n_shards, columns, train_col, batch_col, table: pa.Table) -> pa.Table:
-    number, grams = number_of(table, batch_col), _Grams(table, columns, train_col)
-    order, cut = grams.by_shard(n_shards)
-    rows = []
-    for k in range(n_shards):
-        i = order[cut[k] : cut[k + 1]]
-        rows.append((k, number, 0, pack(grams.key[i], narrow(grams.count[i]))))
-    return messages(rows)
+        lanes = []
+        for lane, values in enumerate((words.hash, words.other)):
+            token = np.full(n, END[lane])
+            token[inner] = values
+            lanes.append(token)
+        del words
+        depth = np.arange(n) - np.repeat(self.first[:-1], lengths)
+        places, gram, twice, self.counts = np.arange(n), lanes, np.zeros(n, bool), []
+        for level in range(levels):
+            if level:
+                # The n-gram that ends here is the one that ended a token before, and this token.
+                gram = [self._longer(g, t, lane, depth == 0) for lane, (g, t) in enumerate(zip(gram, lanes))]
+                places = np.flatnonzero(twice & (np.append(False, twice[:-1]) | (depth == 0)) & (depth >= level - 1))
+            if level == 0:
+                # The begin of every row is a token too, though not one that is predicted.
+                extra = np.arange(n, n + batch.n)
+                keys = [np.concatenate([g, np.full(batch.n, BEGIN[lane])]) for lane, g in enumerate(gram)]
+                one = _Level(*keys, np.concatenate([train, self.train]), np.concatenate([places, extra]), n_shards)
+                del keys
+            else:
+                one = _Level(*gram, train, places, n_shards)
+            self.last = one
+            if level >= answered:
+                return
+            got = [a for _, _, kind, a in answers if kind == level]
+            count, shared = one.answered(got)
+            here, twice = train.astype(np.int64), np.zeros(n, bool)
+            mine = one.place[:n] if level == 0 else one.place
+            here[places], twice[places] = count[mine], shared[mine]
+            here[depth < level - 1] = 0
+            if level == 0:
+                self.texts = int(count[one.place[n]]) if batch.n else 0
+                self.total, self.distinct = (int(sum(a[0][k] for a in got)) for k in (0, 1))
+            self.counts.append(here)
+
+    @staticmethod
+    def _longer(gram: np.ndarray, token: np.ndarray, lane: int, start: np.ndarray) -> np.ndarray:
+        before = np.empty_like(gram)
+        before[1:] = gram[:-1]
+        before[start] = BEGIN[lane]
+        return mix(before * U(0x9E3779B97F4A7C15) ^ token)
+
+    def follow(self) -> list[np.ndarray]:
+        """How often what stands before each token is followed by any, for each length."""
+        out = []
+        for level, count in enumerate(self.counts[:-1]):
+            before = np.zeros_like(count)
+            before[1:] = count[:-1]
+            before[self.first[:-1]] = self.texts if level == 0 else 0
+            out.append(before)
+        return out
 
 
 def _counted(table: pa.Table) -> pa.Table:
     asked = by_sender(table)
     keys, where = np.unique(np.concatenate([a[0] for *_, a in asked]), return_inverse=True)
     counts = np.bincount(where, np.concatenate([a[1] for *_, a in asked]), len(keys)).astype(np.int64)
-    single = (keys & U(1)) == 0
-    totals = np.array([counts[single].sum(), (counts[single] > 0).sum()], np.int64)
+    shared = counts + np.bincount(where, np.concatenate([a[2] for *_, a in asked]), len(keys)) > 1
+    token = keys != BEGIN[0]
+    totals = np.array([counts[token].sum(), (counts[token] > 0).sum()], np.int64)
     rows, at = [], 0
-    for shard, batch, _, (key, _) in asked:
-        got = counts[where[at : at + len(key)]]
-        # Most counts fit a byte; the others follow, with their places.
-        large = np.flatnonzero(got > 254)
-        small = np.minimum(got, 255).astype(np.uint8)
-        rows.append((shard, batch, 0, pack(totals, small, narrow(large), narrow(got[large]))))
+    for shard, batch, kind, (key, *_) in asked:
+        mine = where[at : at + len(key)]
+        got = counts[mine]
+        # Most counts and the flag fit a byte; the other counts follow, with their places.
+        large = np.flatnonzero(got > 126)
+        code = (np.minimum(got, 127) * 2 + shared[mine]).astype(np.uint8)
+        rows.append((shard, batch, kind, pack(totals, code, narrow(large), narrow(got[large]))))
         at += len(key)
     return messages(rows)
 
 
-def score_texts(docs: DataFrame, train: Column, strength: float = STRENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, strength: float = STRENGTH, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text with the model of the rows where ``train`` holds.
 
-    Tokens: words in lower case (A-Z only), then one end.  Every distinct token
-    and pair of tokens of the training rows counts, whatever its frequency.
+    Tokens: words in lower case (A-Z only), then one end.  Every distinct n-gram of
+    up to ``order`` tokens of the training rows counts, whatever its frequency.
     Adds ``n_tokens``, ``n_known``, ``train_tokens`` (long), ``base_score`` (the
     unigram log10 probability with one added to each count and one place for
     unknown tokens) and ``score`` (the automaton's).  Null and empty texts are
@@ -123,33 +229,47 @@ def score_texts(docs: DataFrame, train: Column, strength: float = STRENGTH, id_c
     arrow = to_arrow_schema(extra)
     n_shards, columns = partitions(docs) * SHARDS_PER_PARTITION, (id_col, text_col)
     rows, batch = in_batches(docs.withColumn(train_col, train), id_col, text_col)
-    asked = rows.groupBy(batch).applyInArrow(lambda t: _asked(n_shards, columns, train_col, batch, t), MESSAGE)
-    counted = asked.groupBy("shard").applyInArrow(_counted, MESSAGE)
+
+    def begin(table: pa.Table) -> pa.Table:
+        release()
+        return messages(_Grams(table, columns, train_col, n_shards, 1, 0, []).last.asked(number_of(table, batch), 0, True))
+
+    def further(level: int):
+        def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+            release()
+            if not table.num_rows:
+                return messages([])
+            grams = _Grams(table, columns, train_col, n_shards, level + 1, level, by_sender(answers))
+            return messages(grams.last.asked(number_of(table, batch), level, False))
+
+        return ask
+
+    def counted(table: pa.Table) -> pa.Table:
+        release()
+        return _counted(table)
 
     def result(table: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         if not table.num_rows:
             return arrow.empty_table()
-        grams = _Grams(table, columns, train_col)
-        order, _ = grams.by_shard(n_shards)
-        got, totals = [], np.zeros(2, np.int64)
-        for *_, (sums, small, at, large) in by_sender(answers):
-            count = small.astype(np.int64)
-            count[at.astype(np.int64)] = large
-            got.append(count)
-            totals += sums
-        counts = np.empty(len(order), np.int64)
-        counts[order] = np.concatenate(got)
-        k = grams.n_singles
-        model = BackoffAutomaton(counts[:k].astype(float), counts[: k + 1].astype(float), counts[k + 1 :].astype(float), *map(int, totals), strength)
-        first = grams.first
-        known = np.add.reduceat((counts[:k] > 0)[grams.token].astype(np.int64), first[:-1])
-        base = np.add.reduceat(model.root[grams.token], first[:-1])
-        score = np.add.reduceat(model.traverse(grams.token, grams.state, grams.arc), first[:-1])
-        new = [np.diff(first), known, np.full(len(known), totals[0]), base, score]
-        ordered = table.take(pa.array(grams.batch.order)).drop_columns([batch, train_col])
-        return pa.Table.from_arrays([*ordered.columns, *map(pa.array, new)], names=arrow.names).cast(arrow)
-
-    return rows.groupBy(batch).cogroup(counted.groupBy("batch")).applyInArrow(result, extra)
+        grams = _Grams(table, columns, train_col, n_shards, order, order, by_sender(answers))
+        follow, first, parts = grams.follow(), grams.first, []
+        ordered = (table.take(pa.array(grams.batch.order)) if grams.batch.moved else table).drop_columns([batch, train_col])
+        for row, to in grams.batch.chunks(most=PART):
+            a, b, cut = first[row], first[to], first[row : to + 1] - first[row]
+            counts = [c[a:b] for c in grams.counts]
+            model = Automaton(counts, [f[a:b] for f in follow], grams.total, grams.distinct, strength)
+            known = np.add.reduceat((counts[0] > 0).astype(np.int64), cut[:-1])
+            base = np.add.reduceat(model.weight[0], cut[:-1])
+            new = [np.diff(cut), known, np.full(to - row, grams.total), base, model.traverse(cut)]
+            parts.append(pa.Table.from_arrays([*ordered.slice(row, to - row).columns, *map(pa.array, new)], names=arrow.names).cast(arrow))
+        return pa.concat_tables(parts)
+
+    answers = rows.groupBy(batch).applyInArrow(begin, MESSAGE).groupBy("shard").applyInArrow(counted, MESSAGE)
+    for level in range(1, order):
+        asked = rows.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(further(level), MESSAGE)
+        answers = answers.unionByName(asked.groupBy("shard").applyInArrow(counted, MESSAGE))
+    return rows.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(result, extra)
 
 
 def op3_language_model(docs: DataFrame) -> DataFrame:

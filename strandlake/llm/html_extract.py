@@ -13,7 +13,7 @@ from strandlake.llm.exchange import fresh
 
 #: Lines per block, and the block length in characters at which text surges outside a marked article.
 BLOCK, SURGE = 3, 86
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/!?][^>]*>""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)""", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,6 +27,23 @@ HINTS = frozenset(
     "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget widgets pagination pager toolbar search form copyright contentinfo complementary".split()
 )
 
+#: Words that say nothing beside a hint, as in "sidebar-box-left"; any other word makes a name a subject, as in "social-history".
+NEUTRAL = frozenset(
+    "area articles bar block bottom box button buttons col column container content count desktop email entries entry fixed global group holder icon icons inline inner item items js large left link links list "
+    "mail main mobile module outer page panel post posts primary region right row secondary section site slot small sticky stories story text title top unit wrap wrapper zone".split()
+)
+#: A header of one of these is the article's own.
+HEADED = frozenset("article post entry story content".split())
+
+
+def _clutter(name: str) -> bool:
+    """Whether a class, an id or a role names something beside the article."""
+    words = {x.lower() for x in _NAME.findall(name)}
+    hints = words & HINTS
+    if hints == {"header"} and not words.isdisjoint(HEADED):
+        return False
+    return bool(hints) and all(w in HINTS or w in NEUTRAL or w in HEADED or w.isdigit() for w in words)
+
 
 def _outside(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in OUTSIDE or tag == "header" and not inside_article:
@@ -37,36 +54,41 @@ def _outside(tag: str, attributes: str, inside_article: bool) -> bool:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
             if name in ("class", "id", "role"):
-                words = {x.lower() for x in _NAME.findall(value)}
-                if inside_article:
-                    words.discard("header")
-                    # Ids made from titles: of any heading, and of a section if they have other words too.
-                    if name == "id" and (tag in HEADINGS or tag == "section" and not words <= HINTS):
-                        continue
-                if not HINTS.isdisjoint(words):
-                    return True
+                # Ids made from titles: of any heading, and of a section if they have other words too.
+                if name == "id" and inside_article and (tag in HEADINGS or tag == "section" and not {x.lower() for x in _NAME.findall(value)} <= HINTS):
+                    continue
+                if any(_clutter(x) for x in value.split()):
+                    if not (inside_article and value.lower() == "header"):
+                        return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, outside, in an article) of each block, in order; blocks without text are left out."""
+def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
+    """(text, characters outside links, empty lines before, is a heading, number of the outermost article around it or 0).
+
+    One for each block with text that is not outside, in order.  A block tag begins
+    a line, so two paragraphs have one empty line between them, and blocks of
+    different containers have more.  What is outside leaves no trace.
+    """
     out, parts, stack = [], [], []
-    linked = plain = 0
-    outside = article = links = 0
+    linked = articles = gap = 0
+    outside = article = links = headings = 0
 
     def flush() -> None:
-        nonlocal parts, linked, plain
-        text = " ".join(html.unescape("".join(parts)).split())
+        nonlocal parts, linked, gap
+        text = " ".join(html.unescape("".join(parts)).split()) if not outside else ""
         if text:
-            out.append((text, max(0, len(text) - linked), outside > 0, article > 0))
+            out.append((text, max(0, len(text) - linked), max(0, gap), headings > 0, articles if article else 0))
+            gap = -1  # the tag that ends the block ends its line
         parts, linked = [], 0
 
     def close(to: int) -> None:
-        nonlocal outside, article, links
+        nonlocal outside, article, links, headings
         while len(stack) > to:
             tag, was_outside = stack.pop()
             outside -= was_outside
             article -= tag in ("article", "main")
+            headings -= tag in HEADINGS
             links -= tag == "a"
 
     at = 0
@@ -88,6 +110,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
+                    gap += tag in BLOCKS and not outside
                     close(k)
                     break
         else:
@@ -96,7 +119,11 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             hint = _outside(tag, m[4], article > 0)
             stack.append((tag, hint))
             outside += hint
-            article += tag in ("article", "main")
+            gap += tag in BLOCKS and not outside
+            headings += tag in HEADINGS
+            if tag in ("article", "main"):
+                articles += article == 0
+                article += 1
             links += tag == "a"
     parts.append(page[at:])
     flush()
@@ -106,46 +133,59 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The blocks of the article, joined by one line feed.
 
-    Markup, scripts and comments are stripped and each block becomes a line.  A
-    line's weight is its number of characters outside links; lines in menus,
-    headers, footers, forms, adverts and the like, and lines outside the article
-    of a page that marks one, have none.  The block length at a line is the sum of
-    the weights of BLOCK lines from there on.  Text surges where the block length
-    passes the threshold and lasts until it dives to nothing.  Every surge is kept,
-    and so is any line with weight between the first and the last.  Inside a marked
-    article any text is a surge, as nothing else has weight there.
+    Markup, scripts, comments and what is named as a menu, header, footer, form,
+    advert and the like are stripped and each block becomes a line.  A line's weight
+    is its number of characters outside links; lines outside any article of a page
+    that marks some have none.  The block length at a line is the sum of the weights
+    of BLOCK lines from there on.  Text surges where the block length passes the
+    threshold, and dives where another container begins and the block length is
+    under it.  Every surge is kept, with the headings that lead to it.  An article in
+    which text surges is kept whole, and marked articles without a surge, such as
+    teasers of others, are not.  On a page that marks none, any line with weight
+    between the first and the last surge is kept, and lines before and after, such
+    as unnamed menus and notices, are not.
     """
-    lines = lines_of(page or "")
+    blocks = lines_of(page or "")
+    marked = any(number for *_, number in blocks)
+    lines = [x for x in blocks if x[4] or not marked]
     if not lines:
         return ""
-    marked = any(inside and not outside for _, _, outside, inside in lines)
-    wanted = np.array([not outside and (inside or not marked) for _, _, outside, inside in lines])
-    weight = np.array([n for _, n, *_ in lines]) * wanted
-    if marked:
-        weight = np.maximum(weight, wanted)
+    # A text's place among all lines; more empty lines than a block has change nothing.
+    place = np.cumsum([1 + min(gap, BLOCK) for _, _, gap, *_ in lines])
+    weight = np.zeros(int(place[-1]) + BLOCK + 1, np.int64)
+    weight[place] = [n for _, n, *_ in lines]
     total = np.concatenate([[0], np.cumsum(weight)])
-    places = np.arange(len(lines))
-    block = total[np.minimum(places + BLOCK, len(lines))] - total[places]
-    threshold = 0 if marked else min(SURGE, int(block.max()) // 2)
+    block = total[BLOCK:] - total[:-BLOCK]
+    threshold = min(SURGE, int(block.max()) // 2)
+    number = {int(p): k for k, p in enumerate(place)}
     found, i = [], 0
-    while i < len(lines):
-        if block[i] > threshold and weight[i]:
+    while i < len(block):
+        if block[i] > threshold and i in number and weight[i]:
             dive = i
-            while dive < len(lines) and block[dive] > 0:
+            while dive < len(block) and not (block[dive] <= threshold and dive not in number and dive + 1 not in number):
                 dive += 1
-            found.append((i, dive))
+            first = number[i]
+            while first and lines[first - 1][3]:
+                first -= 1
+            found.append((first, int(np.searchsorted(place, dive))))
             i = dive
         i += 1
-    keep = np.zeros(len(lines), bool)
-    for a, b in found:
-        keep[a:b] = True
-    if found:
-        keep[found[0][0] : found[-1][1]] |= weight[found[0][0] : found[-1][1]] > 0
-    return "\n".join(lines[k][0] for k in np.flatnonzero(keep & wanted))
+    if marked:
+        # An article of links alone has no weight; it is better than nothing.
+        chosen = {lines[k][4] for a, b in found for k in range(a, b)}
+        return "\n".join(x[0] for x in lines if x[4] in chosen or not found)
+    last = found[-1][1] if found else 0
+    keep = {k for a, b in found for k in range(a, b) if lines[k][1] or lines[k][3]} | {k for k in range(found[0][0] if found else 0, last) if lines[k][1]}
+    return "\n".join(lines[k][0] for k in sorted(keep))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """Adds the main text of each page; null, empty and text-free pages give an empty string."""
+    """Adds the main text of each page; null, empty and text-free pages give an empty string.
+
+    Pages are read whole, whatever their length.  Rows repeated in full are
+    extracted each; a column named like the new one stays, and the new one is
+    named anew.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([*pages.schema.fields, T.StructField(fresh(pages, out), T.StringType())])

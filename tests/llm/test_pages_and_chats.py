@@ -47,3 +47,58 @@ def test_split_pages_and_title_ids():
     article = "<div class='article-header'><h1>T</h1></div><h2 id='related-work'>Related work</h2><p>x</p><section id='search-methods'><p>y</p></section>"
     clutter = "<section id='comments'>c</section><div id='related-posts'>r</div><section class='share'>s</section>"
     assert main_text(f"<article>{article}{clutter}</article>") == "T\nRelated work\nx\ny"
+
+
+def test_surges_decide():
+    """What no name gives away is told by the lines' lengths: without the method these would stay."""
+    from strandlake.llm.html_extract import lines_of, main_text
+
+    long = "a sentence of the main text. " * 9
+    page = f"<body><div>Home About Contact</div><div><h1>Title</h1></div><div><p>{long}</p><p>Short.</p></div><div><div><p>{long}</p></div></div><div>Links</div><div>Imprint</div></body>"
+    assert main_text(page) == "\n".join(["Title", long.strip(), "Short.", long.strip()])
+    assert [x[0] for x in lines_of(page)][0] == "Home About Contact"
+    teasers = "<article><h2>Other</h2><p>teaser</p></article>" * 3
+    assert main_text(f"<article><h1>T</h1><p>{long}</p><section><p>End.</p></section></article>{teasers}") == f"T\n{long.strip()}\nEnd."
+
+
+def test_names_with_other_words_stay():
+    from strandlake.llm.html_extract import main_text
+
+    long = "words of the text, " * 20
+    for name in ("social-history", "article-header", "has-sidebar", "form-of-government"):
+        assert main_text(f"<div class='{name}'><p>{long}</p></div>") == long.strip()
+    for name in ("social", "sidebar-left", "post-comments", "related-posts", "site-header"):
+        assert main_text(f"<div class='x {name}'><p>{long}</p></div><div><p>x</p></div>") == "x"
+
+
+def test_extract_handles_odd_pages(spark):
+    from strandlake.llm.html_extract import extract_main_text, op5_html_extract
+
+    long = "word " * 200_000
+    rows = [(1, "a", None), (2, None, ""), (None, "b", f"<article>{long}</article>"), (4, "c", "<p" * 5000), (5, "d", "<div>" * 3000 + "x"), (5, "d", "<div>" * 3000 + "x")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(((r.page_id, r.url, r.n_chars) for r in op5_html_extract(frame).collect()), key=str)
+    assert got == sorted([(1, "a", 0), (2, None, 0), (None, "b", len(long) - 1), (4, "c", 0), (5, "d", 1), (5, "d", 1)], key=str)
+    assert op5_html_extract(frame.limit(0)).count() == 0
+    odd = extract_main_text(frame.withColumnRenamed("url", "text"))
+    assert odd.columns == ["page_id", "text", "html", "_text"] and odd.filter("text = 'c'").count() == 1
+
+
+def test_query_against_plain_reading(spark):
+    """The given pages mark one article without clutter inside, so a plain reading of it is the answer."""
+    import html
+    import re
+
+    from strandlake.llm.queries import queries
+
+    def plain(page: str) -> str:
+        inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        blocks = re.split(r"</?(?:p|h1|h2|div|ul|li)\b[^>]*>", inside)
+        texts = (" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in blocks)
+        return "\n".join(t for t in texts if t)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = queries()["op5_html_extract"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.text == plain(pages[r.page_id]) and r.n_chars == len(r.text)

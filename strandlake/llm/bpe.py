@@ -14,14 +14,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandlake.llm.kernels import portions
+from strandlake.llm.kernels import portions, thrifty
 
 #: Unicode white space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Frequent marks at the end of a word; none begins a contraction.
 MARKS = ".,;:!?)"
 #: Texts that a worker remembers the tokens of, at most.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 
 
 def byte_characters() -> list[str]:
@@ -186,7 +186,7 @@ class Tokenizer:
         if len(self.known) > REMEMBERED // 2:
             # What is met again is taken over; the rest goes with the next generation.
             self.older, self.known = self.known, {}
-        if len(self.encoded) > REMEMBERED // 4:
+        if len(self.encoded) > REMEMBERED // 2:
             self.encoded.clear()
         get, out, new = self.known.get, [], set()
 
@@ -275,7 +275,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
                 columns = batch.slice(begin, end - begin).columns
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*columns, lists, decoded], arrow)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def op2_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ equal contents get equal anchors, and that is all an anchor has to promise.
 from __future__ import annotations
 
 import ctypes
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -113,12 +114,40 @@ def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def release() -> None:
-    """Gives memory that a finished group no longer needs back to the machine, which JVM and workers share."""
+    """Gives memory that finished work no longer needs back to the machine, which JVM and workers share."""
     pa.default_memory_pool().release_unused()
     if _libc is not None:
         _libc.malloc_trim(0)
 
 
+def thrifty(work):
+    """A function of one table for groups, or of an iterator of batches, that releases memory when it is done."""
+    if inspect.isgeneratorfunction(work):
+
+        def run(batches):
+            yield from work(batches)
+            release()
+    else:
+
+        def run(table):
+            out = work(table)
+            release()
+            return out
+
+    return run
+
+
+def thrifty_pair(work):
+    """The same for a function of two tables."""
+
+    def run(left, right):
+        out = work(left, right)
+        release()
+        return out
+
+    return run
+
+
 try:
     _libc = ctypes.CDLL("libc.so.6")
     _libc.malloc_trim

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandlake.llm.exchange import MESSAGE, SHARDS_PER_PARTITION, by_sender, fresh, in_batches, messages, number_of, partitions
-from strandlake.llm.kernels import Batch, U, Words, mix, narrow, pack, release
+from strandlake.llm.kernels import Batch, U, Words, mix, narrow, pack, thrifty, thrifty_pair
 
 #: The tokens at a text's end and before its begin, in two independent hashes.
 END, BEGIN = mix(np.array([1, 2], np.uint64)), mix(np.array([3, 4], np.uint64))
@@ -231,12 +231,10 @@ def score_texts(docs: DataFrame, train: Column, strength: float = STRENGTH, orde
     rows, batch = in_batches(docs.withColumn(train_col, train), id_col, text_col)
 
     def begin(table: pa.Table) -> pa.Table:
-        release()
         return messages(_Grams(table, columns, train_col, n_shards, 1, 0, []).last.asked(number_of(table, batch), 0, True))
 
     def further(level: int):
         def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
-            release()
             if not table.num_rows:
                 return messages([])
             grams = _Grams(table, columns, train_col, n_shards, level + 1, level, by_sender(answers))
@@ -244,12 +242,7 @@ def score_texts(docs: DataFrame, train: Column, strength: float = STRENGTH, orde
 
         return ask
 
-    def counted(table: pa.Table) -> pa.Table:
-        release()
-        return _counted(table)
-
     def result(table: pa.Table, answers: pa.Table) -> pa.Table:
-        release()
         if not table.num_rows:
             return arrow.empty_table()
         grams = _Grams(table, columns, train_col, n_shards, order, order, by_sender(answers))
@@ -265,11 +258,11 @@ def score_texts(docs: DataFrame, train: Column, strength: float = STRENGTH, orde
             parts.append(pa.Table.from_arrays([*ordered.slice(row, to - row).columns, *map(pa.array, new)], names=arrow.names).cast(arrow))
         return pa.concat_tables(parts)
 
-    answers = rows.groupBy(batch).applyInArrow(begin, MESSAGE).groupBy("shard").applyInArrow(counted, MESSAGE)
+    answers = rows.groupBy(batch).applyInArrow(thrifty(begin), MESSAGE).groupBy("shard").applyInArrow(thrifty(_counted), MESSAGE)
     for level in range(1, order):
-        asked = rows.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(further(level), MESSAGE)
-        answers = answers.unionByName(asked.groupBy("shard").applyInArrow(counted, MESSAGE))
-    return rows.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(result, extra)
+        asked = rows.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(thrifty_pair(further(level)), MESSAGE)
+        answers = answers.unionByName(asked.groupBy("shard").applyInArrow(thrifty(_counted), MESSAGE))
+    return rows.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(thrifty_pair(result), extra)
 
 
 def op3_language_model(docs: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandlake.llm.exchange import checkpointed
-from strandlake.llm.kernels import Batch, U, Words, mix, portions, runs
+from strandlake.llm.exchange import checkpointed, fresh
+from strandlake.llm.kernels import Batch, U, Words, mix, portions, release, runs, thrifty
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -155,7 +155,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
                 ids = batch.id_array().slice(row, n)
                 yield pa.RecordBatch.from_arrays([ids.cast(arrow[0].type), _signed(_set_ids(owner, value, n)), pa.array(size), keys], schema=arrow)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
 
 
 def _shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,7 +174,7 @@ def _shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 columns = [_signed(_set_ids(owner, value, to - row)), pa.array(blobs, pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["set_id", "shingles", "sketch"])
 
-    return docs.mapInArrow(run, "set_id long, shingles binary, sketch binary")
+    return docs.mapInArrow(thrifty(run), "set_id long, shingles binary, sketch binary")
 
 
 def _across(table: pa.Table, similarity: float) -> pa.Table:
@@ -221,7 +221,7 @@ def _similar(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
                 keep.append(common >= least * (len(both) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(thrifty(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _classified(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     columns = ["key", "set_id", "label", "size", "keys", "sketch"]
     strays = within.filter("label <> main").select(F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), *columns)
     others = within.select(F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *columns)
-    pairs = strays.unionByName(others).groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, similarity), "a long, b long").distinct()
+    pairs = strays.unionByName(others).groupBy("key", "i", "j").applyInArrow(thrifty(lambda t: _across(t, similarity)), "a long, b long").distinct()
     more = checkpointed(_similar(pairs.join(stars, ["a", "b"], "left_anti"), table, similarity))
     if more.limit(1).count():
         labels = joined(labels, more)
@@ -326,6 +326,7 @@ def _set_of(texts: pa.Array) -> pa.Array:
         for row, to in _chunks(words):
             owner, value, _ = shingles(words, row, to)
             found.append(_set_ids(owner, value, to - row))
+    release()
     return _signed(np.concatenate(found))
 
 
@@ -340,15 +341,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     where several rows of the class have that id, the least set and then the least
     hash of its content.  Other classes' rows of the same id don't count.
     """
+    keep, set_, again, own = (fresh(docs, c) for c in ("_keep", "_set", "_again", "_own"))
     rows = checkpointed(_classified(docs).select("doc_id", "set_id", "label"))
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id")).alias("_first"))
-    leaders = first.select(F.col("_first.doc_id").alias("_keep"), F.col("_first.set_id").alias("_set"))
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
-    same = F.col("_keep").eqNullSafe(F.col("_again"))
+    leaders = first.select(F.col("_first.doc_id").alias(keep), F.col("_first.set_id").alias(set_))
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias(again))
+    same, led = F.col(keep).eqNullSafe(F.col(again)), F.col("doc_id").eqNullSafe(F.col(keep))
     # The set is only needed where an id has several rows.
-    single = docs.join(leaders.join(repeated, same, "left_anti"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    several = docs.join(leaders.join(repeated, same, "left_semi").select("_keep").distinct(), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").withColumn("_own", _set_of("text"))
-    chosen = several.join(leaders, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_set")), "left_semi")
-    order = F.struct(F.sha2("text", 256), F.xxhash64(*docs.columns))
-    one = chosen.groupBy("doc_id", "_own").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
+    single = docs.join(leaders.join(repeated, same, "left_anti"), led, "left_semi")
+    several = docs.join(leaders.join(repeated, same, "left_semi").select(keep).distinct(), led, "left_semi").withColumn(own, _set_of("text"))
+    chosen = several.join(leaders, led & (F.col(own) == F.col(set_)), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(F.sha2("text", 256), F.xxhash64(*columns))
+    one = chosen.groupBy("doc_id", own).agg(F.min_by(F.struct(*columns), order).alias("_row")).select("_row.*")
     return single.unionByName(one)

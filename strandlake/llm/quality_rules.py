@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandlake.llm.exchange import fresh
-from strandlake.llm.kernels import _SPACE, Batch, Words, mix, portions, U
+from strandlake.llm.kernels import _SPACE, Batch, Words, mix, portions, release, U
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -63,6 +63,7 @@ def text_counts(batch: Batch) -> dict[str, np.ndarray]:
 def _counted(texts: pa.Array) -> pa.Array:
     record = pa.record_batch({"row": pa.array(np.arange(len(texts))), "text": texts})
     found = [text_counts(Batch(pa.Table.from_batches([part]), "row", "text")) for part in portions(record, "text")]
+    release()
     return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[f[c] for f in found]]), pa.int64()) for c in COUNTS], list(COUNTS))
 
 
@@ -119,7 +120,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     """
     from strandlake.llm.exchange import checkpointed
 
-    counted, names = with_counts(docs.select("doc_id", "text", F.col(stratum).alias("_stratum")))
+    counted, names = with_counts(docs.select("doc_id", "text", F.col(f"`{stratum}`").cast("string").alias("_stratum")))
     clean = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
     held = counted.join(clean, "doc_id", "left_semi")
     steps = []
@@ -143,7 +144,7 @@ def thresholds(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
 
     chosen = counts.groupBy("_stratum", "rule").applyInPandas(choose, "_stratum string, rule string, cutoff double")
     found = chosen.groupBy("_stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
-    rest = docs.select(F.col(stratum).cast("string").alias("_stratum")).distinct().alias("d").join(found.alias("f"), F.expr("d._stratum <=> f._stratum"), "left_anti")
+    rest = docs.select(F.col(f"`{stratum}`").cast("string").alias("_stratum")).distinct().alias("d").join(found.alias("f"), F.expr("d._stratum <=> f._stratum"), "left_anti")
     return found.unionByName(rest.select("_stratum", *[F.lit(pooled.get(r)).cast("double").alias(f"_cut_{r}") for r in RULES]))
 
 
@@ -161,13 +162,25 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
     cut = checkpointed(thresholds(docs, labels, stratum, risk, error))
     counted, names = with_counts(docs)
+    # Columns of the caller may have the names that the cutoffs come with.
+    own = {c: fresh(counted, f"_own{c}") for c in cut.columns}
+    cut = cut.select(*[F.col(c).alias(n) for c, n in own.items()])
     few = cut.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
-    joined = counted.join(F.broadcast(cut) if few else cut, F.col(stratum).eqNullSafe(F.col("_stratum")), "left")
+    joined = counted.join(F.broadcast(cut) if few else cut, F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col(own["_stratum"])), "left")
     n, repeats = F.col(names["n_words"]), F.col(names["n_repeat_words"])
     base = (n < 50) | (100 * repeats > 50 * n)
-    over = reduce(lambda a, b: a | b, [F.coalesce(F.col(names[t]) / F.greatest(F.col(names[b]), F.lit(1)) > F.col(f"_cut_{r}"), F.lit(False)) for r, (t, b) in RULES.items()])
+    over = reduce(lambda a, b: a | b, [F.coalesce(F.col(names[t]) / F.greatest(F.col(names[b]), F.lit(1)) > F.col(own[f"_cut_{r}"]), F.lit(False)) for r, (t, b) in RULES.items()])
     base_col, kept_col = fresh(counted, "base_failed"), fresh(counted, "kept")
-    return joined.select(*counted.columns, base.alias(base_col), (~base & ~over).alias(kept_col))
+    return joined.select(*[F.col(f"`{c}`") for c in counted.columns], base.alias(base_col), (~base & ~over).alias(kept_col))
+
+
+def passing(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with their columns, whatever these are called.
+
+    Null, empty and blank texts go; rows repeated in full stay or go together.
+    """
+    judged = quality_rules(docs, labels, stratum)
+    return judged.filter(F.col(f"`{judged.columns[-1]}`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

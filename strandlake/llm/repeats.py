@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from strandlake.llm.exchange import MESSAGE, SHARDS_PER_PARTITION, by_sender, in_batches, messages, number_of, partitions
-from strandlake.llm.kernels import Batch, narrow, pack, release, union_length
+from strandlake.llm.kernels import Batch, narrow, pack, thrifty, thrifty_pair, union_length
 
 NEW, REPEAT, OPEN = 0, 1, 2
 #: Bytes of text worked on at once.
@@ -209,15 +209,7 @@ def repeats(docs: DataFrame, rule: Rule, finish, schema: str, id_col: str, text_
     n_shards, columns = partitions(docs) * SHARDS_PER_PARTITION, (id_col, text_col)
     rows, batch = in_batches(docs, id_col, text_col)
 
-    def thrifty(work):
-        def run(table: pa.Table) -> pa.Table:
-            release()
-            return work(table)
-
-        return run
-
     def result(table: pa.Table, answers: pa.Table) -> pa.Table:
-        release()
         local = _Local(rule, table, columns, n_shards)
         found, texts = spans(rule, local, answers), local.batch
         ordered = (table.take(pa.array(texts.order)) if texts.moved else table).drop_columns([batch])
@@ -229,6 +221,6 @@ def repeats(docs: DataFrame, rule: Rule, finish, schema: str, id_col: str, text_
 
     asked = rows.groupBy(batch).applyInArrow(thrifty(lambda t: _asked(rule, columns, n_shards, batch, t)), MESSAGE)
     judged = asked.groupBy("shard").applyInArrow(thrifty(lambda t: _judged(rule, t)), MESSAGE)
-    opened = rows.groupBy(batch).cogroup(judged.groupBy("batch")).applyInArrow(lambda t, a: _opened(rule, columns, n_shards, batch, t, a), MESSAGE)
+    opened = rows.groupBy(batch).cogroup(judged.groupBy("batch")).applyInArrow(thrifty_pair(lambda t, a: _opened(rule, columns, n_shards, batch, t, a)), MESSAGE)
     compared = opened.groupBy("shard").applyInArrow(thrifty(lambda t: _compared(rule, t)), MESSAGE)
-    return rows.groupBy(batch).cogroup(judged.unionByName(compared).groupBy("batch")).applyInArrow(result, schema)
+    return rows.groupBy(batch).cogroup(judged.unionByName(compared).groupBy("batch")).applyInArrow(thrifty_pair(result), schema)

@@ -7,18 +7,18 @@ returns the packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm.near_dedup import one_of_each
 from strandlake.llm.packing import pack_documents
-from strandlake.llm.quality_rules import quality_rules
+from strandlake.llm.quality_rules import passing
 from strandlake.llm.suffix_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules(docs, labels).filter(F.col("kept")).select(*docs.columns)
+    return passing(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -310,6 +310,16 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(rising: np.ndarray) -> np.ndarray:
+    """Steps between rising 64-bit values, all lowest bytes first: the high bytes are mostly 0 and compress away."""
+    return np.ascontiguousarray(np.diff(rising, prepend=U(0)).view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def from_planes(data: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(data.reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def narrow(a: np.ndarray) -> np.ndarray:
     """Non-negative integers in the smallest unsigned type that holds them."""
     most = int(a.max()) if len(a) else 0

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandlake.llm.exchange import MESSAGE, SHARDS_PER_PARTITION, by_sender, fresh, in_batches, messages, number_of, partitions
-from strandlake.llm.kernels import Batch, U, Words, mix, narrow, pack, thrifty, thrifty_pair
+from strandlake.llm.kernels import Batch, U, Words, from_planes, mix, narrow, pack, planes, thrifty, thrifty_pair
 
 #: The tokens at a text's end and before its begin, in two independent hashes.
 END, BEGIN = mix(np.array([1, 2], np.uint64)), mix(np.array([3, 4], np.uint64))
@@ -104,7 +104,7 @@ class _Level:
         for k in range(len(self.cut) - 1):
             i = self.by[self.cut[k] : self.cut[k + 1]]
             if len(i) or empty:
-                rows.append((k, number, kind, pack(self.key[i], narrow(self.train[i]), np.minimum(self.held[i], 2).astype(np.uint8))))
+                rows.append((k, number, kind, pack(planes(self.key[i]), narrow(self.train[i]), np.minimum(self.held[i], 2).astype(np.uint8))))
         return rows
 
     def answered(self, got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +158,8 @@ class _Grams:
                 one = _Level(*keys, np.concatenate([train, self.train]), np.concatenate([places, extra]), n_shards)
                 del keys
             else:
-                one = _Level(*gram, train, places, n_shards)
+                # 56 bits of one hash in the shard that the other tells.
+                one = _Level(gram[0] >> U(8), gram[1], train, places, n_shards)
             self.last = one
             if level >= answered:
                 return
@@ -192,7 +193,7 @@ class _Grams:
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    asked = by_sender(table)
+    asked = [(*head, [from_planes(a[0]), *a[1:]]) for *head, a in by_sender(table)]
     keys, where = np.unique(np.concatenate([a[0] for *_, a in asked]), return_inverse=True)
     counts = np.bincount(where, np.concatenate([a[1] for *_, a in asked]), len(keys)).astype(np.int64)
     shared = counts + np.bincount(where, np.concatenate([a[2] for *_, a in asked]), len(keys)) > 1

@@ -17,6 +17,7 @@ MACROS = {
     "HEX": ("CAST(conv({0}, 16, 10) AS BIGINT)", "CAST(('0x' || {0}) AS BIGINT)"),
     "JOINED": ("listagg({0}, ',') WITHIN GROUP (ORDER BY {1})", "string_agg({0}, ',' ORDER BY {1})"),
     "LNFACT": (_LNFACT, _LNFACT),
+    "BITS": ("bit_count({0})", "bit_count({0})"),
     "SHIFT": ("shiftright({0}, {1})", "({0} >> {1})"),
 }
 

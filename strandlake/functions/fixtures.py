@@ -27,6 +27,27 @@ VIEWS = {
     "v_mask": "SELECT o_orderkey * 37 % 200000 AS s, o_orderkey * 37 % 200000 + 50 + o_custkey % 400 AS e FROM orders",
     "v_merged": """SELECT min(s) AS s, max(e) AS e FROM (SELECT s, e, sum(new) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
   SELECT s, e, CASE WHEN s <= max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM v_mask)) GROUP BY island""",
+    "v_gene_bin": "SELECT chrom, s, e, gene, term, family, i AS bin FROM (SEQ(lo;hi), chrom, s, e, gene, term, family FROM (SELECT g.*, CAST(floor(s / 4000) AS BIGINT) AS lo, CAST(floor(e / 4000) AS BIGINT) AS hi FROM v_gene g))",
+    "v_flux_bin": "SELECT event_id, lineage, inv, tl, tr, i AS bin FROM (SEQ(lo;hi), event_id, lineage, inv, tl, tr FROM (SELECT f.*, CAST(floor(tl / 400) AS BIGINT) AS lo, CAST(floor(tr / 400) AS BIGINT) AS hi FROM v_flux f))",
+    "v_edge_point": """SELECT chrom, pos, edge, probe, CAST(floor(pos / 20000) AS BIGINT) AS bin FROM (SELECT chrom, s AS pos, s AS edge, 0 AS probe FROM v_gene UNION ALL SELECT chrom, e, e, 0 FROM v_gene UNION ALL SELECT chrom, pos, NULL, 1 FROM v_pair)""",
+    "v_f1": "SELECT CAST(floor(site / 50) AS BIGINT) AS b, sum(CASE WHEN k_a = 1 THEN 1.0e0 ELSE 0 END) AS s_a, sum(CASE WHEN k_a > 0 AND k_a < n_a THEN 1 ELSE 0 END) AS n_a, sum(CASE WHEN k_b = 1 THEN 1.0e0 ELSE 0 END) AS s_b, sum(CASE WHEN k_b > 0 AND k_b < n_b THEN 1 ELSE 0 END) AS n_b FROM v_hsite GROUP BY CAST(floor(site / 50) AS BIGINT)",
+    "v_density": "SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS win, body, sum(CASE WHEN ac_a + ac_b > 0 AND ac_a + ac_b < an_a + an_b THEN 1 ELSE 0 END) / 20000.0e0 AS density FROM v_pair GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT), body",
+    "v_classwin": "SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS win, body, avg(2 * p_a * (1 - p_a)) AS h_a, avg(2 * p_b * (1 - p_b)) AS h_b FROM v_pair GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT), body",
+    "v_comp": "SELECT body, degen, count(*) AS n, 10000.0e0 * sum(CASE WHEN dp >= 0.3e0 THEN 1 ELSE 0 END) / count(*) AS per_10k, avg(dp) AS dp FROM v_annot GROUP BY body, degen",
+    "v_asym": "SELECT p.chrom, p.idx, p.dp, (p.p_a - p.p_b) * (1 - 2 * o.q) AS diff, least((ac_a + ac_b) * 1.0e0 / (an_a + an_b), 1 - (ac_a + ac_b) * 1.0e0 / (an_a + an_b)) AS maf FROM v_pair p JOIN v_out o ON o.chrom = p.chrom AND o.idx = p.idx",
+    "v_ks": """SELECT stat, max(abs(a / NULLIF(n0, 0) - b / NULLIF(n1, 0))) AS ks FROM (SELECT stat, value, sum(sum(1.0e0 - engine)) OVER (PARTITION BY stat ORDER BY value) AS a, sum(sum(engine * 1.0e0)) OVER (PARTITION BY stat ORDER BY value) AS b, sum(sum(1.0e0 - engine)) OVER (PARTITION BY stat) AS n0, sum(sum(engine * 1.0e0)) OVER (PARTITION BY stat) AS n1 FROM v_rep WHERE value IS NOT NULL GROUP BY stat, value) GROUP BY stat""",
+    "v_pool": """SELECT stat, n0, n1, CASE WHEN n0 < 2 OR n1 < 2 THEN NULL WHEN s > 0 THEN (m0 - m1) / s WHEN m0 = m1 THEN 0 ELSE 1.0e300 END AS d FROM (SELECT stat, n0, n1, m0, m1, sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / NULLIF(n0 + n1 - 2, 0)) AS s FROM (
+  SELECT stat, sum(1 - engine) AS n0, sum(engine) AS n1, avg(CASE WHEN engine = 0 THEN value END) AS m0, avg(CASE WHEN engine = 1 THEN value END) AS m1, var_samp(CASE WHEN engine = 0 THEN value END) AS v0, var_samp(CASE WHEN engine = 1 THEN value END) AS v1 FROM v_rep WHERE value IS NOT NULL GROUP BY stat))""",
+    "v_verdict": """SELECT k.stat, max(k.ks) AS ks, max(p.d) AS d, least(1.0e0, greatest(0.0e0, 2 * sum(CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0e0 * i * i * n0 * n1 / (n0 + n1) * ks * ks)))) AS p FROM v_ks k JOIN v_pool p ON p.stat = k.stat CROSS JOIN (SEQ(1;101)) GROUP BY k.stat""",
+    "v_mask2": "SELECT p_partkey * 97 % 200000 AS s, p_partkey * 97 % 200000 + 100 + p_size * 5 AS e FROM part",
+    "v_edges": """SELECT w, x, sum(a) AS a, sum(b) AS b FROM (SELECT w, greatest(s, w * 5000) AS x, 1 - m AS a, m AS b FROM v_cut UNION ALL SELECT w, least(e, (w + 1) * 5000), m - 1, 0 - m FROM v_cut) GROUP BY w, x""",
+    "v_cut": """SELECT i AS w, s, e, m FROM (SEQ(lo;hi), s, e, m FROM (SELECT s, e, m, CAST(floor(s / 5000) AS BIGINT) AS lo, CAST(floor((e - 1) / 5000) AS BIGINT) AS hi FROM (SELECT s, e, 0 AS m FROM v_mask UNION ALL SELECT s, e, 1 FROM v_mask2)))""",
+    "v_cover": """SELECT w, x, lead(x) OVER (PARTITION BY w ORDER BY x) AS y, sum(a) OVER (PARTITION BY w ORDER BY x ROWS UNBOUNDED PRECEDING) AS a, sum(b) OVER (PARTITION BY w ORDER BY x ROWS UNBOUNDED PRECEDING) AS b FROM v_edges""",
+    "v_out": "SELECT chrom, idx, avg(1.0e0 * allele) AS q FROM v_call WHERE hap % 5 = 0 GROUP BY chrom, idx",
+    "v_inv": "SELECT 0 AS inv, 1000 AS l, 3000 AS r, 0.7e0 AS p_s, 0.3e0 AS p_i UNION ALL SELECT 1, 2000, 4200, 0.6e0, 0.4e0",
+    "v_size": "SELECT 0.0e0 AS t0, 10000.0e0 AS n0, 0.001e0 AS alpha UNION ALL SELECT 600.0e0, 4000.0e0, 0.0e0 UNION ALL SELECT 1000.0e0, 20000.0e0, 0.0005e0",
+    "v_surface": "SELECT CAST(floor((p_size - 1) / 10) AS BIGINT) AS ti, p_partkey % 5 AS pi, avg(p_retailprice) AS m FROM part GROUP BY CAST(floor((p_size - 1) / 10) AS BIGINT), p_partkey % 5",
+    "v_popedge": "SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 4 <> 3",
     "v_node": """SELECT c_custkey AS node, 0.0e0 AS time, 1 AS is_sample FROM customer
   UNION ALL SELECT -1000000 + n_nationkey, 1.0e0 + n_nationkey, 0 FROM nation UNION ALL SELECT -2000000 + r_regionkey, 100.0e0 + 10 * r_regionkey, 0 FROM region UNION ALL SELECT -3000000, 1000.0e0, 0""",
     "v_edge": """SELECT 0 AS l, 500000 AS r, -1000000 + CAST(c_nationkey AS BIGINT) AS parent, c_custkey AS child FROM customer

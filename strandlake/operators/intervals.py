@@ -1,21 +1,19 @@
 """Interval, nearest, as-of and interpolation joins; masks and coverage."""
 
-#: Intervals are spread over bins of this many bases, so an overlap is an equi-join on the bin.
-BIN = 4000
-
 QUERIES = {
-    "interval_join": f"""SELECT v.chrom, v.pos, g.gene FROM (SELECT chrom, pos, CAST(floor(pos / {BIN}) AS BIGINT) AS bin FROM v_pair) v JOIN (SELECT g.*, o.i + CAST(floor(s / {BIN}) AS BIGINT) AS bin FROM v_gene g JOIN (SEQ(0;2)) o ON o.i <= floor(e / {BIN}) - floor(s / {BIN})) g
-  ON v.chrom = g.chrom AND v.bin = g.bin AND v.pos > g.s AND v.pos <= g.e""",
-    "mask_intersect_bp": """SELECT w, sum(least(m.e, (w + 1) * 5000) - greatest(m.s, w * 5000)) AS bp FROM v_merged m JOIN (SELECT m.s, m.e, CAST(floor(m.s / 5000) AS BIGINT) + o.i AS w FROM v_merged m JOIN (SEQ(0;60)) o ON o.i <= floor((m.e - 1) / 5000) - floor(m.s / 5000)) b ON b.s = m.s AND b.e = m.e GROUP BY w""",
-    "interval_subtract": "SELECT gene, l, r FROM (SELECT gene, s AS l, least(e, s + 600) AS r FROM v_gene UNION ALL SELECT gene, greatest(s, s + 1200) AS l, e AS r FROM v_gene) WHERE l < r",
-    "segment_overlap": "SELECT a.gene AS a, b.gene AS b, least(a.e, b.e) - greatest(a.s, b.s) AS bp FROM v_gene a JOIN (SEQ(1;3)) o ON 1 = 1 JOIN v_gene b ON b.gene = a.gene + o.i AND a.chrom = b.chrom AND b.s < a.e AND a.s < b.e",
-    "nearest_gene": """SELECT chrom, pos, CASE WHEN left_e IS NULL THEN right_s - pos WHEN right_s IS NULL THEN pos - left_e ELSE least(pos - left_e, right_s - pos) END AS dist FROM (SELECT chrom, pos, kind, max(CASE WHEN kind = 0 THEN pos END) OVER (PARTITION BY chrom ORDER BY pos, kind ROWS UNBOUNDED PRECEDING) AS left_e,
-  min(CASE WHEN kind = 2 THEN pos END) OVER (PARTITION BY chrom ORDER BY pos DESC, kind DESC ROWS UNBOUNDED PRECEDING) AS right_s FROM (SELECT chrom, e AS pos, 0 AS kind FROM v_gene WHERE strand = '+' UNION ALL SELECT chrom, pos, 1 FROM v_pair UNION ALL SELECT chrom, s, 2 FROM v_gene WHERE strand = '+')) WHERE kind = 1""",
+    "interval_join": """SELECT v.chrom, v.pos, g.gene FROM (SELECT chrom, pos, CAST(floor(pos / 4000) AS BIGINT) AS bin FROM v_pair) v JOIN v_gene_bin g ON v.chrom = g.chrom AND v.bin = g.bin AND v.pos > g.s AND v.pos <= g.e""",
+    "mask_intersect_bp": """SELECT w, sum(CASE WHEN a > 0 AND b > 0 THEN y - x ELSE 0 END) AS both_bp, sum(CASE WHEN a > 0 OR b > 0 THEN y - x ELSE 0 END) AS either_bp, sum(CASE WHEN a > 0 AND b = 0 THEN y - x ELSE 0 END) AS only_bp FROM v_cover WHERE y IS NOT NULL GROUP BY w""",
+    "interval_subtract": """SELECT gene, 'minus' AS kind, l, r FROM (SELECT gene, s AS l, least(e, 70000) AS r FROM v_gene UNION ALL SELECT gene, greatest(s, 130000), e FROM v_gene) WHERE l < r
+  UNION ALL SELECT gene, 'shared', greatest(s, 70000), least(e, 130000) FROM v_gene WHERE greatest(s, 70000) < least(e, 130000)""",
+    "segment_overlap": """SELECT a.gene AS a, b.gene AS b, least(a.e, b.e) - greatest(a.s, b.s) AS bp FROM v_gene_bin a JOIN v_gene_bin b ON a.chrom = b.chrom AND a.bin = b.bin AND a.gene < b.gene AND b.s < a.e AND a.s < b.e AND a.bin = floor(greatest(a.s, b.s) / 4000)""",
+    "nearest_gene": """SELECT chrom, pos, CASE WHEN l IS NULL THEN r - pos WHEN r IS NULL THEN pos - l ELSE least(pos - l, r - pos) END AS dist FROM (SELECT p.chrom, p.pos, p.probe, coalesce(max(p.edge) OVER (PARTITION BY p.chrom, p.bin ORDER BY p.pos, p.probe ROWS UNBOUNDED PRECEDING), c.before) AS l,
+  coalesce(min(p.edge) OVER (PARTITION BY p.chrom, p.bin ORDER BY p.pos DESC, p.probe ROWS UNBOUNDED PRECEDING), c.after) AS r FROM v_edge_point p JOIN (SELECT chrom, bin, max(hi) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(lo) OVER (PARTITION BY chrom ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM (
+  SELECT chrom, bin, max(edge) AS hi, min(edge) AS lo FROM v_edge_point GROUP BY chrom, bin)) c ON c.chrom = p.chrom AND c.bin = p.bin) WHERE probe = 1""",
     "asof_step": """SELECT probe, round(p, 6) AS p FROM (SELECT probe, t, max(t0) OVER (ORDER BY t, kind ROWS UNBOUNDED PRECEDING) AS last_t FROM (SELECT CAST(NULL AS BIGINT) AS probe, t, t AS t0, 0 AS kind FROM v_step UNION ALL SELECT probe, t, NULL, 1 FROM v_probe)) x JOIN v_step s ON s.t = x.last_t WHERE probe IS NOT NULL""",
     "interp_linear": """SELECT probe, round(p + (coalesce(p2, p) - p) * (x.t - s.t) / coalesce(t2 - s.t, 1), 6) AS p FROM (SELECT probe, t, max(t0) OVER (ORDER BY t, kind ROWS UNBOUNDED PRECEDING) AS last_t FROM (SELECT CAST(NULL AS BIGINT) AS probe, t, t AS t0, 0 AS kind FROM v_step UNION ALL SELECT probe, t, NULL, 1 FROM v_probe)) x
   JOIN (SELECT t, p, lead(t) OVER (ORDER BY t) AS t2, lead(p) OVER (ORDER BY t) AS p2 FROM v_step) s ON s.t = x.last_t WHERE probe IS NOT NULL""",
-    "interp_bilinear": """SELECT x, y, round(f00 * (1 - u) * (1 - v) + f10 * u * (1 - v) + f01 * (1 - u) * v + f11 * u * v, 6) AS z FROM (SELECT i AS x, j AS y, i / 10.0e0 - floor(i / 10.0e0) AS u, j / 10.0e0 - floor(j / 10.0e0) AS v,
-  floor(i / 10.0e0) * floor(j / 10.0e0) AS f00, (floor(i / 10.0e0) + 1) * floor(j / 10.0e0) AS f10, floor(i / 10.0e0) * (floor(j / 10.0e0) + 1) AS f01, (floor(i / 10.0e0) + 1) * (floor(j / 10.0e0) + 1) AS f11 FROM (SEQ(0;30)) CROSS JOIN (SELECT i AS j FROM (SEQ(0;30))))""",
+    "interp_bilinear": """SELECT x, y, round((1 - u) * ((1 - v) * m00 + v * m01) + u * ((1 - v) * m10 + v * m11), 4) AS z FROM (SELECT x, y, t - i0 AS u, q - j0 AS v, sum(CASE WHEN ti = i0 AND pi = j0 THEN m END) AS m00, sum(CASE WHEN ti = i0 AND pi = j0 + 1 THEN m END) AS m01, sum(CASE WHEN ti = i0 + 1 AND pi = j0 THEN m END) AS m10, sum(CASE WHEN ti = i0 + 1 AND pi = j0 + 1 THEN m END) AS m11 FROM (
+  SELECT x, y, t, q, least(CAST(floor(t) AS BIGINT), 3) AS i0, least(CAST(floor(q) AS BIGINT), 3) AS j0 FROM (SELECT a.i AS x, b.i AS y, least(4.0e0, greatest(0.0e0, a.i / 5.0e0 - 0.4e0)) AS t, least(4.0e0, b.i / 6.0e0) AS q FROM (SEQ(0;26)) a CROSS JOIN (SEQ(0;26)) b)) g JOIN v_surface s ON s.ti BETWEEN i0 AND i0 + 1 AND s.pi BETWEEN j0 AND j0 + 1 GROUP BY x, y, t - i0, q - j0)""",
     "param_grid": "SELECT a.i AS d, b.i AS f, c.i AS t FROM (SEQ(1;10)) a CROSS JOIN (SEQ(1;10)) b CROSS JOIN (SEQ(1;10)) c WHERE a.i + b.i <= c.i",
     "breakpoint_partition": "SELECT x AS l, lead(x) OVER (ORDER BY x) AS r FROM (SELECT 0 AS x UNION SELECT 1000000 UNION SELECT l FROM v_edge UNION SELECT r FROM v_edge)",
     "weighted_rate": "SELECT CAST(floor(s / 20000) AS BIGINT) AS win, round(sum((e - s) * 1.0e0 * ((e - s) % 7)) / sum(e - s), 6) AS rate FROM v_mask GROUP BY CAST(floor(s / 20000) AS BIGINT)",
@@ -24,6 +22,13 @@ QUERIES = {
     "tract_len": "SELECT inv, count(*) AS n, sum(tr - tl) AS total, max(tr - tl) AS longest FROM v_flux GROUP BY inv",
     "coverage_at": "SELECT x, sum(d) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS depth FROM (SELECT x, sum(d) AS d FROM (SELECT tl AS x, 1 AS d FROM v_flux UNION ALL SELECT tr + 1, -1 FROM v_flux) GROUP BY x)",
     "node_remap": "SELECT f.event_id, m.new_id FROM v_flux f JOIN (SELECT lineage, dense_rank() OVER (ORDER BY lineage) - 1 AS new_id FROM (SELECT DISTINCT lineage FROM v_flux)) m ON f.lineage = m.lineage",
-    "converted_fraction": "SELECT p.i AS x, count(DISTINCT f.lineage) AS converted, round(count(DISTINCT f.lineage) * 1.0e0 / max(n.n), 6) AS share FROM (SELECT i * 250 AS i FROM (SEQ(0;19))) p JOIN v_flux f ON f.tl >= p.i - 400 AND f.tl <= p.i AND f.tr >= p.i CROSS JOIN (SELECT count(DISTINCT lineage) AS n FROM v_flux) n GROUP BY p.i",
+    "converted_fraction": """SELECT x, sum(k) AS converted, round(sum(k) * 1.0e0 / max(n), 6) AS share FROM (SELECT DISTINCT p.x, f.lineage % 25 AS nation FROM (SELECT i * 250 AS x FROM (SEQ(0;19))) p JOIN v_flux_bin f ON f.bin = CAST(floor(p.x / 400) AS BIGINT) AND f.tl <= p.x AND f.tr >= p.x) c
+  JOIN (SELECT c_nationkey AS nation, count(*) AS k FROM customer GROUP BY c_nationkey) d ON d.nation = c.nation CROSS JOIN (SELECT count(*) AS n FROM customer) t GROUP BY x""",
     "survival_curve": "SELECT d, round(above * 1.0e0 / total, 6) AS s FROM (SELECT tr - tl AS d, sum(count(*)) OVER (ORDER BY tr - tl DESC ROWS UNBOUNDED PRECEDING) AS above, sum(count(*)) OVER () AS total FROM v_flux GROUP BY tr - tl)",
+    "interval_coverage": """SELECT chrom, sum(e - s) AS total, sum(greatest(0, least(e, 130000) - greatest(s, 70000))) AS shared, sum(e - s - greatest(0, least(e, 130000) - greatest(s, 70000))) AS remaining FROM v_gene GROUP BY chrom""",
+    "sites_outside_genes": """SELECT chrom, pos FROM v_pair v WHERE NOT EXISTS (SELECT 1 FROM v_gene_bin g WHERE g.e - g.s <= 1200 AND g.chrom = v.chrom AND g.bin = CAST(floor(v.pos / 4000) AS BIGINT) AND v.pos > g.s AND v.pos <= g.e)""",
+    "escape_exposure": """SELECT event_id, round(sum(greatest(0, least(b, hi) - greatest(a, lo)) * 500.0e0 * CASE WHEN lo >= 1000 AND hi <= 3000 THEN CASE WHEN k0 = 0 THEN 0.7e0 ELSE 0.3e0 END ELSE 1 END * CASE WHEN lo >= 2000 AND hi <= 4200 THEN CASE WHEN k1 = 0 THEN 0.6e0 ELSE 0.4e0 END ELSE 1 END), 4) AS exposure
+  FROM (SELECT event_id, lineage % 2 AS k0, CAST(floor(lineage / 2) AS BIGINT) % 2 AS k1, CASE WHEN tl <= 2500 AND tr > 2500 THEN 0 WHEN tr <= 2500 THEN tr ELSE 2500 END AS a, CASE WHEN tl <= 2500 AND tr > 2500 THEN 0 WHEN tr <= 2500 THEN 2500 ELSE tl END AS b FROM v_flux)
+  CROSS JOIN (SELECT 0 AS lo, 1000 AS hi UNION ALL SELECT 1000, 2000 UNION ALL SELECT 2000, 3000 UNION ALL SELECT 3000, 4200 UNION ALL SELECT 4200, 1000000) c GROUP BY event_id""",
+    "hitchhike_prob": """SELECT event_id, dist, round(exp(-1.0e-3 * dist * 2), 6) AS p FROM (SELECT event_id, CASE WHEN tl <= 2500 AND tr > 2500 THEN 0 WHEN tr <= 2500 THEN 2500 - tr ELSE tl - 2500 END AS dist FROM v_flux)""",
 }

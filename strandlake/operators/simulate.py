@@ -1,109 +1,83 @@
-"""Seeded coalescent replicates of one locus without recombination.
-
-Lineages carry a population and an arrangement (0 standard, 1 inverted).  Two of
-one population and arrangement merge at rate 1 / (2 N p), p the arrangement's
-frequency; two of different arrangements don't until the inversion's age, when
-all become one class.  Flux moves a lineage to the other arrangement at its rate
-times that arrangement's frequency.  At the split every lineage joins population 0.
-Replicates are rows, each with a random stream of its own, so they spread over
-any number of tasks and come out the same whatever the partitions.
-"""
+"""Simulated genealogies as queries: ages, diversity, trees, events and genotypes of seeded replicates."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-EVENTS = "rep long, time double, kind string, pop int, inverted int, node long, child long"
-
-
-@dataclass(frozen=True)
-class Model:
-    """Sample counts by (population, arrangement), and rates per generation; ages of inf never come."""
-
-    samples: tuple[tuple[int, int, int], ...]
-    size: float = 1000.0
-    inverted: float = 0.0
-    inversion_age: float = math.inf
-    flux: float = 0.0
-    split: float = math.inf
-
-
-def replicate(model: Model, seed: int, rep: int) -> list[tuple]:
-    """The events of one replicate, from the samples back to the common ancestor."""
-    rng = np.random.default_rng([seed, rep])
-    alive = [(pop, arr) for pop, arr, n in model.samples for _ in range(n)]
-    nodes, out, now = list(range(len(alive))), [], 0.0
-    fixed = sorted((t, k) for t, k in ((model.inversion_age, "barrier"), (model.split, "split")) if math.isfinite(t))
-    barrier, following = model.inverted > 0, len(alive)
-    while len(alive) > 1:
-        share = {0: 1 - model.inverted, 1: model.inverted} if barrier else {0: 1.0, 1: 1.0}
-        classes: dict[tuple[int, int], list[int]] = {}
-        for i, key in enumerate(alive):
-            classes.setdefault(key, []).append(i)
-        rates = [(len(c) * (len(c) - 1) / 2 / (2 * model.size * share[key[1]]), "merge", key) for key, c in classes.items()]
-        if barrier and model.flux:
-            rates += [(len(c) * model.flux * share[1 - key[1]], "flux", key) for key, c in classes.items()]
-        total = sum(r for r, *_ in rates)
-        if not total and not fixed:
-            raise ValueError("lineages that can never meet")
-        wait = rng.exponential(1 / total) if total else math.inf
-        if fixed and now + wait >= fixed[0][0]:
-            now, kind = fixed.pop(0)
-            barrier = barrier and kind != "barrier"
-            alive = [(0 if kind == "split" else pop, 0 if kind == "barrier" else arr) for pop, arr in alive]
-            out.append((rep, now, kind, None, None, None, None))
-            continue
-        now += wait
-        chosen = rng.choice(len(rates), p=np.array([r for r, *_ in rates]) / total)
-        _, kind, key = rates[chosen]
-        if kind == "flux":
-            i = classes[key][rng.integers(len(classes[key]))]
-            alive[i] = (key[0], 1 - key[1])
-            out.append((rep, now, kind, *alive[i], nodes[i], None))
-        else:
-            i, j = sorted(rng.choice(classes[key], 2, replace=False))
-            out += [(rep, now, kind, *key, following, nodes[x]) for x in (i, j)]
-            nodes[i], following = following, following + 1
-            del alive[j], nodes[j]
-    return out
-
-
-def events(spark: SparkSession, model: Model, reps: int, seed: int = 1) -> DataFrame:
-    """All events of ``reps`` replicates; a merge has a row for each child."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in EVENTS.split(", ")]
-        for frame in frames:
-            for rep in frame["id"]:
-                found = pd.DataFrame(replicate(model, seed, int(rep)), columns=names)
-                yield found.astype({c: "Int64" for c in ("pop", "inverted", "node", "child")})
-
-    return spark.range(reps).mapInPandas(run, EVENTS)
-
-
-def ages(log: DataFrame) -> DataFrame:
-    """Replicates, and mean and error of the age of the common ancestor."""
-    top = log.filter("kind = 'merge'").groupBy("rep").agg(F.max("time").alias("tmrca"))
-    return top.agg(F.count("*").alias("reps"), F.round(F.avg("tmrca"), 6).alias("mean_tmrca"), F.round(F.stddev("tmrca") / F.sqrt(F.count("*")), 6).alias("error"))
-
+from strandlake.operators.forest import Forest
+from strandlake.simulation import trajectory
+from strandlake.simulation.runs import Tables, numbers, replicates, run, status
+from strandlake.simulation.spec import Inversion, Spec, Sweep
 
+_CENTRE = 5000.0
 MODELS = {
-    "sim_panmictic": Model(((0, 0, 10),)),
-    "sim_barrier": Model(((0, 0, 1), (0, 1, 1)), inverted=0.3, inversion_age=3000.0),
-    "sim_flux": Model(((0, 0, 1), (0, 1, 1)), inverted=0.5, flux=1e-3),
-    "sim_two_pop_split": Model(((0, 0, 1), (1, 0, 1)), split=2500.0),
+    "sim_panmictic": (Spec(((0, "", 10),)), 2000),
+    "sim_barrier": (Spec(((0, "S", 1), (0, "I", 1)), inversions=(Inversion(0, 1, 3000.0, 0.3),)), 2000),
+    # One base in the centre of 10,000, which a tract of fixed length 500 covers with probability 500 / 9500.
+    "sim_flux": (Spec(((0, "S", 1), (0, "I", 1)), inversions=(Inversion(-5000, 5000, frequency=0.5, flux=0.019 / 500, tract=500.0, fixed=True),)), 1000),
+    "sim_two_pop_split": (Spec(((0, "", 1), (1, "", 1)), sizes=(1000.0, 1000.0), events=(("ej", 2500.0, 1, 0),)), 2000),
+    "sim_migration": (Spec(((0, "", 1), (1, "", 1)), sizes=(1000.0, 1000.0), migration=((0, 1e-3), (1e-3, 0))), 2000),
+    "sim_bottleneck": (Spec(((0, "", 2),), events=(("en", 500.0, 0, 100.0), ("en", 600.0, 0, 1000.0))), 2000),
+    "sim_growth": (Spec(((0, "", 2),), growth=(1e-3,)), 2000),
+    "sim_class_migration": (Spec(((0, "I", 2), (1, "S", 1)), sizes=(1000.0, 1000.0), inversions=(Inversion(0, 1, 4000.0, 0.4),), events=(("cmig", 200.0, 0, 1, "I", 0, 0.5), ("ej", 3000.0, 1, 0))), 1000),
+    "sim_recombination": (Spec(((0, "", 10),), length=1e5, recombination=5e-8), 100),
+    "sim_nested": (Spec(((0, "SS", 5), (0, "II", 5)), length=1e4, recombination=1e-7, inversions=(Inversion(0, 1e4, 4000.0, 0.4), Inversion(3000, 7000, 2000.0, 0.5, flux=1e-6))), 200),
+    "sim_trajectory": (Spec(((0, "I", 5), (0, "S", 5)), inversions=(Inversion(0, 1, 3000.0, path=trajectory.balancing(0.6, 0.001, 0.005, 3000.0, 60)),)), 500),
+    "sim_sweep": (Spec(((0, "", 8),), length=1e4, recombination=1e-7, sweep=Sweep(_CENTRE, 0, trajectory.sweep(50.0, 0.1, 1000.0))), 100),
 }
-REPS = 2000
+
+
+def ages(tables: Tables, place: float = 0.0) -> DataFrame:
+    """Replicates, mean and error of the age of the common ancestor at a place, and mean number of trees."""
+    at = tables.edges.filter((F.col("l") <= place) & (F.col("r") > place))
+    top = at.join(tables.nodes.select("rep", F.col("node").alias("parent"), "time"), ["rep", "parent"]).groupBy("rep").agg(F.max("time").alias("tmrca"))
+    trees = tables.edges.groupBy("rep").agg((F.count_distinct("l")).alias("trees"))
+    columns = [F.count("*").alias("reps"), F.round(F.avg("tmrca"), 6).alias("mean_tmrca"), F.round(F.stddev("tmrca") / F.sqrt(F.count("*")), 6).alias("error"), F.round(F.avg("trees"), 6).alias("mean_trees")]
+    return top.join(trees, "rep").agg(*columns)
+
+
+def forest(tables: Tables) -> Forest:
+    """Marginal trees of all replicates; samples of even numbers are group a, the others b."""
+    return Forest(tables.nodes, tables.edges, ["rep"], a=F.col("sample") % 2 == 0, b=F.col("sample") % 2 == 1)
+
+
+def branch_stats(spark: SparkSession) -> DataFrame:
+    """Span-weighted branch diversity and divergence of replicates with recombination."""
+    spec, _ = MODELS["sim_recombination"]
+    trees = forest(run(spark, spec, 20))
+    spans = trees.links.select("rep", "tree", "span").distinct()
+    both = trees.diversity().join(trees.divergence(), ["rep", "tree"]).join(spans, ["rep", "tree"])
+    return both.groupBy("rep").agg(F.count("*").alias("trees"), F.round(F.sum(F.col("pi") * F.col("span")) / spec.length, 4).alias("pi"), F.round(F.sum(F.col("dxy") * F.col("span")) / spec.length, 4).alias("dxy"))
+
+
+def genotype_spectrum(spark: SparkSession) -> DataFrame:
+    """Unfolded spectrum of the mutations of replicates, from their genotype matrices."""
+    spec = Spec(((0, "", 10),), length=1e4, recombination=1e-8, mutation=1e-7)
+    tables = run(spark, spec, 50)
+    carriers = forest(tables).genotypes(tables.mutations).groupBy("rep", "site").agg(F.count("*").alias("k"))
+    return carriers.groupBy("k").agg(F.count("*").alias("n"))
+
+
+def simplified_size(spark: SparkSession) -> DataFrame:
+    """Edges before and after simplification, by replicate."""
+    tables = run(spark, MODELS["sim_nested"][0], 10)
+    before = tables.edges.groupBy("rep").agg(F.count("*").alias("edges"))
+    return before.join(forest(tables).simplified().groupBy("rep").agg(F.count("*").alias("kept")), "rep")
+
+
+def event_log(spark: SparkSession) -> DataFrame:
+    spec = Spec(((0, "S", 5), (0, "I", 5)), length=1e4, recombination=1e-8, inversions=(Inversion(0, 1e4, 8000.0, 0.4, flux=1e-6),))
+    return run(spark, spec, 200).events.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.avg("time"), 6).alias("mean_time"), F.round(F.avg(F.col("r") - F.col("l")), 6).alias("mean_tract"))
+
+
+def outcomes(spark: SparkSession) -> DataFrame:
+    """Outcome and number of replicates, of which two demes without a way between them have none that ends."""
+    apart = Spec(((0, "", 1), (1, "", 1)), sizes=(1000.0, 1000.0))
+    rows = replicates(numbers(spark, 5), apart).unionByName(replicates(numbers(spark, 5), MODELS["sim_panmictic"][0]))
+    return status(rows).select("status", "n")
 
 
 def queries() -> dict:
-    found = {name: lambda spark, sf_dir, model=model: ages(events(spark, model, REPS)) for name, model in MODELS.items()}
-    log = Model(((0, 0, 5), (0, 1, 5)), inverted=0.4, inversion_age=8000.0, flux=1e-4)
-    found["sim_event_log"] = lambda spark, sf_dir: events(spark, log, REPS).groupBy("kind", "inverted").agg(F.count("*").alias("n"), F.round(F.avg("time"), 6).alias("mean_time"))
-    return found
+    found = {name: lambda spark, sf_dir, spec=spec, reps=reps: ages(run(spark, spec, reps), _CENTRE if spec.length >= 1e4 else 0.0) for name, (spec, reps) in MODELS.items()}
+    more = {"sim_branch_stats": branch_stats, "sim_genotypes": genotype_spectrum, "sim_simplify": simplified_size, "sim_event_log": event_log, "sim_status": outcomes}
+    return found | {name: lambda spark, sf_dir, f=f: f(spark) for name, f in more.items()}

@@ -19,7 +19,7 @@ QUERIES = {
     "join_groups": "SELECT a.chrom, a.pos, a.ac AS ac_a, a.an AS an_a, b.ac AS ac_b, b.an AS an_b FROM v_site a JOIN v_site b ON a.chrom = b.chrom AND a.pos = b.pos AND a.grp = 'AA' AND b.grp = 'BB'",
     "join_composite": "SELECT l_orderkey, l_linenumber, o_custkey, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_suppkey % 10 = o_custkey % 10",
     "join_windows": "SELECT a.chrom, a.win, a.ac AS ac_AA, b.ac AS ac_BB FROM (SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS win, sum(ac) AS ac FROM v_site WHERE grp = 'AA' GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT)) a JOIN (SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS win, sum(ac) AS ac FROM v_site WHERE grp = 'BB' GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT)) b ON a.chrom = b.chrom AND a.win = b.win",
-    "left_annot": "SELECT v.chrom, v.pos, g.gene, coalesce(g.term, 'none') AS term FROM v_pair v LEFT JOIN v_gene g ON g.chrom = v.chrom AND g.s + 1 = v.pos AND g.strand = '+'",
+    "left_annot": """SELECT v.chrom, v.pos, g.gene, coalesce(g.term, 'none') AS term FROM v_pair v LEFT JOIN v_gene g ON g.chrom = v.chrom AND g.s + 1 = v.pos""",
     "semi_genes": "SELECT gene, term FROM v_gene g WHERE EXISTS (SELECT 1 FROM v_pair v WHERE v.chrom = g.chrom AND v.pos = g.s + 1 AND v.dp >= 0.5e0)",
     "anti_genes": "SELECT gene, term FROM v_gene g WHERE NOT EXISTS (SELECT 1 FROM v_pair v WHERE v.chrom = g.chrom AND v.pos = g.s + 1 AND v.dp >= 0.5e0)",
     "site_annotation": "SELECT chrom, pos, tx, degen, round(dp, 6) AS dp FROM v_annot",
@@ -48,12 +48,16 @@ QUERIES = {
   SELECT win, sum(CASE WHEN k > 0 AND k < n THEN 1 ELSE 0 END) AS s, sum(pi) AS pi FROM v_div GROUP BY win) CROSS JOIN (SELECT 25.0e0 AS n, sum(1.0e0 / i) AS a1, sum(1.0e0 / (i * i)) AS a2, 26.0e0 / 72 AS b1, 2 * 653.0e0 / 5400 AS b2 FROM (SEQ(1;24))))""",
     "arrangement_ratios": "SELECT sum(n_sites) AS n, round(avg(pi_b), 6) AS pi_i, round(avg(pi_a), 6) AS pi_s, round(avg(dxy), 6) AS dxy, round(avg(pi_b) / avg(pi_a), 6) AS pi_ratio, round(avg(dxy) / avg(pi_b), 6) AS dxy_ratio FROM v_win",
     "fst_identity": "SELECT win, round(1 - (pi_a / pi_b + 1) / (2 * dxy / pi_b), 6) AS by_ratios, round(1 - (pi_a + pi_b) / 2 / dxy, 6) AS by_pi FROM v_win WHERE pi_b > 0 AND dxy > 0",
-    "polarization": "SELECT t.cut, round(avg(CASE WHEN p_a > 0.5e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS share_a, round(avg(CASE WHEN p_b > 0.5e0 THEN 1.0e0 ELSE 0.0e0 END), 6) AS share_b, count(*) AS n FROM v_pair JOIN (SELECT 0.0e0 AS cut UNION ALL SELECT 0.2e0 UNION ALL SELECT 0.4e0) t ON dp >= t.cut GROUP BY t.cut",
-    "density_match": "SELECT c.chrom, c.win, c.n FROM (SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS win, sum(an) AS n FROM v_site WHERE body = 0 GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT)) c CROSS JOIN (SELECT PCT(n;0.1) AS lo, PCT(n;0.9) AS hi FROM (SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS win, sum(an) AS n FROM v_site WHERE body = 1 GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT))) WHERE c.n BETWEEN lo AND hi",
+    "polarization": """SELECT cut, n, round(aa * 1.0e0 / NULLIF(aa + bb, 0), 6) AS share_a, aa + bb AS votes FROM (SELECT t.cut, count(*) AS n, sum(CASE WHEN (p_a > 0.5e0) = (q > 0.5e0) AND q <> 0.5e0 THEN 1 ELSE 0 END) AS aa, sum(CASE WHEN (p_b > 0.5e0) = (q > 0.5e0) AND q <> 0.5e0 THEN 1 ELSE 0 END) AS bb
+  FROM v_pair p JOIN v_out o ON o.chrom = p.chrom AND o.idx = p.idx JOIN (SELECT 0.0e0 AS cut UNION ALL SELECT 0.2e0 UNION ALL SELECT 0.4e0) t ON dp >= t.cut GROUP BY t.cut) WHERE n >= 20""",
+    "density_match": """SELECT c.chrom, c.win, round(c.density, 9) AS density FROM v_density c CROSS JOIN (SELECT PCT(density;0.1) AS lo, PCT(density;0.9) AS hi FROM v_density WHERE body = 1) q WHERE c.body = 0 AND c.density BETWEEN lo AND hi""",
     "core_edge": "SELECT part, count(*) AS n, round(avg(dp), 6) AS dp FROM (SELECT dp, CASE WHEN abs(idx - 109.5e0) / 30 < 0.35e0 THEN 'core' WHEN abs(idx - 109.5e0) / 30 > 0.75e0 THEN 'edge' ELSE 'middle' END AS part FROM v_pair WHERE body = 1) GROUP BY part",
-    "class_outliers": "SELECT chrom, win, round(z, 6) AS z, CASE WHEN abs(z) > 2 THEN 1 ELSE 0 END AS outlier FROM (SELECT chrom, win, (p - avg(p) OVER (PARTITION BY chrom)) / NULLIF(stddev_samp(p) OVER (PARTITION BY chrom), 0) AS z FROM (SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS win, avg(p_a) AS p FROM v_pair GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT)))",
-    "compartments": "SELECT degen, count(*) AS n, round(10000.0e0 * sum(CASE WHEN dp >= 0.3e0 THEN 1 ELSE 0 END) / count(*), 6) AS per_10k, round(avg(dp), 6) AS dp FROM v_annot GROUP BY degen HAVING count(*) >= 50",
+    "class_outliers": """SELECT chrom, win, round(z_a, 6) AS z_a, round(z_b, 6) AS z_b, CASE WHEN z_a < -2 AND z_a < z_b - 1 THEN 1 ELSE 0 END AS only_a, CASE WHEN z_b < -2 AND z_b < z_a - 1 THEN 1 ELSE 0 END AS only_b, round((r - mr) / NULLIF(sr, 0), 6) AS z_block FROM (SELECT w.*, h_a / NULLIF(h_b, 0) AS r, (h_a - ma) / NULLIF(sa, 0) AS z_a, (h_b - mb) / NULLIF(sb, 0) AS z_b FROM v_classwin w
+  CROSS JOIN (SELECT median(h_a) AS ma, stddev_samp(h_a) AS sa, median(h_b) AS mb, stddev_samp(h_b) AS sb FROM v_classwin WHERE body = 0) c) x CROSS JOIN (SELECT median(h_a / NULLIF(h_b, 0)) AS mr, stddev_samp(h_a / NULLIF(h_b, 0)) AS sr FROM v_classwin WHERE body = 1) y WHERE body = 1""",
+    "compartments": """SELECT c.body, c.degen, c.n, round(c.per_10k, 6) AS per_10k, round(c.dp, 6) AS dp, round(c.per_10k / NULLIF(i.per_10k, 0), 6) AS to_intergenic, round(c.per_10k / NULLIF(k.per_10k, 0), 6) AS to_control FROM v_comp c LEFT JOIN v_comp i ON i.body = c.body AND i.degen = 3 LEFT JOIN v_comp k ON k.body = 0 AND k.degen = c.degen WHERE c.n >= 500""",
     "transcript_ratio": """SELECT t.chrom, t.tx, round(t.den / NULLIF(w.den, 0), 6) AS ratio FROM (SELECT chrom, tx, avg(den) AS den, CAST(floor(median(pos) / 100000) AS BIGINT) AS win FROM v_annot GROUP BY chrom, tx) t
   LEFT JOIN (SELECT chrom, CAST(floor(pos / 100000) AS BIGINT) AS win, avg(den) AS den FROM v_hudson GROUP BY chrom, CAST(floor(pos / 100000) AS BIGINT)) w ON w.chrom = t.chrom AND w.win = t.win""",
-    "asymmetry_mafbins": "SELECT CAST(floor((p_a + p_b) / 2 * 5) AS BIGINT) AS bin, count(*) AS n, round(sum(p_a - p_b) / NULLIF(sum(dp), 0), 6) AS asym FROM v_pair GROUP BY CAST(floor((p_a + p_b) / 2 * 5) AS BIGINT)",
+    "asymmetry_mafbins": """SELECT bin, n, round(diff / NULLIF(wt, 0), 6) AS asym FROM (SELECT CASE WHEN maf < 0.02e0 THEN 0 WHEN maf < 0.05e0 THEN 1 WHEN maf < 0.1e0 THEN 2 ELSE 3 END AS bin, count(*) AS n, sum(diff) AS diff, sum(dp) AS wt FROM v_asym GROUP BY CASE WHEN maf < 0.02e0 THEN 0 WHEN maf < 0.05e0 THEN 1 WHEN maf < 0.1e0 THEN 2 ELSE 3 END) WHERE n > 20""",
+    "asymmetry_jackknife": """SELECT count(*) AS blocks, round(count(*) * max(t) - (count(*) - 1) * avg(loo), 6) AS est, round(sqrt((count(*) - 1) * var_pop(loo)), 6) AS se FROM (SELECT d / w AS t, (d - diff) / (w - wt) AS loo FROM (SELECT chrom, CAST(floor(idx / 20) AS BIGINT) AS b, sum(diff) AS diff, sum(dp) AS wt FROM v_asym GROUP BY chrom, CAST(floor(idx / 20) AS BIGINT)) CROSS JOIN (SELECT sum(diff) AS d, sum(dp) AS w FROM v_asym))""",
+    "shared_sites": """SELECT chrom, pos, an_a, an_b FROM v_pair JOIN (SELECT max(an_a) AS top_a, max(an_b) AS top_b FROM v_pair) t ON an_a >= 0.5e0 * top_a AND an_b >= 0.5e0 * top_b WHERE ac_a + ac_b > 0 AND ac_a + ac_b < an_a + an_b""",
 }

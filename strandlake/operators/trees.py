@@ -9,6 +9,4 @@ QUERIES = {
     "total_branch": "SELECT tree, sum(blen) AS total FROM v_branch GROUP BY tree",
     "colless": "SELECT a.tree, sum(abs(x.k - y.k)) AS colless FROM v_tree a JOIN v_tree b ON a.tree = b.tree AND a.parent = b.parent AND a.child < b.child JOIN v_below x ON x.tree = a.tree AND x.node = a.child JOIN v_below y ON y.tree = b.tree AND y.node = b.child WHERE a.parent < -1000000 GROUP BY a.tree",
     "karyotype_split": "SELECT tree, sum(CASE WHEN node = -1999999 THEN k ELSE 0 END) AS derived, max(k) - sum(CASE WHEN node = -1999999 THEN k ELSE 0 END) AS ancestral FROM v_below GROUP BY tree",
-    "pop_components": "SELECT pop, min(label) AS label FROM (SELECT n_nationkey AS pop, n_regionkey AS label FROM nation UNION ALL SELECT b.n_nationkey, a.n_regionkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey) GROUP BY pop",
-    "escape_exposure": "SELECT sample, sum(len * time) AS exposure FROM (SELECT u.sample, n.time, 500000.0e0 AS len FROM v_up u JOIN v_node n ON n.node = u.n1) GROUP BY sample",
 }

@@ -1,4 +1,4 @@
-"""All queries of the engine: one SQL text each, for Spark and for its DuckDB twin."""
+"""All queries of the engine, as SQL texts or functions of DataFrames, and their DuckDB twins."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.functions.dialect import render
 from strandlake.functions.fixtures import VIEWS
-from strandlake.operators import fitting, intervals, resample, simulate, sites, spectra, theory, trees
+from strandlake.operators import fitting, forest, inference, intervals, ordered, resample, simulate, sites, spectra, theory, trees
+from strandlake.plans.oracles import ORACLES
 
+#: Query -> (function, tables or views that it takes).
+FRAMES = ordered.FRAMES | forest.FRAMES | theory.FRAMES | inference.FRAMES
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-QUERIES = {k: v for module in (sites, spectra, intervals, resample, trees, theory, fitting) for k, v in module.QUERIES.items()}
+QUERIES = {k: v for module in (sites, spectra, intervals, resample, trees, theory, fitting, inference) for k, v in module.QUERIES.items()}
 
 
 def _names(sql: str, among) -> list[str]:
@@ -29,7 +32,11 @@ def complete(sql: str) -> str:
                 order.append(name)
 
     visit(sql)
-    return f"WITH {', '.join(f'{n} AS ({VIEWS[n]})' for n in order)} {sql}" if order else sql
+    views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in order)
+    if not views:
+        return sql
+    own = re.match(r"WITH (RECURSIVE )?", sql)
+    return f"WITH {own[1] or ''}{views}, {sql[own.end() :]}" if own else f"WITH {views} {sql}"
 
 
 def _query(sql: str):
@@ -43,9 +50,19 @@ def _query(sql: str):
     return run
 
 
+def _framed(function, inputs: list[str]):
+    views = [_query(f"SELECT * FROM {name}") for name in inputs]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return function(*[view(spark, sf_dir) for view in views]) if views else function(spark)
+
+    return run
+
+
 def queries() -> dict:
-    return {name: _query(sql) for name, sql in QUERIES.items()} | simulate.queries()
+    found = {name: _query(sql) for name, sql in QUERIES.items() if name not in FRAMES}
+    return found | {name: _framed(*frame) for name, frame in FRAMES.items()} | simulate.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: render(complete(sql), 1) for name, sql in QUERIES.items()}
+    return {name: render(complete(sql), 1) for name, sql in (QUERIES | ORACLES).items()}

@@ -47,7 +47,7 @@ def test_trees_hold_every_customer(spark, tmp_path):
     assert {t: d for t, d, _ in answer(spark, "karyotype_split", tmp_path)} == derived
     assert {t: d + a for t, d, a in answer(spark, "karyotype_split", tmp_path)} == dict.fromkeys(derived, n)
     assert dict(answer(spark, "tmrca", tmp_path)) == dict.fromkeys(derived, 1000.0)
-    assert {s for s, _ in answer(spark, "escape_exposure", tmp_path)} == set(keys)
+    assert len(answer(spark, "simplify", tmp_path)) == 2 * n + 30
     assert len(answer(spark, "edge_canonical_sort", tmp_path)) == 2 * n + 30
     assert len(answer(spark, "time_rescale", tmp_path)) == n + 31
     assert math.fsum(f for _, f in answer(spark, "afs_branch", tmp_path)) == pytest.approx(1, abs=1e-3)
@@ -127,7 +127,7 @@ def test_window_null_counts_empty_windows(spark, tmp_path):
         last[k // 200] = max(win, last.get(k // 200, 0))
         held[term, k // 200, win] += 1
         front[term] += k // 200 == 0 and 80 <= k % 200 <= 139
-    windows = [(c, w) for c in last for w in range(last[c] + 1)]
+    windows = [(c, w) for c in last if c for w in range(last[c] + 1)]  # the body's own chromosome is no null
     want = {t: (k, sum(held[t, *w] >= k for w in windows) / len(windows)) for t, k in front.items() if k}
     got = {t: (k, p) for t, k, p in answer(spark, "window_null", tmp_path)}
     assert got.keys() == want.keys() and "RARE" in got

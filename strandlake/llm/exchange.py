@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strandlake.functions.ordered import checkpointed  # noqa: F401  (cuts lineage in the folder that the cluster shares)
+
 MESSAGE = "shard int, batch int, kind int, payload binary"
 _ARROW = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 BATCHES_PER_PARTITION = 1
@@ -56,13 +58,3 @@ def by_sender(table: pa.Table) -> list[tuple[int, int, list[np.ndarray]]]:
     columns = [table.column(c).to_pylist() for c in ("shard", "batch", "kind", "payload")]
     rows = sorted(zip(*columns), key=lambda r: r[:3])
     return [(s, b, k, unpack(p)) for s, b, k, p in rows]
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder that the cluster shares."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)

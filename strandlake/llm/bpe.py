@@ -18,6 +18,8 @@ from strandlake.llm.kernels import portions, thrifty
 
 #: Unicode white space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
+#: Words of more bytes are merged one by one.
+LONG = 1 << 10
 #: Frequent marks at the end of a word; none begins a contraction.
 MARKS = ".,;:!?)"
 #: Texts that a worker remembers the tokens of, at most.
@@ -101,6 +103,54 @@ class SegmentTreeMerger:
         return sym.reshape(rows, step)[:, :width]
 
 
+    def merge_long(self, symbols: np.ndarray) -> np.ndarray:
+        """The same for one long row, all places of the root's rank at once.
+
+        A pair that a merge makes ranks after it, so the root would yield all places
+        of one rank, from left to right, before any other.  They are found by going
+        down the tree wherever the least rank is; of places that overlap, as in a
+        run of one symbol, every second one merges.
+        """
+        n = len(symbols)
+        width = 1 << max(1, int(n - 1).bit_length())
+        sym = np.full(width + 1, -1, np.int64)
+        sym[:n] = symbols
+        following, before = np.minimum(np.arange(1, width + 2), width), np.arange(-1, width)
+        tree = np.full(2 * width, self.NONE)
+        rank = self.ranks(sym[:-1], sym[1:])
+        tree[width:] = np.where(rank >= 0, rank * width + np.arange(width), self.NONE)
+        node = width
+        while node > 1:
+            node //= 2
+            tree[node : 2 * node] = np.minimum(tree[2 * node : 4 * node : 2], tree[2 * node + 1 : 4 * node : 2])
+        while tree[1] < self.NONE:
+            least = tree[1] // width
+            nodes = np.ones(1, np.int64)
+            while nodes[0] < width:
+                nodes = np.concatenate([2 * nodes, 2 * nodes + 1])
+                nodes = nodes[tree[nodes] // width == least]
+            at = np.sort(nodes - width)
+            first = np.ones(len(at), bool)
+            first[1:] = following[at[:-1]] != at[1:]
+            place = np.arange(len(at))
+            at = at[(place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0]
+            made, gone = self.merged[least], following[at]
+            sym[at], sym[gone] = made, -1
+            then = following[gone]
+            following[at] = then
+            before[then] = at
+            prior = before[at]
+            touched = np.unique(np.concatenate([at, prior[prior >= 0]]))
+            rank = self.ranks(sym[touched], sym[following[touched]])
+            tree[width + gone] = self.NONE
+            tree[width + touched] = np.where(rank >= 0, rank * width + touched, self.NONE)
+            paths = np.unique(np.concatenate([gone, touched]) + width)
+            while paths[0] > 1:
+                paths = np.unique(paths >> 1)
+                tree[paths] = np.minimum(tree[2 * paths], tree[2 * paths + 1])
+        return sym[:n]
+
+
 class Tokenizer:
     """A byte-level BPE tokenizer read from a tokenizers JSON file."""
 
@@ -137,7 +187,12 @@ class Tokenizer:
         out: list = [None] * len(words)
         sizes = np.array([len(w) for w in words])
         widths = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
-        for width in np.unique(widths):
+        for i in np.flatnonzero(widths > LONG):
+            row = self.inner[np.frombuffer(words[i], np.uint8)]
+            row[-1] = self.last[words[i][-1]]
+            done = self.merger.merge_long(row)
+            out[i] = done[done >= 0].astype("<i4").tobytes()
+        for width in np.unique(widths[widths <= LONG]):
             mine = np.flatnonzero(widths == width)
             step = max(1, (1 << 17) // int(width))
             for k in range(0, len(mine), step):

@@ -146,6 +146,24 @@ def test_bpe(docs, texts):
         assert tuple(r)[1:] == (len(ids), digest(" ".join(map(str, ids)).encode()), digest(t.decode(ids, skip_special_tokens=False).encode()))
 
 
+def test_long_words_merge_like_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from strandlake.llm import bpe
+
+    rng = np.random.default_rng(2)
+    long = ["a" * 5000, "ab" * 3000 + "a", "".join("thenra"[k] for k in rng.integers(0, 6, 20000)), "é" * 1500 + "x"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        with open(public_tokenizers.path(name), "rb") as file:
+            own = bpe.Tokenizer(file.read())
+        theirs = Tokenizer.from_file(public_tokenizers.path(name))
+        for text, units in zip(long, own.encode_batch(long, lambda b: b, {})):
+            assert np.frombuffer(b"".join(units), "<i4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    unbroken = bpe.Tokenizer.word_ids(own, [bytes(rng.integers(97, 123, 1 << 20, dtype=np.uint8))])[0]
+    assert len(unbroken) > 1 << 20
+
+
 def test_packing(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -194,6 +212,47 @@ def test_near_dedup(docs, texts):
     assert {r.doc_id: r.class_id for r in op9_near_dedup(docs).collect()} == {i: find(i) for i in texts}
 
 
+def test_darts_meet_with_the_weighted_similarity():
+    from strandlake.llm.near_dedup import dart_signatures
+
+    rng = np.random.default_rng(8)
+    weights = rng.integers(0, 6, (2, 60))
+    owner, element = np.nonzero(weights)
+    k = 4000
+    sig = dart_signatures(owner, element.astype(np.uint64) * np.uint64(7919), weights[owner, element], 2, k)
+    want = np.minimum(*weights).sum() / np.maximum(*weights).sum()
+    assert abs((sig[0] == sig[1]).mean() - want) < 4 * math.sqrt(want * (1 - want) / k)
+
+
+def test_weighted_candidates_find_the_same_classes(docs):
+    from strandlake.llm.near_dedup import near_duplicates, op9_near_dedup
+
+    weighted = near_duplicates(docs.select("doc_id", "text"), weighted=True).select("doc_id", "class_id")
+    assert sorted(map(tuple, weighted.collect())) == sorted(map(tuple, op9_near_dedup(docs).collect()))
+
+
+def test_empty_rules_chats_and_clashes(spark, docs):
+    from pyspark.sql import functions as F
+
+    from strandlake.llm.bpe import encode_decode
+    from strandlake.llm.chat_format import op10_chat_format
+    from strandlake.llm.language_model import score_texts
+    from strandlake.llm.quality_rules import op4_quality_rules
+    from strandlake.llm.suffix_dedup import suffix_dedup
+
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert op4_quality_rules(docs.limit(0).withColumn("lang", F.lit("en")), labels).count() == 0
+    chats = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [r.conv_id for r in op10_chat_format(chats).collect()] == [-7]
+    odd = docs.limit(6)
+    for name in ("batch", "kept", "spans", "ids", "decoded", "train", "score", "n_tokens", "shard"):
+        odd = odd.withColumn(name, F.lit("x"))
+    import public_tokenizers
+
+    for done in (suffix_dedup(odd), score_texts(odd, F.lit(True)), encode_decode(odd, public_tokenizers.path("word_bpe_49k.json"))):
+        assert done.columns[: len(odd.columns)] == odd.columns and done.filter("batch = 'x' and ids = 'x'").count() == 6
+
+
 def test_quality_counts(spark, docs, texts):
     from pyspark.sql import functions as F
 

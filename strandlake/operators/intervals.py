@@ -12,7 +12,7 @@ QUERIES = {
     "asof_step": """SELECT probe, round(p, 6) AS p FROM (SELECT probe, t, max(t0) OVER (ORDER BY t, kind ROWS UNBOUNDED PRECEDING) AS last_t FROM (SELECT CAST(NULL AS BIGINT) AS probe, t, t AS t0, 0 AS kind FROM v_step UNION ALL SELECT probe, t, NULL, 1 FROM v_probe)) x JOIN v_step s ON s.t = x.last_t WHERE probe IS NOT NULL""",
     "interp_linear": """SELECT probe, round(p + (coalesce(p2, p) - p) * (x.t - s.t) / coalesce(t2 - s.t, 1), 6) AS p FROM (SELECT probe, t, max(t0) OVER (ORDER BY t, kind ROWS UNBOUNDED PRECEDING) AS last_t FROM (SELECT CAST(NULL AS BIGINT) AS probe, t, t AS t0, 0 AS kind FROM v_step UNION ALL SELECT probe, t, NULL, 1 FROM v_probe)) x
   JOIN (SELECT t, p, lead(t) OVER (ORDER BY t) AS t2, lead(p) OVER (ORDER BY t) AS p2 FROM v_step) s ON s.t = x.last_t WHERE probe IS NOT NULL""",
-    "interp_bilinear": """SELECT x, y, round((1 - u) * ((1 - v) * m00 + v * m01) + u * ((1 - v) * m10 + v * m11), 4) AS z FROM (SELECT x, y, t - i0 AS u, q - j0 AS v, sum(CASE WHEN ti = i0 AND pi = j0 THEN m END) AS m00, sum(CASE WHEN ti = i0 AND pi = j0 + 1 THEN m END) AS m01, sum(CASE WHEN ti = i0 + 1 AND pi = j0 THEN m END) AS m10, sum(CASE WHEN ti = i0 + 1 AND pi = j0 + 1 THEN m END) AS m11 FROM (
+    "interp_bilinear": """SELECT x, y, round((1 - u) * ((1 - v) * m00 + v * m01) + u * ((1 - v) * m10 + v * m11), 2) AS z FROM (SELECT x, y, t - i0 AS u, q - j0 AS v, sum(CASE WHEN ti = i0 AND pi = j0 THEN m END) AS m00, sum(CASE WHEN ti = i0 AND pi = j0 + 1 THEN m END) AS m01, sum(CASE WHEN ti = i0 + 1 AND pi = j0 THEN m END) AS m10, sum(CASE WHEN ti = i0 + 1 AND pi = j0 + 1 THEN m END) AS m11 FROM (
   SELECT x, y, t, q, least(CAST(floor(t) AS BIGINT), 3) AS i0, least(CAST(floor(q) AS BIGINT), 3) AS j0 FROM (SELECT a.i AS x, b.i AS y, least(4.0e0, greatest(0.0e0, a.i / 5.0e0 - 0.4e0)) AS t, least(4.0e0, b.i / 6.0e0) AS q FROM (SEQ(0;26)) a CROSS JOIN (SEQ(0;26)) b)) g JOIN v_surface s ON s.ti BETWEEN i0 AND i0 + 1 AND s.pi BETWEEN j0 AND j0 + 1 GROUP BY x, y, t - i0, q - j0)""",
     "param_grid": "SELECT a.i AS d, b.i AS f, c.i AS t FROM (SEQ(1;10)) a CROSS JOIN (SEQ(1;10)) b CROSS JOIN (SEQ(1;10)) c WHERE a.i + b.i <= c.i",
     "breakpoint_partition": "SELECT x AS l, lead(x) OVER (ORDER BY x) AS r FROM (SELECT 0 AS x UNION SELECT 1000000 UNION SELECT l FROM v_edge UNION SELECT r FROM v_edge)",

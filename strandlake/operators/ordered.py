@@ -94,7 +94,7 @@ def bayes_factor(dist: DataFrame) -> DataFrame:
 
 def posterior_quantiles(dist: DataFrame) -> DataFrame:
     found = kept(dist).agg(F.percentile("theta", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    return found.select(*[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
+    return found.select(*[F.round(F.col("q")[i], 2).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
 
 
 def edge_canonical_sort(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ ORACLES = {
     "nearest_gene": "SELECT v.chrom, v.pos, min(least(abs(g.s - v.pos), abs(g.e - v.pos))) AS dist FROM v_pair v LEFT JOIN v_gene g ON g.chrom = v.chrom GROUP BY v.chrom, v.pos",
     "asof_step": "SELECT q.probe, round(s.p, 6) AS p FROM v_probe q ASOF JOIN v_step s ON q.t >= s.t",
     "interp_linear": "SELECT q.probe, round(CASE WHEN u.t IS NULL THEN s.p ELSE s.p + (u.p - s.p) * (q.t - s.t) / (u.t - s.t) END, 6) AS p FROM v_probe q ASOF JOIN v_step s ON q.t >= s.t LEFT JOIN v_step u ON u.t = s.t + 50",
-    "interp_bilinear": """SELECT a.x, b.y, round((SELECT sum(m * greatest(0, 1 - abs(t - ti)) * greatest(0, 1 - abs(q - pi))) FROM v_surface), 4) AS z FROM (SELECT i AS x, least(4.0e0, greatest(0.0e0, i / 5.0e0 - 0.4e0)) AS t FROM (SEQ(0;26))) a, (SELECT i AS y, least(4.0e0, i / 6.0e0) AS q FROM (SEQ(0;26))) b""",
+    "interp_bilinear": """SELECT a.x, b.y, round((SELECT sum(m * greatest(0, 1 - abs(t - ti)) * greatest(0, 1 - abs(q - pi))) FROM v_surface), 2) AS z FROM (SELECT i AS x, least(4.0e0, greatest(0.0e0, i / 5.0e0 - 0.4e0)) AS t FROM (SEQ(0;26))) a, (SELECT i AS y, least(4.0e0, i / 6.0e0) AS q FROM (SEQ(0;26))) b""",
     "converted_fraction": """SELECT x, count(*) AS converted, round(count(*) * 1.0e0 / (SELECT count(*) FROM customer), 6) AS share FROM (SELECT i * 250 AS x FROM (SEQ(0;19))), customer c WHERE EXISTS (SELECT 1 FROM v_flux f WHERE f.lineage % 25 = c.c_nationkey AND x BETWEEN f.tl AND f.tr) GROUP BY x""",
     "coverage_at": "SELECT x, (SELECT count(*) FROM v_flux f WHERE x BETWEEN f.tl AND f.tr) AS depth FROM (SELECT tl AS x FROM v_flux UNION SELECT tr + 1 FROM v_flux)",
     "survival_curve": "SELECT d, round((SELECT avg(CASE WHEN tr - tl >= d THEN 1.0e0 ELSE 0 END) FROM v_flux), 6) AS s FROM (SELECT DISTINCT tr - tl AS d FROM v_flux)",

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strandlake.llm.kernels import thrifty
 from strandlake.functions.ordered import checkpointed  # noqa: F401  (cuts lineage in the folder that the cluster shares)
 
 MESSAGE = "shard int, batch int, kind int, payload binary"
@@ -37,9 +38,42 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def in_batches(docs: DataFrame, *keys: str, per_partition: int = BATCHES_PER_PARTITION) -> tuple[DataFrame, str]:
     """The rows with a batch number from a hash of the key columns; and its name."""
+    numbered, name, n = _numbered(docs, keys, per_partition)
+    return numbered.repartition(n, name), name
+
+
+def _numbered(docs: DataFrame, keys: tuple[str, ...], per_partition: int) -> tuple[DataFrame, str, int]:
     name, n = fresh(docs, "batch"), partitions(docs)
     number = F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(n * per_partition)).cast("int")
-    return docs.withColumn(name, number).repartition(n, name), name
+    return docs.withColumn(name, number), name, n
+
+
+def packed_batches(docs: DataFrame, *keys: str) -> DataFrame:
+    """``batch`` and ``payload``: the rows of each batch, those of a task together and compressed as one.
+
+    Texts shrink far more so than a shuffle's own compression gets them to, and
+    travel as few large rows.  ``unpacked`` restores a batch's table.
+    """
+    numbered, name, n = _numbered(docs, keys, 1)
+
+    def run(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for record in batches:
+            number = record.column(name).to_numpy(zero_copy_only=False)
+            order = np.argsort(number, kind="stable")
+            cut = np.flatnonzero(np.diff(number[order], prepend=-1))
+            rest = record.drop_columns([name])
+            for begin, end in zip(cut, np.append(cut[1:], len(order))):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema, options=options) as writer:
+                    writer.write_batch(rest.take(pa.array(order[begin:end])))
+                yield pa.RecordBatch.from_arrays([pa.array([number[order[begin]]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "payload"])
+
+    return numbered.mapInArrow(thrifty(run), "batch int, payload binary").repartition(n, "batch")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in table.column("payload")])
 
 
 def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:

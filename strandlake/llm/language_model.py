@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandlake.llm.exchange import MESSAGE, SHARDS_PER_PARTITION, by_sender, fresh, in_batches, messages, number_of, partitions
+from strandlake.llm.exchange import MESSAGE, SHARDS_PER_PARTITION, by_sender, fresh, messages, number_of, packed_batches, partitions, unpacked
 from strandlake.llm.kernels import Batch, U, Words, from_planes, mix, narrow, pack, planes, thrifty, thrifty_pair
 
 #: The tokens at a text's end and before its begin, in two independent hashes.
@@ -80,52 +80,50 @@ class Automaton:
 
 
 class _Level:
-    """The distinct n-grams of one length in a batch, in order of shard and key."""
+    """The distinct n-grams of one length in a batch and their training counts here; those to ask about in order of shard."""
 
-    def __init__(self, key: np.ndarray, route: np.ndarray, train: np.ndarray, places: np.ndarray, n_shards: int):
-        """places: of the tokens whose n-gram others may have too; ``place``: their n-gram's number."""
-        order = np.argsort(key[places], kind="stable")
-        sorted_ = key[places][order]
+    def __init__(self, key: np.ndarray, route: np.ndarray, train: np.ndarray, open_: np.ndarray, n_shards: int):
+        """open_: whether others may have a token's n-gram too; ``place``: the n-gram's number."""
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
         new = np.ones(len(order), bool)
         new[1:] = sorted_[1:] != sorted_[:-1]
         at, group = np.flatnonzero(new), (np.cumsum(new) - 1).astype(np.int32)
-        self.key, one = sorted_[at], places[order[at]]
-        taught = train[places][order]
-        self.train = np.bincount(group, taught, len(at)).astype(np.int64)
-        self.held = np.bincount(group, ~taught, len(at)).astype(np.int64)
+        self.key, one = sorted_[at], order[at]
         self.place = np.empty(len(order), np.int32)
         self.place[order] = group
-        shard = (route[one] % U(n_shards)).astype(np.int64)
-        self.by = np.argsort(shard, kind="stable")
-        self.cut = np.searchsorted(shard[self.by], np.arange(n_shards + 1))
+        self.count = np.bincount(group, train[order], len(at)).astype(np.int64)
+        asked = np.flatnonzero(open_[one])
+        shard = (route[one[asked]] % U(n_shards)).astype(np.int64)
+        by = np.argsort(shard, kind="stable")
+        self.by, self.cut = asked[by], np.searchsorted(shard[by], np.arange(n_shards + 1))
 
     def asked(self, number: int, kind: int, empty: bool) -> list[tuple[int, int, int, bytes]]:
         rows = []
         for k in range(len(self.cut) - 1):
             i = self.by[self.cut[k] : self.cut[k + 1]]
             if len(i) or empty:
-                rows.append((k, number, kind, pack(planes(self.key[i]), narrow(self.train[i]), np.minimum(self.held[i], 2).astype(np.uint8))))
+                rows.append((k, number, kind, pack(planes(self.key[i]), narrow(self.count[i]))))
         return rows
 
     def answered(self, got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts in all training rows, and whether an n-gram stands more than once in all rows."""
-        count, shared = np.zeros(len(self.by), np.int64), np.zeros(len(self.by), bool)
-        parts = []
+        """Counts in all training rows, and whether other batches have the n-gram."""
+        count, others, parts = self.count.copy(), np.zeros(len(self.key), bool), []
         for _, code, large, much in got:
             value = (code >> 1).astype(np.int64)
             value[large.astype(np.int64)] = much
             parts.append((value, (code & 1).astype(bool)))
         if len(self.by):
-            count[self.by], shared[self.by] = (np.concatenate(x) for x in zip(*parts))
-        return count, shared
+            count[self.by], others[self.by] = (np.concatenate(x) for x in zip(*parts))
+        return count, others
 
 
 class _Grams:
     """Tokens of a batch and, as far as the shards' answers reach, the counts of their n-grams.
 
-    An n-gram is asked about only if both its parts of one token less stand more
-    than once in the corpus.  Else it stands nowhere but here, so its count is 1 or,
-    in a row held out, 0: asking less loses nothing.
+    Words and pairs are asked about in one round.  A longer n-gram is asked about
+    only if other batches have both its parts of one token less.  Else no other batch
+    has it, so its count here is its count: asking less loses nothing.
     """
 
     def __init__(self, table: pa.Table, columns: tuple[str, str], train_col: str, n_shards: int, levels: int, answered: int, answers: list):
@@ -145,35 +143,35 @@ class _Grams:
             lanes.append(token)
         del words
         depth = np.arange(n) - np.repeat(self.first[:-1], lengths)
-        places, gram, twice, self.counts = np.arange(n), lanes, np.zeros(n, bool), []
+        gram, wide, self.counts, self.last = lanes, np.ones(n, bool), [], []
         for level in range(levels):
-            if level:
-                # The n-gram that ends here is the one that ended a token before, and this token.
-                gram = [self._longer(g, t, lane, depth == 0) for lane, (g, t) in enumerate(zip(gram, lanes))]
-                places = np.flatnonzero(twice & (np.append(False, twice[:-1]) | (depth == 0)) & (depth >= level - 1))
             if level == 0:
                 # The begin of every row is a token too, though not one that is predicted.
-                extra = np.arange(n, n + batch.n)
                 keys = [np.concatenate([g, np.full(batch.n, BEGIN[lane])]) for lane, g in enumerate(gram)]
-                one = _Level(*keys, np.concatenate([train, self.train]), np.concatenate([places, extra]), n_shards)
+                one = _Level(*keys, np.concatenate([train, self.train]), np.ones(n + batch.n, bool), n_shards)
                 del keys
             else:
-                # 56 bits of one hash in the shard that the other tells.
-                one = _Level(gram[0] >> U(8), gram[1], train, places, n_shards)
-            self.last = one
+                # The n-gram that ends here is the one that ended a token before, and this token.
+                gram = [self._longer(g, t, lane, depth == 0) for lane, (g, t) in enumerate(zip(gram, lanes))]
+                # Pairs are asked about before it is known which words others have.
+                open_ = np.ones(n, bool) if level == 1 else wide & np.append(True, wide[:-1]) & (depth >= level - 1)
+                # 48 bits of one hash in the shard that the other tells.
+                one = _Level(gram[0] >> U(16), gram[1], train, open_, n_shards)
             if level >= answered:
-                return
+                self.last.append((level, one))
+                continue
             got = [a for _, _, kind, a in answers if kind == level]
-            count, shared = one.answered(got)
-            here, twice = train.astype(np.int64), np.zeros(n, bool)
-            mine = one.place[:n] if level == 0 else one.place
-            here[places], twice[places] = count[mine], shared[mine]
+            count, others = one.answered(got)
+            here, wide = count[one.place[:n]], others[one.place[:n]]
             here[depth < level - 1] = 0
             if level == 0:
                 self.texts = int(count[one.place[n]]) if batch.n else 0
                 self.total, self.distinct = (int(sum(a[0][k] for a in got)) for k in (0, 1))
             self.counts.append(here)
 
+    def asks(self, number: int) -> pa.Table:
+        return messages([row for level, one in self.last for row in one.asked(number, level, level == 0)])
+
     @staticmethod
     def _longer(gram: np.ndarray, token: np.ndarray, lane: int, start: np.ndarray) -> np.ndarray:
         before = np.empty_like(gram)
@@ -193,21 +191,22 @@ class _Grams:
 
 
 def _counted(table: pa.Table) -> pa.Table:
-    asked = [(*head, [from_planes(a[0]), *a[1:]]) for *head, a in by_sender(table)]
-    keys, where = np.unique(np.concatenate([a[0] for *_, a in asked]), return_inverse=True)
-    counts = np.bincount(where, np.concatenate([a[1] for *_, a in asked]), len(keys)).astype(np.int64)
-    shared = counts + np.bincount(where, np.concatenate([a[2] for *_, a in asked]), len(keys)) > 1
-    token = keys != BEGIN[0]
-    totals = np.array([counts[token].sum(), (counts[token] > 0).sum()], np.int64)
-    rows, at = [], 0
-    for shard, batch, kind, (key, *_) in asked:
-        mine = where[at : at + len(key)]
-        got = counts[mine]
-        # Most counts and the flag fit a byte; the other counts follow, with their places.
-        large = np.flatnonzero(got > 126)
-        code = (np.minimum(got, 127) * 2 + shared[mine]).astype(np.uint8)
-        rows.append((shard, batch, kind, pack(totals, code, narrow(large), narrow(got[large]))))
-        at += len(key)
+    rows, sent = [], by_sender(table)
+    for kind in sorted({k for _, _, k, _ in sent}):
+        asked = [(shard, batch, from_planes(a[0]), a[1]) for shard, batch, k, a in sent if k == kind]
+        keys, where = np.unique(np.concatenate([a[2] for a in asked]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([a[3] for a in asked]), len(keys)).astype(np.int64)
+        # Every batch that has an n-gram asks, and once.
+        others, token = np.bincount(where, minlength=len(keys)) > 1, keys != BEGIN[0]
+        totals, at = np.array([counts[token].sum(), (counts[token] > 0).sum()], np.int64), 0
+        for shard, batch, key, _ in asked:
+            mine = where[at : at + len(key)]
+            got = counts[mine]
+            # Most counts and the flag fit a byte; the other counts follow, with their places.
+            large = np.flatnonzero(got > 126)
+            code = (np.minimum(got, 127) * 2 + others[mine]).astype(np.uint8)
+            rows.append((shard, batch, kind, pack(totals, code, narrow(large), narrow(got[large]))))
+            at += len(key)
     return messages(rows)
 
 
@@ -229,26 +228,26 @@ def score_texts(docs: DataFrame, train: Column, strength: float = STRENGTH, orde
     extra = docs.select("*", *[F.lit(None).cast("bigint" if i < 3 else "double").alias(n) for i, n in enumerate(names)]).schema
     arrow = to_arrow_schema(extra)
     n_shards, columns = partitions(docs) * SHARDS_PER_PARTITION, (id_col, text_col)
-    rows, batch = in_batches(docs.withColumn(train_col, train), id_col, text_col)
+    rows = packed_batches(docs.withColumn(train_col, train), id_col, text_col)
 
     def begin(table: pa.Table) -> pa.Table:
-        return messages(_Grams(table, columns, train_col, n_shards, 1, 0, []).last.asked(number_of(table, batch), 0, True))
+        return _Grams(unpacked(table), columns, train_col, n_shards, min(2, order), 0, []).asks(number_of(table, "batch"))
 
     def further(level: int):
         def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
             if not table.num_rows:
                 return messages([])
-            grams = _Grams(table, columns, train_col, n_shards, level + 1, level, by_sender(answers))
-            return messages(grams.last.asked(number_of(table, batch), level, False))
+            return _Grams(unpacked(table), columns, train_col, n_shards, level + 1, level, by_sender(answers)).asks(number_of(table, "batch"))
 
         return ask
 
     def result(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return arrow.empty_table()
+        table = unpacked(table)
         grams = _Grams(table, columns, train_col, n_shards, order, order, by_sender(answers))
         follow, first, parts = grams.follow(), grams.first, []
-        ordered = (table.take(pa.array(grams.batch.order)) if grams.batch.moved else table).drop_columns([batch, train_col])
+        ordered = (table.take(pa.array(grams.batch.order)) if grams.batch.moved else table).drop_columns([train_col])
         for row, to in grams.batch.chunks(most=PART):
             a, b, cut = first[row], first[to], first[row : to + 1] - first[row]
             counts = [c[a:b] for c in grams.counts]
@@ -259,11 +258,11 @@ def score_texts(docs: DataFrame, train: Column, strength: float = STRENGTH, orde
             parts.append(pa.Table.from_arrays([*ordered.slice(row, to - row).columns, *map(pa.array, new)], names=arrow.names).cast(arrow))
         return pa.concat_tables(parts)
 
-    answers = rows.groupBy(batch).applyInArrow(thrifty(begin), MESSAGE).groupBy("shard").applyInArrow(thrifty(_counted), MESSAGE)
-    for level in range(1, order):
-        asked = rows.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(thrifty_pair(further(level)), MESSAGE)
+    answers = rows.groupBy("batch").applyInArrow(thrifty(begin), MESSAGE).groupBy("shard").applyInArrow(thrifty(_counted), MESSAGE)
+    for level in range(2, order):
+        asked = rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(thrifty_pair(further(level)), MESSAGE)
         answers = answers.unionByName(asked.groupBy("shard").applyInArrow(thrifty(_counted), MESSAGE))
-    return rows.groupBy(batch).cogroup(answers.groupBy("batch")).applyInArrow(thrifty_pair(result), extra)
+    return rows.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(thrifty_pair(result), extra)
 
 
 def op3_language_model(docs: DataFrame) -> DataFrame:

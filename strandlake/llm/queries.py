@@ -16,7 +16,7 @@ from strandlake.llm.packing import op6_packing
 from strandlake.llm.quality_rules import op4_quality_rules
 from strandlake.llm.recompress import op8_passage_dedup
 from strandlake.llm.suffix_dedup import op1_suffix_dedup
-from strandlake.llm.twins import OP1_SQL, OP8_SQL, OP9_SQL
+from strandlake.llm.twins import OP1_SQL, OP4_SQL, OP8_SQL, OP9_SQL
 
 
 def _over(operator: Callable[..., DataFrame], *tables: str):
@@ -39,4 +39,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1_SQL, "op8_passage_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_passage_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

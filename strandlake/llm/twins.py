@@ -24,3 +24,23 @@ x AS (SELECT doc_id, len(e) AS n, unnest(e) AS e FROM s),
 l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a"""
+
+#: log P(X = i) for a binomial X of n trials at the risk that ``quality_rules`` controls.
+_LOG = "lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005e0) + (n - i) * ln(0.995e0)"
+_TAIL = f"list_sum(list_transform(range(0, CAST({{k}} AS BIGINT) + 1), lambda i: exp({_LOG})))"
+
+OP4_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '~') AS st, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+r AS (SELECT doc_id, len(list_distinct(flatten(list([i, i + 1, i + 2])))) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3))) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+c AS (SELECT d.doc_id, d.st, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(ls) AS n_lines FROM d JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id),
+v AS (SELECT doc_id, st, 's' AS rule, n_symbols / greatest(n_words, 1) AS value FROM c UNION ALL SELECT doc_id, st, 'l', n_dup_lines / greatest(n_lines, 1) FROM c UNION ALL SELECT doc_id, st, 'r', n_repeat_words / greatest(n_words, 1) FROM c),
+clean AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+h AS (SELECT st, rule, value FROM v JOIN clean ON clean.doc_id = v.doc_id),
+cut AS (SELECT CAST(0.02 * i AS DOUBLE) AS c FROM range(2, 51) x(i)),
+o AS (SELECT st, rule, c, count(*) AS n, sum(CASE WHEN value > c THEN 1 ELSE 0 END) AS k FROM h, cut GROUP BY st, rule, c UNION ALL SELECT '', rule, c, count(*), sum(CASE WHEN value > c THEN 1 ELSE 0 END) FROM h, cut GROUP BY rule, c),
+p AS (SELECT o.*, level, CASE WHEN k >= n * 0.005e0 THEN true ELSE {_TAIL.format(k="k")} > level END AS bad FROM o, (SELECT 0.05e0 / ((count(DISTINCT st) + 1) * 3) AS level FROM h)),
+b AS (SELECT st, rule, max(n) AS n, max(level) AS level, min(CASE WHEN c > worst THEN c END) AS best FROM (SELECT p.*, coalesce(max(CASE WHEN bad THEN c END) OVER (PARTITION BY st, rule), -1) AS worst FROM p) GROUP BY st, rule),
+q AS (SELECT rule, best AS pooled FROM b WHERE st = ''),
+s AS (SELECT b.st, b.rule, CASE WHEN power(0.995e0, n) > level AND pooled IS NOT NULL THEN (SELECT min(o.c) FROM o WHERE o.st = b.st AND o.rule = b.rule AND o.c >= pooled AND o.k < o.n * 0.005e0) ELSE best END AS cutoff FROM b JOIN q ON q.rule = b.rule WHERE b.st <> ''),
+f AS (SELECT v.doc_id, max(CASE WHEN value > CASE WHEN s.st IS NULL THEN pooled ELSE cutoff END THEN 1 ELSE 0 END) AS hit FROM v LEFT JOIN q ON q.rule = v.rule LEFT JOIN s ON s.st = v.st AND s.rule = v.rule GROUP BY v.doc_id)
+SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND hit = 0 AS kept FROM c JOIN f ON f.doc_id = c.doc_id"""

@@ -29,13 +29,13 @@ def marginal(edges: DataFrame, by: list[str] = []) -> DataFrame:
 def ancestors(links: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
     """(by, tree, sample, node): each sample that has a parent in a tree, with itself and all nodes above it.
 
-    Each round joins what was found, up to 2**k steps above the samples, with the
+    ``links`` are read several times, so they should be checkpointed.  Each round joins what was found, up to 2**k steps above the samples, with the
     links of 2**k steps, and squares these; a tree of depth d takes log2(d) rounds.
     """
     keys = [*by, "tree"]
-    jump = checkpointed(links.select(*keys, "child", "parent"))
+    jump = links.select(*keys, "child", "parent")
     leaves = samples.select(*by, F.col("node").alias("child"))
-    found = checkpointed(jump.join(leaves, [*by, "child"]).select(*keys, F.col("child").alias("sample"), F.col("child").alias("node")))
+    found = jump.join(leaves, [*by, "child"]).select(*keys, F.col("child").alias("sample"), F.col("child").alias("node"))
     while jump.limit(1).count():
         further = found.join(jump.withColumnRenamed("child", "node"), [*keys, "node"]).select(*keys, "sample", F.col("parent").alias("node"))
         found = checkpointed(found.unionByName(further))

@@ -75,8 +75,8 @@ def ols_hc3(grid: DataFrame) -> DataFrame:
 
 def kept(dist: DataFrame, share: float = 0.01, least: int = 20) -> DataFrame:
     """The nearest simulations: max(least, round(share n)), with their rank; ties go to the smaller number."""
-    n = dist.count()
-    order = [F.round("dist", 9), F.col("sim")]
+    dist = checkpointed(dist)
+    n, order = dist.count(), [F.round("dist", 9), F.col("sim")]
     return running(dist.orderBy(*order).limit(max(least, int(share * n + 0.5))), order).withColumnRenamed("rank", "rn")
 
 
@@ -86,7 +86,7 @@ def abc_reject(dist: DataFrame) -> DataFrame:
 
 def bayes_factor(dist: DataFrame) -> DataFrame:
     """Posterior odds of a large theta over its prior odds."""
-    over = F.avg(F.when(F.col("theta") > 150000, 1.0).otherwise(0.0))
+    dist, over = checkpointed(dist), F.avg(F.when(F.col("theta") > 150000, 1.0).otherwise(0.0))
     post, prior = kept(dist).agg(over).first()[0], dist.agg(over.alias("b"))
     odds = None if post == 1 else post / (1 - post)
     return prior.select(F.round(F.lit(odds) / F.expr("nullif(b / nullif(1 - b, 0), 0)"), 6).alias("bf"))

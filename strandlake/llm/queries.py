@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandlake.llm.bm25 import op7_bm25
 from strandlake.llm.bpe import op2_bpe
 from strandlake.llm.chat_format import OP10_SQL, op10_chat_format
+from strandlake.llm.collocations import OP12_SQL, op12_collocations
 from strandlake.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from strandlake.llm.html_extract import op5_html_extract
 from strandlake.llm.language_model import op3_language_model
@@ -36,9 +37,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_passage_dedup": _over(op8_passage_dedup, "documents"),
         "op9_near_dedup": _over(op9_near_dedup, "documents"),
         "op10_chat_format": _over(op10_chat_format, "conversations"),
+        "op12_collocations": _over(op12_collocations, "documents"),
         "op13_hard_negatives": _over(op13_hard_negatives, "embeddings"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_passage_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op4_quality_rules": OP4_SQL, "op8_passage_dedup": OP8_SQL, "op9_near_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_collocations": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -403,13 +403,13 @@ def op12_collocations(docs: DataFrame) -> DataFrame:
     return collocations(docs.select("doc_id", "text", "lang"))
 
 
-OP12_SQL = r"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+OP12_SQL = r"""WITH p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
 g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
 f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
-c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
-cuts AS (SELECT c.lang, c.phrase, c.a, x.cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score FROM c JOIN (SELECT unnest([1, 2, 3]) AS cut) x ON x.cut < c.k
-  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.ws, 1, x.cut), ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.ws, x.cut + 1, c.k), ' ')),
-best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+halves AS MATERIALIZED (SELECT c.*, cut, array_to_string(list_slice(ws, 1, cut), ' ') AS head, array_to_string(list_slice(ws, cut + 1, k), ' ') AS rest FROM c, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < k),
+cuts AS (SELECT h.lang, h.phrase, h.a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * h.a) // (l.f + r.f) AS score FROM halves h LEFT JOIN f l ON l.lang = h.lang AND l.phrase = h.head LEFT JOIN f r ON r.lang = h.lang AND r.phrase = h.rest),
+best AS MATERIALIZED (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 parts AS (SELECT DISTINCT c.lang, c.a AS longer, array_to_string(list_slice(c.ws, i, i + m - 1), ' ') AS phrase FROM c, (SELECT unnest([2, 3]) AS m) y, (SELECT unnest([1, 2, 3]) AS i) z WHERE m < c.k AND i + m - 1 <= c.k),
 gone AS (SELECT DISTINCT b.lang, b.phrase FROM best b JOIN parts ON parts.lang = b.lang AND parts.phrase = b.phrase WHERE 100::HUGEINT * longer >= 80 * b.a),
 n AS (SELECT lang, sum(len(ws)) AS n FROM p GROUP BY lang)

@@ -18,6 +18,7 @@ from strandlake.llm.packing import op6_packing
 from strandlake.llm.quality_rules import op4_quality_rules
 from strandlake.llm.recompress import op8_passage_dedup
 from strandlake.llm.suffix_dedup import op1_suffix_dedup
+from strandlake.llm.toxicity import op11_toxicity
 from strandlake.llm.twins import OP1_SQL, OP4_SQL, OP8_SQL, OP9_SQL
 
 
@@ -37,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_passage_dedup": _over(op8_passage_dedup, "documents"),
         "op9_near_dedup": _over(op9_near_dedup, "documents"),
         "op10_chat_format": _over(op10_chat_format, "conversations"),
+        "op11_toxicity": _over(op11_toxicity, "documents", "labels"),
         "op12_collocations": _over(op12_collocations, "documents"),
         "op13_hard_negatives": _over(op13_hard_negatives, "embeddings"),
     }

@@ -80,7 +80,7 @@ class Plain:
         keep = meant | _KEEP[raw]
         place = np.concatenate([[0], np.cumsum(keep)])
         self.data, cut = low[keep], place[cut]
-        shouted = _UPPER[raw][keep]
+        shouted = (_UPPER[raw] | meant)[keep]
         inside = ~_SPACE[self.data]
         edge = np.zeros(len(self.data) + 1, bool)
         edge[cut] = True

@@ -6,10 +6,10 @@ import pytest
 from strandlake.llm import queries
 
 
-@pytest.mark.parametrize("name, sf", [("op1_suffix_dedup", "sf0.001"), ("op8_passage_dedup", "sf0.001"), ("op9_near_dedup", "sf0.001"), ("op4_quality_rules", "sf0.001"), ("op4_quality_rules", "sf0.1")])
+@pytest.mark.parametrize("name, sf", [("op1_suffix_dedup", "sf0.001"), ("op8_passage_dedup", "sf0.001"), ("op9_near_dedup", "sf0.001"), ("op4_quality_rules", "sf0.001"), ("op4_quality_rules", "sf0.1"), ("op12_collocations", "sf0.001"), ("op13_hard_negatives", "sf0.001")])
 def test_same_rows(spark, name, sf):
     folder, con = f"/root/testdata/{sf}", duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "embeddings"):
         con.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
     found = con.sql(queries.oracle_sql()[name])
     names = [d[0] for d in found.description]

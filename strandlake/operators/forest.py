@@ -1,145 +1,226 @@
-"""Tree sequences as node and edge relations: closures, branch statistics, simplification, genotypes.
+"""Tree sequences as node and edge relations: closures, branch statistics, common ancestors, simplification, genotypes.
 
 Edges have (by..., l, r, parent, child), nodes (by..., node, time, is_sample); ``by``
-names the columns that tell replicates apart, if any.  A marginal tree is named by
-its left end.  No step assumes a depth: ancestors are found by doubling.
+names the columns that tell replicates apart, if any.  Nothing is copied into each
+marginal tree: ancestors, counts and branches have the intervals where they hold,
+and a value for each tree is a running sum of what changes at its left end.  A
+marginal tree is named by its left end.  No step assumes a depth: ancestors are
+found by doubling.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandlake.functions.ordered import checkpointed
+from strandlake.functions.ordered import checkpointed, scanned
 
 
 def breakpoints(edges: DataFrame, by: list[str] = []) -> DataFrame:
-    """``l``, ``r`` of the intervals between edge ends that some edge covers."""
+    """``l``, ``r`` of the intervals between neighbouring edge ends."""
     ends = edges.select(*by, F.explode(F.array("l", "r")).alias("l")).distinct()
-    after = F.lead("l").over(Window.partitionBy(*by).orderBy("l"))
-    return ends.withColumn("r", after).filter("r is not null")
+    return scanned(ends, by, ["l"], next=["l"]).filter("next_l is not null").withColumnRenamed("next_l", "r")
 
 
-def marginal(edges: DataFrame, by: list[str] = []) -> DataFrame:
-    """``tree``, ``span``, parent, child: the edges of each marginal tree."""
-    pieces = breakpoints(edges, by).select(*by, F.col("l").alias("tree"), F.col("r").alias("tree_r"))
-    tables = edges.alias("e").join(pieces.alias("p"), [F.col(f"e.{c}") == F.col(f"p.{c}") for c in by] + [F.expr("p.tree >= e.l and p.tree < e.r")])
-    return tables.select(*[F.col(f"e.{c}") for c in by], "p.tree", (F.col("p.tree_r") - F.col("p.tree")).alias("span"), "e.parent", "e.child")
+def overlapping(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of both with equal ``on`` whose intervals overlap, with the overlap as ``l`` and ``r``."""
+    right = right.withColumnRenamed("l", "_l").withColumnRenamed("r", "_r")
+    met = left.join(right, on).withColumn("_from", F.greatest("l", "_l")).withColumn("_to", F.least("r", "_r")).filter("_from < _to")
+    return met.drop("l", "r", "_l", "_r").withColumnRenamed("_from", "l").withColumnRenamed("_to", "r")
 
 
-def ancestors(links: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
-    """(by, tree, sample, node): each sample that has a parent in a tree, with itself and all nodes above it.
+def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys..., l, r) of disjoint intervals, joined where they abut."""
+    w = Window.partitionBy(*keys).orderBy("l")
+    fresh = F.when(F.col("l") == F.lag("r").over(w), 0).otherwise(1)
+    runs = rows.select(*keys, "l", "r").withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(w))
+    return runs.groupBy(*keys, "_run").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("_run")
 
-    ``links`` are read several times, so they should be checkpointed.  Each round joins what was found, up to 2**k steps above the samples, with the
-    links of 2**k steps, and squares these; a tree of depth d takes log2(d) rounds.
+
+def levels(rows: DataFrame, keys: list[str], **values: Column) -> DataFrame:
+    """(keys..., l, r, values...): sums of the values of the rows whose intervals cover each place, where any does."""
+    names = list(values)
+    change = rows.select(*keys, F.inline(F.array(F.struct(F.col("l").alias("l"), F.lit(1).alias("_n"), *[c.alias(f"_{v}") for v, c in values.items()]), F.struct(F.col("r").alias("l"), F.lit(-1).alias("_n"), *[(-c).alias(f"_{v}") for v, c in values.items()]))))
+    # Places where nothing changes on the whole stay, as they are few and cost a row each.
+    change = change.groupBy(*keys, "l").agg(F.sum("_n").alias("_n"), *[F.sum(f"_{v}").alias(f"_{v}") for v in names])
+    w = Window.partitionBy(*keys).orderBy("l")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    level = change.select(*keys, "l", F.lead("l").over(w).alias("r"), F.sum("_n").over(upto).alias("_n"), *[F.sum(f"_{v}").over(upto).alias(v) for v in names])
+    return level.filter("_n > 0").drop("_n")
+
+
+def ancestors(edges: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sample, node, l, r): where a node is the sample itself or above it, for samples with a parent there.
+
+    Each round joins what was found, up to 2**k - 1 steps above the samples, with the
+    links of 2**k steps, and squares these; intervals are cut to where both hold and
+    joined where they abut.  A sequence of depth d takes log2(d) rounds, whatever
+    its number of trees.
     """
-    keys = [*by, "tree"]
-    jump = links.select(*keys, "child", "parent")
+    jump = checkpointed(merged(edges, [*by, "child", "parent"]))
     leaves = samples.select(*by, F.col("node").alias("child"))
-    found = jump.join(leaves, [*by, "child"]).select(*keys, F.col("child").alias("sample"), F.col("child").alias("node"))
-    while jump.limit(1).count():
-        further = found.join(jump.withColumnRenamed("child", "node"), [*keys, "node"]).select(*keys, "sample", F.col("parent").alias("node"))
-        found = checkpointed(found.unionByName(further))
-        upper = jump.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("top"))
-        jump = checkpointed(jump.join(upper, [*keys, "parent"]).select(*keys, "child", F.col("top").alias("parent")))
+    found = merged(jump.join(leaves, [*by, "child"]).select(*by, F.col("child").alias("sample"), F.col("child").alias("node"), "l", "r").distinct(), [*by, "sample", "node"])
+    while not jump.isEmpty():
+        further = overlapping(found, jump.withColumnRenamed("child", "node"), [*by, "node"]).select(*by, "sample", F.col("parent").alias("node"), "l", "r")
+        found = checkpointed(merged(found.unionByName(further), [*by, "sample", "node"]))
+        upper = jump.select(*by, F.col("child").alias("parent"), F.col("parent").alias("top"), "l", "r")
+        jump = checkpointed(merged(overlapping(jump, upper, [*by, "parent"]).select(*by, "child", F.col("top").alias("parent"), "l", "r"), [*by, "child", "parent"]))
     return found
 
 
-def below(found: DataFrame, by: list[str], **groups: Column) -> DataFrame:
-    """Samples under each node: ``k``, and ``k_name`` for the samples of each group."""
-    counts = [F.count("*").alias("k"), *[F.sum(F.when(c, 1).otherwise(0)).alias(f"k_{n}") for n, c in groups.items()]]
-    return found.groupBy(*by, "tree", "node").agg(*counts)
-
-
 class Forest:
-    """The marginal trees of some edges with the samples under each branch, computed once."""
+    """A tree sequence with the samples under each branch, by interval, computed once."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, by: list[str] | None = None, **groups: Column):
         """groups: conditions on ``sample``."""
-        self.by, self.nodes, self.edges = by or [], nodes, edges
+        self.by, self.nodes = by or [], nodes
         self.keys = [*self.by, "tree"]
-        samples = nodes.filter("is_sample = 1")
-        self.links = checkpointed(marginal(edges, self.by))
-        self.closure = ancestors(self.links, samples, self.by)
-        self.below = checkpointed(below(self.closure, self.by, **groups))
-        names = {n: c for n, c in groups.items()}
-        totals = samples.withColumn("sample", F.col("node"))
-        sums = [F.count("*").alias("n"), *[F.sum(F.when(c, 1).otherwise(0)).alias(f"n_{n}") for n, c in names.items()]]
+        self.edges = checkpointed(edges.select(*self.by, "l", "r", "parent", "child"))
+        self.samples = nodes.filter("is_sample = 1")
+        self.closure = ancestors(self.edges, self.samples, self.by)
+        counts = {"k": F.lit(1), **{f"k_{n}": F.when(c, 1).otherwise(0) for n, c in groups.items()}}
+        #: (by, node, l, r, k, k_group...): samples under each node.
+        self.below = checkpointed(levels(self.closure, [*self.by, "node"], **counts))
+        totals = self.samples.withColumn("sample", F.col("node"))
+        sums = [F.count("*").alias("n"), *[F.sum(F.when(c, 1).otherwise(0)).alias(f"n_{n}") for n, c in groups.items()]]
         self.totals = totals.groupBy(*self.by).agg(*sums) if self.by else totals.agg(*sums)
+        counted = overlapping(self.edges, self.below.withColumnRenamed("node", "child"), [*self.by, "child"])
         up = nodes.select(*self.by, F.col("node").alias("parent"), F.col("time").alias("upper"))
         down = nodes.select(*self.by, F.col("node").alias("child"), F.col("time").alias("lower"))
-        timed = self.links.join(up, [*self.by, "parent"]).join(down, [*self.by, "child"])
-        counted = timed.join(self.below.withColumnRenamed("node", "child"), [*self.keys, "child"])
-        branches = counted.withColumn("blen", F.col("upper") - F.col("lower")).withColumnRenamed("child", "node")
-        self.branches = branches.join(self.totals, self.by) if self.by else branches.crossJoin(F.broadcast(self.totals))
+        timed = counted.join(up, [*self.by, "parent"]).join(down, [*self.by, "child"])
+        branches = timed.withColumn("blen", F.col("upper") - F.col("lower")).withColumnRenamed("child", "node")
+        #: (by, node, parent, l, r, blen, k..., n...): branches with samples under them.
+        self.branches = self._with_totals(branches)
+
+    def _with_totals(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.totals, self.by) if self.by else rows.crossJoin(F.broadcast(self.totals))
+
+    def by_tree(self, rows: DataFrame, **values: Column) -> DataFrame:
+        """(by, tree, tree_r, values...): for each marginal tree the sums over the rows whose intervals cover it, where any does."""
+        names, by = list(values), self.by
+        change = rows.select(*by, F.inline(F.array(F.struct(F.col("l").alias("l"), F.lit(1).alias("_n"), *[c.alias(v) for v, c in values.items()]), F.struct(F.col("r").alias("l"), F.lit(-1).alias("_n"), *[(-c).alias(v) for v, c in values.items()]))))
+        ends = self.edges.select(*by, F.explode(F.array("l", "r")).alias("l"), F.lit(0).alias("_n"), *[F.lit(0).alias(v) for v in names])
+        sums = change.unionByName(ends.distinct()).groupBy(*by, "l").agg(F.sum("_n").alias("_n"), *[F.sum(v).alias(v) for v in names])
+        placed = scanned(sums, by, ["l"], sums=["_n", *names], next=["l"]).filter("upto__n > 0")
+        return placed.select(*by, F.col("l").alias("tree"), F.col("next_l").alias("tree_r"), *[F.col(f"upto_{v}").alias(v) for v in names])
+
+    @staticmethod
+    def _pi() -> Column:
+        return F.col("blen") * 2 * F.col("k") * (F.col("n") - F.col("k")) / (F.col("n") * (F.col("n") - 1.0))
 
     def diversity(self) -> DataFrame:
-        pairs = F.col("blen") * 2 * F.col("k") * (F.col("n") - F.col("k")) / (F.col("n") * (F.col("n") - 1.0))
-        return self.branches.groupBy(*self.keys).agg(F.round(F.sum(pairs), 6).alias("pi"))
+        return self.by_tree(self.branches, pi=self._pi()).select(*self.keys, F.round("pi", 6).alias("pi"))
 
     def divergence(self, a: str = "a", b: str = "b") -> DataFrame:
         ka, kb, na, nb = (F.col(x) for x in (f"k_{a}", f"k_{b}", f"n_{a}", f"n_{b}"))
         pairs = F.col("blen") * (ka * (nb - kb) + kb * (na - ka)) / (F.lit(1.0) * na * nb)
-        return self.branches.groupBy(*self.keys).agg(F.round(F.sum(pairs), 6).alias("dxy"))
+        return self.by_tree(self.branches, dxy=pairs).select(*self.keys, F.round("dxy", 6).alias("dxy"))
 
     def windows(self, width: int) -> DataFrame:
-        """Branch diversity in windows, each tree weighted by its share of the window."""
-        pi = self.branches.groupBy(*self.keys, "span").agg(F.sum(F.col("blen") * 2 * F.col("k") * (F.col("n") - F.col("k")) / (F.col("n") * (F.col("n") - 1.0))).alias("pi"))
-        window = F.explode(F.sequence(F.floor(F.col("tree") / width), F.floor((F.col("tree") + F.col("span") - 1) / width)))
-        cut = pi.withColumn("win", window)
-        part = F.least(F.col("tree") + F.col("span"), (F.col("win") + 1) * width) - F.greatest(F.col("tree"), F.col("win") * width)
-        return cut.groupBy(*self.by, "win").agg(F.round(F.sum(F.col("pi") * part) / width, 6).alias("pi"))
+        """Branch diversity in windows, each branch weighted by its share of the window."""
+        window = F.explode(F.sequence(F.floor(F.col("l") / width), F.floor((F.col("r") - 1) / width)))
+        cut = self.branches.withColumn("_pi", self._pi()).withColumn("win", window)
+        part = F.least("r", (F.col("win") + 1) * width) - F.greatest("l", F.col("win") * width)
+        return cut.groupBy(*self.by, "win").agg(F.round(F.sum(F.col("_pi") * part) / width, 6).alias("pi"))
 
     def spectrum(self) -> DataFrame:
         """Branch spectrum over all trees, weighted by span, as shares of the bins 1 to n - 1."""
-        sums = self.branches.filter("k < n").groupBy(*self.by, "k").agg(F.sum(F.col("blen") * F.col("span")).alias("w"))
+        sums = self.branches.filter("k < n").groupBy(*self.by, "k").agg(F.sum(F.col("blen") * (F.col("r") - F.col("l"))).alias("w"))
         return sums.select(*self.by, "k", F.round(F.col("w") / F.sum("w").over(Window.partitionBy(*self.by)), 6).alias("f"))
 
     def tmrca(self) -> DataFrame:
-        whole = self.below.join(self.totals, self.by) if self.by else self.below.crossJoin(F.broadcast(self.totals))
-        return whole.filter("k = n").join(self.nodes.select(*self.by, "node", "time"), [*self.by, "node"]).groupBy(*self.keys).agg(F.min("time").alias("tmrca"))
+        """Age of the lowest node above all samples: of the nodes that are, the one with no child that is."""
+        whole = self._with_totals(self.below).filter("k = n").select(*self.by, "node", "l", "r", F.lit(1).alias("_own"))
+        under = self.branches.filter("k = n").select(*self.by, F.col("parent").alias("node"), "l", "r", F.lit(0).alias("_own"))
+        lowest = levels(whole.unionByName(under), [*self.by, "node"], own=F.col("_own"), arms=1 - F.col("_own")).filter("own > 0 and arms = 0")
+        aged = lowest.join(self.nodes.select(*self.by, "node", "time"), [*self.by, "node"])
+        # These do not overlap, so what covers a tree is the last to begin.
+        ends = self.edges.select(*self.by, F.explode(F.array("l", "r")).alias("l")).distinct()
+        at = ends.join(aged.select(*self.by, "l", F.struct("r", "time").alias("_held")), [*self.by, "l"], "left")
+        placed = scanned(at, self.by, ["l"], last=["_held"], next=["l"]).filter("next_l is not null").withColumn("_held", F.coalesce("_held", "last__held"))
+        return placed.filter("_held.r > l").select(*self.by, F.col("l").alias("tree"), F.col("_held.time").alias("tmrca"))
 
     def total_branch(self) -> DataFrame:
-        return self.branches.groupBy(*self.keys).agg(F.round(F.sum("blen"), 6).alias("total"))
+        return self.by_tree(self.branches, total=F.col("blen")).select(*self.keys, F.round("total", 6).alias("total"))
 
     def colless(self) -> DataFrame:
         """Sum over nodes of |L_i - L_j| over all pairs of children, without making the pairs.
 
-        With the children of a node in order of size, the i-th of m (from 0) is the
-        larger in i pairs and the smaller in m - 1 - i.  Children of one size count
-        as one row, so a node with a million leaves costs what it has of sizes.
+        A node's interval is cut where its children or their sizes change.  With the
+        children in order of size, the i-th of m (from 0) is the larger in i pairs and
+        the smaller in m - 1 - i.  Children of one size count as one row, so a node
+        with a million leaves costs what it has of sizes.
         """
-        sized = self.links.join(self.below.select(*self.keys, F.col("node").alias("child"), "k"), [*self.keys, "child"]).groupBy(*self.keys, "parent", "k").agg(F.count("*").alias("c"))
-        w = Window.partitionBy(*self.keys, "parent").orderBy("k")
+        node = [*self.by, "parent"]
+        arms = levels(self.branches, [*node, "k"], c=F.lit(1))
+        cuts = levels(arms, node).select(*node, "l", "r", F.col("l").alias("_piece"))
+        sized = overlapping(arms, cuts, node)
+        w = Window.partitionBy(*node, "_piece").orderBy("k")
         smaller = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         larger = F.coalesce(F.sum("c").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-        return sized.withColumn("part", F.col("k") * F.col("c") * (smaller - larger)).groupBy(*self.keys).agg(F.sum("part").alias("colless"))
+        parts = sized.withColumn("_part", F.col("k") * F.col("c") * (smaller - larger))
+        return self.by_tree(parts, colless=F.col("_part")).select(*self.keys, "colless")
 
     def split(self, node: int) -> DataFrame:
-        """Samples under a marker's node, and the others."""
-        derived = F.sum(F.when(F.col("node") == node, F.col("k")).otherwise(0))
-        return self.below.groupBy(*self.keys).agg(derived.alias("derived"), (F.max("k") - derived).alias("ancestral"))
-
-    def simplified(self) -> DataFrame:
-        """Edges (l, r, parent, child) among samples and nodes where lineages of samples meet, joined where they abut."""
-        met = self.links.join(self.below.select(*self.keys, F.col("node").alias("child")), [*self.keys, "child"], "left_semi").groupBy(*self.keys, F.col("parent").alias("node")).agg(F.count("*").alias("arms"))
-        kept = met.filter("arms > 1").select(*self.keys, "node")
-        kept = kept.unionByName(self.closure.filter("sample = node").select(*self.keys, "node").distinct()).distinct()
-        # Above a sample, kept nodes follow each other in time.
-        one = self.closure.join(kept, [*self.keys, "node"], "left_semi").join(self.nodes.select(*self.by, "node", "time"), [*self.by, "node"])
-        chain = Window.partitionBy(*self.keys, "sample").orderBy("time", "node")
-        links = one.select(*self.keys, F.col("node").alias("child"), F.lead("node").over(chain).alias("parent")).filter("parent is not null").distinct()
-        spans = links.join(self.links.select(*self.keys, "span").distinct(), self.keys).select(*self.by, "parent", "child", F.col("tree").alias("l"), (F.col("tree") + F.col("span")).alias("r"))
-        w = Window.partitionBy(*self.by, "parent", "child").orderBy("l")
-        fresh = F.when(F.col("l") == F.lag("r").over(w), 0).otherwise(1)
-        flagged = spans.withColumn("fresh", fresh)
-        return flagged.withColumn("run", F.sum("fresh").over(w)).groupBy(*self.by, "parent", "child", "run").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("run")
+        """Samples under a marker's node, and the others of the tree."""
+        marked = self.below.filter(F.col("node") == node).select(*self.by, "l", "r", F.col("k").alias("_d"), F.lit(0).alias("_s"))
+        placed = self.closure.filter("sample = node").select(*self.by, "l", "r", F.lit(0).alias("_d"), F.lit(1).alias("_s"))
+        return self.by_tree(marked.unionByName(placed), derived=F.col("_d"), held=F.col("_s")).select(*self.keys, "derived", (F.col("held") - F.col("derived")).alias("ancestral"))
+
+    def simplified(self, unary: bool = False) -> DataFrame:
+        """Edges (l, r, parent, child) among samples and nodes where lineages of samples meet, joined where they abut.
+
+        With ``unary`` nodes through which a single lineage passes are kept too.  Every
+        edge with samples below is cut by whether its parent is kept; those that end
+        at a node that is not are led on by doubling.
+        """
+        by, key = self.by, [*self.by, "node"]
+        arms = levels(self.branches.select(*by, F.col("parent").alias("node"), "l", "r"), key, arms=F.lit(1))
+        marked = arms.join(self.samples.select(*by, "node", F.lit(1).alias("_sample")), key, "left")
+        kept = checkpointed(marked.select(*key, "l", "r", (F.lit(unary) | (F.col("arms") > 1) | F.col("_sample").isNotNull()).alias("keeps")))
+        links = self.branches.select(*by, F.col("node").alias("child"), "parent", "l", "r")
+        tops = kept.withColumnRenamed("node", "parent")
+        paths = checkpointed(overlapping(links, tops, [*by, "parent"]).select(*by, "child", "parent", "l", "r", "keeps"))
+        while not paths.filter("not keeps").isEmpty():
+            upper = paths.select(*by, F.col("child").alias("parent"), F.col("parent").alias("_top"), "l", "r", F.col("keeps").alias("_keeps"))
+            led = overlapping(paths.filter("not keeps").drop("keeps"), upper, [*by, "parent"]).select(*by, "child", F.col("_top").alias("parent"), "l", "r", F.col("_keeps").alias("keeps"))
+            paths = checkpointed(paths.filter("keeps").unionByName(led))
+        # Samples without arms begin paths, and kept nodes do where they are kept.
+        tips = self.closure.filter("sample = node").select(*by, F.col("node").alias("child"), "l", "r")
+        inner = kept.filter("keeps").join(self.samples.select(*by, "node"), key, "left_anti").select(*by, F.col("node").alias("child"), "l", "r")
+        begun = overlapping(paths.drop("keeps"), tips.unionByName(inner), [*by, "child"])
+        return merged(begun, [*by, "parent", "child"]).select(*by, "parent", "child", "l", "r")
+
+    def node_map(self) -> DataFrame:
+        """(by, node, new): the nodes of the simplified sequence numbered from 0, samples first, then by age."""
+        edges = self.simplified()
+        used = edges.select(*self.by, F.explode(F.array("parent", "child")).alias("node")).distinct()
+        aged = used.join(self.nodes.select(*self.by, "node", "time", (1 - F.col("is_sample")).alias("_late")), [*self.by, "node"]).withColumn("_one", F.lit(1))
+        numbered = scanned(aged, self.by, ["_late", "time", "node"], sums=["_one"])
+        return numbered.select(*self.by, "node", (F.col("upto__one") - 1).alias("new"))
+
+    def mrca(self, pairs: DataFrame) -> DataFrame:
+        """(by, a, b, node, time, l, r): the most recent common ancestor of each pair of samples, by interval.
+
+        ``pairs`` have (by, a, b).  A node is that of a pair where the two reach it
+        through different children, or one of them is it; no ancestors are compared
+        in time.  The work is that of the pairs times their ancestors.
+        """
+        by = self.by
+        arms = overlapping(self.closure, self.edges.withColumnRenamed("child", "node"), [*by, "node"]).select(*by, "sample", F.col("parent").alias("node"), F.col("node").alias("via"), "l", "r")
+        arms = checkpointed(arms.unionByName(self.closure.filter("sample = node").withColumn("via", F.lit(None).cast("long"))))
+        first = pairs.select(*by, "a", "b").join(arms.withColumnsRenamed({"sample": "a", "via": "_via_a"}), [*by, "a"])
+        both = overlapping(first, arms.withColumnsRenamed({"sample": "b", "via": "_via_b"}), [*by, "b", "node"])
+        met = both.filter("not (_via_a <=> _via_b)").select(*by, "a", "b", "node", "l", "r")
+        return merged(met, [*by, "a", "b", "node"]).join(self.nodes.select(*by, "node", "time"), [*by, "node"])
+
+    def carriers(self, places: DataFrame, label: str) -> DataFrame:
+        """(by, label, sample): the samples under ``node`` at ``position``, once for each label; places have (by, label, position, node)."""
+        at = places.join(self.closure, [*self.by, "node"]).filter("position >= l and position < r")
+        return at.select(*self.by, label, "sample").distinct()
 
     def genotypes(self, mutations: DataFrame) -> DataFrame:
         """(by, site, sample): the samples that carry each mutation; mutations have (by, site, position, node)."""
-        pieces = self.links.select(*self.keys, "span").distinct()
-        at = mutations.alias("m").join(pieces.alias("p"), [F.col(f"m.{c}") == F.col(f"p.{c}") for c in self.by] + [F.expr("m.position >= p.tree and m.position < p.tree + p.span")])
-        placed = at.select(*[F.col(f"m.{c}") for c in self.by], F.col("p.tree").alias("tree"), "m.site", "m.node")
-        return placed.join(self.closure, [*self.keys, "node"]).select(*self.by, "site", "sample")
+        return self.carriers(mutations, "site")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -164,6 +245,42 @@ def pop_components(nation: DataFrame, links: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("pop"), "label")
 
 
+def pair_mrca(nodes: DataFrame, edges: DataFrame, customer: DataFrame) -> DataFrame:
+    """Common ancestors of the pairs of customers of one market segment in a block of ten keys, so pairs grow as customers do."""
+    one = customer.select(F.col("c_custkey").alias("a"), F.col("c_mktsegment").alias("s"), F.floor(F.col("c_custkey") / 10).alias("block"))
+    pairs = one.join(one.withColumnRenamed("a", "b"), ["s", "block"]).filter("a < b").select("a", "b")
+    return _forest(nodes, edges).mrca(pairs).select("a", "b", "node", F.col("time"), "l", "r")
+
+
+def converted_fraction(nodes: DataFrame, edges: DataFrame, flux: DataFrame) -> DataFrame:
+    """Share of the samples under a node that an event converted, at 20 places: tracts stab the places, closures give the samples."""
+    tracts = flux.select("tl", "tr", _flux_node().alias("node"))
+    # Places stand 250 apart on the tracts' scale, 50,000 apart on the genome.
+    places = _stabbed(tracts)
+    trees = _forest(nodes, edges)
+    hit = trees.carriers(places.select("node", (F.col("p") * 250).alias("x"), (F.col("p") * 50000).alias("position")).distinct(), "x")
+    return hit.groupBy("x").agg(F.count("*").alias("converted")).crossJoin(F.broadcast(trees.totals.select("n"))).select("x", "converted", F.round(F.col("converted") / F.col("n"), 6).alias("share"))
+
+
+def _flux_node() -> Column:
+    """The node that an event befell: a region, a nation, or a customer of that number, if there is one."""
+    lineage, turn = F.col("lineage"), F.col("event_id") % 10
+    return F.when(turn == 0, lineage % 5 - 2000000).when(turn < 5, lineage % 25 - 1000000).otherwise(lineage)
+
+
+def _stabbed(tracts: DataFrame) -> DataFrame:
+    first, final = F.greatest(F.lit(0), F.ceil(F.col("tl") / 250)), F.least(F.lit(19), F.floor(F.col("tr") / 250))
+    return tracts.withColumn("_first", first).withColumn("_final", final).filter("_first <= _final").select("node", F.explode(F.sequence("_first", "_final")).alias("p"))
+
+
+def genotype_counts(nodes: DataFrame, edges: DataFrame, orders: DataFrame) -> DataFrame:
+    """Carriers of mutations, one for each order of a place on the genome and a nation: even and odd samples of each site."""
+    where = (F.col("o_orderkey") * 37 % 1000000).alias("position")
+    mutations = orders.select(F.col("o_orderkey").alias("site"), where, F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey") % 25 - 1000000).otherwise(F.col("o_custkey")).alias("node"))
+    carried = _forest(nodes, edges).genotypes(mutations)
+    return carried.groupBy("site").agg(F.count("*").alias("k"), F.sum(F.when(F.col("sample") % 2 == 0, 1).otherwise(0)).alias("k_a"))
+
+
 _V = ["v_node", "v_edge"]
 FRAMES = {
     "branch_diversity": (lambda n, e: _forest(n, e).diversity(), _V),
@@ -175,6 +292,10 @@ FRAMES = {
     "colless": (lambda n, e: _forest(n, e).colless(), _V),
     "karyotype_split": (lambda n, e: _forest(n, e).split(-1999999), _V),
     "simplify": (lambda n, e: _forest(n, e).simplified(), _V),
+    "simplify_map": (lambda n, e: _forest(n, e).node_map(), _V),
+    "pair_mrca": (pair_mrca, [*_V, "customer"]),
+    "converted_fraction": (converted_fraction, [*_V, "v_flux"]),
+    "genotype_counts": (genotype_counts, [*_V, "orders"]),
     "pop_components": (pop_components, ["nation", "v_popedge"]),
     "breakpoint_partition": (lambda e: breakpoints(e), ["v_edge"]),
 }

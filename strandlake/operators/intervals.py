@@ -15,15 +15,12 @@ QUERIES = {
     "interp_bilinear": """SELECT x, y, round((1 - u) * ((1 - v) * m00 + v * m01) + u * ((1 - v) * m10 + v * m11), 2) AS z FROM (SELECT x, y, t - i0 AS u, q - j0 AS v, sum(CASE WHEN ti = i0 AND pi = j0 THEN m END) AS m00, sum(CASE WHEN ti = i0 AND pi = j0 + 1 THEN m END) AS m01, sum(CASE WHEN ti = i0 + 1 AND pi = j0 THEN m END) AS m10, sum(CASE WHEN ti = i0 + 1 AND pi = j0 + 1 THEN m END) AS m11 FROM (
   SELECT x, y, t, q, least(CAST(floor(t) AS BIGINT), 3) AS i0, least(CAST(floor(q) AS BIGINT), 3) AS j0 FROM (SELECT a.i AS x, b.i AS y, least(4.0e0, greatest(0.0e0, a.i / 5.0e0 - 0.4e0)) AS t, least(4.0e0, b.i / 6.0e0) AS q FROM (SEQ(0;26)) a CROSS JOIN (SEQ(0;26)) b)) g JOIN v_surface s ON s.ti BETWEEN i0 AND i0 + 1 AND s.pi BETWEEN j0 AND j0 + 1 GROUP BY x, y, t - i0, q - j0)""",
     "param_grid": "SELECT a.i AS d, b.i AS f, c.i AS t FROM (SEQ(1;10)) a CROSS JOIN (SEQ(1;10)) b CROSS JOIN (SEQ(1;10)) c WHERE a.i + b.i <= c.i",
-    "breakpoint_partition": "SELECT x AS l, lead(x) OVER (ORDER BY x) AS r FROM (SELECT 0 AS x UNION SELECT 1000000 UNION SELECT l FROM v_edge UNION SELECT r FROM v_edge)",
     "weighted_rate": "SELECT CAST(floor(s / 20000) AS BIGINT) AS win, round(sum((e - s) * 1.0e0 * ((e - s) % 7)) / sum(e - s), 6) AS rate FROM v_mask GROUP BY CAST(floor(s / 20000) AS BIGINT)",
     "tandem_collapse": "SELECT family, count(*) AS genes, sum(new) AS clusters FROM (SELECT family, CASE WHEN s - lag(s) OVER (PARTITION BY family, chrom ORDER BY s, gene) <= 20000 THEN 0 ELSE 1 END AS new FROM v_gene) GROUP BY family",
     "flux_filter": "SELECT event_id, lineage, tl, tr FROM v_flux WHERE kind = 'click' AND inv = 0",
     "tract_len": "SELECT inv, count(*) AS n, sum(tr - tl) AS total, max(tr - tl) AS longest FROM v_flux GROUP BY inv",
     "coverage_at": "SELECT x, sum(d) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) AS depth FROM (SELECT x, sum(d) AS d FROM (SELECT tl AS x, 1 AS d FROM v_flux UNION ALL SELECT tr + 1, -1 FROM v_flux) GROUP BY x)",
     "node_remap": "SELECT f.event_id, m.new_id FROM v_flux f JOIN (SELECT lineage, dense_rank() OVER (ORDER BY lineage) - 1 AS new_id FROM (SELECT DISTINCT lineage FROM v_flux)) m ON f.lineage = m.lineage",
-    "converted_fraction": """SELECT x, sum(k) AS converted, round(sum(k) * 1.0e0 / max(n), 6) AS share FROM (SELECT DISTINCT p.x, f.lineage % 25 AS nation FROM (SELECT i * 250 AS x FROM (SEQ(0;19))) p JOIN v_flux_bin f ON f.bin = CAST(floor(p.x / 400) AS BIGINT) AND f.tl <= p.x AND f.tr >= p.x) c
-  JOIN (SELECT c_nationkey AS nation, count(*) AS k FROM customer GROUP BY c_nationkey) d ON d.nation = c.nation CROSS JOIN (SELECT count(*) AS n FROM customer) t GROUP BY x""",
     "survival_curve": "SELECT d, round(above * 1.0e0 / total, 6) AS s FROM (SELECT tr - tl AS d, sum(count(*)) OVER (ORDER BY tr - tl DESC ROWS UNBOUNDED PRECEDING) AS above, sum(count(*)) OVER () AS total FROM v_flux GROUP BY tr - tl)",
     "interval_coverage": """SELECT chrom, sum(e - s) AS total, sum(greatest(0, least(e, 130000) - greatest(s, 70000))) AS shared, sum(e - s - greatest(0, least(e, 130000) - greatest(s, 70000))) AS remaining FROM v_gene GROUP BY chrom""",
     "sites_outside_genes": """SELECT chrom, pos FROM v_pair v WHERE NOT EXISTS (SELECT 1 FROM v_gene_bin g WHERE g.e - g.s <= 1200 AND g.chrom = v.chrom AND g.bin = CAST(floor(v.pos / 4000) AS BIGINT) AND v.pos > g.s AND v.pos <= g.e)""",

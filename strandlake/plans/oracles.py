@@ -4,8 +4,14 @@ A query without one here has the twin that its own SQL text renders to.
 """
 
 _P = "(SELECT p_partkey AS site, n_nationkey AS hap, CASE WHEN (p_partkey * 7 + n_nationkey * (p_size + 3)) % 11 < 4 THEN 1 ELSE 0 END AS g FROM part, nation)"
+#: Samples and all nodes above them in the two trees of the fixture.
+_UP = "up AS (SELECT DISTINCT tree, child AS sample, child AS node FROM v_tree WHERE child >= 0 UNION ALL SELECT u.tree, u.sample, t.parent FROM up u JOIN v_tree t ON t.tree = u.tree AND t.child = u.node)"
 _T = "ln({0}) / 0.626e0 + ln(1 - {0}) / 0.374e0 - ln(abs(0.626e0 - {0})) / (0.626e0 * 0.374e0)"
 
+_SIMPLIFY = """WITH arms AS (SELECT t.tree, t.parent AS node FROM v_tree t JOIN v_below b ON b.tree = t.tree AND b.node = t.child GROUP BY t.tree, t.parent HAVING count(*) > 1), chain AS (SELECT tree, sample, sample AS node, 0 AS d FROM v_up UNION ALL SELECT tree, sample, n1, 1 FROM v_up UNION ALL SELECT tree, sample, n2, 2 FROM v_up UNION ALL SELECT tree, sample, n3, 3 FROM v_up),
+  held AS (SELECT c.* FROM chain c LEFT JOIN arms a ON a.tree = c.tree AND a.node = c.node WHERE c.d = 0 OR a.node IS NOT NULL), links AS (SELECT DISTINCT x.tree, x.node AS child, y.node AS parent FROM held x JOIN held y ON x.tree = y.tree AND x.sample = y.sample AND y.d = (SELECT min(d) FROM held z WHERE z.tree = x.tree AND z.sample = x.sample AND z.d > x.d))
+  SELECT parent, child, 0 AS l, 1000000 AS r FROM (SELECT parent, child FROM links WHERE tree = 0 INTERSECT SELECT parent, child FROM links WHERE tree = 500000) UNION ALL SELECT parent, child, tree, tree + 500000 FROM links WHERE (parent, child) NOT IN (SELECT (parent, child) FROM links GROUP BY parent, child HAVING count(*) > 1)"""
+
 ORACLES = {
     "mask_intersect_bp": """WITH a AS (SELECT DISTINCT unnest(range(o_orderkey * 37 % 200000, o_orderkey * 37 % 200000 + 50 + o_custkey % 400)) AS x FROM orders), b AS (SELECT DISTINCT unnest(range(p_partkey * 97 % 200000, p_partkey * 97 % 200000 + 100 + p_size * 5)) AS x FROM part)
   SELECT coalesce(a.x, b.x) // 5000 AS w, count(a.x + b.x) AS both_bp, count(*) AS either_bp, count(a.x) - count(a.x + b.x) AS only_bp FROM a FULL JOIN b ON a.x = b.x GROUP BY 1""",
@@ -18,7 +24,6 @@ ORACLES = {
     "asof_step": "SELECT q.probe, round(s.p, 6) AS p FROM v_probe q ASOF JOIN v_step s ON q.t >= s.t",
     "interp_linear": "SELECT q.probe, round(CASE WHEN u.t IS NULL THEN s.p ELSE s.p + (u.p - s.p) * (q.t - s.t) / (u.t - s.t) END, 6) AS p FROM v_probe q ASOF JOIN v_step s ON q.t >= s.t LEFT JOIN v_step u ON u.t = s.t + 50",
     "interp_bilinear": """SELECT a.x, b.y, round((SELECT sum(m * greatest(0, 1 - abs(t - ti)) * greatest(0, 1 - abs(q - pi))) FROM v_surface), 2) AS z FROM (SELECT i AS x, least(4.0e0, greatest(0.0e0, i / 5.0e0 - 0.4e0)) AS t FROM (SEQ(0;26))) a, (SELECT i AS y, least(4.0e0, i / 6.0e0) AS q FROM (SEQ(0;26))) b""",
-    "converted_fraction": """SELECT x, count(*) AS converted, round(count(*) * 1.0e0 / (SELECT count(*) FROM customer), 6) AS share FROM (SELECT i * 250 AS x FROM (SEQ(0;19))), customer c WHERE EXISTS (SELECT 1 FROM v_flux f WHERE f.lineage % 25 = c.c_nationkey AND x BETWEEN f.tl AND f.tr) GROUP BY x""",
     "coverage_at": "SELECT x, (SELECT count(*) FROM v_flux f WHERE x BETWEEN f.tl AND f.tr) AS depth FROM (SELECT tl AS x FROM v_flux UNION SELECT tr + 1 FROM v_flux)",
     "survival_curve": "SELECT d, round((SELECT avg(CASE WHEN tr - tl >= d THEN 1.0e0 ELSE 0 END) FROM v_flux), 6) AS s FROM (SELECT DISTINCT tr - tl AS d FROM v_flux)",
     "escape_exposure": """SELECT event_id, round(sum(500.0e0 * (CASE WHEN x >= 1000 AND x < 3000 THEN CASE WHEN lineage % 2 = 0 THEN 0.7e0 ELSE 0.3e0 END ELSE 1 END) * (CASE WHEN x >= 2000 AND x < 4200 THEN CASE WHEN (lineage // 2) % 2 = 0 THEN 0.6e0 ELSE 0.4e0 END ELSE 1 END)), 4) AS exposure
@@ -42,9 +47,15 @@ ORACLES = {
     "neighbour_support": "WITH f AS (SELECT chrom, idx, CASE WHEN dp > 0.3e0 THEN 1 ELSE 0 END AS flag FROM v_pair) SELECT a.chrom, a.idx, a.flag, (SELECT coalesce(sum(b.flag), 0) FROM f b WHERE b.chrom = a.chrom AND b.idx BETWEEN a.idx - 3 AND a.idx + 3 AND b.idx <> a.idx) AS support FROM f a",
     "pop_components": """WITH RECURSIVE e AS (SELECT a, b FROM v_popedge UNION SELECT b, a FROM v_popedge), r AS (SELECT n_nationkey AS a, n_nationkey AS b FROM nation UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS pop, min(b) AS label FROM r GROUP BY a""",
     "branch_windows": """SELECT win, round(sum(pi * part) / 300000, 6) AS pi FROM (SELECT i AS win, b.tree, least(b.tree + 500000, (i + 1) * 300000) - greatest(b.tree, i * 300000) AS part, b.pi FROM (SEQ(0;3)) w JOIN (SELECT tree, sum(blen * 2 * k * (n - k) / (n * (n - 1.0e0))) AS pi FROM v_branch CROSS JOIN v_totals GROUP BY tree) b ON b.tree < (i + 1) * 300000 AND b.tree + 500000 > i * 300000) GROUP BY win""",
-    "simplify": """WITH arms AS (SELECT t.tree, t.parent AS node FROM v_tree t JOIN v_below b ON b.tree = t.tree AND b.node = t.child GROUP BY t.tree, t.parent HAVING count(*) > 1), chain AS (SELECT tree, sample, sample AS node, 0 AS d FROM v_up UNION ALL SELECT tree, sample, n1, 1 FROM v_up UNION ALL SELECT tree, sample, n2, 2 FROM v_up UNION ALL SELECT tree, sample, n3, 3 FROM v_up),
-  held AS (SELECT c.* FROM chain c LEFT JOIN arms a ON a.tree = c.tree AND a.node = c.node WHERE c.d = 0 OR a.node IS NOT NULL), links AS (SELECT DISTINCT x.tree, x.node AS child, y.node AS parent FROM held x JOIN held y ON x.tree = y.tree AND x.sample = y.sample AND y.d = (SELECT min(d) FROM held z WHERE z.tree = x.tree AND z.sample = x.sample AND z.d > x.d))
-  SELECT parent, child, 0 AS l, 1000000 AS r FROM (SELECT parent, child FROM links WHERE tree = 0 INTERSECT SELECT parent, child FROM links WHERE tree = 500000) UNION ALL SELECT parent, child, tree, tree + 500000 FROM links WHERE (parent, child) NOT IN (SELECT (parent, child) FROM links GROUP BY parent, child HAVING count(*) > 1)""",
+    "simplify": _SIMPLIFY,
+    "simplify_map": f"SELECT node, row_number() OVER (ORDER BY is_sample DESC, time, node) - 1 AS new FROM v_node WHERE node IN (SELECT unnest([parent, child]) FROM ({_SIMPLIFY}))",
+    "pair_mrca": f"""WITH RECURSIVE {_UP}, p AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_mktsegment = b.c_mktsegment AND a.c_custkey // 10 = b.c_custkey // 10 AND a.c_custkey < b.c_custkey),
+  m AS (SELECT p.a, p.b, x.tree, arg_min(x.node, n.time) AS node, min(n.time) AS time FROM p JOIN up x ON x.sample = p.a JOIN up y ON y.sample = p.b AND y.tree = x.tree AND y.node = x.node JOIN v_node n ON n.node = x.node GROUP BY p.a, p.b, x.tree)
+  SELECT a, b, node, time, min(tree) AS l, max(tree) + 500000 AS r FROM m GROUP BY a, b, node, time""",
+    "converted_fraction": f"""WITH RECURSIVE {_UP}, f AS (SELECT tl, tr, CASE WHEN event_id % 10 = 0 THEN lineage % 5 - 2000000 WHEN event_id % 10 < 5 THEN lineage % 25 - 1000000 ELSE lineage END AS node FROM v_flux)
+  SELECT x, count(DISTINCT sample) AS converted, round(count(DISTINCT sample) * 1.0e0 / (SELECT count(*) FROM customer), 6) AS share FROM (SELECT i * 250 AS x, i * 50000 // 500000 * 500000 AS tree FROM (SEQ(0;19))) q JOIN f ON q.x BETWEEN f.tl AND f.tr JOIN up u ON u.node = f.node AND u.tree = q.tree GROUP BY x""",
+    "genotype_counts": f"""WITH RECURSIVE {_UP}, m AS (SELECT o_orderkey AS site, o_orderkey * 37 % 1000000 // 500000 * 500000 AS tree, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 25 - 1000000 ELSE o_custkey END AS node FROM orders)
+  SELECT site, count(*) AS k, sum(CASE WHEN sample % 2 = 0 THEN 1 ELSE 0 END) AS k_a FROM m JOIN up ON up.node = m.node AND up.tree = m.tree GROUP BY site""",
     "breakpoint_partition": "SELECT a.x AS l, min(b.x) AS r FROM (SELECT l AS x FROM v_edge UNION SELECT r FROM v_edge) a JOIN (SELECT l AS x FROM v_edge UNION SELECT r FROM v_edge) b ON b.x > a.x GROUP BY a.x",
     "bisect_root": f"""WITH RECURSIVE s AS (SELECT i * 10.0e0 AS t, 0.01e0 AS lo, 0.626e0 * (1 - 1.0e-12) AS hi, 0 AS n FROM (SEQ(1;40)) UNION ALL SELECT t, CASE WHEN ({_T.format('((lo + hi) / 2)')} - ({_T.format('0.01e0')})) / (0.02e0 / 0.626e0) < t THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ({_T.format('((lo + hi) / 2)')} - ({_T.format('0.01e0')})) / (0.02e0 / 0.626e0) < t THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM s WHERE n < 60)
   SELECT t, round((lo + hi) / 2, 6) AS p FROM s WHERE n = 60""",

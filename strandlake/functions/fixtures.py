@@ -14,6 +14,7 @@ VIEWS = {
     "v_hap": """SELECT p_partkey AS site, n_nationkey AS hap, n_nationkey % 2 AS grp, n_regionkey AS pop,
   CASE WHEN (p_partkey * 7 + n_nationkey * (p_size + 3)) % 11 < 4 THEN 1 ELSE 0 END AS allele FROM part CROSS JOIN nation""",
     "v_bits": "SELECT site, CAST(sum(allele * power(2, hap)) AS BIGINT) AS m, sum(allele) AS k FROM v_hap GROUP BY site",
+    "v_words": "SELECT site, CAST(sum(allele * power(2, hap)) AS BIGINT) AS m, sum(allele) AS k, count(*) AS n FROM v_hap GROUP BY site",
     "v_hsite": """SELECT site, sum(allele) AS k, count(*) AS n, sum(CASE WHEN grp = 0 THEN allele ELSE 0 END) AS k_a, sum(CASE WHEN grp = 0 THEN 1 ELSE 0 END) AS n_a,
   sum(CASE WHEN grp = 1 THEN allele ELSE 0 END) AS k_b, sum(CASE WHEN grp = 1 THEN 1 ELSE 0 END) AS n_b FROM v_hap GROUP BY site""",
     "v_div": """SELECT site, CAST(floor(site / 20) AS BIGINT) AS win, k, n, k_a, n_a, k_b, n_b, 2.0e0 * k * (n - k) / (n * (n - 1)) AS pi,

@@ -13,6 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+#: Rows up to which one task may order a table.
+FEW = 1 << 14
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts lineage by a checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
@@ -56,12 +60,17 @@ def scanned(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequ
     the key strictly before and after this one.  ``order`` should be unique within a
     key; nulls come first.  A key may hold any share of the rows: it is cut by ranges
     of the order like all others, and what a range begins with is carried over from
-    those before it.
+    those before it.  Tables of at most FEW rows are ordered by a plain window.
     """
-    session = df.sparkSession
-    n = int(session.conf.get("spark.sql.shuffle.partitions"))
-    by = [*keys, *order]
-    rows = df.repartitionByRange(n, *by).sortWithinPartitions(*by) if by else df
+    rows = checkpointed(df)
+    if rows.count() <= FEW:
+        plain = Window.partitionBy(*keys).orderBy(*order)
+        before, after = plain.rowsBetween(Window.unboundedPreceding, -1), plain.rowsBetween(1, Window.unboundedFollowing)
+        new = [F.coalesce(F.sum(c).over(plain.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias(f"upto_{c}") for c in sums]
+        new += [F.last(c, ignorenulls=True).over(before).alias(f"last_{c}") for c in last] + [F.first(c, ignorenulls=True).over(after).alias(f"next_{c}") for c in next]
+        return rows.select("*", *new)
+    n, by = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*keys, *order]
+    rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by)
     rows = checkpointed(rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()))
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_none"))
     ends = rows.groupBy("_part").agg(F.min(key).alias("_first"), F.max(key).alias("_final"))

@@ -40,8 +40,9 @@ def levels(rows: DataFrame, keys: list[str], **values: Column) -> DataFrame:
     """(keys..., l, r, values...): sums of the values of the rows whose intervals cover each place, where any does."""
     names = list(values)
     change = rows.select(*keys, F.inline(F.array(F.struct(F.col("l").alias("l"), F.lit(1).alias("_n"), *[c.alias(f"_{v}") for v, c in values.items()]), F.struct(F.col("r").alias("l"), F.lit(-1).alias("_n"), *[(-c).alias(f"_{v}") for v, c in values.items()]))))
-    # Places where nothing changes on the whole stay, as they are few and cost a row each.
     change = change.groupBy(*keys, "l").agg(F.sum("_n").alias("_n"), *[F.sum(f"_{v}").alias(f"_{v}") for v in names])
+    # Where one interval ends and another begins, nothing may change on the whole.
+    change = change.filter(" or ".join(f"_{v} <> 0" for v in ["n", *names]))
     w = Window.partitionBy(*keys).orderBy("l")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     level = change.select(*keys, "l", F.lead("l").over(w).alias("r"), F.sum("_n").over(upto).alias("_n"), *[F.sum(f"_{v}").over(upto).alias(v) for v in names])
@@ -52,16 +53,16 @@ def ancestors(edges: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
     """(by, sample, node, l, r): where a node is the sample itself or above it, for samples with a parent there.
 
     Each round joins what was found, up to 2**k - 1 steps above the samples, with the
-    links of 2**k steps, and squares these; intervals are cut to where both hold and
-    joined where they abut.  A sequence of depth d takes log2(d) rounds, whatever
-    its number of trees.
+    links of 2**k steps, and squares these; intervals are cut to where both hold, and
+    links are joined where they abut.  Rows of a sample and a node do not overlap, but
+    may abut.  A sequence of depth d takes log2(d) rounds, whatever its number of trees.
     """
     jump = checkpointed(merged(edges, [*by, "child", "parent"]))
     leaves = samples.select(*by, F.col("node").alias("child"))
     found = merged(jump.join(leaves, [*by, "child"]).select(*by, F.col("child").alias("sample"), F.col("child").alias("node"), "l", "r").distinct(), [*by, "sample", "node"])
     while not jump.isEmpty():
         further = overlapping(found, jump.withColumnRenamed("child", "node"), [*by, "node"]).select(*by, "sample", F.col("parent").alias("node"), "l", "r")
-        found = checkpointed(merged(found.unionByName(further), [*by, "sample", "node"]))
+        found = checkpointed(found.unionByName(further))
         upper = jump.select(*by, F.col("child").alias("parent"), F.col("parent").alias("top"), "l", "r")
         jump = checkpointed(merged(overlapping(jump, upper, [*by, "parent"]).select(*by, "child", F.col("top").alias("parent"), "l", "r"), [*by, "child", "parent"]))
     return found

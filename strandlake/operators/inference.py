@@ -15,7 +15,7 @@ QUERIES = {
     # Uniform, loguniform, an atom at 0 mixed with loguniform, and a dominance that is one half where selection is 0.
     "prior_draws": "SELECT sim, round(1000 + 9000 * a, 4) AS t_inv, round(exp(ln(0.001e0) + (ln(0.5e0) - ln(0.001e0)) * b), 8) AS p_start, round(CASE WHEN c < 0.2e0 THEN 0.0e0 ELSE exp(ln(0.0001e0) + (ln(0.1e0) - ln(0.0001e0)) * (c - 0.2e0) / 0.8e0) END, 8) AS s, round(CASE WHEN c < 0.2e0 THEN 0.5e0 ELSE d END, 6) AS h FROM ("
     + "SELECT sim, HEX(h1) / 4503599627370496.0e0 AS a, HEX(h2) / 4503599627370496.0e0 AS b, HEX(h3) / 4503599627370496.0e0 AS c, HEX(h4) / 4503599627370496.0e0 AS d FROM (SELECT sim, substr(g1, 1, 13) AS h1, substr(g2, 1, 13) AS h2, substr(g3, 1, 13) AS h3, substr(g4, 1, 13) AS h4 FROM ("
-    + "SELECT sim, SHA(k1) AS g1, SHA(k2) AS g2, SHA(k3) AS g3, SHA(k4) AS g4 FROM (SELECT sim, k || 't' AS k1, k || 'p' AS k2, k || 's' AS k3, k || 'h' AS k4 FROM (SELECT i AS sim, '7-' || CAST(i AS VARCHAR(20)) AS k FROM (SEQ(0;1999)))))))",
+    + "SELECT sim, SHA(k1) AS g1, SHA(k2) AS g2, SHA(k3) AS g3, SHA(k4) AS g4 FROM (SELECT sim, k || 't' AS k1, k || 'p' AS k2, k || 's' AS k3, k || 'h' AS k4 FROM (SELECT o_orderkey AS sim, '7-' || CAST(o_orderkey AS VARCHAR(20)) AS k FROM orders)))))",
 }
 
 
@@ -112,14 +112,12 @@ def meet(first: np.ndarray, second: np.ndarray, xs: np.ndarray, ys: np.ndarray,
     return best[1], best[2], best[0]
 
 
-def abc_adjusted(scaled: DataFrame) -> DataFrame:
+def abc_adjusted(sims: DataFrame) -> DataFrame:
     """The kept simulations of the fixture with theta adjusted in logs to where the scaled statistics are 0."""
-    from strandlake.operators.ordered import kept
+    from strandlake.operators.selection import distances, kept
 
-    dist = F.sqrt(sum((F.coalesce(F.col(z) * F.col(z), F.lit(0.0)) for z in ("z1", "z2", "z3")), F.lit(0.0)))
-    near = kept(scaled.withColumn("dist", dist))
-    moved = local_linear(near, {"theta": (1000.0, 600000.0, True)}, {"z1": 0.0, "z2": 0.0, "z3": 0.0})
+    moved = local_linear(kept(distances(sims)), {"theta": (1000.0, 600000.0, True)}, {"z1": 0.0, "z2": 0.0, "z3": 0.0})
     return moved.select("sim", F.round("weight", 6).alias("weight"), F.round("adjusted_theta", 2).alias("theta"))
 
 
-FRAMES = {"abc_adjusted": (abc_adjusted, ["v_scaled"])}
+FRAMES = {"abc_adjusted": (abc_adjusted, ["v_sim"])}

@@ -73,30 +73,6 @@ def ols_hc3(grid: DataFrame) -> DataFrame:
     return points.agg(F.round(F.sqrt(F.sum(F.pow(dx * left, 2))) / sxx, 6).alias("se")).select(F.round(F.lit(slope), 6).alias("slope"), "se")
 
 
-def kept(dist: DataFrame, share: float = 0.01, least: int = 20) -> DataFrame:
-    """The nearest simulations: max(least, round(share n)), with their rank; ties go to the smaller number."""
-    dist = checkpointed(dist)
-    n, order = dist.count(), [F.round("dist", 9), F.col("sim")]
-    return running(dist.orderBy(*order).limit(max(least, int(share * n + 0.5))), order).withColumnRenamed("rank", "rn")
-
-
-def abc_reject(dist: DataFrame) -> DataFrame:
-    return kept(dist).select("sim", "rn", F.round("dist", 6).alias("dist"))
-
-
-def bayes_factor(dist: DataFrame) -> DataFrame:
-    """Posterior odds of a large theta over its prior odds."""
-    dist, over = checkpointed(dist), F.avg(F.when(F.col("theta") > 150000, 1.0).otherwise(0.0))
-    post, prior = kept(dist).agg(over).first()[0], dist.agg(over.alias("b"))
-    odds = None if post == 1 else post / (1 - post)
-    return prior.select(F.round(F.lit(odds) / F.expr("nullif(b / nullif(1 - b, 0), 0)"), 6).alias("bf"))
-
-
-def posterior_quantiles(dist: DataFrame) -> DataFrame:
-    found = kept(dist).agg(F.percentile("theta", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    return found.select(*[F.round(F.col("q")[i], 2).alias(n) for i, n in enumerate(("lo", "mid", "hi"))])
-
-
 def edge_canonical_sort(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges numbered by the parent's time, parent, child and left end."""
     timed = edges.join(nodes.select(F.col("node").alias("parent"), "time"), "parent")
@@ -114,8 +90,5 @@ FRAMES = {
     "node_remap": (node_remap, ["v_flux"]),
     "survival_curve": (survival_curve, ["v_flux"]),
     "ols_hc3": (ols_hc3, ["v_grid"]),
-    "abc_reject": (abc_reject, ["v_dist"]),
-    "bayes_factor": (bayes_factor, ["v_dist"]),
-    "posterior_quantiles": (posterior_quantiles, ["v_dist"]),
     "edge_canonical_sort": (edge_canonical_sort, ["v_edge", "v_node"]),
 }

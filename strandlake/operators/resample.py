@@ -1,7 +1,5 @@
 """Resampling, rank and test statistics."""
 
-_Z = "(SELECT engine, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM v_rep WHERE stat = 'click' GROUP BY engine)"
-
 QUERIES = {
     "block_jackknife": """SELECT round(theta, 6) AS theta, round(b * theta - (b - 1) * m, 6) AS est, round(sqrt((b - 1) * v), 6) AS se FROM (SELECT max(t) AS theta, count(*) AS b, avg(loo) AS m, var_pop(loo) AS v FROM (SELECT sum(num) OVER () / sum(den) OVER () AS t, (sum(num) OVER () - num) / (sum(den) OVER () - den) AS loo FROM v_block))""",
     "block_jackknife_multi": """SELECT body, round(max(t), 6) AS theta, round(sqrt((count(*) - 1) * var_pop(loo)), 6) AS se FROM (SELECT body, sum(num) OVER (PARTITION BY body) / sum(den) OVER (PARTITION BY body) AS t, (sum(num) OVER (PARTITION BY body) - num) / (sum(den) OVER (PARTITION BY body) - den) AS loo FROM (
@@ -10,16 +8,11 @@ QUERIES = {
     "smooth3": "SELECT win, round(sum(dxy) OVER (ORDER BY win ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3, 6) AS smooth FROM v_win",
     "roulette_pick": "SELECT u, min(cell) AS pick FROM (SELECT cell, sum(score) OVER (ORDER BY cell ROWS UNBOUNDED PRECEDING) / sum(score) OVER () AS c FROM v_grid) JOIN (SELECT i / 10.0e0 AS u FROM (SEQ(1;9))) ON c >= u GROUP BY u",
     "dedup_times": "SELECT event_id, t FROM (SELECT event_id, tl AS t, lag(tl) OVER (ORDER BY tl, event_id) AS p FROM v_flux) WHERE p IS NULL OR t - p > 0",
-    "ks_stat": """SELECT stat, round(ks, 6) AS ks, round(p, 6) AS p FROM v_verdict""",
     "cohens_d": "SELECT stat, round((m0 - m1) / NULLIF(sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)), 0), 6) AS d FROM (SELECT stat, avg(CASE WHEN engine = 0 THEN value END) AS m0, avg(CASE WHEN engine = 1 THEN value END) AS m1, var_samp(CASE WHEN engine = 0 THEN value END) AS v0, var_samp(CASE WHEN engine = 1 THEN value END) AS v1, sum(1 - engine) AS n0, sum(engine) AS n1 FROM v_rep GROUP BY stat)",
-    "verdict": """SELECT stat, round(ks, 6) AS ks, round(p, 6) AS p, round(d, 6) AS d, CASE WHEN p IS NULL OR d IS NULL THEN 'investigate' WHEN p > 0.01e0 AND abs(d) < 0.2e0 THEN 'equivalent' WHEN p < 0.01e0 AND abs(d) > 0.2e0 THEN 'not_equivalent' ELSE 'investigate' END AS verdict FROM v_verdict""",
-    "equivalence_table": """SELECT m.stat, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, CASE WHEN m.stat = 'purchase' THEN 'convention_diff' WHEN n_a = 0 OR n_b = 0 THEN 'skipped' WHEN p > 0.01e0 AND abs(d) < 0.2e0 THEN 'equivalent' WHEN p < 0.01e0 AND abs(d) > 0.2e0 THEN 'not_equivalent' ELSE 'investigate' END AS state
-  FROM (SELECT stat, count(DISTINCT CASE WHEN engine = 0 THEN rep END) AS n_a, count(DISTINCT CASE WHEN engine = 1 THEN rep END) AS n_b, avg(CASE WHEN engine = 0 THEN value END) AS mean_a, avg(CASE WHEN engine = 1 THEN value END) AS mean_b FROM v_rep GROUP BY stat) m JOIN v_verdict v ON v.stat = m.stat""",
     "moment_test": """SELECT stat, round(z, 6) AS z, CASE WHEN abs(z) <= 3 THEN 1 ELSE 0 END AS ok, CASE WHEN abs(z) <= 2.5758293035489004e0 THEN 1 ELSE 0 END AS ok_family FROM (SELECT stat, (avg(CASE WHEN engine = 0 THEN value END) - avg(CASE WHEN engine = 1 THEN value END)) / sqrt(var_samp(CASE WHEN engine = 0 THEN value END) / sum(1 - engine) + var_samp(CASE WHEN engine = 1 THEN value END) / sum(engine)) AS z FROM v_rep GROUP BY stat)""",
-    "welch_t": f"SELECT round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 4) AS df FROM {_Z} a JOIN {_Z} b ON a.engine = 0 AND b.engine = 1",
     "ols_hc3": "SELECT round(max(b), 6) AS slope, round(sqrt(sum(power(x - mx, 2) * power((y - my - b * (x - mx)) / (1 - 1.0e0 / n - power(x - mx, 2) / sxx), 2))) / max(sxx), 6) AS se FROM (SELECT x, y, mx, my, n, sxx, sxy / sxx AS b FROM (SELECT x, y, n, mx, my, sum((x - mx) * (x - mx)) OVER () AS sxx, sum((x - mx) * (y - my)) OVER () AS sxy FROM (SELECT log10(1.0e0 + t_inv) AS x, score / 100 AS y, avg(log10(1.0e0 + t_inv)) OVER () AS mx, avg(score / 100) OVER () AS my, count(*) OVER () AS n FROM v_grid)))",
     "wls_slope": "SELECT round((sum(w * x * y) / sum(w) - sum(w * x) * sum(w * y) / power(sum(w), 2)) / (sum(w * x * x) / sum(w) - power(sum(w * x) / sum(w), 2)), 6) AS slope FROM (SELECT t_inv AS x, avg(score) AS y, count(*) * 1.0e0 AS w FROM v_grid GROUP BY t_inv)",
-    "fisher_exact": """SELECT tx, a, b, c, d, round(p, 6) AS p FROM (SELECT tx, a, b, c, d, sum(CASE WHEN lp <= lp0 + 1.0e-7 THEN exp(lp) ELSE 0 END) AS p FROM (SELECT tx, a, b, c, d, m - LNFACT(i) - LNFACT(a + b - i) - LNFACT(a + c - i) - LNFACT(d - a + i) AS lp, m - LNFACT(a) - LNFACT(b) - LNFACT(c) - LNFACT(d) AS lp0 FROM (
+    "fisher_exact": """SELECT tx, a, b, c, d, round(p, 6) AS p, CASE WHEN b * c > 0 THEN round(1.0e0 * a * d / (b * c), 6) WHEN a * d > 0 THEN CAST('Infinity' AS DOUBLE) END AS odds FROM (SELECT tx, a, b, c, d, sum(CASE WHEN lp <= lp0 + 1.0e-7 THEN exp(lp) ELSE 0 END) AS p FROM (SELECT tx, a, b, c, d, m - LNFACT(i) - LNFACT(a + b - i) - LNFACT(a + c - i) - LNFACT(d - a + i) AS lp, m - LNFACT(a) - LNFACT(b) - LNFACT(c) - LNFACT(d) AS lp0 FROM (
   SEQ(greatest(0, a - d);least(a + b, a + c)), tx, a, b, c, d, m FROM (SELECT tx, a, b, c, d, LNFACT(a + b) + LNFACT(c + d) + LNFACT(a + c) + LNFACT(b + d) - LNFACT(a + b + c + d) AS m FROM (
   SELECT p_brand AS tx, count(CASE WHEN p_size < 25 AND p_type < 'M' THEN 1 END) AS a, count(CASE WHEN p_size < 25 AND p_type >= 'M' THEN 1 END) AS b, count(CASE WHEN p_size >= 25 AND p_type < 'M' THEN 1 END) AS c, count(CASE WHEN p_size >= 25 AND p_type >= 'M' THEN 1 END) AS d FROM part GROUP BY p_brand)))) GROUP BY tx, a, b, c, d)""",
     "window_null": """SELECT t.term, t.k, round(coalesce(count(c.c), 0) * 1.0e0 / max(w.n), 6) AS p FROM (SELECT term, count(*) AS k FROM v_gene WHERE chrom = 0 AND s BETWEEN 80000 AND 139000 GROUP BY term) t

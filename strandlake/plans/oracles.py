@@ -8,6 +8,12 @@ _P = "(SELECT p_partkey AS site, n_nationkey AS hap, CASE WHEN (p_partkey * 7 +
 _UP = "up AS (SELECT DISTINCT tree, child AS sample, child AS node FROM v_tree WHERE child >= 0 UNION ALL SELECT u.tree, u.sample, t.parent FROM up u JOIN v_tree t ON t.tree = u.tree AND t.child = u.node)"
 _T = "ln({0}) / 0.626e0 + ln(1 - {0}) / 0.374e0 - ln(abs(0.626e0 - {0})) / (0.626e0 * 0.374e0)"
 
+#: KS by brute force, and its exact p by counting lattice paths along their steps.
+_KS = """WITH RECURSIVE v AS MATERIALIZED (SELECT stat, engine, value FROM v_rep WHERE value IS NOT NULL), g AS MATERIALIZED (SELECT stat, max(abs(fa - fb)) AS ks, max(n) AS n, max(m) AS m FROM (SELECT stat, value, sum(a) OVER w * 1.0e0 / sum(a) OVER t AS fa, sum(b) OVER w * 1.0e0 / sum(b) OVER t AS fb, sum(a) OVER t AS n, sum(b) OVER t AS m FROM (SELECT stat, value, count(*) FILTER (engine = 0) AS a, count(*) FILTER (engine = 1) AS b FROM v GROUP BY stat, value) WINDOW w AS (PARTITION BY stat ORDER BY value), t AS (PARTITION BY stat)) GROUP BY stat),
+  h AS MATERIALIZED (SELECT stat, n, m, round(ks * n * m) AS edge FROM g), path AS (SELECT stat, 0 AS step, CAST(0 AS BIGINT) AS i, 1.0e0 AS w FROM h WHERE edge > 0 UNION ALL SELECT stat, step, i, sum(w) FROM (SELECT p.stat, p.step + 1 AS step, p.i + o.d AS i, CASE WHEN o.d = 1 THEN p.i + 1 ELSE p.step - p.i + 1 END * p.w / (p.step + 1.0e0) AS w, n, m, edge FROM path p JOIN h ON h.stat = p.stat, (SELECT unnest([0, 1]) AS d) o WHERE p.step < n + m) WHERE i <= n AND step - i <= m AND abs(i * m - (step - i) * n) < edge GROUP BY stat, step, i)
+  SELECT g.stat, ks, CASE WHEN edge <= 0 THEN 1.0e0 ELSE 1 - coalesce((SELECT max(w) FROM path WHERE path.stat = g.stat AND path.step = g.n + g.m), 0) END AS p FROM g JOIN h ON h.stat = g.stat"""
+_D = "SELECT stat, (m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)) AS d FROM (SELECT stat, count(value) FILTER (engine = 0) AS n0, count(value) FILTER (engine = 1) AS n1, avg(value) FILTER (engine = 0) AS m0, avg(value) FILTER (engine = 1) AS m1, var_samp(value) FILTER (engine = 0) AS v0, var_samp(value) FILTER (engine = 1) AS v1 FROM v_rep GROUP BY stat)"
+_SAID = "CASE WHEN p > 0.01e0 AND abs(d) < 0.2e0 THEN 'equivalent' WHEN p < 0.01e0 AND abs(d) > 0.2e0 THEN 'not_equivalent' ELSE 'investigate' END"
 _SIMPLIFY = """WITH arms AS (SELECT t.tree, t.parent AS node FROM v_tree t JOIN v_below b ON b.tree = t.tree AND b.node = t.child GROUP BY t.tree, t.parent HAVING count(*) > 1), chain AS (SELECT tree, sample, sample AS node, 0 AS d FROM v_up UNION ALL SELECT tree, sample, n1, 1 FROM v_up UNION ALL SELECT tree, sample, n2, 2 FROM v_up UNION ALL SELECT tree, sample, n3, 3 FROM v_up),
   held AS (SELECT c.* FROM chain c LEFT JOIN arms a ON a.tree = c.tree AND a.node = c.node WHERE c.d = 0 OR a.node IS NOT NULL), links AS (SELECT DISTINCT x.tree, x.node AS child, y.node AS parent FROM held x JOIN held y ON x.tree = y.tree AND x.sample = y.sample AND y.d = (SELECT min(d) FROM held z WHERE z.tree = x.tree AND z.sample = x.sample AND z.d > x.d))
   SELECT parent, child, 0 AS l, 1000000 AS r FROM (SELECT parent, child FROM links WHERE tree = 0 INTERSECT SELECT parent, child FROM links WHERE tree = 500000) UNION ALL SELECT parent, child, tree, tree + 500000 FROM links WHERE (parent, child) NOT IN (SELECT (parent, child) FROM links GROUP BY parent, child HAVING count(*) > 1)"""
@@ -19,10 +25,11 @@ ORACLES = {
     "interval_coverage": "SELECT p_partkey // 200 AS chrom, sum(p_size * 60) AS total, sum(len(list_filter(range((p_partkey % 200) * 1000, (p_partkey % 200) * 1000 + p_size * 60), lambda x: x >= 70000 AND x < 130000))) AS shared, sum(len(list_filter(range((p_partkey % 200) * 1000, (p_partkey % 200) * 1000 + p_size * 60), lambda x: x < 70000 OR x >= 130000))) AS remaining FROM part GROUP BY 1",
     "segment_overlap": "SELECT a.gene AS a, b.gene AS b, least(a.e, b.e) - greatest(a.s, b.s) AS bp FROM v_gene a JOIN v_gene b ON a.chrom = b.chrom AND a.gene < b.gene AND least(a.e, b.e) > greatest(a.s, b.s)",
     "interval_join": "SELECT v.chrom, v.pos, g.gene FROM v_pair v JOIN v_gene g ON v.chrom = g.chrom AND v.pos BETWEEN g.s + 1 AND g.e",
-    "sites_outside_genes": "SELECT v.chrom, v.pos FROM v_pair v LEFT JOIN v_gene g ON v.chrom = g.chrom AND v.pos BETWEEN g.s + 1 AND g.e AND g.e - g.s <= 1200 WHERE g.gene IS NULL",
+    "sites_outside_genes": "SELECT v.chrom, v.pos FROM v_pair v LEFT JOIN v_gene g ON v.chrom = g.chrom AND v.pos BETWEEN g.s + 1 AND g.e WHERE g.gene IS NULL",
     "nearest_gene": "SELECT v.chrom, v.pos, min(least(abs(g.s - v.pos), abs(g.e - v.pos))) AS dist FROM v_pair v LEFT JOIN v_gene g ON g.chrom = v.chrom GROUP BY v.chrom, v.pos",
-    "asof_step": "SELECT q.probe, round(s.p, 6) AS p FROM v_probe q ASOF JOIN v_step s ON q.t >= s.t",
-    "interp_linear": "SELECT q.probe, round(CASE WHEN u.t IS NULL THEN s.p ELSE s.p + (u.p - s.p) * (q.t - s.t) / (u.t - s.t) END, 6) AS p FROM v_probe q ASOF JOIN v_step s ON q.t >= s.t LEFT JOIN v_step u ON u.t = s.t + 50",
+    "asof_step": "SELECT event_id, o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT event_id, user_id, ts - to_days(CAST(900 + event_id % 80 * 30 AS INTEGER)) AS at FROM events) e ASOF JOIN (SELECT o_custkey, o_orderdate, max(o_totalprice) AS o_totalprice, max(o_orderkey) AS o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC, o_totalprice DESC) AS rn FROM orders) WHERE rn = 1 GROUP BY o_custkey, o_orderdate) o ON e.user_id = o.o_custkey AND e.at >= o.o_orderdate",
+    "interp_linear": """WITH o AS (SELECT o_custkey, o_orderdate AS day, max(o_totalprice) AS price FROM orders GROUP BY o_custkey, o_orderdate), e AS (SELECT event_id, user_id, ts - to_days(CAST(900 + event_id % 80 * 30 AS INTEGER)) AS at FROM events)
+  SELECT b.event_id, round(CASE WHEN a.day IS NULL THEN b.price ELSE b.price + (a.price - b.price) * (epoch_us(b.at) - epoch_us(b.day)) / (epoch_us(a.day) - epoch_us(b.day)) END, 4) AS price FROM (SELECT e.event_id, e.user_id, e.at, o.day, o.price FROM e ASOF JOIN o ON e.user_id = o.o_custkey AND e.at >= o.day) b LEFT JOIN (SELECT e.event_id, o.day, o.price FROM e ASOF JOIN o ON e.user_id = o.o_custkey AND e.at < o.day) a ON a.event_id = b.event_id""",
     "interp_bilinear": """SELECT a.x, b.y, round((SELECT sum(m * greatest(0, 1 - abs(t - ti)) * greatest(0, 1 - abs(q - pi))) FROM v_surface), 2) AS z FROM (SELECT i AS x, least(4.0e0, greatest(0.0e0, i / 5.0e0 - 0.4e0)) AS t FROM (SEQ(0;26))) a, (SELECT i AS y, least(4.0e0, i / 6.0e0) AS q FROM (SEQ(0;26))) b""",
     "coverage_at": "SELECT x, (SELECT count(*) FROM v_flux f WHERE x BETWEEN f.tl AND f.tr) AS depth FROM (SELECT tl AS x FROM v_flux UNION SELECT tr + 1 FROM v_flux)",
     "survival_curve": "SELECT d, round((SELECT avg(CASE WHEN tr - tl >= d THEN 1.0e0 ELSE 0 END) FROM v_flux), 6) AS s FROM (SELECT DISTINCT tr - tl AS d FROM v_flux)",
@@ -38,9 +45,20 @@ ORACLES = {
   SELECT win, round(list_sum(list_transform(f, lambda x: x * x)), 6) AS h1, round(power(f[1] + coalesce(f[2], 0), 2) + list_sum(list_transform(f, lambda x: x * x)) - f[1] * f[1] - coalesce(f[2] * f[2], 0), 6) AS h12, round(list_sum(list_transform(f, lambda x: x * x)) - f[1] * f[1], 6) AS h2, round(1 - f[1] * f[1] / list_sum(list_transform(f, lambda x: x * x)), 6) AS h2_h1 FROM o""",
     "window_null": """WITH w AS (SELECT chrom, unnest(range(0, last + 1)) AS win FROM (SELECT chrom, max(s // 60000) AS last FROM v_gene WHERE chrom <> 0 GROUP BY chrom)), t AS (SELECT term, count(*) AS k FROM v_gene WHERE chrom = 0 AND s BETWEEN 80000 AND 139000 GROUP BY term)
   SELECT t.term, t.k, round(avg(CASE WHEN (SELECT count(*) FROM v_gene g WHERE g.term = t.term AND g.chrom = w.chrom AND g.s // 60000 = w.win) >= t.k THEN 1.0e0 ELSE 0 END), 6) AS p FROM t, w GROUP BY t.term, t.k""",
-    "ks_stat": """WITH d AS (SELECT stat, max(abs(fa - fb)) AS ks, max(na) AS na, max(nb) AS nb FROM (SELECT v.stat, v.value, (SELECT avg(CASE WHEN u.value <= v.value THEN 1.0e0 ELSE 0 END) FROM v_rep u WHERE u.stat = v.stat AND u.engine = 0) AS fa, (SELECT avg(CASE WHEN u.value <= v.value THEN 1.0e0 ELSE 0 END) FROM v_rep u WHERE u.stat = v.stat AND u.engine = 1) AS fb,
-  (SELECT count(*) FROM v_rep u WHERE u.stat = v.stat AND u.engine = 0) AS na, (SELECT count(*) FROM v_rep u WHERE u.stat = v.stat AND u.engine = 1) AS nb FROM v_rep v) GROUP BY stat)
-  SELECT stat, round(ks, 6) AS ks, round(least(1, greatest(0, 2 * list_sum(list_transform(range(1, 102), lambda i: power(-1, i + 1) * exp(-2.0e0 * power(i * ks, 2) * na * nb / (na + nb)))))), 6) AS p FROM d""",
+    "ks_stat": f"SELECT stat, round(ks, 6) AS ks, round(p, 6) AS p FROM ({_KS})",
+    "verdict": f"SELECT stat, round(ks, 6) AS ks, round(p, 6) AS p, round(d, 6) AS d, {_SAID} AS verdict FROM ({_KS}) JOIN ({_D}) USING (stat)",
+    "equivalence_table": f"""SELECT stat, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, CASE WHEN stat = 'purchase' THEN 'convention_diff' ELSE {_SAID} END AS state FROM ({_KS}) JOIN ({_D}) USING (stat) JOIN (SELECT stat, count(DISTINCT rep) FILTER (engine = 0) AS n_a, count(DISTINCT rep) FILTER (engine = 1) AS n_b, avg(value) FILTER (engine = 0) AS mean_a, avg(value) FILTER (engine = 1) AS mean_b FROM v_rep GROUP BY stat) USING (stat)""",
+    "welch_t": """WITH s AS (SELECT stat, engine, count(value) AS n, avg(value) AS m, var_samp(value) / count(value) AS e FROM v_rep GROUP BY stat, engine), w AS (SELECT a.stat, (a.m - b.m) / sqrt(a.e + b.e) AS t, power(a.e + b.e, 2) / (a.e * a.e / (a.n - 1) + b.e * b.e / (b.n - 1)) AS df FROM s a JOIN s b ON a.stat = b.stat AND a.engine = 0 AND b.engine = 1)
+  SELECT stat, round(t, 6) AS t, round(df, 4) AS df, round(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) * list_sum(list_transform(range(0, 20001), lambda i: CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(1 + power(abs(t) * i / 20000.0e0, 2) / df, -(df + 1) / 2))) * abs(t) / 60000, 6) AS p FROM w""",
+    "ld_sampled": f"""WITH h AS {_P}, r AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS rank, p, gs FROM (SELECT site, avg(g) AS p, list(g ORDER BY hap) AS gs FROM h GROUP BY site)), t AS (SELECT count(*) AS n FROM r),
+  d AS (SELECT b, sha256('7-' || b || '-' || i) AS s FROM (SELECT unnest(range(0, greatest(1, length(bin(n - 1))))) AS b FROM t), (SELECT unnest(range(0, 2000)) AS i)),
+  w AS (SELECT DISTINCT b, rank, rank + (1 << b) + CAST('0x' || substr(s, 13, 12) AS BIGINT) % (1 << b) AS other FROM (SELECT b, s, CAST('0x' || substr(s, 1, 12) AS BIGINT) % n AS rank FROM d, t))
+  SELECT b AS bin, count(*) AS pairs, round(avg(power(list_dot_product(x.gs::DOUBLE[], y.gs::DOUBLE[]) / len(x.gs) - x.p * y.p, 2) / (x.p * (1 - x.p) * y.p * (1 - y.p))), 6) AS r2 FROM w JOIN r x ON x.rank = w.rank JOIN r y ON y.rank = w.other WHERE x.p * (1 - x.p) * y.p * (1 - y.p) > 1.0e-12 GROUP BY b""",
+    "pairwise_missing": """WITH c AS (SELECT l_partkey AS site, l_suppkey % 25 AS hap, arg_min(l_quantity, (l_orderkey, l_linenumber)) > 25 AS g FROM lineitem GROUP BY ALL), p AS (SELECT x.site // 50 AS win, x.hap, y.hap AS hap2, count(*) AS n, sum(CASE WHEN x.g <> y.g THEN 1 ELSE 0 END) AS d FROM c x JOIN c y ON x.site = y.site AND x.hap < y.hap GROUP BY 1, 2, 3)
+  SELECT win, sum(n) AS compared, sum(d) AS differ, round(avg(d * 1.0e0 / n), 6) AS pi FROM p GROUP BY win""",
+    "fisher_exact": """WITH t AS (SELECT p_brand AS tx, count(*) FILTER (p_size < 25 AND p_type < 'M') AS a, count(*) FILTER (p_size < 25 AND p_type >= 'M') AS b, count(*) FILTER (p_size >= 25 AND p_type < 'M') AS c, count(*) FILTER (p_size >= 25 AND p_type >= 'M') AS d FROM part GROUP BY p_brand),
+  w AS (SELECT t.*, i, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1) AS lp FROM (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS i FROM t) t)
+  SELECT tx, a, b, c, d, round(least(1, sum(exp(lp)) FILTER (lp <= own + 1.0e-7)), 6) AS p, CASE WHEN b * c > 0 THEN round(1.0e0 * a * d / (b * c), 6) WHEN a * d > 0 THEN CAST('Infinity' AS DOUBLE) END AS odds FROM (SELECT *, max(lp) FILTER (i = a) OVER (PARTITION BY tx) AS own FROM w) GROUP BY tx, a, b, c, d""",
     "block_jackknife": """WITH t AS (SELECT b, (SELECT sum(num) / sum(den) FROM v_block o WHERE o.block <> i.block) AS loo, (SELECT sum(num) / sum(den) FROM v_block) AS theta FROM (SELECT block, count(*) OVER () AS b FROM v_block) i)
   SELECT round(max(theta), 6) AS theta, round(max(b) * max(theta) - (max(b) - 1) * avg(loo), 6) AS est, round(sqrt((max(b) - 1.0e0) / max(b) * sum(power(loo - m, 2))), 6) AS se FROM t, (SELECT avg(loo) AS m FROM t)""",
     "tandem_collapse": "SELECT family, count(*) AS genes, sum(CASE WHEN EXISTS (SELECT 1 FROM v_gene o WHERE o.family = g.family AND o.chrom = g.chrom AND (o.s, o.gene) < (g.s, g.gene) AND g.s - o.s <= 20000) THEN 0 ELSE 1 END) AS clusters FROM v_gene g GROUP BY family",
@@ -57,6 +75,6 @@ ORACLES = {
     "genotype_counts": f"""WITH RECURSIVE {_UP}, m AS (SELECT o_orderkey AS site, o_orderkey * 37 % 1000000 // 500000 * 500000 AS tree, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 25 - 1000000 ELSE o_custkey END AS node FROM orders)
   SELECT site, count(*) AS k, sum(CASE WHEN sample % 2 = 0 THEN 1 ELSE 0 END) AS k_a FROM m JOIN up ON up.node = m.node AND up.tree = m.tree GROUP BY site""",
     "breakpoint_partition": "SELECT a.x AS l, min(b.x) AS r FROM (SELECT l AS x FROM v_edge UNION SELECT r FROM v_edge) a JOIN (SELECT l AS x FROM v_edge UNION SELECT r FROM v_edge) b ON b.x > a.x GROUP BY a.x",
-    "bisect_root": f"""WITH RECURSIVE s AS (SELECT i * 10.0e0 AS t, 0.01e0 AS lo, 0.626e0 * (1 - 1.0e-12) AS hi, 0 AS n FROM (SEQ(1;40)) UNION ALL SELECT t, CASE WHEN ({_T.format('((lo + hi) / 2)')} - ({_T.format('0.01e0')})) / (0.02e0 / 0.626e0) < t THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ({_T.format('((lo + hi) / 2)')} - ({_T.format('0.01e0')})) / (0.02e0 / 0.626e0) < t THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM s WHERE n < 60)
-  SELECT t, round((lo + hi) / 2, 6) AS p FROM s WHERE n = 60""",
+    "bisect_root": f"""WITH RECURSIVE s AS (SELECT DISTINCT p_size * 8.0e0 AS t, 0.01e0 AS lo, 0.626e0 * (1 - 1.0e-12) AS hi, 0 AS n FROM part UNION ALL SELECT t, CASE WHEN ({_T.format('((lo + hi) / 2)')} - ({_T.format('0.01e0')})) / (0.02e0 / 0.626e0) < t THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ({_T.format('((lo + hi) / 2)')} - ({_T.format('0.01e0')})) / (0.02e0 / 0.626e0) < t THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM s WHERE n < 60)
+  SELECT p_partkey AS id, t, round((lo + hi) / 2, 6) AS p FROM s JOIN part ON p_size * 8.0e0 = t WHERE n = 60""",
 }

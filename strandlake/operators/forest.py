@@ -36,13 +36,16 @@ def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "_run").agg(F.min("l").alias("l"), F.max("r").alias("r")).drop("_run")
 
 
-def levels(rows: DataFrame, keys: list[str], **values: Column) -> DataFrame:
-    """(keys..., l, r, values...): sums of the values of the rows whose intervals cover each place, where any does."""
+def levels(rows: DataFrame, keys: list[str], cut: bool = False, **values: Column) -> DataFrame:
+    """(keys..., l, r, values...): sums of the values of the rows whose intervals cover each place, where any does.
+
+    With ``cut`` a new interval begins wherever one of the rows ends, else only where a sum changes.
+    """
     names = list(values)
     change = rows.select(*keys, F.inline(F.array(F.struct(F.col("l").alias("l"), F.lit(1).alias("_n"), *[c.alias(f"_{v}") for v, c in values.items()]), F.struct(F.col("r").alias("l"), F.lit(-1).alias("_n"), *[(-c).alias(f"_{v}") for v, c in values.items()]))))
     change = change.groupBy(*keys, "l").agg(F.sum("_n").alias("_n"), *[F.sum(f"_{v}").alias(f"_{v}") for v in names])
-    # Where one interval ends and another begins, nothing may change on the whole.
-    change = change.filter(" or ".join(f"_{v} <> 0" for v in ["n", *names]))
+    if not cut:
+        change = change.filter(" or ".join(f"_{v} <> 0" for v in ["n", *names]))
     w = Window.partitionBy(*keys).orderBy("l")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     level = change.select(*keys, "l", F.lead("l").over(w).alias("r"), F.sum("_n").over(upto).alias("_n"), *[F.sum(f"_{v}").over(upto).alias(v) for v in names])
@@ -153,7 +156,7 @@ class Forest:
         """
         node = [*self.by, "parent"]
         arms = levels(self.branches, [*node, "k"], c=F.lit(1))
-        cuts = levels(arms, node).select(*node, "l", "r", F.col("l").alias("_piece"))
+        cuts = levels(arms, node, cut=True).select(*node, "l", "r", F.col("l").alias("_piece"))
         sized = overlapping(arms, cuts, node)
         w = Window.partitionBy(*node, "_piece").orderBy("k")
         smaller = F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

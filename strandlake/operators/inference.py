@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from strandlake.functions.ordered import checkpointed
+from strandlake.functions.ordered import checkpointed, quantiles, scanned
 
 #: Draws are 13 hexadecimal digits of a hash of seed, number and parameter, so they are the same in every engine.
 QUERIES = {
@@ -54,62 +53,81 @@ def summary(posterior: DataFrame, parameter: str, atom: float | None = None) ->
     return found.select(*[F.col("q")[i].alias(n) for i, n in enumerate(("lo", "mid", "hi"))], "atom")
 
 
-def bootstrap(spark: SparkSession, cells: pd.DataFrame, observed: np.ndarray, covariance: np.ndarray, rounds: int, seed: int = 1) -> DataFrame:
-    """Parametric bootstrap of a grid fit: ``boot``, ``cell``, ``chi2``, ``delta`` of the best cell of each round.
+def _number(digits: int, *parts: Column | int | str, at: int = 1) -> Column:
+    """A whole number of so many hexadecimal digits of a digest of the parts, the same in every engine."""
+    text = F.concat_ws("-", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), at, digits), 16, 10).cast("long")
 
-    ``cells``: cell, rep and one column for each statistic (a grid and its replicates,
-    some thousand rows, of which each task has a copy).  A round weighs the
-    replicates of every cell anew (multinomial) and adds normal noise of the given
-    covariance to what was observed; ``delta`` is how much worse the cell that fits
-    the true data best does than the round's best, whose 95 % quantile bounds a profile.
-    """
-    stats = [c for c in cells.columns if c not in ("cell", "rep")]
-    groups = {c: g[stats].to_numpy(float) for c, g in cells.groupby("cell")}
-    names, inverse = list(groups), np.linalg.pinv(covariance)
-
-    def misses(means: np.ndarray, target: np.ndarray) -> np.ndarray:
-        off = means - target
-        return np.einsum("ij,jk,ik->i", off, inverse, off)
-
-    true = int(misses(np.array([g.mean(0) for g in groups.values()]), observed).argmin())
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for boot in frame["id"]:
-                rng = np.random.default_rng([seed, int(boot)])
-                means = np.array([rng.multinomial(len(g), np.full(len(g), 1 / len(g))) @ g / len(g) for g in groups.values()])
-                miss = misses(means, rng.multivariate_normal(observed, covariance))
-                best = int(miss.argmin())
-                rows.append((int(boot), int(names[best]), float(miss[best]), float(miss[true] - miss[best])))
-            yield pd.DataFrame(rows, columns=["boot", "cell", "chi2", "delta"])
 
-    return spark.range(rounds).mapInPandas(run, "boot long, cell long, chi2 double, delta double")
+def bootstrap(reps: DataFrame, observed: tuple[float, float], covariance: tuple[float, float, float], rounds: int, seed: int = 1) -> DataFrame:
+    """Parametric bootstrap of a grid fit: ``boot``, ``cell``, ``chi2``, ``delta``.
 
+    ``reps`` have (cell, rep, a, b): the replicates of each cell of a grid and their two
+    statistics.  A round weighs the replicates of every cell anew, as many draws as
+    it has replicates, and adds noise of the given covariance (var a, cov, var b) to
+    what was observed, by its Cholesky factor.  ``cell`` is the round's best, ``chi2``
+    its miss; ``delta`` is how much worse the cell that fits the true data best does,
+    whose 95 % quantile bounds a profile.  All draws are digests of seed, round, cell
+    and number.  Rows are (round, cell, draw); sums are taken before they meet.
+    """
+    va, cov, vb = covariance
+    det = va * vb - cov * cov
+    counted = scanned(reps.select("cell", "rep", "a", "b", F.lit(1).alias("_one")), ["cell"], ["rep"], sums=["_one"])
+    placed = checkpointed(counted.withColumnRenamed("upto__one", "idx"))
+    size = placed.groupBy("cell").agg(F.max("idx").alias("n"), F.avg("a").alias("ma"), F.avg("b").alias("mb"))
+
+    def miss(a: Column, b: Column, ta: Column | float, tb: Column | float) -> Column:
+        x, y = a - ta, b - tb
+        return (x * x * vb - 2 * x * y * cov + y * y * va) / det
+
+    true = size.orderBy(F.round(miss(F.col("ma"), F.col("mb"), *observed), 9), "cell").select("cell").first()
+    session = reps.sparkSession
+    # Each row draws once a round, for its place among the draws of its cell.
+    draws = placed.select("cell", "idx").join(size.select("cell", "n"), "cell").crossJoin(F.broadcast(session.range(rounds).select(F.col("id").alias("boot"))))
+    weights = draws.select("boot", "cell", (_number(12, seed, F.col("boot"), F.col("cell"), F.col("idx")) % F.col("n") + 1).alias("idx")).groupBy("boot", "cell", "idx").agg(F.count("*").alias("w"))
+    means = weights.join(placed.select("cell", "idx", "a", "b"), ["cell", "idx"]).groupBy("boot", "cell").agg((F.sum(F.col("w") * F.col("a")) / F.sum("w")).alias("a"), (F.sum(F.col("w") * F.col("b")) / F.sum("w")).alias("b"))
+    share = lambda at: (_number(12, seed, F.col("boot"), "noise", at=at) + 0.5) / float(1 << 48)
+    radius, angle = F.sqrt(-2 * F.ln(share(1))), 2 * math.pi * share(13)
+    z1, z2 = radius * F.cos(angle), radius * F.sin(angle)
+    low = cov / math.sqrt(va)
+    ta, tb = observed[0] + math.sqrt(va) * z1, observed[1] + low * z1 + math.sqrt(vb - low * low) * z2
+    each = means.withColumn("chi2", miss(F.col("a"), F.col("b"), ta, tb))
+    best = each.groupBy("boot").agg(F.min(F.struct("chi2", "cell")).alias("one"), F.max(F.when(F.col("cell") == true["cell"], F.col("chi2"))).alias("own"))
+    return best.select("boot", F.col("one.cell").alias("cell"), F.col("one.chi2").alias("chi2"), (F.col("own") - F.col("one.chi2")).alias("delta"))
+
+
+def bilinear(grid: Column, size: int, x: Column, y: Column) -> Column:
+    """A surface at (x, y), from its values at whole places as one array, row by row; outside it the edge holds."""
+    x, y = (F.greatest(F.lit(0.0), F.least(F.lit(size - 1.0), v)) for v in (x, y))
+    i, j = (F.least(F.floor(v), F.lit(size - 2)).cast("int") for v in (x, y))
+    u, v, at = x - i, y - j, i * size + j
+    return (1 - u) * ((1 - v) * grid[at] + v * grid[at + 1]) + u * ((1 - v) * grid[at + size] + v * grid[at + size + 1])
+
+
+def meet(first: Column, second: Column, size: int, targets: tuple[Column, Column], rounds: int = 80) -> Column:
+    """Struct (miss, x, y): where two surfaces come nearest to their targets, in relative squared miss.
+
+    The best of a lattice of quarter steps begins; then the best of 25 places around
+    the best so far, in steps that halve when none of these is better.  All of it is
+    one fold over arrays, so any number of targets is sought at once.
+    """
+    scale = [F.when(t == 0, F.lit(1.0)).otherwise(F.abs(t)) for t in targets]
 
-def surface(grid: np.ndarray, xs: np.ndarray, ys: np.ndarray, x: float, y: float) -> float:
-    """Bilinear interpolation of grid[i, j] at (xs[i], ys[j]); outside it the edge holds."""
-    i, j = np.interp(x, xs, np.arange(len(xs))), np.interp(y, ys, np.arange(len(ys)))
-    a, b = min(int(i), len(xs) - 2), min(int(j), len(ys) - 2)
-    u, v = i - a, j - b
-    return float((1 - u) * ((1 - v) * grid[a, b] + v * grid[a, b + 1]) + u * ((1 - v) * grid[a + 1, b] + v * grid[a + 1, b + 1]))
-
+    def at(x: Column, y: Column) -> Column:
+        x, y = (F.greatest(F.lit(0.0), F.least(F.lit(size - 1.0), v)) for v in (x, y))
+        parts = [(bilinear(g, size, x, y) - t) / s for g, t, s in zip((first, second), targets, scale)]
+        return F.struct((parts[0] * parts[0] + parts[1] * parts[1]).alias("miss"), x.alias("x"), y.alias("y"))
 
-def meet(first: np.ndarray, second: np.ndarray, xs: np.ndarray, ys: np.ndarray, targets: tuple[float, float], rounds: int = 40) -> tuple[float, float, float]:
-    """Where two surfaces come nearest to their targets, in relative squared miss: a search that halves around its best point."""
-    scale = [abs(t) or 1.0 for t in targets]
+    steps = 4 * (size - 1)
+    lattice = F.transform(F.sequence(F.lit(0), F.lit((steps + 1) ** 2 - 1)), lambda k: at(F.floor(k / (steps + 1)) / 4.0, (k % (steps + 1)) / 4.0))
 
-    def miss(x: float, y: float) -> float:
-        return sum(((surface(g, xs, ys, x, y) - t) / s) ** 2 for g, t, s in zip((first, second), targets, scale))
+    def closer(state: Column, _: Column) -> Column:
+        best, step = state["best"], state["step"]
+        around = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(24)), lambda k: at(best["x"] + (F.floor(k / 5) - 2) * step, best["y"] + (k % 5 - 2) * step)))
+        return F.struct(F.least(best, around).alias("best"), F.when(around["miss"] < best["miss"], step).otherwise(step / 2).alias("step"))
 
-    best = min(((miss(x, y), x, y) for x in np.linspace(xs[0], xs[-1], 41) for y in np.linspace(ys[0], ys[-1], 41)), key=lambda p: p[0])
-    dx, dy = (xs[-1] - xs[0]) / 40, (ys[-1] - ys[0]) / 40
-    for _ in range(rounds):
-        around = [(best[1] + a * dx, best[2] + b * dy) for a in (-1, -0.5, 0, 0.5, 1) for b in (-1, -0.5, 0, 0.5, 1)]
-        held = [(float(np.clip(x, xs[0], xs[-1])), float(np.clip(y, ys[0], ys[-1]))) for x, y in around]
-        best = min([best, *[(miss(x, y), x, y) for x, y in held]], key=lambda p: p[0])
-        dx, dy = dx / 1.6, dy / 1.6
-    return best[1], best[2], best[0]
+    begin = F.struct(F.array_min(lattice).alias("best"), F.lit(0.125).alias("step"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), begin, closer, lambda s: s["best"])
 
 
 def abc_adjusted(sims: DataFrame) -> DataFrame:
@@ -120,4 +138,35 @@ def abc_adjusted(sims: DataFrame) -> DataFrame:
     return moved.select("sim", F.round("weight", 6).alias("weight"), F.round("adjusted_theta", 2).alias("theta"))
 
 
-FRAMES = {"abc_adjusted": (abc_adjusted, ["v_sim"])}
+def _fit(part: DataFrame, orders: DataFrame) -> DataFrame:
+    """Cells are sizes, replicates parts, statistics their price and their key modulo 97; observed are the parts that orders of one kind name."""
+    reps = part.select(F.col("p_size").cast("long").alias("cell"), F.col("p_partkey").alias("rep"), F.col("p_retailprice").cast("double").alias("a"), (F.col("p_partkey") % 97).cast("double").alias("b"))
+    seen = reps.join(orders.filter("o_orderstatus = 'F'").select((F.col("o_orderkey")).alias("rep")), "rep", "left_semi").agg(F.avg("a"), F.avg("b")).first()
+    spread = reps.agg(F.var_samp("a"), F.covar_samp("a", "b"), F.var_samp("b")).first()
+    return bootstrap(reps, (seen[0], seen[1]), tuple(float(v) / 100 for v in spread), 100)
+
+
+def bootstrap_fit(part: DataFrame, orders: DataFrame) -> DataFrame:
+    return _fit(part, orders).select("boot", "cell", F.round("chi2", 5).alias("chi2"), F.round("delta", 5).alias("delta"))
+
+
+def bootstrap_bound(part: DataFrame, orders: DataFrame) -> DataFrame:
+    """The 95 % point of a profile's rise, and the share of rounds that its true best cell wins."""
+    found = checkpointed(_fit(part, orders))
+    bound = quantiles(found, ["delta"], [0.95]).select(F.round(F.col("q")[0], 5).alias("bound"))
+    return bound.crossJoin(F.broadcast(found.agg(F.round(F.avg(F.when(F.col("delta") == 0, 1.0).otherwise(0.0)), 6).alias("won"))))
+
+
+def surface_root(part: DataFrame) -> DataFrame:
+    """For each brand, where on the grid of size class and key modulo 5 the mean price and the mean key modulo 97 are its own; empty cells have the mean of all."""
+    cells = part.groupBy(F.floor((F.col("p_size") - 1) / 10).alias("i"), (F.col("p_partkey") % 5).alias("j")).agg(F.avg("p_retailprice").alias("a"), F.avg(F.col("p_partkey") % 97).alias("b"))
+    whole = part.agg(F.avg("p_retailprice").alias("_a"), F.avg(F.col("p_partkey") % 97).alias("_b"))
+    # 25 cells: one row of two arrays.
+    grid = part.sparkSession.range(25).select(F.floor(F.col("id") / 5).alias("i"), (F.col("id") % 5).alias("j"), "id").join(cells, ["i", "j"], "left").crossJoin(F.broadcast(whole))
+    arrays = grid.groupBy().agg(*[F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce(c, f"_{c}").alias("v")))), lambda s: s["v"]).alias(f"grid_{c}") for c in ("a", "b")])
+    targets = part.groupBy(F.col("p_brand").alias("brand")).agg(F.avg("p_retailprice").alias("ta"), F.avg(F.col("p_partkey") % 97).alias("tb"))
+    found = targets.crossJoin(F.broadcast(arrays)).withColumn("at", meet(F.col("grid_a"), F.col("grid_b"), 5, (F.col("ta"), F.col("tb"))))
+    return found.select("brand", F.round("at.x", 3).alias("x"), F.round("at.y", 3).alias("y"), F.round("at.miss", 6).alias("miss"))
+
+
+FRAMES = {"abc_adjusted": (abc_adjusted, ["v_sim"]), "bootstrap_fit": (bootstrap_fit, ["part", "orders"]), "bootstrap_bound": (bootstrap_bound, ["part", "orders"]), "surface_root": (surface_root, ["part"])}

@@ -8,6 +8,14 @@ _P = "(SELECT p_partkey AS site, n_nationkey AS hap, CASE WHEN (p_partkey * 7 +
 _UP = "up AS (SELECT DISTINCT tree, child AS sample, child AS node FROM v_tree WHERE child >= 0 UNION ALL SELECT u.tree, u.sample, t.parent FROM up u JOIN v_tree t ON t.tree = u.tree AND t.child = u.node)"
 _T = "ln({0}) / 0.626e0 + ln(1 - {0}) / 0.374e0 - ln(abs(0.626e0 - {0})) / (0.626e0 * 0.374e0)"
 
+#: Bootstrap rounds of the grid fit: the draws of every round listed, weighed and compared.
+_BOOT = """WITH p AS (SELECT p_size AS cell, p_partkey AS rep, p_retailprice AS a, CAST(p_partkey % 97 AS DOUBLE) AS b, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS idx, count(*) OVER (PARTITION BY p_size) AS n FROM part),
+  v AS (SELECT var_samp(a) / 100 AS va, covar_samp(a, b) / 100 AS c, var_samp(b) / 100 AS vb FROM p), seen AS (SELECT avg(a) AS oa, avg(b) AS ob FROM p WHERE rep IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')),
+  z AS (SELECT boot, oa + sqrt(va) * r * cos(w) AS ta, ob + c / sqrt(va) * r * cos(w) + sqrt(vb - c * c / va) * r * sin(w) AS tb FROM (SELECT boot, sqrt(-2 * ln((CAST('0x' || substr(s, 1, 12) AS BIGINT) + 0.5e0) / 281474976710656.0e0)) AS r, 2 * pi() * (CAST('0x' || substr(s, 13, 12) AS BIGINT) + 0.5e0) / 281474976710656.0e0 AS w FROM (SELECT boot, sha256('1-' || boot || '-noise') AS s FROM (SELECT unnest(range(100)) AS boot))), v, seen),
+  m AS (SELECT d.boot, d.cell, avg(q.a) AS a, avg(q.b) AS b FROM (SELECT boot, cell, CAST('0x' || substr(sha256('1-' || boot || '-' || cell || '-' || idx), 1, 12) AS BIGINT) % n + 1 AS pick FROM p, (SELECT unnest(range(100)) AS boot)) d JOIN p q ON q.cell = d.cell AND q.idx = d.pick GROUP BY d.boot, d.cell),
+  x AS (SELECT m.boot, cell, (power(a - ta, 2) * vb - 2 * (a - ta) * (b - tb) * c + power(b - tb, 2) * va) / (va * vb - c * c) AS chi2 FROM m JOIN z ON z.boot = m.boot, v),
+  best AS (SELECT arg_min(cell, (round(chi2, 9), cell)) AS own FROM (SELECT cell, (power(avg(a) - oa, 2) * vb - 2 * (avg(a) - oa) * (avg(b) - ob) * c + power(avg(b) - ob, 2) * va) / (va * vb - c * c) AS chi2 FROM p, v, seen GROUP BY cell, oa, ob, va, vb, c))
+  SELECT boot, arg_min(cell, (chi2, cell)) AS cell, min(chi2) AS chi2, max(chi2) FILTER (cell = own) - min(chi2) AS delta FROM x, best GROUP BY boot"""
 #: KS by brute force, and its exact p by counting lattice paths along their steps.
 _KS = """WITH RECURSIVE v AS MATERIALIZED (SELECT stat, engine, value FROM v_rep WHERE value IS NOT NULL), g AS MATERIALIZED (SELECT stat, max(abs(fa - fb)) AS ks, max(n) AS n, max(m) AS m FROM (SELECT stat, value, sum(a) OVER w * 1.0e0 / sum(a) OVER t AS fa, sum(b) OVER w * 1.0e0 / sum(b) OVER t AS fb, sum(a) OVER t AS n, sum(b) OVER t AS m FROM (SELECT stat, value, count(*) FILTER (engine = 0) AS a, count(*) FILTER (engine = 1) AS b FROM v GROUP BY stat, value) WINDOW w AS (PARTITION BY stat ORDER BY value), t AS (PARTITION BY stat)) GROUP BY stat),
   h AS MATERIALIZED (SELECT stat, n, m, round(ks * n * m) AS edge FROM g), path AS (SELECT stat, 0 AS step, CAST(0 AS BIGINT) AS i, 1.0e0 AS w FROM h WHERE edge > 0 UNION ALL SELECT stat, step, i, sum(w) FROM (SELECT p.stat, p.step + 1 AS step, p.i + o.d AS i, CASE WHEN o.d = 1 THEN p.i + 1 ELSE p.step - p.i + 1 END * p.w / (p.step + 1.0e0) AS w, n, m, edge FROM path p JOIN h ON h.stat = p.stat, (SELECT unnest([0, 1]) AS d) o WHERE p.step < n + m) WHERE i <= n AND step - i <= m AND abs(i * m - (step - i) * n) < edge GROUP BY stat, step, i)
@@ -45,6 +53,14 @@ ORACLES = {
   SELECT win, round(list_sum(list_transform(f, lambda x: x * x)), 6) AS h1, round(power(f[1] + coalesce(f[2], 0), 2) + list_sum(list_transform(f, lambda x: x * x)) - f[1] * f[1] - coalesce(f[2] * f[2], 0), 6) AS h12, round(list_sum(list_transform(f, lambda x: x * x)) - f[1] * f[1], 6) AS h2, round(1 - f[1] * f[1] / list_sum(list_transform(f, lambda x: x * x)), 6) AS h2_h1 FROM o""",
     "window_null": """WITH w AS (SELECT chrom, unnest(range(0, last + 1)) AS win FROM (SELECT chrom, max(s // 60000) AS last FROM v_gene WHERE chrom <> 0 GROUP BY chrom)), t AS (SELECT term, count(*) AS k FROM v_gene WHERE chrom = 0 AND s BETWEEN 80000 AND 139000 GROUP BY term)
   SELECT t.term, t.k, round(avg(CASE WHEN (SELECT count(*) FROM v_gene g WHERE g.term = t.term AND g.chrom = w.chrom AND g.s // 60000 = w.win) >= t.k THEN 1.0e0 ELSE 0 END), 6) AS p FROM t, w GROUP BY t.term, t.k""",
+    "bootstrap_fit": f"SELECT boot, cell, round(chi2, 5) AS chi2, round(delta, 5) AS delta FROM ({_BOOT})",
+    "bootstrap_bound": f"SELECT round(quantile_cont(delta, 0.95), 5) AS bound, round(avg(CASE WHEN delta = 0 THEN 1.0e0 ELSE 0 END), 6) AS won FROM ({_BOOT})",
+    "surface_root": """WITH RECURSIVE g AS (SELECT i, j, coalesce(avg(p_retailprice), (SELECT avg(p_retailprice) FROM part)) AS a, coalesce(avg(p_partkey % 97), (SELECT avg(p_partkey % 97) FROM part)) AS b FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j) LEFT JOIN part ON (p_size - 1) // 10 = i AND p_partkey % 5 = j GROUP BY i, j),
+  t AS (SELECT p_brand AS brand, avg(p_retailprice) AS ta, avg(p_partkey % 97) AS tb FROM part GROUP BY p_brand), o AS (SELECT x - 2 AS dx, y - 2 AS dy FROM (SELECT unnest(range(5)) AS x), (SELECT unnest(range(5)) AS y)),
+  s AS (SELECT brand, 0 AS r, 0.125e0 AS step, arg_min(x, (miss, x, y)) AS x, arg_min(y, (miss, x, y)) AS y, min(miss) AS miss FROM (SELECT brand, x, y, power((sum(a * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j))) - ta) / abs(ta), 2) + power((sum(b * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j))) - tb) / abs(tb), 2) AS miss FROM t, g, (SELECT unnest(range(17)) / 4.0e0 AS x), (SELECT unnest(range(17)) / 4.0e0 AS y) GROUP BY brand, ta, tb, x, y) GROUP BY brand
+  UNION ALL SELECT brand, r + 1, CASE WHEN min(miss) < had THEN step ELSE step / 2 END, arg_min(x, (miss, x, y)), arg_min(y, (miss, x, y)), min(miss) FROM (SELECT brand, r, step, had, x, y, power((sum(a * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j))) - ta) / abs(ta), 2) + power((sum(b * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j))) - tb) / abs(tb), 2) AS miss
+  FROM (SELECT DISTINCT s.brand, r, step, s.miss AS had, ta, tb, least(4.0e0, greatest(0.0e0, s.x + dx * step)) AS x, least(4.0e0, greatest(0.0e0, s.y + dy * step)) AS y FROM s JOIN t ON t.brand = s.brand, o WHERE r < 80) c, g GROUP BY brand, r, step, had, ta, tb, x, y) GROUP BY brand, r, step, had)
+  SELECT brand, round(x, 3) AS x, round(y, 3) AS y, round(miss, 6) AS miss FROM s WHERE r = 80""",
     "ks_stat": f"SELECT stat, round(ks, 6) AS ks, round(p, 6) AS p FROM ({_KS})",
     "verdict": f"SELECT stat, round(ks, 6) AS ks, round(p, 6) AS p, round(d, 6) AS d, {_SAID} AS verdict FROM ({_KS}) JOIN ({_D}) USING (stat)",
     "equivalence_table": f"""SELECT stat, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, CASE WHEN stat = 'purchase' THEN 'convention_diff' ELSE {_SAID} END AS state FROM ({_KS}) JOIN ({_D}) USING (stat) JOIN (SELECT stat, count(DISTINCT rep) FILTER (engine = 0) AS n_a, count(DISTINCT rep) FILTER (engine = 1) AS n_b, avg(value) FILTER (engine = 0) AS mean_a, avg(value) FILTER (engine = 1) AS mean_b FROM v_rep GROUP BY stat) USING (stat)""",

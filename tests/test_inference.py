@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators import inference
 
@@ -29,19 +30,22 @@ def test_local_linear_against_numpy(spark):
 def test_bootstrap_covers_the_true_cell(spark):
     rng = np.random.default_rng(1)
     cells = pd.DataFrame([(c, r, c + rng.normal(0, 0.3), 2 * c + rng.normal(0, 0.3)) for c in range(5) for r in range(40)], columns=["cell", "rep", "a", "b"])
-    found = inference.bootstrap(spark, cells, np.array([2.0, 4.0]), np.diag([0.04, 0.04]), 100).toPandas()
-    again = inference.bootstrap(spark, cells, np.array([2.0, 4.0]), np.diag([0.04, 0.04]), 100).coalesce(1).toPandas()
+    run = lambda frame: inference.bootstrap(frame, (2.0, 4.0), (0.04, 0.01, 0.04), 100).toPandas().sort_values("boot")
+    found, again = run(spark.createDataFrame(cells)), run(spark.createDataFrame(cells.sample(frac=1, random_state=2)).repartition(3))
     assert (found["cell"] == 2).mean() > 0.9 and (found["delta"] >= 0).all() and len(found) == 100
-    assert found.sort_values("boot").values.tolist() == again.sort_values("boot").values.tolist()
-
-
-def test_surfaces_meet():
-    xs, ys = np.linspace(0, 10, 11), np.linspace(0, 5, 6)
-    first, second = np.add.outer(xs, ys), np.subtract.outer(2 * xs, ys)
-    assert inference.surface(first, xs, ys, 3.5, 1.25) == pytest.approx(4.75)
-    assert inference.surface(first, xs, ys, 99, -4) == pytest.approx(10)
-    x, y, miss = inference.meet(first, second, xs, ys, (7.3, 6.2))
-    assert (x, y) == pytest.approx((4.5, 2.8), abs=1e-3) and miss < 1e-6
+    assert found["cell"].tolist() == again["cell"].tolist() and found["delta"].to_numpy() == pytest.approx(again["delta"].to_numpy(), abs=1e-9)
+    # Noise is that of the covariance: misses of the true cell are about chi-squared with two degrees, and the means' own spread.
+    assert 1.2 < (found["chi2"] + found["delta"]).mean() < 3.5
+
+
+def test_surfaces_meet(spark):
+    first, second = np.add.outer(np.arange(6.0), np.arange(6.0)), np.subtract.outer(2 * np.arange(6.0), np.arange(6.0))
+    row = spark.createDataFrame([(first.ravel().tolist(), second.ravel().tolist(), 3.65, 3.1), (first.ravel().tolist(), second.ravel().tolist(), 99.0, 0.0)], "a array<double>, b array<double>, s double, t double")
+    at = inference.bilinear(row["a"], 6, F.lit(3.5), F.lit(1.25)), inference.bilinear(row["a"], 6, F.lit(99.0), F.lit(-4.0))
+    assert tuple(row.select(*at).first()) == pytest.approx((4.75, 5.0))
+    found = row.select(inference.meet(row["a"], row["b"], 6, (row["s"], row["t"])).alias("m")).collect()
+    assert (found[0].m.x, found[0].m.y) == pytest.approx((2.25, 1.4), abs=1e-4) and found[0].m.miss < 1e-9
+    assert all(0 <= v <= 5 for v in (found[1].m.x, found[1].m.y))
 
 
 def test_draws_stay_in_the_prior(spark):

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandlake.llm.exchange import fresh
+from strandlake.llm.kernels import portions
 
 #: Lines per block, and the block length in characters at which text surges outside a marked article.
 BLOCK, SURGE = 3, 86
@@ -24,16 +25,19 @@ OUTSIDE = frozenset("head title nav footer aside form button menu dialog label i
 HINTS = frozenset(
     "nav navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar sidebars rail footer foot header masthead topbar banner banners ad ads advert adverts advertisement advertising "
     "adslot sponsor sponsored promo promos promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations comment comments commentlist disqus reply replies respond widget widgets pagination pager toolbar search form copyright contentinfo complementary".split()
+    "share sharing social related recommended recommendations comment comments commentlist commenting disqus discussion discussions reply replies respond response responses thread threads feedback imprint impressum widget widgets pagination pager toolbar search form copyright contentinfo complementary".split()
 )
 
 #: Words that say nothing beside a hint, as in "sidebar-box-left"; any other word makes a name a subject, as in "social-history".
 NEUTRAL = frozenset(
     "area articles bar block bottom box button buttons col column container content count desktop email entries entry fixed global group holder icon icons inline inner item items js large left link links list "
+    "community reader readers user users visitor visitors your "
     "mail main mobile module outer page panel post posts primary region right row secondary section site slot small sticky stories story text title top unit wrap wrapper zone".split()
 )
 #: A header of one of these is the article's own.
 HEADED = frozenset("article post entry story content".split())
+#: Further words of a name that marks an article on a page without article or main elements, as in "story-body".
+BODY = frozenset("body text main full page single".split())
 
 
 def _clutter(name: str) -> bool:
@@ -45,6 +49,17 @@ def _clutter(name: str) -> bool:
     return bool(hints) and all(w in HINTS or w in NEUTRAL or w in HEADED or w.isdigit() for w in words)
 
 
+def _article(attributes: str) -> bool:
+    """Whether a class or an id names an article, as "story" or "post-content"."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for name in (m[2] or "").strip("\"'").split():
+                words = {x.lower() for x in _NAME.findall(name)}
+                if words & HEADED and words <= HEADED | BODY:
+                    return True
+    return False
+
+
 def _outside(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in OUTSIDE or tag == "header" and not inside_article:
         return True
@@ -63,10 +78,11 @@ def _outside(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
+def lines_of(page: str, named: bool = False) -> list[tuple[str, int, int, bool, int]]:
     """(text, characters outside links, empty lines before, is a heading, number of the outermost article around it or 0).
 
-    One for each block with text that is not outside, in order.  A block tag begins
+    With ``named`` elements whose class or id names an article count as one.  A row
+    for each block with text that is not outside, in order.  A block tag begins
     a line, so two paragraphs have one empty line between them, and blocks of
     different containers have more.  What is outside leaves no trace.
     """
@@ -85,9 +101,9 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
     def close(to: int) -> None:
         nonlocal outside, article, links, headings
         while len(stack) > to:
-            tag, was_outside = stack.pop()
+            tag, was_outside, was_article = stack.pop()
             outside -= was_outside
-            article -= tag in ("article", "main")
+            article -= was_article
             headings -= tag in HEADINGS
             links -= tag == "a"
 
@@ -117,11 +133,12 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool, int]]:
             if tag == "p" and stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
             hint = _outside(tag, m[4], article > 0)
-            stack.append((tag, hint))
+            marks = tag in ("article", "main") or named and tag in BLOCKS and tag not in ("html", "body") and bool(m[4]) and _article(m[4])
+            stack.append((tag, hint, marks))
             outside += hint
             gap += tag in BLOCKS and not outside
             headings += tag in HEADINGS
-            if tag in ("article", "main"):
+            if marks:
                 articles += article == 0
                 article += 1
             links += tag == "a"
@@ -141,11 +158,14 @@ def main_text(page: str | None) -> str:
     threshold, and dives where another container begins and the block length is
     under it.  Every surge is kept, with the headings that lead to it.  An article in
     which text surges is kept whole, and marked articles without a surge, such as
-    teasers of others, are not.  On a page that marks none, any line with weight
-    between the first and the last surge is kept, and lines before and after, such
-    as unnamed menus and notices, are not.
+    teasers of others, are not.  Where no element is an article, those that are named
+    one count.  On a page without either, any line with weight between the first and
+    the last surge is kept, with single lines of links between two such, and lines
+    before and after, such as unnamed menus and notices, are not.
     """
     blocks = lines_of(page or "")
+    if not any(number for *_, number in blocks):
+        blocks = lines_of(page or "", named=True)
     marked = any(number for *_, number in blocks)
     lines = [x for x in blocks if x[4] or not marked]
     if not lines:
@@ -176,6 +196,8 @@ def main_text(page: str | None) -> str:
         return "\n".join(x[0] for x in lines if x[4] in chosen or not found)
     last = found[-1][1] if found else 0
     keep = {k for a, b in found for k in range(a, b) if lines[k][1] or lines[k][3]} | {k for k in range(found[0][0] if found else 0, last) if lines[k][1]}
+    # A block that is wholly a link belongs to the run it stands in; several in a row are a menu.
+    keep |= {k for k in range(1, len(lines) - 1) if k - 1 in keep and k + 1 in keep}
     return "\n".join(lines[k][0] for k in sorted(keep))
 
 
@@ -192,9 +214,10 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", out: str = "text
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            texts = pa.array([main_text(p) for p in batch.column(html_col).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, texts], arrow)], schema=arrow)
+        for record in batches:
+            for batch in portions(record, html_col):
+                texts = pa.array([main_text(p) for p in batch.column(html_col).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, texts], arrow)], schema=arrow)
 
     return pages.mapInArrow(run, schema)
 

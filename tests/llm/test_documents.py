@@ -346,3 +346,27 @@ def test_one_of_each_class_with_repeated_ids(spark):
         assert sorted([(i, t) for i, t in got if i not in (3, 7)], key=str) == sorted(want, key=str)
         least = min([text(2), text(2) + " "], key=lambda t: digest(t.encode()))
         assert [t for i, t in got if i == 3] == [least] and [t for i, t in got if i == 7] == [None]
+
+
+def test_bm25_whatever_the_partitions(spark):
+    """Copies tie, ties go to the smaller id, and rows are the same for any number of partitions."""
+    from strandlake.llm.bm25 import op7_bm25
+
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(120).collect()
+    rows = [(r.doc_id, r.text) for r in some] + [(1000 + 7 * k, some[k % 5].text) for k in range(60)]
+    frame, seen, before = spark.createDataFrame(rows, "doc_id long, text string"), [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "3", "8"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append(sorted(tuple(r) for r in op7_bm25(frame).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+    texts, by = dict(rows), collections.defaultdict(list)
+    for query, doc, rank, score in seen[0]:
+        by[query].append((rank, doc, score))
+    for found in by.values():
+        found.sort()
+        for (_, a, x), (_, b, y) in zip(found, found[1:]):
+            assert x > y or x == y and a < b
+            assert x == y or texts[a] != texts[b]

@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 
 PAGE = "<html><head><title>t</title><style>p{}</style></head><body><nav><a href='/'>Home</a></nav><article><h1>A &amp; B</h1><p>First\n  one.<p>x</article><div class='comments'><p>me too</p></div><footer>f</footer>"
 
@@ -102,3 +103,32 @@ def test_query_against_plain_reading(spark):
     assert len(got) == len(pages)
     for r in got:
         assert r.text == plain(pages[r.page_id]) and r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class=story><h1>T</h1><p>Short one.</p></div><div class=imprint>Imprint of the firm in the town</div>", "T\nShort one."),
+        ("<div id='main-content'><p>Alpha beta gamma.</p><a href=x>Delta</a></div><div class=box>" + "Other words here. " * 20 + "</div><div class='teaser-list'><p>No</p></div>", None),
+        ("<p>" + "One two three. " * 12 + "</p><p><a href=x>A paragraph that is wholly a link.</a></p><p>" + "Four five six. " * 12 + "</p>", "One two three. " * 12 + "\nA paragraph that is wholly a link.\n" + "Four five six. " * 12),
+        ("<p>" + "One two three. " * 12 + "</p><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><p>" + "Four five six. " * 12 + "</p>", "One two three. " * 12 + "\n" + "Four five six. " * 12),
+    ],
+)
+def test_pages_without_article_elements(page, want):
+    from strandlake.llm.html_extract import main_text
+
+    got = main_text(page)
+    if want is None:
+        assert "Alpha beta gamma." in got
+    else:
+        assert got == "\n".join(x.strip() for x in want.split("\n"))
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comments", "comment-thread", "discussion", "responses", "comments", "readerComments"])
+@pytest.mark.parametrize("inside", [True, False])
+def test_reader_comments_go(name, inside):
+    from strandlake.llm.html_extract import main_text
+
+    text, comments = "<p>" + "The story goes on. " * 10 + "</p>", f"<div class='{name}'><p>{'I think so too. ' * 10}</p></div>"
+    page = f"<article>{text}{comments}</article>" if inside else f"<article>{text}</article>{comments}"
+    assert main_text(page) == ("The story goes on. " * 10).strip()

@@ -26,8 +26,6 @@ VIEWS = {
     "v_annot": """SELECT v.chrom, v.pos, v.dp, v.num, v.den, v.body, p.p_brand AS tx, CASE p.p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 4 ELSE p.p_size % 4 END AS degen
   FROM v_hudson v CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 1) o JOIN part p ON p.p_partkey = v.chrom * 200 + (v.idx + o.d) % 200""",
     "v_mask": "SELECT o_orderkey * 37 % 200000 AS s, o_orderkey * 37 % 200000 + 50 + o_custkey % 400 AS e FROM orders",
-    "v_merged": """SELECT min(s) AS s, max(e) AS e FROM (SELECT s, e, sum(new) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
-  SELECT s, e, CASE WHEN s <= max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM v_mask)) GROUP BY island""",
     "v_gene_bin": "SELECT chrom, s, e, gene, term, family, i AS bin FROM (SEQ(lo;hi), chrom, s, e, gene, term, family FROM (SELECT g.*, CAST(floor(s / 4000) AS BIGINT) AS lo, CAST(floor(e / 4000) AS BIGINT) AS hi FROM v_gene g))",
     "v_flux_bin": "SELECT event_id, lineage, inv, tl, tr, i AS bin FROM (SEQ(lo;hi), event_id, lineage, inv, tl, tr FROM (SELECT f.*, CAST(floor(tl / 400) AS BIGINT) AS lo, CAST(floor(tr / 400) AS BIGINT) AS hi FROM v_flux f))",
     "v_edge_point": """SELECT chrom, pos, edge, probe, CAST(floor(pos / 20000) AS BIGINT) AS bin FROM (SELECT chrom, s AS pos, s AS edge, 0 AS probe FROM v_gene UNION ALL SELECT chrom, e, e, 0 FROM v_gene UNION ALL SELECT chrom, pos, NULL, 1 FROM v_pair)""",
@@ -45,7 +43,6 @@ VIEWS = {
     "v_cut": """SELECT i AS w, s, e, m FROM (SEQ(lo;hi), s, e, m FROM (SELECT s, e, m, CAST(floor(s / 5000) AS BIGINT) AS lo, CAST(floor((e - 1) / 5000) AS BIGINT) AS hi FROM (SELECT s, e, 0 AS m FROM v_mask UNION ALL SELECT s, e, 1 FROM v_mask2)))""",
     "v_cover": """SELECT w, x, lead(x) OVER (PARTITION BY w ORDER BY x) AS y, sum(a) OVER (PARTITION BY w ORDER BY x ROWS UNBOUNDED PRECEDING) AS a, sum(b) OVER (PARTITION BY w ORDER BY x ROWS UNBOUNDED PRECEDING) AS b FROM v_edges""",
     "v_out": "SELECT chrom, idx, avg(1.0e0 * allele) AS q FROM v_call WHERE hap % 5 = 0 GROUP BY chrom, idx",
-    "v_inv": "SELECT 0 AS inv, 1000 AS l, 3000 AS r, 0.7e0 AS p_s, 0.3e0 AS p_i UNION ALL SELECT 1, 2000, 4200, 0.6e0, 0.4e0",
     "v_size": "SELECT 0.0e0 AS t0, 10000.0e0 AS n0, 0.001e0 AS alpha UNION ALL SELECT 600.0e0, 4000.0e0, 0.0e0 UNION ALL SELECT 1000.0e0, 20000.0e0, 0.0005e0",
     "v_surface": "SELECT CAST(floor((p_size - 1) / 10) AS BIGINT) AS ti, p_partkey % 5 AS pi, avg(p_retailprice) AS m FROM part GROUP BY CAST(floor((p_size - 1) / 10) AS BIGINT), p_partkey % 5",
     "v_popedge": "SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 4 <> 3",
@@ -72,7 +69,6 @@ VIEWS = {
     "v_dist": "SELECT sim, theta, psi, s1, sqrt(coalesce(z1 * z1, 0) + coalesce(z2 * z2, 0) + coalesce(z3 * z3, 0)) AS dist FROM v_scaled",
     "v_kept": "SELECT * FROM (SELECT v.*, row_number() OVER (ORDER BY round(dist, 9), sim) AS rn, count(*) OVER () AS n FROM v_dist v) WHERE rn <= greatest(20, round(0.01e0 * n, 0))",
     "v_grid": "SELECT p_partkey AS cell, p_size AS t_inv, p_brand AS model, p_retailprice AS score FROM part",
-    "v_lf": "SELECT 0 AS n, 0.0e0 AS lf UNION ALL SELECT i, sum(ln(i)) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) FROM (SEQ(1;4000))",
     "v_block": "SELECT CAST(chrom * 10 + floor(idx / 20) AS BIGINT) AS block, sum(num) AS num, sum(den) AS den FROM v_hudson GROUP BY CAST(chrom * 10 + floor(idx / 20) AS BIGINT)",
     "v_step": "SELECT i * 50.0e0 AS t, 1.0e0 / (2 + i) AS p FROM (SEQ(0;40))",
     "v_probe": "SELECT i AS probe, i * 17.0e0 AS t FROM (SEQ(0;100))",

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandlake.functions.ordered import checkpointed, running
+from strandlake.functions.ordered import running
 
 
 def bh_fdr(grid: DataFrame) -> DataFrame:
     """Benjamini-Hochberg: p n / rank, its running minimum from the largest p down, at most 1."""
     n = grid.count()
     ranked = running(grid.select(F.col("cell").alias("id"), (F.col("score") / 100000).alias("p")), [F.col("p"), F.col("id")])
-    raw = checkpointed(ranked.withColumn("raw", F.col("p") * n / F.col("rank")).withColumn("part", F.floor(F.col("rank") / 65536)))
+    raw = ranked.withColumn("raw", F.col("p") * n / F.col("rank")).withColumn("part", F.floor(F.col("rank") / 65536))
     later = raw.groupBy("part").agg(F.min("raw").alias("least"))
     # A row for each 65,536 of the table.
     beyond = later.select("part", F.min("least").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)).alias("beyond"))

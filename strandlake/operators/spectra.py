@@ -5,9 +5,8 @@ QUERIES = {
     "sfs_folded": "SELECT i AS k, coalesce(c, 0) AS n FROM (SEQ(0;12)) LEFT JOIN (SELECT least(k, n - k) AS m, count(*) AS c FROM v_hsite GROUP BY least(k, n - k)) s ON s.m = i",
     "sfs_bincount": "SELECT grp, ac, count(*) AS n FROM v_site WHERE an >= 2 GROUP BY grp, ac",
     "hist_weighted": """SELECT b.i AS bin, coalesce(n, 0) AS n, coalesce(w, 0.0e0) AS w FROM (SEQ(0;11)) b LEFT JOIN (SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS bin, count(*) AS n, round(sum(l_discount), 4) AS w FROM lineitem GROUP BY CAST(floor(l_quantity / 5) AS BIGINT)) h ON h.bin = b.i""",
-    "sfs_project": """SELECT m.i AS k, round(sum(s.c * exp(a.lf - b.lf - d.lf + e.lf - f.lf - g.lf - (h.lf - o.lf - p.lf))), 6) AS n FROM (SELECT k, count(*) AS c FROM v_hsite GROUP BY k) s JOIN (SEQ(0;10)) m ON m.i <= s.k AND 10 - m.i <= 25 - s.k
-  JOIN v_lf a ON a.n = s.k JOIN v_lf b ON b.n = m.i JOIN v_lf d ON d.n = s.k - m.i JOIN v_lf e ON e.n = 25 - s.k JOIN v_lf f ON f.n = 10 - m.i JOIN v_lf g ON g.n = 25 - s.k - 10 + m.i
-  JOIN v_lf h ON h.n = 25 JOIN v_lf o ON o.n = 10 JOIN v_lf p ON p.n = 15 GROUP BY m.i""",
+    "sfs_project": """SELECT m.i AS k, round(sum(s.c * exp(LNFACT(s.k) - LNFACT(m.i) - LNFACT(s.k - m.i) + LNFACT(s.n - s.k) - LNFACT(10 - m.i) - LNFACT(s.n - s.k - 10 + m.i) - LNFACT(s.n) + LNFACT(10) + LNFACT(s.n - 10))), 6) AS n
+  FROM (SELECT k, n, count(*) AS c FROM v_hsite WHERE n >= 10 GROUP BY k, n) s JOIN (SEQ(0;10)) m ON m.i <= s.k AND 10 - m.i <= s.n - s.k GROUP BY m.i""",
     "sfs_l1": "SELECT round(sum(abs(a - b)), 6) AS l1 FROM (SELECT k, sum(CASE WHEN g = 0 THEN c ELSE 0 END) * 1.0e0 / sum(sum(CASE WHEN g = 0 THEN c ELSE 0 END)) OVER () AS a, sum(CASE WHEN g = 1 THEN c ELSE 0 END) * 1.0e0 / sum(sum(CASE WHEN g = 1 THEN c ELSE 0 END)) OVER () AS b FROM (SELECT k_a AS k, 0 AS g, count(*) AS c FROM v_hsite GROUP BY k_a UNION ALL SELECT k_b, 1, count(*) FROM v_hsite GROUP BY k_b) GROUP BY k)",
     "f1_ratio": """SELECT round(max(ra), 6) AS f1_a, round(max(rb), 6) AS f1_b, round(max(ra / NULLIF(rb, 0)), 6) AS ratio, count(*) AS blocks, round(sqrt((count(*) - 1) * var_pop(la)), 6) AS se_a, round(sqrt((count(*) - 1) * var_pop(lb)), 6) AS se_b,
   round(max(ra / NULLIF(rb, 0)) * sqrt((count(*) - 1) * var_pop(la) / NULLIF(power(max(ra), 2), 0) + (count(*) - 1) * var_pop(lb) / NULLIF(power(max(rb), 2), 0)), 6) AS se_ratio FROM (SELECT sa / NULLIF(na, 0) AS ra, sb / NULLIF(nb, 0) AS rb, (sa - s_a) / NULLIF(na - n_a, 0) AS la, (sb - s_b) / NULLIF(nb - n_b, 0) AS lb FROM v_f1 CROSS JOIN (SELECT sum(s_a) AS sa, sum(n_a) AS na, sum(s_b) AS sb, sum(n_b) AS nb FROM v_f1))""",

@@ -8,6 +8,9 @@ _P = "(SELECT p_partkey AS site, n_nationkey AS hap, CASE WHEN (p_partkey * 7 +
 _UP = "up AS (SELECT DISTINCT tree, child AS sample, child AS node FROM v_tree WHERE child >= 0 UNION ALL SELECT u.tree, u.sample, t.parent FROM up u JOIN v_tree t ON t.tree = u.tree AND t.child = u.node)"
 _T = "ln({0}) / 0.626e0 + ln(1 - {0}) / 0.374e0 - ln(abs(0.626e0 - {0})) / (0.626e0 * 0.374e0)"
 
+#: Sites with Hudson's numerator and denominator, from the lines themselves.
+_SITES = """SELECT chrom, idx, power(p - q, 2) - p * (1 - p) / (n - 1) - q * (1 - q) / (m - 1) AS num, p * (1 - q) + q * (1 - p) AS den FROM (SELECT l_partkey // 200 AS chrom, l_partkey % 200 AS idx, avg(g) FILTER (s = 0) AS p, avg(g) FILTER (s = 1) AS q, count(*) FILTER (s = 0) AS n, count(*) FILTER (s = 1) AS m FROM (
+  SELECT l_partkey, l_suppkey % 2 AS s, CASE WHEN l_quantity > CASE WHEN l_partkey % 200 NOT BETWEEN 80 AND 139 THEN 25 WHEN l_suppkey % 2 = 0 THEN 35 ELSE 15 END THEN 1 ELSE 0 END AS g FROM lineitem) GROUP BY 1, 2) WHERE n >= 2 AND m >= 2"""
 #: Bootstrap rounds of the grid fit: the draws of every round listed, weighed and compared.
 _BOOT = """WITH p AS (SELECT p_size AS cell, p_partkey AS rep, p_retailprice AS a, CAST(p_partkey % 97 AS DOUBLE) AS b, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS idx, count(*) OVER (PARTITION BY p_size) AS n FROM part),
   v AS (SELECT var_samp(a) / 100 AS va, covar_samp(a, b) / 100 AS c, var_samp(b) / 100 AS vb FROM p), seen AS (SELECT avg(a) AS oa, avg(b) AS ob FROM p WHERE rep IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')),
@@ -61,6 +64,13 @@ ORACLES = {
   UNION ALL SELECT brand, r + 1, CASE WHEN min(miss) < had THEN step ELSE step / 2 END, arg_min(x, (miss, x, y)), arg_min(y, (miss, x, y)), min(miss) FROM (SELECT brand, r, step, had, x, y, power((sum(a * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j))) - ta) / abs(ta), 2) + power((sum(b * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j))) - tb) / abs(tb), 2) AS miss
   FROM (SELECT DISTINCT s.brand, r, step, s.miss AS had, ta, tb, least(4.0e0, greatest(0.0e0, s.x + dx * step)) AS x, least(4.0e0, greatest(0.0e0, s.y + dy * step)) AS y FROM s JOIN t ON t.brand = s.brand, o WHERE r < 80) c, g GROUP BY brand, r, step, had, ta, tb, x, y) GROUP BY brand, r, step, had)
   SELECT brand, round(x, 3) AS x, round(y, 3) AS y, round(miss, 6) AS miss FROM s WHERE r = 80""",
+    "window_ratio_fst": f"SELECT chrom, idx // 20 AS win, count(*) AS n_sites, round(sum(num) / sum(den), 6) AS fst FROM ({_SITES}) GROUP BY 1, 2 HAVING count(*) >= 10 AND sum(den) > 0",
+    "block_jackknife_multi": f"""WITH b AS (SELECT CASE WHEN idx BETWEEN 80 AND 139 THEN 1 ELSE 0 END AS body, idx // 10 AS b, sum(num) AS num, sum(den) AS den FROM ({_SITES}) GROUP BY 1, 2), o AS (SELECT x.body, x.b, sum(y.num) / sum(y.den) AS loo FROM b x JOIN b y ON y.body = x.body AND y.b <> x.b GROUP BY x.body, x.b)
+  SELECT body, round(theta, 6) AS theta, round(sqrt((n - 1.0e0) / n * dev), 6) AS se FROM (SELECT body, sum(num) / sum(den) AS theta FROM b GROUP BY body) JOIN (SELECT body, count(*) AS n, sum(power(loo, 2)) - power(sum(loo), 2) / count(*) AS dev FROM o GROUP BY body) USING (body)""",
+    "wls_slope": "SELECT round(regr_slope(p_retailprice, p_size), 6) AS slope FROM part",
+    "moment_test": "SELECT stat, round(z, 6) AS z, CAST(abs(z) <= 3 AS INTEGER) AS ok, CAST(abs(z) <= 2.5758293035489004e0 AS INTEGER) AS ok_family FROM (SELECT a.event_type AS stat, (a.m - b.m) / sqrt(a.e + b.e) AS z FROM (SELECT event_type, avg(value) AS m, var_samp(value) / count(*) AS e FROM events WHERE event_id % 2 = 0 GROUP BY 1) a JOIN (SELECT event_type, avg(value) AS m, var_samp(value) / count(*) AS e FROM events WHERE event_id % 2 = 1 GROUP BY 1) b USING (event_type))",
+    "tajima_d_windows": f"""WITH h AS {_P}, c AS (SELECT list_sum(list_transform(range(1, 25), lambda i: 1.0e0 / i)) AS a1, list_sum(list_transform(range(1, 25), lambda i: 1.0e0 / (i * i))) AS a2), p AS (SELECT x.site // 20 AS win, sum(CASE WHEN x.g <> y.g THEN 1.0e0 ELSE 0 END) / (25 * 24 / 2) AS pi FROM h x JOIN h y ON x.site = y.site AND x.hap < y.hap GROUP BY 1), s AS (SELECT site // 20 AS win, count(*) FILTER (k BETWEEN 1 AND 24) AS s FROM (SELECT site, sum(g) AS k FROM h GROUP BY site) GROUP BY 1)
+  SELECT win, s, round(CASE WHEN s > 0 THEN (pi - s / a1) / sqrt(s * (26.0e0 / 72 - 1 / a1) / a1 + s * (s - 1.0e0) * (2 * 653.0e0 / 5400 - 27 / (a1 * 25) + a2 / (a1 * a1)) / (a1 * a1 + a2)) END, 6) AS d FROM s JOIN p USING (win), c""",
     "ks_stat": f"SELECT stat, round(ks, 6) AS ks, round(p, 6) AS p FROM ({_KS})",
     "verdict": f"SELECT stat, round(ks, 6) AS ks, round(p, 6) AS p, round(d, 6) AS d, {_SAID} AS verdict FROM ({_KS}) JOIN ({_D}) USING (stat)",
     "equivalence_table": f"""SELECT stat, n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, CASE WHEN stat = 'purchase' THEN 'convention_diff' ELSE {_SAID} END AS state FROM ({_KS}) JOIN ({_D}) USING (stat) JOIN (SELECT stat, count(DISTINCT rep) FILTER (engine = 0) AS n_a, count(DISTINCT rep) FILTER (engine = 1) AS n_b, avg(value) FILTER (engine = 0) AS mean_a, avg(value) FILTER (engine = 1) AS mean_b FROM v_rep GROUP BY stat) USING (stat)""",

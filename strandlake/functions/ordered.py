@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 FEW = 1 << 14
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder that the cluster shares."""
+def shared_folder(df: DataFrame) -> str:
+    """The session's checkpoint folder, which all executors share; a temporary one in local mode where none is set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -29,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the folder that the cluster shares."""
+    shared_folder(df)
     return df.checkpoint(eager=True)
 
 

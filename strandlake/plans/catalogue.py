@@ -10,9 +10,10 @@ from strandlake.functions.dialect import render
 from strandlake.functions.fixtures import VIEWS
 from strandlake.operators import fitting, forest, inference, intervals, nearest, ordered, resample, selection, simulate, sites, spectra, testing, theory, trees
 from strandlake.plans.oracles import ORACLES
+from strandlake.sources import roundtrip
 
 #: Query -> (function, tables or views that it takes).
-FRAMES = ordered.FRAMES | selection.FRAMES | nearest.FRAMES | testing.FRAMES | forest.FRAMES | theory.FRAMES | inference.FRAMES
+FRAMES = ordered.FRAMES | selection.FRAMES | nearest.FRAMES | testing.FRAMES | roundtrip.FRAMES | forest.FRAMES | theory.FRAMES | inference.FRAMES
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
 QUERIES = {k: v for module in (sites, spectra, intervals, resample, trees, theory, fitting, inference) for k, v in module.QUERIES.items()}
 

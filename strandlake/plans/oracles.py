@@ -64,6 +64,12 @@ ORACLES = {
   UNION ALL SELECT brand, r + 1, CASE WHEN min(miss) < had THEN step ELSE step / 2 END, arg_min(x, (miss, x, y)), arg_min(y, (miss, x, y)), min(miss) FROM (SELECT brand, r, step, had, x, y, power((sum(a * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j))) - ta) / abs(ta), 2) + power((sum(b * greatest(0, 1 - abs(x - i)) * greatest(0, 1 - abs(y - j))) - tb) / abs(tb), 2) AS miss
   FROM (SELECT DISTINCT s.brand, r, step, s.miss AS had, ta, tb, least(4.0e0, greatest(0.0e0, s.x + dx * step)) AS x, least(4.0e0, greatest(0.0e0, s.y + dy * step)) AS y FROM s JOIN t ON t.brand = s.brand, o WHERE r < 80) c, g GROUP BY brand, r, step, had, ta, tb, x, y) GROUP BY brand, r, step, had)
   SELECT brand, round(x, 3) AS x, round(y, 3) AS y, round(miss, 6) AS miss FROM s WHERE r = 80""",
+    "roundtrip_tsv": "SELECT chrom, pos, grp, ac, an FROM v_site WHERE pos >= 40000 AND pos < 160000",
+    "roundtrip_tsv_parts": "SELECT sim, CASE WHEN sim % 5 > 0 THEN status END AS status, round(theta, 2) AS theta FROM v_sim",
+    "roundtrip_csv": "SELECT CAST(chrom AS VARCHAR) AS c, term, count(*) AS n, sum(e - s) AS bp FROM v_gene GROUP BY chrom, term",
+    "roundtrip_json_lines": "SELECT engine, stat, count(DISTINCT rep) AS n_reps, round(avg(value), 6) AS mean FROM v_rep r GROUP BY engine, stat HAVING count(DISTINCT rep) = (SELECT count(DISTINCT rep) FROM v_rep o WHERE o.engine = r.engine)",
+    "roundtrip_spectrum": "SELECT i AS k, CAST((SELECT count(*) FROM v_hsite h WHERE h.k = i) AS DOUBLE) AS n FROM (SEQ(0;25))",
+    "roundtrip_vcf": "SELECT site AS pos, pop, sum(allele) AS ac, count(*) AS an FROM v_hap WHERE (site + hap) % 7 <> 0 GROUP BY site, pop",
     "window_ratio_fst": f"SELECT chrom, idx // 20 AS win, count(*) AS n_sites, round(sum(num) / sum(den), 6) AS fst FROM ({_SITES}) GROUP BY 1, 2 HAVING count(*) >= 10 AND sum(den) > 0",
     "block_jackknife_multi": f"""WITH b AS (SELECT CASE WHEN idx BETWEEN 80 AND 139 THEN 1 ELSE 0 END AS body, idx // 10 AS b, sum(num) AS num, sum(den) AS den FROM ({_SITES}) GROUP BY 1, 2), o AS (SELECT x.body, x.b, sum(y.num) / sum(y.den) AS loo FROM b x JOIN b y ON y.body = x.body AND y.b <> x.b GROUP BY x.body, x.b)
   SELECT body, round(theta, 6) AS theta, round(sqrt((n - 1.0e0) / n * dev), 6) AS se FROM (SELECT body, sum(num) / sum(den) AS theta FROM b GROUP BY body) JOIN (SELECT body, count(*) AS n, sum(power(loo, 2)) - power(sum(loo), 2) / count(*) AS dev FROM o GROUP BY body) USING (body)""",

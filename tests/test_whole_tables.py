@@ -63,7 +63,7 @@ def test_fisher_exact_of_large_groups(spark, tmp_path):
     for tx, (a, b, c, d) in cells.items():
         ways = [math.comb(a + b, i) * math.comb(c + d, a + c - i) for i in range(max(0, a - d), min(a + b, a + c) + 1)]
         seen = math.comb(a + b, a) * math.comb(c + d, c)
-        want[tx] = (a, b, c, d, sum(w for w in ways if w <= seen) / sum(ways))
+        want[tx] = (a, b, c, d, sum(w for w in ways if w <= seen) / sum(ways), round(a * d / (b * c), 6) if b * c else math.inf if a * d else None)
     got = {r[0]: r[1:] for r in answer(spark, "fisher_exact", tmp_path)}
     assert got.keys() == want.keys()
     for tx in want:

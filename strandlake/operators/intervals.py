@@ -20,7 +20,7 @@ QUERIES = {
     "node_remap": "SELECT f.event_id, m.new_id FROM v_flux f JOIN (SELECT lineage, dense_rank() OVER (ORDER BY lineage) - 1 AS new_id FROM (SELECT DISTINCT lineage FROM v_flux)) m ON f.lineage = m.lineage",
     "survival_curve": "SELECT d, round(above * 1.0e0 / total, 6) AS s FROM (SELECT tr - tl AS d, sum(count(*)) OVER (ORDER BY tr - tl DESC ROWS UNBOUNDED PRECEDING) AS above, sum(count(*)) OVER () AS total FROM v_flux GROUP BY tr - tl)",
     "interval_coverage": """SELECT chrom, sum(e - s) AS total, sum(greatest(0, least(e, 130000) - greatest(s, 70000))) AS shared, sum(e - s - greatest(0, least(e, 130000) - greatest(s, 70000))) AS remaining FROM v_gene GROUP BY chrom""",
-    "sites_outside_genes": """SELECT chrom, pos FROM v_pair v WHERE NOT EXISTS (SELECT 1 FROM v_gene_bin g WHERE g.chrom = v.chrom AND g.bin = CAST(floor(v.pos / 4000) AS BIGINT) AND v.pos > g.s AND v.pos <= g.e)""",
+    "sites_outside_genes": """SELECT v.chrom, v.pos, t.term FROM v_pair v CROSS JOIN (SELECT DISTINCT term FROM v_gene) t WHERE NOT EXISTS (SELECT 1 FROM v_gene_bin g WHERE g.term = t.term AND g.chrom = v.chrom AND g.bin = CAST(floor(v.pos / 4000) AS BIGINT) AND v.pos > g.s AND v.pos <= g.e)""",
     "escape_exposure": """SELECT event_id, round(sum(greatest(0, least(b, hi) - greatest(a, lo)) * 500.0e0 * CASE WHEN lo >= 1000 AND hi <= 3000 THEN CASE WHEN k0 = 0 THEN 0.7e0 ELSE 0.3e0 END ELSE 1 END * CASE WHEN lo >= 2000 AND hi <= 4200 THEN CASE WHEN k1 = 0 THEN 0.6e0 ELSE 0.4e0 END ELSE 1 END), 4) AS exposure
   FROM (SELECT event_id, lineage % 2 AS k0, CAST(floor(lineage / 2) AS BIGINT) % 2 AS k1, CASE WHEN tl <= 2500 AND tr > 2500 THEN 0 WHEN tr <= 2500 THEN tr ELSE 2500 END AS a, CASE WHEN tl <= 2500 AND tr > 2500 THEN 0 WHEN tr <= 2500 THEN 2500 ELSE tl END AS b FROM v_flux)
   CROSS JOIN (SELECT 0 AS lo, 1000 AS hi UNION ALL SELECT 1000, 2000 UNION ALL SELECT 2000, 3000 UNION ALL SELECT 3000, 4200 UNION ALL SELECT 4200, 1000000) c GROUP BY event_id""",

@@ -36,7 +36,7 @@ ORACLES = {
     "interval_coverage": "SELECT p_partkey // 200 AS chrom, sum(p_size * 60) AS total, sum(len(list_filter(range((p_partkey % 200) * 1000, (p_partkey % 200) * 1000 + p_size * 60), lambda x: x >= 70000 AND x < 130000))) AS shared, sum(len(list_filter(range((p_partkey % 200) * 1000, (p_partkey % 200) * 1000 + p_size * 60), lambda x: x < 70000 OR x >= 130000))) AS remaining FROM part GROUP BY 1",
     "segment_overlap": "SELECT a.gene AS a, b.gene AS b, least(a.e, b.e) - greatest(a.s, b.s) AS bp FROM v_gene a JOIN v_gene b ON a.chrom = b.chrom AND a.gene < b.gene AND least(a.e, b.e) > greatest(a.s, b.s)",
     "interval_join": "SELECT v.chrom, v.pos, g.gene FROM v_pair v JOIN v_gene g ON v.chrom = g.chrom AND v.pos BETWEEN g.s + 1 AND g.e",
-    "sites_outside_genes": "SELECT v.chrom, v.pos FROM v_pair v LEFT JOIN v_gene g ON v.chrom = g.chrom AND v.pos BETWEEN g.s + 1 AND g.e WHERE g.gene IS NULL",
+    "sites_outside_genes": "SELECT v.chrom, v.pos, t.term FROM v_pair v CROSS JOIN (SELECT DISTINCT p_type AS term FROM part) t LEFT JOIN v_gene g ON g.term = t.term AND v.chrom = g.chrom AND v.pos BETWEEN g.s + 1 AND g.e WHERE g.gene IS NULL",
     "nearest_gene": "SELECT v.chrom, v.pos, min(least(abs(g.s - v.pos), abs(g.e - v.pos))) AS dist FROM v_pair v LEFT JOIN v_gene g ON g.chrom = v.chrom GROUP BY v.chrom, v.pos",
     "asof_step": "SELECT event_id, o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT event_id, user_id, ts - to_days(CAST(900 + event_id % 80 * 30 AS INTEGER)) AS at FROM events) e ASOF JOIN (SELECT o_custkey, o_orderdate, max(o_totalprice) AS o_totalprice, max(o_orderkey) AS o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC, o_totalprice DESC) AS rn FROM orders) WHERE rn = 1 GROUP BY o_custkey, o_orderdate) o ON e.user_id = o.o_custkey AND e.at >= o.o_orderdate",
     "interp_linear": """WITH o AS (SELECT o_custkey, o_orderdate AS day, max(o_totalprice) AS price FROM orders GROUP BY o_custkey, o_orderdate), e AS (SELECT event_id, user_id, ts - to_days(CAST(900 + event_id % 80 * 30 AS INTEGER)) AS at FROM events)

@@ -150,3 +150,29 @@ def test_forest_on_replicates(spark):
             for k, (at, node, _) in enumerate(muts):
                 if x <= at < marks[marks.index(x) + 1]:
                     assert carriers[rep, k] == under[node]
+
+
+def test_branch_stats_of_every_replicate(spark):
+    """The query read an attribute that trees no longer have; its sums against trees walked in Python."""
+    got = {r.rep: r for r in simulate.queries()["sim_branch_stats"](spark, "").collect()}
+    spec, _ = simulate.MODELS["sim_recombination"]
+    assert got.keys() == {*range(20)}
+    for rep in range(20):
+        found = kernel.simulate(spec, 1, rep)
+        times = [t for t, *_ in found.nodes]
+        marks = sorted({x for e in found.edges for x in e[:2]})
+        pi = dxy = 0.0
+        for x, y in zip(marks, marks[1:]):
+            up = {c: p for left, right, p, c in found.edges if left <= x < right}
+            under = collections.defaultdict(set)
+            for s in range(10):
+                node = s
+                while node is not None:
+                    under[node].add(s)
+                    node = up.get(node)
+            for c, p in up.items():
+                k, odd = len(under[c]), sum(s % 2 for s in under[c])
+                pi += (y - x) * (times[p] - times[c]) * 2 * k * (10 - k) / 90
+                dxy += (y - x) * (times[p] - times[c]) * ((k - odd) * (5 - odd) + odd * (5 - k + odd)) / 25
+        assert got[rep].trees == len(marks) - 1
+        assert (got[rep].pi, got[rep].dxy) == pytest.approx((pi / spec.length, dxy / spec.length), abs=1e-3)

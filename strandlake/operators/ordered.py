@@ -32,12 +32,23 @@ def corr_spearman(sims: DataFrame) -> DataFrame:
 
 
 def roulette_pick(grid: DataFrame) -> DataFrame:
-    """The first cell whose running share of the score reaches each u."""
-    total = grid.agg(F.sum("score")).first()[0]
-    placed = running(grid.select("cell", "score"), [F.col("cell")], upto=F.col("score")).withColumn("c", F.col("upto") / F.lit(total))
-    picks = [F.min(F.when(F.col("c") >= i / 10.0, F.col("cell"))).alias(str(i)) for i in range(1, 10)]
-    wide = placed.agg(*picks)
-    return wide.select(F.inline(F.array(*[F.struct(F.lit(i / 10.0).alias("u"), F.col(str(i)).alias("pick")) for i in range(1, 10)])))
+    """The first cell whose running share of the score reaches each u; a u that none reaches has no row.
+
+    Scores that decimals hold are added as whole numbers of 1e-9, so a share that
+    is just u is not missed by rounding, in whatever parts the rows are added.
+    """
+    score, exact = F.col("score"), F.col("score").try_cast("decimal(27,9)")
+    units = (exact * 10**9).cast("decimal(28,0)")
+    held = F.bool_and(score.isNull() | F.coalesce(exact.cast("double") == score, F.lit(False)))
+    total, whole, held = grid.agg(F.sum(score), F.sum(units), held).first()
+    if held and whole is not None and whole >= 0:
+        placed = running(grid.select("cell", units.alias("score")), [F.col("cell")], upto=F.col("score"))
+        reached = lambda i: F.col("upto") * 10 >= F.lit(whole) * i
+    else:
+        placed = running(grid.select("cell", "score"), [F.col("cell")], upto=F.col("score"))
+        reached = lambda i: F.col("upto") / F.lit(total) >= i / 10.0
+    wide = placed.agg(*[F.min(F.when(reached(i), F.col("cell"))).alias(str(i)) for i in range(1, 10)])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(i / 10.0).alias("u"), F.col(str(i)).alias("pick")) for i in range(1, 10)]))).filter("pick is not null")
 
 
 def coverage_at(flux: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries that once stopped short of the whole table, against brute force in Python."""
 
 import collections
+import itertools
 import math
 import statistics
 
@@ -133,3 +134,19 @@ def test_window_null_counts_empty_windows(spark, tmp_path):
     assert got.keys() == want.keys() and "RARE" in got
     for t in want:
         assert got[t] == pytest.approx(want[t], abs=1e-6)
+
+
+def test_roulette_on_exact_shares(spark):
+    # Shares that are just u were missed by the rounding of running sums, which hang on the parts of the table.
+    from strandlake.operators import ordered
+
+    def picks(scores):
+        grid = spark.createDataFrame(list(enumerate(scores)), "cell long, score double").repartition(3)
+        return {round(10 * r.u): r.pick for r in ordered.roulette_pick(grid).collect()}
+
+    for scores in ([0.1] * 1000, [900 + k % 1000 / 10 for k in range(4000)], [0.0] * 4 + [0.7] * 30):
+        tenths = [round(x * 10) for x in scores]
+        sums = list(itertools.accumulate(tenths))
+        assert picks(scores) == {i: next(k for k, s in enumerate(sums) if 10 * s >= i * sums[-1]) for i in range(1, 10)}
+    assert picks([1e-12, 3e-12]) == {1: 0, 2: 0} | dict.fromkeys(range(3, 10), 1)
+    assert picks([]) == {}

@@ -150,3 +150,22 @@ def test_roulette_on_exact_shares(spark):
         assert picks(scores) == {i: next(k for k, s in enumerate(sums) if 10 * s >= i * sums[-1]) for i in range(1, 10)}
     assert picks([1e-12, 3e-12]) == {1: 0, 2: 0} | dict.fromkeys(range(3, 10), 1)
     assert picks([]) == {}
+
+
+def test_genotype_counts_list_no_carrier(spark, tmp_path, monkeypatch):
+    # Samples were listed for each site, which grows with orders times customers; an order that stands twice counted once.
+    import duckdb
+
+    from strandlake.operators.forest import Forest
+
+    monkeypatch.delattr(Forest, "carriers")
+    customers = [(k, k % 25) for k in range(60)]
+    orders = [(k, k * 11 % 60) for k in range(300)] + [(7, 0), (9, 39)]
+    pq.write_table(pa.table({"c_custkey": pa.array([k for k, _ in customers], pa.int64()), "c_nationkey": pa.array([n for _, n in customers], pa.int32())}), tmp_path / "customer.parquet")
+    pq.write_table(pa.table({"o_orderkey": pa.array([k for k, _ in orders], pa.int64()), "o_custkey": pa.array([c for _, c in orders], pa.int64())}), tmp_path / "orders.parquet")
+    for name in ("nation", "region"):
+        pq.write_table(pq.read_table(f"{DATA}/{name}.parquet"), tmp_path / f"{name}.parquet")
+    duck = duckdb.connect()
+    for name in ("customer", "orders", "nation", "region"):
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    assert sorted(answer(spark, "genotype_counts", tmp_path)) == sorted(duck.sql(catalogue.oracle_sql()["genotype_counts"]).fetchall())

@@ -370,3 +370,37 @@ def test_bm25_whatever_the_partitions(spark):
         for (_, a, x), (_, b, y) in zip(found, found[1:]):
             assert x > y or x == y and a < b
             assert x == y or texts[a] != texts[b]
+
+
+def test_bm25_skips_blocks_and_keeps_the_best():
+    """Blocks that block maxima keep below the threshold are not scored; what is left holds the best, which add up to their scores."""
+    from strandlake.llm import bm25
+
+    rng, n, k = np.random.default_rng(5), 640, 10
+    # Four subjects of 160 documents; twenty common words of each, and rare words of all.
+    tf = np.zeros((n, 300), np.int64)
+    for d in range(n):
+        own = 20 * (d // 160)
+        tf[d, own : own + 20] = rng.integers(0, 6, 20)
+        tf[d, rng.integers(80, 300, 3)] += 1
+    tf[7] = tf[3]
+    term, doc = np.nonzero(tf.T)
+    lists, length = np.bincount(term, minlength=300), tf.sum(1)
+    index = bm25.BlockIndex(np.arange(n), length, np.arange(300, dtype=np.uint64), lists, lists, doc, tf[doc, term], n, int(length.sum()))
+    asks = np.array([3, 200, 400, 639])
+    which, words = np.nonzero(tf[asks])
+    cut = np.searchsorted(which, np.arange(len(asks) + 1))
+    placed = index.placed(cut, words.astype(np.uint64), tf[asks][which, words])
+    full = np.zeros((len(asks), n))
+    for q, w, add in zip(which, placed[1], placed[2]):
+        full[q] += add * tf[:, w] * 2.2 / (tf[:, w] + 1.2 * (0.25 + 0.75 * length / length.mean()))
+    best = np.sort(full, 1)[:, ::-1]
+    for least in (np.zeros(len(asks)), best[:, k - 1] * (1 - 1e-9)):
+        index.scored = 0
+        row, place, score = index.search(bm25._Dense(index), *placed, k, least)
+        for q in range(len(asks)):
+            assert {*np.flatnonzero(full[q] >= best[q, k - 1])} <= {*place[row == q].tolist()}
+        exact = index.added(*placed, row, place)
+        assert exact == pytest.approx(full[row, place]) and score == pytest.approx(exact, rel=1e-5)
+    assert index.scored < len(asks) * index.n_blocks / 2
+    assert len({x for x, q, d in zip(exact, row, place) if q == 0 and d in (3, 7)}) == 1

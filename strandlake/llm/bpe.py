@@ -178,6 +178,8 @@ class Tokenizer:
             self.words = regex.compile(rf"{contractions}| ?\p{{L}}+| ?\p{{N}}+| ?{letters}|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
             self.units = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        #: Texts that are remembered, at most.
+        self.remembered = REMEMBERED
         self.known: dict = {}
         self.older: dict = {}
         self.encoded: dict = {}
@@ -238,41 +240,37 @@ class Tokenizer:
 
     def encode_batch(self, texts: list[str], form, forms_special: dict) -> list[list]:
         """For each text the forms of its units, in order."""
-        if len(self.known) > REMEMBERED // 2:
+        if len(self.known) > self.remembered // 2:
             # What is met again is taken over; the rest goes with the next generation.
             self.older, self.known = self.known, {}
-        if len(self.encoded) > REMEMBERED // 2:
+        if len(self.encoded) > self.remembered // 2:
             self.encoded.clear()
-        get, out, new = self.known.get, [], set()
-
-        def add(row: list, units: list[str]) -> None:
-            got = list(map(get, units))
-            if None in got:
-                unknown = [u for u, g in zip(units, got) if g is None]
-                new.update(unknown)
-                # Their places are filled in once they are learnt.
-                fill = iter(unknown)
-                got = [next(fill) if g is None else g for g in got]
-                waiting.append((row, len(row), len(row) + len(got)))
-            row += got
-
-        waiting: list = []
+        # Each text as lists of units and, between them, forms of special tokens.
+        cut, seen = [], set()
         for text in texts:
             row: list = []
             if self.specials is not None and self.specials.search(text):
                 at = 0
                 for m in self.specials.finditer(text):
-                    add(row, self.units.findall(text[at : m.start()]))
-                    row.append(forms_special[m[0]])
+                    row += [self.units.findall(text[at : m.start()]), forms_special[m[0]]]
                     at = m.end()
                 text = text[at:]
-            add(row, self.units.findall(text))
-            out.append(row)
-        again = new & self.older.keys()
-        self.known.update((u, self.older[u]) for u in again)
-        self.learn(new - again, form)
-        for row, begin, end in waiting:
-            row[begin:end] = [get(x) if type(x) is str else x for x in row[begin:end]]
+            row.append(self.units.findall(text))
+            seen.update(*row[::2])
+            cut.append(row)
+        # A unit is looked for once, however often it stands in the texts.
+        new = seen.difference(self.known)
+        again = {u: self.older[u] for u in new if u in self.older} if self.older else {}
+        self.known.update(again)
+        self.learn(new.difference(again), form)
+        get, out = self.known.__getitem__, []
+        for k, row in enumerate(cut):
+            done = list(map(get, row[0]))
+            for special, units in zip(row[1::2], row[2::2]):
+                done.append(special)
+                done += map(get, units)
+            out.append(done)
+            cut[k] = None
         return out
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from strandlake.llm.bpe import _parts, load
+from strandlake.llm.bpe import REMEMBERED, _parts, load
 from strandlake.llm.exchange import checkpointed, fresh, partitions
 from strandlake.llm.kernels import thrifty
 
@@ -78,6 +78,8 @@ def token_pieces(docs: DataFrame, path: str, size: int = 1024, eos: int = EOS, i
 
     def run(batches):
         tokenizer, end = load(data.value, "pack"), np.int32(eos).tobytes()
+        # Only ids are kept here, so there is room for more.
+        tokenizer.remembered = 2 * REMEMBERED
         special = {t: np.int32(i).tobytes() for t, i in tokenizer.special.items()}
         for batch in batches:
             for begin, stop, texts in _parts(batch, text_col, 1 << 23):

@@ -404,3 +404,23 @@ def test_bm25_skips_blocks_and_keeps_the_best():
         assert exact == pytest.approx(full[row, place]) and score == pytest.approx(exact, rel=1e-5)
     assert index.scored < len(asks) * index.n_blocks / 2
     assert len({x for x, q, d in zip(exact, row, place) if q == 0 and d in (3, 7)}) == 1
+
+
+def test_what_a_tokenizer_remembers_is_its_own():
+    """A unit is learnt once for all texts of a part, and what is forgotten is learnt again to the same ids."""
+    import public_tokenizers
+    from tokenizers import Tokenizer as Library
+
+    from strandlake.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, "rb") as file:
+        tokenizer = bpe.Tokenizer(file.read())
+    tokenizer.remembered, library = 40, Library.from_file(path)
+    special = {t: np.int32(i).tobytes() for t, i in tokenizer.special.items()}
+    mark = next(iter(special))
+    for part in range(6):
+        texts = [f"the word{k * part}x, and {mark}the  end{k}\n{mark}{mark} of {part}!" for k in range(30)] + ["", mark, " "]
+        got = [np.frombuffer(b"".join(units), np.int32).tolist() for units in tokenizer.encode_batch(texts, lambda b: b, special)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(tokenizer.known) <= 20 + 100

@@ -424,3 +424,37 @@ def test_what_a_tokenizer_remembers_is_its_own():
         got = [np.frombuffer(b"".join(units), np.int32).tolist() for units in tokenizer.encode_batch(texts, lambda b: b, special)]
         assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
         assert len(tokenizer.known) <= 20 + 100
+
+
+def test_bm25_merges_batches_before_it_searches():
+    """Batches of one group are searched as one: a query has k rows of the group, not of each batch, and they are the best of all."""
+    import pyarrow as pa
+
+    from strandlake.llm import bm25
+
+    rng, k, batches, columns = np.random.default_rng(8), 10, 6, ("doc_id", "text")
+    # Two languages of 200 words, short texts and long ones.
+    texts = {i: " ".join(f"{'ab'[i % 2]}{w}" for w in rng.zipf(1.3, rng.integers(1, 400)) % 200) for i in range(900)} | {900: None, 901: " ", 902: ""}
+    texts[440] = texts[20]
+    tables = []
+    for b in range(batches):
+        ids = [i for i in texts if i % batches == b]
+        tables.append(pa.table({"doc_id": ids, "text": pa.array([texts[i] for i in ids], pa.string()), "_asks": [i % 20 == 0 for i in ids], "_batch": pa.array([b] * len(ids), pa.int32())}))
+    asked = pa.concat_tables([bm25._asked(1, columns, t) for t in tables])
+    counted = bm25._counted(asked)
+    indexed = [bm25._indexed(1, 1, 1, columns, t, counted.filter(pa.array([b == n for n in counted.column("batch").to_pylist()]))) for b, t in enumerate(tables)]
+    found = bm25._found(k, pa.concat_tables(indexed)).to_pylist()
+    terms = {i: collections.Counter((t or "").split()) for i, t in texts.items()}
+    df, length = collections.Counter(w for c in terms.values() for w in c), {i: sum(c.values()) for i, c in terms.items()}
+    mean, got = sum(length.values()) / len(texts), collections.defaultdict(list)
+    for r in found:
+        got[r["query_id"]].append((r["doc_id"], r["score"]))
+    assert len(found) <= k * len(got) and set(got) == {i for i in texts if i % 20 == 0 and terms[i]}
+    for q, best in got.items():
+        score = {i: sum(f * math.log(1 + (len(texts) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length[i] / mean)) for w, f in terms[q].items() if w in c) for i, c in terms.items()}
+        assert sorted((s for _, s in best), reverse=True) == pytest.approx(sorted((s for s in score.values() if s > 0), reverse=True)[:k])
+        assert all(s == pytest.approx(score[i]) for i, s in best)
+    assert len({s for i, s in got[20] if i in (20, 440)}) == 1
+    # Terms of queries travel once, with steps between them.
+    postings = sum(len(terms[q]) for q in got)
+    assert sum(len(r["payload"]) for t in indexed for r in t.to_pylist() if r["kind"] == 1) < 8 * postings

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -55,15 +56,16 @@ class SegmentTreeMerger:
         at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
         return np.where((self.code[at] == code) & (left >= 0) & (right >= 0), self.rank_of[at], -1)
 
-    def merge(self, symbols: np.ndarray) -> np.ndarray:
-        """symbols: (rows, width) ids, padded with -1; width a power of two. The result is padded in between."""
+    def merge(self, symbols: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+        """symbols: (rows, width) ids, padded with -1; width a power of two; ``rank`` of each and the next, if known. The result is padded in between."""
         rows, width = symbols.shape
         # All four tables are flat, a row of each after the other, with one place more than a row has symbols.
         step, half = width + 1, 2 * width
         sym = np.full((rows, step), -1, np.int64)
         sym[:, :width] = symbols
         tree = np.full((rows, half), self.NONE)
-        rank = self.ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(rows, width)
+        if rank is None:
+            rank = self.ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(rows, width)
         tree[:, width:] = np.where(rank >= 0, rank * width + np.arange(width), self.NONE)
         node = width
         while node > 1:
@@ -168,6 +170,9 @@ class Tokenizer:
         chars = byte_characters()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.last = np.array([vocab[c + self.suffix] for c in chars], np.int64)
+        # Ranks of pairs of bytes; 256 more for the last byte of a word, and 512 for none.
+        self.symbols = np.concatenate([self.inner, self.last, [-1]])
+        self.rank = self.merger.ranks(np.repeat(self.symbols, 513), np.tile(self.symbols, 513)).astype(np.int32)
         # Word-level files lower and compose the text and drop white space; byte-level files keep every byte.
         self.lowers = bool(spec["normalizer"])
         contractions, letters = "'s|'t|'re|'ve|'m|'ll|'d", rf"[^{WHITE}\p{{L}}\p{{N}}]+"
@@ -186,7 +191,7 @@ class Tokenizer:
 
     def word_ids(self, words: list[bytes]) -> list[bytes]:
         """The token ids of each word, as 32-bit integers."""
-        out: list = [None] * len(words)
+        out, chars = [None] * len(words), self.symbols
         sizes = np.array([len(w) for w in words])
         widths = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
         for i in np.flatnonzero(widths > LONG):
@@ -199,12 +204,11 @@ class Tokenizer:
             step = max(1, (1 << 17) // int(width))
             for k in range(0, len(mine), step):
                 part = mine[k : k + step]
-                grid = np.full((len(part), width), -1, np.int64)
-                data = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
-                inside = np.arange(width) < sizes[part][:, None]
-                grid[inside] = self.inner[data]
-                grid[np.arange(len(part)), sizes[part] - 1] = self.last[data[np.cumsum(sizes[part]) - 1]]
-                done = self.merger.merge(grid)
+                data = np.frombuffer(b"".join([words[i] for i in part.tolist()]), np.uint8).astype(np.int32)
+                data[np.cumsum(sizes[part]) - 1] += 256
+                byte = np.full((len(part), width + 1), 512, np.int32)
+                byte[:, :-1][np.arange(width) < sizes[part][:, None]] = data
+                done = self.merger.merge(chars[byte[:, :-1]], self.rank[byte[:, :-1] * 513 + byte[:, 1:]].astype(np.int64))
                 alive = done >= 0
                 ids, ends = done[alive].astype("<i4").tobytes(), (4 * np.cumsum(alive.sum(1))).tolist()
                 begin = 0
@@ -239,7 +243,20 @@ class Tokenizer:
             self.known[unit] = form(self.encoded[words[0]] if len(words) == 1 else b"".join([self.encoded[w] for w in words]))
 
     def encode_batch(self, texts: list[str], form, forms_special: dict) -> list[list]:
-        """For each text the forms of its units, in order."""
+        """For each text the forms of its units, in order.
+
+        Nothing here refers to itself, and the search for what does would go through
+        millions of units again and again, so it waits.
+        """
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts, form, forms_special)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str], form, forms_special: dict) -> list[list]:
         if len(self.known) > self.remembered // 2:
             # What is met again is taken over; the rest goes with the next generation.
             self.older, self.known = self.known, {}

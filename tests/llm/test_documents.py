@@ -458,3 +458,31 @@ def test_bm25_merges_batches_before_it_searches():
     # Terms of queries travel once, with steps between them.
     postings = sum(len(terms[q]) for q in got)
     assert sum(len(r["payload"]) for t in indexed for r in t.to_pylist() if r["kind"] == 1) < 8 * postings
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_tokenizer_spends_no_time_on_what_it_knows(name):
+    """Ranks of a word's bytes come from a table; units are not gone through for cycles while texts are encoded."""
+    import gc
+
+    import public_tokenizers
+    from tokenizers import Tokenizer as Library
+
+    from strandlake.llm import bpe
+
+    path = public_tokenizers.path(name)
+    with open(path, "rb") as file:
+        tokenizer = bpe.Tokenizer(file.read())
+    texts = [" ".join(f"é{k}w{i * 7919 % 10007:x}, Straße" + "y" * (i % 40) for i in range(2000)) for k in range(4)] + ["", "a", "x" * 3000]
+    seen, ranks = [], tokenizer.merger.ranks
+    note = lambda phase, info: seen.append(phase)
+    gc.collect()
+    gc.callbacks.append(note)
+    try:
+        got = tokenizer.encode_batch(texts, lambda b: b, {t: np.int32(i).tobytes() for t, i in tokenizer.special.items()})
+    finally:
+        gc.callbacks.remove(note)
+    assert not seen and gc.isenabled()
+    assert [np.frombuffer(b"".join(units), np.int32).tolist() for units in got] == [library.ids for library in Library.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    code = np.arange(513)
+    assert (tokenizer.rank.reshape(513, 513) == ranks(np.repeat(tokenizer.symbols[code], 513), np.tile(tokenizer.symbols[code], 513)).reshape(513, 513)).all()

@@ -460,6 +460,34 @@ def test_bm25_merges_batches_before_it_searches():
     assert sum(len(r["payload"]) for t in indexed for r in t.to_pylist() if r["kind"] == 1) < 8 * postings
 
 
+def test_bm25_holds_some_batches_of_a_group(monkeypatch):
+    """A group is searched some batches at a time, so its postings are not all held at once; it finds the same whatever is held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from strandlake.llm import bm25
+
+    rng, batches, columns = np.random.default_rng(4), 12, ("doc_id", "text")
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.2, 400) % 20000) for _ in range(1800)]
+    texts[20] = texts[33] = texts[47]
+    tables = [pa.table({"doc_id": range(b, 1800, batches), "text": texts[b::batches], "_asks": [i % 60 == 20 for i in range(b, 1800, batches)], "_batch": pa.array([b] * 150, pa.int32())}) for b in range(batches)]
+    counted = bm25._counted(pa.concat_tables([bm25._asked(1, columns, t) for t in tables]))
+    group = pa.concat_tables([bm25._indexed(1, 1, 1, columns, t, counted.filter(pa.array([b == n for n in counted.column("batch").to_pylist()]))) for b, t in enumerate(tables)])
+    postings = sum(len(set(t.split())) for t in texts)
+    at_once = bm25._found(10, group).to_pylist()
+    for name, value in (("STEP", 1 << 13), ("CELLS", 1 << 13), ("POSTINGS", postings // 6)):
+        monkeypatch.setattr(bm25, name, value, raising=False)
+    tracemalloc.start()
+    found = bm25._found(10, group).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == at_once and len(found) == 300
+    assert [r["doc_id"] for r in found if r["query_id"] == 20][:3] == [20, 33, 47]
+    # Bytes besides the messages, which are there at first.
+    assert (peak - sum(len(p) for p in group.column("payload").to_pylist())) / postings < 16, peak
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokenizer_spends_no_time_on_what_it_knows(name):
     """Ranks of a word's bytes come from a table; units are not gone through for cycles while texts are encoded."""

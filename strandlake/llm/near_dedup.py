@@ -23,6 +23,8 @@ BUCKET_BLOCK = 2048
 HEADS = 3
 #: Widths of the rank cells below rank 1; cells above are of width 1.
 FINE = 6
+#: Cells looked at together, where sets have few elements.
+CELLS = 1 << 15
 
 
 def shingles(words: Words, row: int, to: int, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,15 +53,31 @@ def shingles(words: Words, row: int, to: int, width: int = SHINGLE) -> tuple[np.
     return owner[first], value[first], np.diff(np.append(first, len(value)))
 
 
-def _poisson(mean: float, most: int = 24) -> np.ndarray:
-    """Cumulative probabilities of 0, 1, 2, ... darts."""
-    return np.cumsum([math.exp(-mean) * mean**k / math.factorial(k) for k in range(most)])
+def _poisson(mean: float, most: int = 24) -> list[np.uint64]:
+    """Values that a uniform 64-bit value is over if there are more than 0, 1, 2, ... darts."""
+    below = np.cumsum([math.exp(-mean) * mean**k / math.factorial(k) for k in range(most)])
+    return [U(min(int(x * 2.0**53) << 11 | 2047, (1 << 64) - 1)) for x in below]
+
+
+_DARTS = {2.0**-j: _poisson(2.0**-j) for j in range(FINE + 1)}
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> U(11)).astype(np.float64) * 2.0**-53
 
 
+def _thrown(cell: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and hash of each dart in cells of area ``width``."""
+    at, darts, found = np.arange(len(cell)), [], []
+    for turn, least in enumerate(_DARTS[width]):
+        at = at[cell[at] > least] if turn else np.flatnonzero(cell > least)
+        if not len(at):
+            break
+        found.append(at)
+        darts.append(mix(cell[at] + U(turn + 1)))
+    return (np.concatenate(found), np.concatenate(darts)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
 def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
     """(n, k) coordinates for n weighted sets given as (owner, element, weight) rows.
 
@@ -68,46 +86,40 @@ def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray,
     element and the cell alone.  A set is hit by the darts that fall below its
     element's weight.  Each dart belongs to one of the k coordinates, and a
     coordinate keeps its dart of the earliest rank; two sets keep the same one with
-    the probability of their weighted Jaccard similarity.  Ranks are looked at up
-    to a bound that gives k (ln k + 3) darts on average; sets with a coordinate
-    still empty are looked at again with the bound doubled.  Empty sets have zeros.
+    the probability of their weighted Jaccard similarity.  Cells are looked at in
+    the order of ranks, so only darts of empty coordinates matter, and a set is
+    done when it has none.  Empty sets have zeros.
     """
-    out = np.zeros((n, k), np.uint64)
-    total = np.bincount(owner, weight, n)
-    bound = np.divide(k * (math.log(k) + 3), total, out=np.zeros(n), where=total > 0)
-    todo = total > 0
-    while todo.any():
-        best = np.full(n * k, np.inf)
-        got: list = []
-        mine = np.flatnonzero(todo[owner])
-        own, el, w, limit = owner[mine], element[mine], weight[mine].astype(float), bound[owner[mine]]
-        cells = [(0.0, 2.0**-FINE)] + [(2.0**-j, 2.0**-j) for j in range(FINE, 0, -1)]
-        number = 0
-        while len(own):
-            begin, width = cells[number] if number < len(cells) else (float(number - len(cells) + 1), 1.0)
-            alive = limit > begin
-            own, el, w, limit = own[alive], el[alive], w[alive], limit[alive]
-            # Cells of weight: one for each unit that the element's weight reaches into.
-            layers = np.ceil(w).astype(np.int64)
-            e = np.repeat(np.arange(len(own)), layers)
-            layer = runs(np.zeros(len(own), np.int64), layers)
-            cell = mix(el[e] + U(number) * U(0x9FB21C651E98DF25) + layer.astype(np.uint64) * U(0xD6E8FEB86659FD93))
-            count = np.searchsorted(_poisson(width), _unit(cell))
-            e, layer, turn = np.repeat(e, count), np.repeat(layer, count), runs(np.zeros(len(cell), np.int64), count)
-            dart = mix(np.repeat(cell, count) + turn.astype(np.uint64) + U(1))
-            rank = begin + width * _unit(mix(dart + U(2)))
-            hit = (rank < limit[e]) & (layer + _unit(mix(dart + U(3))) < w[e])
-            e, dart, rank = e[hit], dart[hit], rank[hit]
-            place = own[e] * k + (mix(dart + U(4)) % U(k)).astype(np.int64)
-            np.minimum.at(best, place, rank)
-            got.append((place, rank, dart))
-            number += 1
-        for place, rank, dart in got:
-            first = best[place] == rank
-            out.ravel()[place[first]] = dart[first]
-        todo &= np.isinf(best.reshape(n, k)).any(1)
-        bound[todo] *= 2
-    return out
+    out, best = np.zeros(n * k, np.uint64), np.full(n * k, np.inf)
+    # Cells of weight: one for each unit that the element's weight reaches into.
+    layers = np.ceil(weight).astype(np.int64)
+    own, w, layer = np.repeat(owner, layers), np.repeat(weight, layers), runs(np.zeros(len(layers), np.int64), layers)
+    base = np.repeat(element, layers) + layer.astype(np.uint64) * U(0xD6E8FEB86659FD93)
+    cut, number = bool((layer + 1 > w).any()), 0
+    while len(own):
+        # Once sets with few elements are left, many cells of width 1 are looked at together.
+        many = 1 if number <= FINE else max(1, min(CELLS // len(own), number // 4))
+        width = 1.0 if number > FINE else 2.0 ** -min(FINE, FINE + 1 - number)
+        begin = float(number - FINE) if number > FINE else 0.0 if number == 0 else width
+        later = np.repeat(np.arange(many, dtype=np.uint64), len(own))
+        cell = mix((np.tile(base, many) if many > 1 else base) + (later + U(number)) * U(0x9FB21C651E98DF25))
+        at, dart = _thrown(cell, width)
+        e, begin = (at % len(own), begin + (at // len(own))) if many > 1 else (at, begin)
+        place = own[e] * k + (mix(dart + U(4)) % U(k)).astype(np.int64)
+        new = best[place] == np.inf
+        if cut:
+            new &= layer[e] + _unit(mix(dart + U(3))) < w[e]
+        new = np.flatnonzero(new)
+        place, dart = place[new], dart[new]
+        rank = (begin[new] if many > 1 else begin) + width * _unit(mix(dart + U(2)))
+        np.minimum.at(best, place, rank)
+        first = best[place] == rank
+        out[place[first]] = dart[first]
+        number += many
+        open_ = np.isinf(best.reshape(n, k)).any(1)[own]
+        if not open_.all():
+            own, base, w, layer = own[open_], base[open_], w[open_], layer[open_]
+    return out.reshape(n, k)
 
 
 def _signed(x: np.ndarray) -> pa.Array:

@@ -514,3 +514,37 @@ def test_tokenizer_spends_no_time_on_what_it_knows(name):
     assert [np.frombuffer(b"".join(units), np.int32).tolist() for units in got] == [library.ids for library in Library.from_file(path).encode_batch(texts, add_special_tokens=False)]
     code = np.arange(513)
     assert (tokenizer.rank.reshape(513, 513) == ranks(np.repeat(tokenizer.symbols[code], 513), np.tile(tokenizer.symbols[code], 513)).reshape(513, 513)).all()
+
+
+def test_darts_look_at_many_cells_together(monkeypatch):
+    from strandlake.llm import near_dedup
+
+    sizes = [1, 0, 2, 400, 3000]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    element = near_dedup.mix(np.arange(len(owner), dtype=np.uint64))
+    calls = []
+    monkeypatch.setattr(near_dedup, "mix", lambda x, mix=near_dedup.mix: calls.append(len(x)) or mix(x))
+    found = near_dedup.dart_signatures(owner, element, np.ones(len(owner), np.int64), len(sizes), 160)
+    # One by one, the cells of a set of one element took four calls each.
+    assert len(calls) < 1000
+    # What each set keeps is what it keeps alone, and none of the coordinates is empty.
+    for i in range(len(sizes)):
+        mine = owner == i
+        alone = near_dedup.dart_signatures(owner[mine] * 0, element[mine], np.ones(sizes[i], np.int64), 1, 160)
+        assert (found[i] == alone[0]).all() and (found[i] != 0).all() == (sizes[i] > 0)
+    # The coordinates are those of cells looked at one by one, in a plain walk.
+    best = {}
+    for number in range(3000):
+        width = 2.0 ** -min(6, max(0, 7 - number))
+        begin = 0.0 if number == 0 else width if number < 7 else number - 6.0
+        cell = int(near_dedup.mix(element[:1] + np.uint64(number * 0x9FB21C651E98DF25 & (1 << 64) - 1))[0])
+        below, term, count = 0.0, math.exp(-width), 0
+        while (cell >> 11) * 2.0**-53 > below + term and count < 23:
+            below, count = below + term, count + 1
+            term *= width / count
+        for turn in range(count):
+            dart = near_dedup.mix(np.array([(cell + turn + 1) & (1 << 64) - 1], np.uint64))
+            rank = begin + width * (int(near_dedup.mix(dart + np.uint64(2))[0]) >> 11) * 2.0**-53
+            place = int(near_dedup.mix(dart + np.uint64(4))[0]) % 160
+            best[place] = min(best.get(place, (math.inf, 0)), (rank, int(dart[0])))
+    assert [best[k][1] for k in range(160)] == found[0].tolist()

@@ -15,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from strandlake.llm.kernels import portions, thrifty
+from strandlake.llm.kernels import KEPT, portions, thrifty
 
 #: Unicode white space as the tokenizer's regular expressions see it.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -291,15 +291,12 @@ class Tokenizer:
         return out
 
 
-_loaded: dict[str, Tokenizer] = {}
-
-
 def load(data: bytes, use: str) -> Tokenizer:
-    """The tokenizer of a file's bytes, kept by the worker; ``use`` keeps what users remember apart."""
-    key = f"{use} {zlib.crc32(data)} {len(data)}"
-    if key not in _loaded:
-        _loaded[key] = Tokenizer(data)
-    return _loaded[key]
+    """The tokenizer of a file's bytes, kept by the worker while its work is of kind ``use``."""
+    key = (use, f"{zlib.crc32(data)} {len(data)}")
+    if key not in KEPT:
+        KEPT[key] = Tokenizer(data)
+    return KEPT[key]
 
 
 def _parts(table_batch: pa.RecordBatch, text_col: str, most: int = 1 << 21):
@@ -345,7 +342,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
                 columns = batch.slice(begin, end - begin).columns
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*columns, lists, decoded], arrow)], schema=arrow)
 
-    return docs.mapInArrow(thrifty(run), schema)
+    return docs.mapInArrow(thrifty(run, "decode"), schema)
 
 
 def op2_bpe(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 1024, eos: int = EOS, i
                 columns += [pa.array(arrays, pa.list_(pa.int32()))] * ids
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run, "pack"), schema)
 
 
 def pack(pieces: DataFrame, size: int = 1024, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece", "start", "ids_crc32")) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandlake.llm.exchange import fresh
-from strandlake.llm.kernels import _SPACE, Batch, Words, mix, portions, release, U
+from strandlake.llm.kernels import _SPACE, Batch, Words, drop_kept, mix, portions, release, U
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -61,6 +61,7 @@ def text_counts(batch: Batch) -> dict[str, np.ndarray]:
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 def _counted(texts: pa.Array) -> pa.Array:
+    drop_kept()
     record = pa.record_batch({"row": pa.array(np.arange(len(texts))), "text": texts})
     found = [text_counts(Batch(pa.Table.from_batches([part]), "row", "text")) for part in portions(record, "text")]
     release()

@@ -548,3 +548,25 @@ def test_darts_look_at_many_cells_together(monkeypatch):
             place = int(near_dedup.mix(dart + np.uint64(4))[0]) % 160
             best[place] = min(best.get(place, (math.inf, 0)), (rank, int(dart[0])))
     assert [best[k][1] for k in range(160)] == found[0].tolist()
+
+
+def test_a_worker_drops_what_other_work_has_kept():
+    """Tokenizers remember hundreds of MB, which the stages of a pipeline would carry along in reused workers."""
+    import gc
+    import weakref
+
+    import public_tokenizers
+
+    from strandlake.llm import bpe
+    from strandlake.llm.kernels import thrifty, thrifty_pair
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        data = file.read()
+    others = [lambda: thrifty(lambda t: t)(0), lambda: thrifty_pair(lambda a, b: a)(0, 0), lambda: list(thrifty(lambda b: (yield from b))([1])), lambda: thrifty(lambda t: t, "decode")(0)]
+    for other in others:
+        kept = weakref.ref(bpe.load(data, "pack"))
+        thrifty(lambda t: t, "pack")(0)
+        assert kept() is not None and kept() is bpe.load(data, "pack")
+        other()
+        gc.collect()
+        assert kept() is None
